@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import bounded_sample, table
+from ledgerlens.llm import language, media, packing, tokens
+from ledgerlens.llm.common import bounded_sample, residue, shared_folder, table
 from ledgerlens.llm.quality_rules import SIGNALS, quality_rules
 
 #: Trusted documents that the quality rules' target is estimated from, at most.
@@ -26,8 +27,54 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rated.select("doc_id", *SIGNALS, "base_failed", "kept", "llr")
 
 
+def language_references(spark: SparkSession, sf_dir: str) -> dict[str, str]:
+    """Reference texts from documents with a language, without the fold that is held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return language.reference_texts(docs.where(residue(F.col("doc_id"), 4) != 2))
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = language.identify(docs, language_references(spark, sf_dir))
+    held_out = (residue(F.col("doc_id"), 4) == 2).alias("held_out")
+    return found.select("doc_id", held_out, "lang_pred", "score", "phrases")
+
+
+def vocabulary(name: str) -> str:
+    """The place of a public vocabulary file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as flat 16-bit token files, and each document's tokens as the separator scan counts them."""
+    docs, folder = table(spark, sf_dir, "documents").select("doc_id", "text"), shared_folder(spark)
+    held = tokens.write_token_files(docs, folder, vocabulary("byte_bpe_50k.tiktoken"))
+    counted = tokens.count_tokens(spark, folder, held)
+    return held.join(counted, ["path", "ordinal"], "left").select("doc_id", "ordinal", "start", "n_tokens", "closed")
+
+
+def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, folder = table(spark, sf_dir, "documents").select("doc_id", "text"), shared_folder(spark)
+    index = media.with_metadata(media.store(docs, folder), folder)
+    return media.with_payload(index, folder).select(
+        "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature",
+        "width", "height", "bits",
+    )
+
+
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return packing.pack(docs, vocabulary("byte_bpe_50k.tiktoken"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
+    "op3_language_id": op3_language_id,
+    "op6_token_counts": op6_token_counts,
+    "op7_media_columns": op7_media_columns,
+    "op8_best_fit_packing": op8_best_fit_packing,
 }
 
 #: Hashes, models and packings have no equal in DuckDB; those queries are tested against brute force.
