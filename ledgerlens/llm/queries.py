@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import language, media, packing, tokens
+from ledgerlens.llm import language, media, packing, pii, tokens
 from ledgerlens.llm.common import bounded_sample, residue, shared_folder, table
 from ledgerlens.llm.quality_rules import SIGNALS, quality_rules
 
@@ -69,11 +69,22 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(docs, vocabulary("byte_bpe_50k.tiktoken"))
 
 
+def pii_key(spark: SparkSession) -> str:
+    """The secret of the permutations: the session's ``spark.ledgerlens.pii.key``; a fixed one for tests without it."""
+    return spark.conf.get("spark.ledgerlens.pii.key", "not a secret")
+
+
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.pseudonymise(docs, pii_key(spark)).select("doc_id", "text", F.size("pii").cast("long").alias("n_pii"), "pii")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op3_language_id": op3_language_id,
     "op6_token_counts": op6_token_counts,
     "op7_media_columns": op7_media_columns,
+    "op10_pii": op10_pii,
     "op8_best_fit_packing": op8_best_fit_packing,
 }
 
