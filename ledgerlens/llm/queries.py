@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import language, media, packing, pii, tokens
+from ledgerlens.llm import jaccard, language, media, packing, pii, tokens
 from ledgerlens.llm.common import bounded_sample, residue, shared_folder, table
 from ledgerlens.llm.quality_rules import SIGNALS, quality_rules
 
@@ -79,13 +79,18 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymise(docs, pii_key(spark)).select("doc_id", "text", F.size("pii").cast("long").alias("n_pii"), "pii")
 
 
+def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op3_language_id": op3_language_id,
     "op6_token_counts": op6_token_counts,
     "op7_media_columns": op7_media_columns,
-    "op10_pii": op10_pii,
     "op8_best_fit_packing": op8_best_fit_packing,
+    "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
+    "op10_pii": op10_pii,
 }
 
 #: Hashes, models and packings have no equal in DuckDB; those queries are tested against brute force.
