@@ -50,14 +50,18 @@ def reference_texts(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, chars:
     The sample is the ``sample_docs`` distinct texts of a language with the smallest hashes, so it
     doesn't depend on the order of rows, and copies count once.
     """
-    some = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select(
-        "lang", "text", F.xxhash64("text").alias("_h")
-    )
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("_h"))
-    # four times the sample, so that enough distinct texts are left; the rank cut is made before the shuffle too
-    drawn = some.withColumn("_k", rank).where(F.col("_k") <= 4 * sample_docs).dropDuplicates(["lang", "_h"])
+    some = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
+    totals = some.groupBy("lang").count().collect()  # a row a language
+    # The smallest hashes of a language lie below a cut-off that leaves eight times the sample, so only
+    # that many texts are moved; copies of a text share its hash and go through the cut together.
+    if not totals:
+        return {}
+    parts = F.create_map(*(F.lit(x) for t in totals for x in (t["lang"], min(1.0, 8.0 * sample_docs / t["count"]) * 2.0**32)))
+    hashed = some.select("lang", "text", F.xxhash64("text").alias("_h"))
+    below = hashed.where(F.pmod("_h", F.lit(1 << 32)) <= F.element_at(parts, F.col("lang")))
+    drawn = below.groupBy("lang", "_h").agg(F.min(F.substring("text", 1, 4 * STRETCH)).alias("text"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("_h", F.lit(1 << 32)), "_h"))
     drawn = drawn.withColumn("_k", rank).where(F.col("_k") <= sample_docs)
-    drawn = drawn.select("lang", "_k", F.substring("text", 1, 4 * STRETCH).alias("text"))
     pieces: dict[str, list[str]] = {}
     for row in drawn.orderBy("lang", "_k").collect():  # at most languages * sample_docs short texts
         pieces.setdefault(row["lang"], []).append(normalised(row["text"])[:STRETCH])

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import jaccard, language, media, packing, pii, tokens
+from ledgerlens.llm import jaccard, language, media, packing, pii, quality_model, tokens, toxicity
 from ledgerlens.llm.common import bounded_sample, residue, shared_folder, table
 from ledgerlens.llm.quality_rules import SIGNALS, quality_rules
 
@@ -27,6 +27,29 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rated.select("doc_id", *SIGNALS, "base_failed", "kept", "llr")
 
 
+def labelled_sample(spark: SparkSession, sf_dir: str, held_out: int, divisor: int, limit: int, seed: int) -> DataFrame:
+    """At most ``limit`` labelled documents outside the fold that is held out, with their texts.
+
+    The drawn labels are bounded, so they are broadcast and the texts stay where they lie.
+    """
+    labels = table(spark, sf_dir, "labels").where(residue(F.col("doc_id"), divisor) != held_out)
+    drawn = bounded_sample(labels, "doc_id", limit, seed)
+    return table(spark, sf_dir, "documents").select("doc_id", "text").join(F.broadcast(drawn), "doc_id")
+
+
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ratings in three grades: 0 poor, 1 well written but toxic, 2 well written and not toxic.
+
+    A fifth of the labels (crc32 of the id modulo 5 is 3) is held out. Kept is what is likely graded 1 or better.
+    """
+    rated = labelled_sample(spark, sf_dir, 3, 5, quality_model.SAMPLE_LIMIT, seed=2)
+    value = F.when(F.col("quality") == 0, 0).otherwise(2 - F.col("toxic"))
+    model = quality_model.train(rated.where("quality IS NOT NULL AND toxic IS NOT NULL").withColumn("grade", value), 3)
+    found = quality_model.grade(table(spark, sf_dir, "documents").select("doc_id", "text"), model, wanted=1)
+    held_out = (residue(F.col("doc_id"), 5) == 3).alias("held_out")
+    return found.select("doc_id", held_out, "expected_grade", "tail_probability", "kept")
+
+
 def language_references(spark: SparkSession, sf_dir: str) -> dict[str, str]:
     """Reference texts from documents with a language, without the fold that is held out."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
@@ -47,6 +70,13 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = labelled_sample(spark, sf_dir, 1, 3, toxicity.SAMPLE_LIMIT, seed=5)
+    model = toxicity.train(rows.where("toxic IS NOT NULL").withColumn("y", F.col("toxic")))
+    found = toxicity.score(table(spark, sf_dir, "documents").select("doc_id", "text"), model)
+    return found.select("doc_id", (residue(F.col("doc_id"), 3) == 1).alias("held_out"), "score", "predicted")
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as flat 16-bit token files, and each document's tokens as the separator scan counts them."""
     docs, folder = table(spark, sf_dir, "documents").select("doc_id", "text"), shared_folder(spark)
@@ -85,7 +115,9 @@ def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_quality_classifier": op2_quality_classifier,
     "op3_language_id": op3_language_id,
+    "op5_toxicity": op5_toxicity,
     "op6_token_counts": op6_token_counts,
     "op7_media_columns": op7_media_columns,
     "op8_best_fit_packing": op8_best_fit_packing,
