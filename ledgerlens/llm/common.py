@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,6 +36,11 @@ def written(df: DataFrame, folder: str, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(f"{folder}/{name}")
 
 
+def fetched(df: DataFrame) -> pd.DataFrame:
+    """A small bounded table on the driver, by way of Arrow whatever the session's setting."""
+    return df.toArrow().to_pandas()
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with ``value`` computed once a row, however often ``body`` names it."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

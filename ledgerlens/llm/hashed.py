@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import WORD_GAP
+from ledgerlens.llm.common import WORD_GAP, fetched
 
 #: Buckets of hashed terms.
 TERM_BUCKETS = 1 << 18
@@ -62,7 +62,7 @@ def word_terms(text: Column, buckets: int = TERM_BUCKETS) -> Column:
 def frequent_terms(sample: DataFrame, least: int) -> np.ndarray:
     """The buckets that at least ``least`` documents of a bounded sample hold, sorted."""
     counts = sample.select(F.explode("terms").alias("t")).groupBy("t").count().where(F.col("count") >= least)
-    return np.sort(counts.select("t").toPandas()["t"].to_numpy(np.int64))
+    return np.sort(fetched(counts.select("t"))["t"].to_numpy(np.int64))
 
 
 def telling_terms(sample: DataFrame, least: int, evidence: float) -> np.ndarray:
@@ -73,7 +73,7 @@ def telling_terms(sample: DataFrame, least: int, evidence: float) -> np.ndarray:
     total = sample.agg(F.count("*").alias("n"), F.coalesce(F.sum("y"), F.lit(0.0)).alias("y")).first()
     rate = (total["y"] + 0.5) / (total["n"] + 1)
     counts = sample.select("y", F.explode("terms").alias("t")).groupBy("t").agg(F.count("*").alias("n"), F.sum("y").alias("y"))
-    found = counts.where(F.col("n") >= least).toPandas()
+    found = fetched(counts.where(F.col("n") >= least))
     n, y = found["n"].to_numpy(float), found["y"].to_numpy(float)
     with np.errstate(divide="ignore", invalid="ignore"):
         parts = np.where(y > 0, y * np.log(y / n / rate), 0) + np.where(n > y, (n - y) * np.log((n - y) / n / (1 - rate)), 0)

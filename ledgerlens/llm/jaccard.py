@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import shared_folder, written
+from ledgerlens.llm.common import fetched, shared_folder, written
 
 #: Buckets in which members are counted for their order.
 ORDER_BUCKETS = 1 << 20
@@ -107,7 +107,7 @@ def bucket_counts(docs: DataFrame, words: int) -> DataFrame:
 def _ranks(counts: DataFrame) -> np.ndarray:
     """Counts by bucket: ``ORDER_BUCKETS`` numbers, whatever the corpus."""
     order = np.zeros(ORDER_BUCKETS, np.int64)
-    found = counts.toPandas()
+    found = fetched(counts)
     order[found["bucket"].to_numpy(np.int64)] = found["n"].to_numpy(np.int64)
     return np.minimum(order, np.iinfo(np.int32).max).astype(np.int32)
 
@@ -160,7 +160,7 @@ def boundary_by_cost(classes: DataFrame, percent: int) -> int:
     # long lists become stars, whose cost doesn't depend on their length
     looks = lists.agg(F.sum(F.when(F.col("count") <= LONG_LIST, F.col("count") * (F.col("count") - 1))), F.sum("count")).first()
     per_member = (looks[0] or 0) / max(1, looks[1] or 0)
-    sizes = classes.groupBy("n").count().toPandas()  # a row a size of a set
+    sizes = fetched(classes.groupBy("n").count())  # a row a size of a set
     n, c = sizes["n"].to_numpy(np.int64), sizes["count"].to_numpy(np.int64)
     single = n + (-percent * n // 100) + 1
 
