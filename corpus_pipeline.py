@@ -1,12 +1,21 @@
-"""From raw documents to packed sequences, a stage at a time."""
+"""From raw documents to packed sequences, a stage at a time.
+
+Each stage takes ``(spark, docs, sf_dir)`` and works on all that the one before kept; what it decides takes
+effect on its result. All but the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ledgerlens.llm import jaccard, language, packing, pii
 from ledgerlens.llm.common import shared_folder, table
 from ledgerlens.llm.quality_rules import quality_rules
-from ledgerlens.llm.queries import trusted_ids
+from ledgerlens.llm.queries import language_references, pii_key, trusted_ids, vocabulary_path
+
+#: A document goes if the two best languages' phrase rates differ by less than this share.
+MIN_LANGUAGE_SCORE = 0.02
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -14,9 +23,38 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules(docs, trusted_ids(spark, sf_dir)).where("kept").select(*docs.columns)
 
 
-STAGES = [("quality_rules", keep_good)]
+def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Language ID: documents without a letter go, and those that no language fits better than another."""
+    found = language.identify(docs, language_references(spark, sf_dir))
+    told = (F.col("lang_pred") != language.UNDETERMINED) & (F.col("score") >= MIN_LANGUAGE_SCORE)
+    return found.where(told).select(*docs.columns)
+
+
+def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """N-gram Jaccard join: of the documents that links connect, the one with the smallest id stays."""
+    kept = jaccard.jaccard_components(docs).where("doc_id = component_id").select("doc_id").distinct()
+    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+
+
+def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """PII: numbers, dates and addresses become pseudonyms; ``n_chars`` stays what it was, as formats keep lengths."""
+    return pii.pseudonymise(docs, pii_key(spark)).select(*docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Best-fit packing of what is left into sequences of 2048 tokens."""
+    return packing.pack(docs, vocabulary_path("byte_bpe_50k.tiktoken"))
+
+
+STAGES = [
+    ("quality_rules", keep_good),
+    ("language_id", keep_known_languages),
+    ("ngram_jaccard_join", keep_one_of_each_group),
+    ("pii", hide_personal_data),
+    ("best_fit_packing", pack),
+]
 
-#: Cross parsing, permutations and packing can't be said in SQL; the tests compare with brute force.
+#: Cross parsing, keyed permutations and packing can't be said in SQL; the tests compare with brute force.
 ORACLE_SQL = None
 
 

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import jaccard, language, media, packing, pii, quality_model, tokens, toxicity
-from ledgerlens.llm.common import bounded_sample, residue, shared_folder, table
+from ledgerlens.llm import jaccard, language, media, packing, pii, quality_model, sentence_pieces, tokens, toxicity
+from ledgerlens.llm.common import bounded_sample, residue, shared_folder, table, written
 from ledgerlens.llm.quality_rules import SIGNALS, quality_rules
 
 #: Trusted documents that the quality rules' target is estimated from, at most.
@@ -63,13 +63,39 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out, "lang_pred", "score", "phrases")
 
 
-def vocabulary(name: str) -> str:
+def vocabulary_path(name: str) -> str:
     """The place of a public vocabulary file."""
     import public_tokenizers
 
     return public_tokenizers.path(name)
 
 
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: units, ids, a checksum of (place, ids) over its units, and whether all units decode to themselves.
+
+    ``ids_sum`` adds up crc32 of ``place:ids`` over the units; it depends on every id and its place, and needs no
+    document's ids in one row.
+    """
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    vocabulary = sentence_pieces.read_vocabulary(vocabulary_path("piece_bpe_32k.model"))
+    coded = sentence_pieces.code_units(docs, vocabulary)
+    back = sentence_pieces.decode_ids(coded, "unit", vocabulary)
+    checked = coded.join(back, "unit", "left").select(
+        "unit", "n", "ids", F.coalesce(F.col("text") != F.col("unit"), F.lit(True)).cast("long").alias("lossy")
+    )
+    checked = written(checked, shared_folder(spark), "checked")
+    encoded = sentence_pieces.joined_back(docs, checked, vocabulary)
+    line = F.concat_ws(":", F.col("place").cast("string"), F.array_join(F.col("ids").cast("array<string>"), ","))
+    sums = encoded.groupBy("doc_id").agg(
+        F.count("*").alias("n_units"),
+        F.sum(F.size("ids")).alias("n_ids"),
+        F.sum(F.crc32(line.cast("binary"))).alias("ids_sum"),
+        F.sum("lossy").alias("n_lossy"),
+    )
+    columns = [F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("n_units", "n_ids", "ids_sum", "n_lossy")]
+    return docs.select("doc_id").distinct().join(sums, "doc_id", "left").select("doc_id", *columns)
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = labelled_sample(spark, sf_dir, 1, 3, toxicity.SAMPLE_LIMIT, seed=5)
     model = toxicity.train(rows.where("toxic IS NOT NULL").withColumn("y", F.col("toxic")))
@@ -80,7 +106,7 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as flat 16-bit token files, and each document's tokens as the separator scan counts them."""
     docs, folder = table(spark, sf_dir, "documents").select("doc_id", "text"), shared_folder(spark)
-    held = tokens.write_token_files(docs, folder, vocabulary("byte_bpe_50k.tiktoken"))
+    held = tokens.write_token_files(docs, folder, vocabulary_path("byte_bpe_50k.tiktoken"))
     counted = tokens.count_tokens(spark, folder, held)
     return held.join(counted, ["path", "ordinal"], "left").select("doc_id", "ordinal", "start", "n_tokens", "closed")
 
@@ -96,7 +122,7 @@ def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return packing.pack(docs, vocabulary("byte_bpe_50k.tiktoken"))
+    return packing.pack(docs, vocabulary_path("byte_bpe_50k.tiktoken"))
 
 
 def pii_key(spark: SparkSession) -> str:
@@ -117,6 +143,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_quality_classifier": op2_quality_classifier,
     "op3_language_id": op3_language_id,
+    "op4_sentencepiece": op4_sentencepiece,
     "op5_toxicity": op5_toxicity,
     "op6_token_counts": op6_token_counts,
     "op7_media_columns": op7_media_columns,
