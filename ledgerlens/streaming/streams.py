@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import time
 from collections.abc import Callable, Iterator
 from datetime import timedelta
@@ -46,39 +47,47 @@ def _sorted(rows: Iterator[pd.DataFrame]) -> pd.DataFrame:
 
 
 class _Ledger(StatefulProcessor):
-    """Balance of an account, and the ids of its applied requests for as long as the time to live."""
+    """Balance of an account, and its applied requests with their times.
 
-    def __init__(self, ttl_ms: int) -> None:
-        self.ttl_ms = ttl_ms
+    The state of an account is read and written once a micro-batch, not once a row. Requests that are
+    older than the time to live, by event time, are forgotten.
+    """
+
+    def __init__(self, ttl_us: int) -> None:
+        self.ttl_us = ttl_us
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.balance = handle.getValueState("balance", "cents bigint")
-        self.done = handle.getMapState("done", "request_id string", "cents bigint", self.ttl_ms)
+        self.account = handle.getValueState("account", "cents bigint, done string")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        out = []
-        balance = self.balance.get()[0] if self.balance.exists() else None
-        for row in _sorted(rows).itertuples(index=False):
-            if balance is None:
-                balance = int(row.opening_cents)
-            done = self.done.containsKey((row.request_id,))
-            status, balance = apply_debit(balance, done, int(row.amount_cents))
+        found = _sorted(rows)
+        balance, done = None, {}
+        if self.account.exists():
+            balance, text = self.account.get()
+            done = json.loads(text)
+        out, now = [], 0
+        for row in found.itertuples(index=False):
+            balance = int(row.opening_cents) if balance is None else balance
+            now = pd.Timestamp(row.ts).value // 1000
+            known = row.request_id in done and now - done[row.request_id] <= self.ttl_us
+            status, balance = apply_debit(balance, known, int(row.amount_cents))
             if status == APPLIED:
-                self.done.updateValue((row.request_id,), (balance,))
+                done[row.request_id] = now
             out.append((int(row.seq), status, balance))
-        if balance is not None:
-            self.balance.update((balance,))
+        if out:
+            kept = {request: at for request, at in done.items() if now - at <= self.ttl_us}
+            self.account.update((balance, json.dumps(kept)))
         yield pd.DataFrame(out, columns=["seq", "status", "balance_cents"])
 
     def close(self) -> None:
         pass
 
 
-def debit_ledger_stream(requests: DataFrame, ttl: timedelta = timedelta(days=7)) -> DataFrame:
+def debit_ledger_stream(requests: DataFrame, ttl: timedelta = timedelta(days=60)) -> DataFrame:
     """The debit ledger on a stream. A micro-batch is put in time order by account; across micro-batches the
-    order is that of arrival. An applied id is remembered for ``ttl`` of processing time."""
+    order is that of arrival. An applied id is remembered for ``ttl`` of event time."""
     return requests.groupBy("account_id").transformWithStateInPandas(
-        _Ledger(int(ttl.total_seconds() * 1000)), LEDGER, "Append", "ProcessingTime"
+        _Ledger(int(ttl.total_seconds() * 1_000_000)), LEDGER, "Append", "None"
     )
 
 
