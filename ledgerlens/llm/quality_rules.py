@@ -153,6 +153,9 @@ def quality_rules(
             F.aggregate(
                 "_buckets", F.lit(0).cast("long"), lambda acc, b: acc + F.get(F.col("_weights"), b.cast("int"))
             ).alias("_sum"),
+            # Not deterministic, so that a filter on the results stays above the projections: pushed below, it
+            # would repeat each of them for every element that the next one looks at.
+            F.monotonically_increasing_id().alias("_row"),
         )
     )
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
@@ -160,5 +163,5 @@ def quality_rules(
     return (
         counted.withColumn("base_failed", failed)
         .withColumn("llr", llr)
-        .select(*rest, *SIGNALS, "base_failed", "llr", (~F.col("base_failed") & (F.col("llr") >= min_llr)).alias("kept"))
+        .select(*rest, *SIGNALS, "base_failed", "llr", (~F.col("base_failed") & (F.col("llr") >= min_llr) & (F.col("_row") >= 0)).alias("kept"))
     )
