@@ -25,8 +25,8 @@ from ledgerlens.llm.common import let, shared_folder, words_of, written
 
 #: Buckets of hashed n-grams.
 BUCKETS = 1 << 16
-#: Pseudo-count of every bucket in both multinomials.
-SMOOTHING = 1.0
+#: Pseudo-count of every bucket: a bucket that holds fewer n-grams says little either way.
+SMOOTHING = 32.0
 #: Texts under this many words fail.
 MIN_WORDS = 50
 #: Texts with more than this percentage of their words in repeated windows of three fail.
@@ -87,31 +87,44 @@ def _dup_lines(text: Column) -> Column:
     return let(lines, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long"))
 
 
+def _flagged(docs: DataFrame, trusted_ids: DataFrame) -> DataFrame:
+    """``docs`` with ``_trusted``: 1 for those in the bounded sample of ids, which is broadcast, else 0."""
+    ids = trusted_ids.select("doc_id").distinct().withColumn("_trusted", F.lit(1))
+    joined = docs.join(F.broadcast(ids), "doc_id", "left")
+    return joined.withColumn("_trusted", F.coalesce("_trusted", F.lit(0)))
+
+
 def bucket_weights(
     docs: DataFrame, trusted_ids: DataFrame, buckets: int = BUCKETS, smoothing: float = SMOOTHING
 ) -> DataFrame:
-    """``(bucket, weight)`` for every bucket, ``weight`` in millionths of a nat.
+    """``(place, weight)``, ``weight`` in millionths of a nat: the buckets for other documents, then for trusted ones.
 
-    ``trusted_ids`` (``doc_id``) must be a bounded sample: it is broadcast.
+    An n-gram isn't evidence for itself: the occurrence that is weighed is taken out of the corpus, and for a
+    trusted document out of the trusted text too. The pseudo-counts of the two multinomials are as their
+    sizes, so an n-gram that occurs nowhere else weighs nothing, however large the corpus is.
     """
-    flagged = docs.select("doc_id", "text").join(
-        F.broadcast(trusted_ids.select("doc_id").distinct().withColumn("trusted", F.lit(1))), "doc_id", "left"
-    )
     counts = (
-        flagged.select("trusted", _hashes(words_of(F.col("text"))).alias("_hashes"))
-        .select("trusted", F.explode(_buckets(F.col("_hashes"), buckets)).alias("bucket"))
+        _flagged(docs.select("doc_id", "text"), trusted_ids)
+        .select("_trusted", _hashes(words_of(F.col("text"))).alias("_hashes"))
+        .select("_trusted", F.explode(_buckets(F.col("_hashes"), buckets)).alias("bucket"))
         .groupBy("bucket")
-        .agg(F.count("trusted").alias("t"), F.count("*").alias("r"))
+        .agg(F.sum("_trusted").alias("t"), F.count("*").alias("r"))
     )
     spark = docs.sparkSession
     counts = written(counts, shared_folder(spark), "ngram_counts")  # a row a bucket; the corpus is counted once
+    nt, nr = counts.agg(F.coalesce(F.sum("t"), F.lit(0)), F.coalesce(F.sum("r"), F.lit(0))).first()
+    share = nt / max(1, nr) or 1.0
     full = spark.range(buckets).select(F.col("id").alias("bucket")).join(counts, "bucket", "left")
     full = full.select("bucket", F.coalesce("t", F.lit(0)).alias("t"), F.coalesce("r", F.lit(0)).alias("r"))
-    nt, nr = counts.agg(F.coalesce(F.sum("t"), F.lit(0)), F.coalesce(F.sum("r"), F.lit(0))).first()
-    ratio = F.log(
-        ((F.col("t") + smoothing) / (nt + smoothing * buckets)) / ((F.col("r") + smoothing) / (nr + smoothing * buckets))
+
+    def weight(own: int):
+        t, r = (F.greatest(F.col(c) - k, F.lit(0)) for c, k in (("t", own), ("r", 1)))
+        ratio = F.log((t + smoothing * share) / (r + smoothing) / share)
+        return F.when(F.lit(nt == 0), 0).otherwise(F.round(ratio * 1e6)).cast("long")
+
+    return full.select(F.col("bucket").alias("place"), weight(0).alias("weight")).unionByName(
+        full.select((F.col("bucket") + buckets).alias("place"), weight(1).alias("weight"))
     )
-    return full.select("bucket", F.when(F.lit(nt == 0), 0).otherwise(F.round(ratio * 1e6)).cast("long").alias("weight"))
 
 
 def quality_rules(
@@ -124,12 +137,13 @@ def quality_rules(
     """``docs`` with the base counts, ``base_failed``, ``llr`` and ``kept``."""
     weights = bucket_weights(docs, trusted_ids, buckets, smoothing)
     array = weights.agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("bucket", "weight"))), lambda x: x["weight"]).alias("w")
+        F.transform(F.array_sort(F.collect_list(F.struct("place", "weight"))), lambda x: x["weight"]).alias("w")
     ).scalar()
     results = [*SIGNALS, "base_failed", "llr", "kept"]
     rest = [c for c in docs.columns if c not in results]
     counted = (
-        docs.select(*rest, words_of(F.col("text")).alias("_words"))
+        _flagged(docs.select(*rest), trusted_ids)
+        .withColumn("_words", words_of(F.col("text")))
         .withColumn("_hashes", _hashes(F.col("_words")))
         .withColumn("_windows", _runs(F.col("_hashes"), 3))
         .withColumn("_ordered", _in_order(F.col("_windows")))
@@ -143,6 +157,7 @@ def quality_rules(
             _repeat_words(F.col("_ordered")).alias("n_repeat_words"),
             F.size("_buckets").alias("_n"),
             "_buckets",
+            (F.col("_trusted") * buckets).alias("_offset"),
         )
         # The weights are named once, in the projection right below, so that they are never copied into rows.
         .select("*", array.alias("_weights"))
@@ -151,7 +166,7 @@ def quality_rules(
             *SIGNALS,
             "_n",
             F.aggregate(
-                "_buckets", F.lit(0).cast("long"), lambda acc, b: acc + F.get(F.col("_weights"), b.cast("int"))
+                "_buckets", F.lit(0).cast("long"), lambda acc, b: acc + F.get(F.col("_weights"), b.cast("int") + F.col("_offset"))
             ).alias("_sum"),
             # Not deterministic, so that a filter on the results stays above the projections: pushed below, it
             # would repeat each of them for every element that the next one looks at.

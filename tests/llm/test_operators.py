@@ -84,10 +84,13 @@ def test_quality_rules_llr_against_brute_force(spark, docs):
 
     count = {i: np.bincount(grams(t), minlength=1 << 16) for i, t in enumerate(TEXTS)}
     raw, good = sum(count.values()), count[5] + count[12]
-    ratio = np.log((good + 1) / (good.sum() + 65536)) - np.log((raw + 1) / (raw.sum() + 65536))
+    share = good.sum() / raw.sum()
     trusted = spark.createDataFrame([(5,), (12,)], "doc_id long")
     found = by_id(quality_rules.quality_rules(docs, trusted))
     for i in count:
+        own = i in (5, 12)
+        prior = quality_rules.SMOOTHING
+        ratio = np.log((np.maximum(good - own, 0) + prior * share) / (np.maximum(raw - 1, 0) + prior) / share)
         expected = (count[i] * ratio).sum() / max(1, count[i].sum())
         assert abs(found.llr[i] - expected) < 2e-6, i
 
