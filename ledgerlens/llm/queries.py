@@ -108,7 +108,8 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, folder = table(spark, sf_dir, "documents").select("doc_id", "text"), shared_folder(spark)
     held = tokens.write_token_files(docs, folder, vocabulary_path("byte_bpe_50k.tiktoken"))
     counted = tokens.count_tokens(spark, folder, held)
-    return held.join(counted, ["path", "ordinal"], "left").select("doc_id", "ordinal", "start", "n_tokens", "closed")
+    # The table of what the files hold compresses to little, so its size on disk says too little to broadcast it by.
+    return held.hint("merge").join(counted, ["path", "ordinal"], "left").select("doc_id", "ordinal", "start", "n_tokens", "closed")
 
 
 def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
