@@ -273,6 +273,29 @@ def test_sentence_pieces_match_the_library(spark, docs):
     assert back.count() == 0
 
 
+def test_sentence_pieces_merges_with_and_without_a_queue():
+    for _ in range(200):
+        n = rng.randint(1, 40)
+        edges = {i << sentence_pieces.SIZE_BITS | k: rng.randint(0, 30) for i in range(n) for k in range(2, min(6, n - i) + 1) if rng.random() < 0.6}
+        assert sentence_pieces.merge(n, edges) == sentence_pieces._merge_long(n, edges)
+
+
+def test_sentence_pieces_of_mixed_scripts_and_long_runs(spark):
+    import sentencepiece
+
+    path = vocabulary_path("piece_bpe_32k.model")
+    library, vocabulary = sentencepiece.SentencePieceProcessor(model_file=path), sentence_pieces.read_vocabulary(path)
+    texts = [
+        "“Été” – 12345.67!!!\n\n\tnaïve façade’s…", "Привет, мир 中文字符 🙂🙂 a🙂b", "abcdefgh" * 40, "=" * 300 + "x", "   a    b\r\n  ",
+        "a▁b ▁", "x1y2z3", "½²³ ─══─ †", "".join(chr(rng.choice([rng.randint(1, 0x17F), rng.randint(0x370, 0x4FF), rng.randint(0x2000, 0x2600)])) for _ in range(3000)),
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    coded = sentence_pieces.code_units(df, vocabulary)
+    found = by_id(sentence_pieces.documents(sentence_pieces.joined_back(df, coded, vocabulary)))
+    for i, text in enumerate(texts):
+        assert found.ids[i].tolist() == library.encode(text), i
+
+
 def test_sentence_pieces_viterbi_against_brute_force(spark):
     pieces = {"▁": -2.0, "a": -1.5, "b": -1.6, "ab": -2.0, "▁a": -2.2, "ba": -2.9, "aba": -3.1, "bb": -5.0}
     vocabulary = sentence_pieces.Vocabulary(sentence_pieces.UNIGRAM, [(p, i, s) for i, (p, s) in enumerate(pieces.items(), 1)], {}, 0)
