@@ -261,15 +261,15 @@ def test_sentence_pieces_match_the_library(spark, docs):
     library = sentencepiece.SentencePieceProcessor(model_file=path)
     vocabulary = sentence_pieces.read_vocabulary(path)
     small = docs.where("doc_id != 12")
-    coded = sentence_pieces.code_units(small, vocabulary)
+    coded = sentence_pieces.code_words(small, vocabulary)
     for frequent in (5, 100_000):
-        found = by_id(sentence_pieces.documents(sentence_pieces.joined_back(small, coded, vocabulary, frequent)))
+        found = by_id(sentence_pieces.together(sentence_pieces.joined(sentence_pieces.occurrences(small, vocabulary), coded, "word", frequent), "doc_id"))
         for i, t in enumerate(TEXTS):
             if i != 12 and t:
                 assert found.ids[i].tolist() == library.encode(t), i
             else:
                 assert i not in found.index
-    back = sentence_pieces.decode_ids(coded, "unit", vocabulary).where("unit != text")
+    back = sentence_pieces.decode_ids(coded, "word", vocabulary).where("word != text")
     assert back.count() == 0
 
 
@@ -290,8 +290,8 @@ def test_sentence_pieces_of_mixed_scripts_and_long_runs(spark):
         "a▁b ▁", "x1y2z3", "½²³ ─══─ †", "".join(chr(rng.choice([rng.randint(1, 0x17F), rng.randint(0x370, 0x4FF), rng.randint(0x2000, 0x2600)])) for _ in range(3000)),
     ]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    coded = sentence_pieces.code_units(df, vocabulary)
-    found = by_id(sentence_pieces.documents(sentence_pieces.joined_back(df, coded, vocabulary)))
+    coded = sentence_pieces.code_words(df, vocabulary)
+    found = by_id(sentence_pieces.together(sentence_pieces.joined(sentence_pieces.occurrences(df, vocabulary), coded, "word"), "doc_id"))
     for i, text in enumerate(texts):
         assert found.ids[i].tolist() == library.encode(text), i
 
