@@ -81,14 +81,18 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = sentence_pieces.code_words(docs, vocabulary)
     back = sentence_pieces.decode_ids(coded, "word", vocabulary)
     checked = coded.join(back, "word", "left").select(
-        "word", "n", "ids", F.coalesce(F.col("text") != F.col("word"), F.lit(True)).cast("long").alias("lossy")
+        "word",
+        "n",
+        F.size("ids").alias("n_ids"),
+        F.array_join(F.col("ids").cast("array<string>"), ",").alias("listed"),
+        F.coalesce(F.col("text") != F.col("word"), F.lit(True)).cast("long").alias("lossy"),
     )
     checked = written(checked, shared_folder(spark), "checked")
     encoded = sentence_pieces.joined(sentence_pieces.occurrences(docs, vocabulary), checked, "word")
-    line = F.concat_ws(":", F.col("place").cast("string"), F.array_join(F.col("ids").cast("array<string>"), ","))
+    line = F.concat_ws(":", F.col("place").cast("string"), "listed")
     sums = encoded.groupBy("doc_id").agg(
         F.count("*").alias("n_words"),
-        F.sum(F.size("ids")).alias("n_ids"),
+        F.sum("n_ids").alias("n_ids"),
         F.sum(F.crc32(line.cast("binary"))).alias("ids_sum"),
         F.sum("lossy").alias("n_lossy"),
     )
