@@ -9,14 +9,16 @@ each part is added, digit by digit and modulo each digit's radix, to a keyed SHA
 What is found, and what is left as it is within it:
 
 * e-mail addresses: the local part is permuted, each letter within its alphabet; the domain stays;
-* telephone numbers with a separator: the country code stays;
-* payment card numbers of 13 to 19 digits, plain or in groups, that pass the Luhn check: the last digit is
-  computed anew, so the pseudonym passes it too;
+* telephone numbers: after a ``+`` 8 to 15 digits in any grouping, else an area code in parentheses with 8 to 13
+  digits in all, or 3-3-4 digits with a separator; the country code stays;
+* payment card numbers of 13 to 19 digits that pass the Luhn check, plain or in any grouping by single spaces or
+  hyphens; where other numbers adjoin, groups as cards have them. The last digit is computed anew, so the
+  pseudonym passes the check too;
 * social security numbers ``ddd-dd-dddd`` outside the ranges that are never issued;
 * IPv4 addresses with octets up to 255;
 * days ``yyyy-mm-dd``, ``mm/dd/yyyy`` or else ``dd/mm/yyyy`` that exist, from 1900 to 2099: the pseudonym is
   a day in that range, written alike;
-* 32 to 64 hexadecimal digits in quotes that are assigned to a token, key, secret or password.
+* 32 to 64 hexadecimal digits in quotes that are assigned to a token, key, secret or password, in any case.
 
 Numbers that fail their check are text and stay. It is all column expressions: a text without a digit or
 an ``@`` is passed on after one scan, and no row is moved.
@@ -42,14 +44,26 @@ ALPHABETS = ((48, 10), (97, 26), (65, 26), (0xE0, 23), (0xF8, 8), (0xC0, 23), (0
 
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _BEFORE, _AFTER = r"(?<![\p{L}\p{N}])", r"(?![\p{L}\p{N}])"
+#: Country codes have one digit, two or else three.
+_COUNTRY = r"\+(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
+#: How cards are grouped, longest first: these are also found beside other numbers.
+_CARD_GROUPS = [
+    r"\d{13,19}",
+    *(f.replace("_", sign) for f in (r"\d{4}_\d{4}_\d{4}_\d{4}_\d{1,3}", r"\d{4}_\d{4}_\d{4}_\d{4}") for sign in " -"),
+    *(f.replace("_", r"[ \-]") for f in (r"\d{4}_\d{6}_\d{5}", r"\d{4}_\d{6}_\d{4}", r"\d{4}_\d{4}_\d{5}", r"\d{4}_\d{3}_\d{3}_\d{3}")),
+]
+#: A whole run of digits and single separators: no digit goes on before or after it.
+_CARD_RUNS = [rf"(?<!\d[ .\-/])\d(?:{sign}?\d){{12,18}}(?![\p{{L}}\p{{N}}]|[ .\-/]\d)" for sign in " -"]
 PATTERNS = {
     "email": r"[\p{L}\p{N}._%+\-]{1,64}@[A-Za-z0-9\-]{1,63}(?:\.[A-Za-z0-9\-]{1,63}){0,8}\.[A-Za-z]{2,24}",
-    "secret": r"(?<=(?:token|key|secret|password) ?[=:] ?[\"'])[0-9a-fA-F]{32,64}(?=[\"'])",
-    "phone": _BEFORE + r"(?:\+\d{1,3}[ .\-]?)?(?:\(\d{3}\) ?|\d{3}[.\-])\d{3}[ .\-]\d{4}" + _AFTER,
+    "secret": r"(?<=(?i:token|key|secret|password) ?[=:] ?[\"'])[0-9a-fA-F]{32,64}(?=[\"'])",
+    "phone": _BEFORE + r"(?:(?:\+\d{1,3}[ .\-]?)?(?:\(\d{3}\) ?|\d{3}[.\-])\d{3}[ .\-]\d{4}" + _AFTER
+    + r"|\+[1-9](?=(?:[ .\-()]{0,2}\d){7,14}(?![\p{L}\p{N}]))\d{0,2}(?:[ .\-]?\(\d{1,5}\))?(?:[ .\-]?\d){4,14}" + _AFTER
+    + r"|\((?=\d{2,5}\)(?:[ .\-]?\d){3,11}(?![\p{L}\p{N}]))\d{2,5}\)(?:[ .\-]?\d){6,8}" + _AFTER + ")",
     "ip": r"(?<![\p{L}\p{N}.])(?:" + _OCTET + r"\.){3}" + _OCTET + r"(?![\p{L}\p{N}]|\.\d)",
     "date": _BEFORE + r"(?:\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4})" + _AFTER,
     "ssn": _BEFORE + r"\d{3}-\d{2}-\d{4}" + _AFTER,
-    "card": _BEFORE + r"(?:\d{13,19}|\d{4} \d{4} \d{4} \d{4}|\d{4}-\d{4}-\d{4}-\d{4}|\d{4}[ \-]\d{6}[ \-]\d{5})" + _AFTER,
+    "card": _BEFORE + "(?:" + "|".join([*_CARD_RUNS, *(g + _AFTER for g in _CARD_GROUPS)]) + ")",
 }
 _ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 
@@ -156,7 +170,7 @@ def _kind(match: Column) -> Column:
         .when(match.rlike(r"^\d+\.\d+\.\d+\.\d+$") & match.rlike(r"^" + PATTERNS["ip"] + "$"), "ip")
         .when(match.rlike(r"^(?:\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4})$"), "date")
         .when(match.rlike(r"^\d{3}-\d{2}-\d{4}$"), "ssn")
-        .when(match.rlike(r"^(?:\d{13,19}|\d{4}[ \-]\d{4}[ \-]\d{4}[ \-]\d{4}|\d{4}[ \-]\d{6}[ \-]\d{5})$"), "card")
+        .when(match.rlike(r"^\d(?:[ \-]?\d){12,18}$"), "card")
         .otherwise("phone")
     )
 
@@ -167,7 +181,7 @@ def pseudonym(match: Column, key: str) -> Column:
     def of(s: Column) -> Column:
         m, kind = s["m"], s["kind"]
         size = F.char_length(m)
-        code = F.char_length(F.regexp_extract(m, r"^\+\d{1,3}(?=[ .\-(])", 0))
+        code = F.char_length(F.regexp_extract(m, "^" + _COUNTRY, 0))
         octets = F.split(m, r"\.").cast("array<bigint>")
         ip = F.array_join(feistel(octets, F.array_repeat(F.lit(256), 4), key, kind).cast("array<string>"), ".")
 
@@ -186,11 +200,24 @@ def pseudonym(match: Column, key: str) -> Column:
         digits = F.regexp_replace(m, r"[^0-9]", "")
         zero, n = F.lit(0), F.char_length(digits)
 
-        def card(moved: Column) -> Column:
-            body = F.substr(moved, F.lit(1), n - 1)
-            check = F.pmod(10 - _luhn_sum(body, 0) % 10, F.lit(10))
-            return _refilled(m, F.concat(body, check.cast("string")))
+        def card(number: Column) -> Column:
+            plain = F.regexp_replace(number, r"[^0-9]", "")
+            n = F.char_length(plain)
 
+            def checked(moved: Column) -> Column:
+                body = F.substr(moved, F.lit(1), n - 1)
+                check = F.pmod(10 - _luhn_sum(body, 0) % 10, F.lit(10))
+                return _refilled(number, F.concat(body, check.cast("string")))
+
+            before = F.instr(m, number) - 1
+            image = let(_permuted(plain, zero, n - 1, key, kind), checked)
+            parts = (F.substr(m, F.lit(1), before), image, F.substr(m, before + F.char_length(number) + 1, size))
+            return F.when(number.isNotNull(), F.concat(*parts))
+
+        # The whole match, or else the first usual grouping within it, that passes the check.
+        shorter = (F.regexp_extract(m, _BEFORE + g + _AFTER, 0) for g in _CARD_GROUPS)
+        passes = lambda c: (c != "") & (_luhn_sum(F.regexp_replace(c, r"[^0-9]", ""), 1) % 10 == 0)
+        number = F.get(F.filter(F.array(m, *shorter), passes), F.lit(0))
         national = let(F.substr(m, code + 1, size), lambda x: F.struct(x.alias("m"), F.regexp_replace(x, r"[^0-9]", "").alias("d")))
         phone = let(
             national,
@@ -202,7 +229,7 @@ def pseudonym(match: Column, key: str) -> Column:
             .when(kind == "ip", ip)
             .when(kind == "date", let(_day(m), date))
             .when((kind == "ssn") & issued, let(_permuted(digits, zero, n, key, kind), lambda d: _refilled(m, d)))
-            .when((kind == "card") & (_luhn_sum(digits, 1) % 10 == 0), let(_permuted(digits, zero, n - 1, key, kind), card))
+            .when(kind == "card", let(number, card))
             .when(kind == "phone", phone)
             .when(kind == "secret", _permuted(m, zero, size, key, kind))
         )

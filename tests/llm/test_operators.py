@@ -245,6 +245,37 @@ def test_pii(spark):
     assert by_id(pii.pseudonymise(df, "other")).text[2] != out[2]
 
 
+def test_pii_in_any_case_and_grouping(spark):
+    def card(digits: str, *groups: int) -> tuple[str, str]:
+        digits += next(c for c in "0123456789" if luhn(digits + c))
+        ends = np.cumsum(groups or (len(digits),)).tolist()
+        return digits, " ".join(digits[a:b] for a, b in zip([0, *ends], ends))
+
+    kinds = {
+        'TOKEN = "9233A8EC04DBEBAB91AB85687D33EEAA"': ["secret"], "Password: '04dbebab91ab85687d33eeaaf9ac699e'": ["secret"],
+        "at +44 20 7946 0958.": ["phone"], "+49 30 901820": ["phone"], "+442079460958": ["phone"], "(030) 901 820 11": ["phone"], "+12 3": [], "(12) 345": [],
+        "1234 5678 9012 974-555-3436": ["phone"], "4111 1111 1111 1111 2024-01-02": ["card", "date"], "4111 1111 1111 1112": [],
+    }
+    groups = {13: (4, 3, 3, 3), 14: (4, 6, 4), 15: (5, 5, 5), 17: (6, 6, 5), 18: (9, 9), 19: (4, 4, 4, 4, 3)}
+    cards = [card("5036871234567890123"[: n - 1], *sizes) for n, sizes in groups.items()]
+    kinds |= {f"card {written}": ["card"] for _, written in cards} | {f"card {written.replace(' ', '-')} x": ["card"] for _, written in cards}
+    kinds |= {"4111 1111 1111 1111 123": ["card"], "12 4111 1111 1111 1111": ["card"]}
+    df = spark.createDataFrame(list(enumerate(kinds)), "doc_id long, text string")
+    found = by_id(pii.pseudonymise(df, "key"))
+    images: dict[str, set] = {}
+    for i, (text, wanted) in enumerate(kinds.items()):
+        assert found.pii[i].tolist() == wanted, text
+        assert (found.text[i] != text) == bool(wanted) and len(found.text[i]) == len(text)
+        if text.startswith("card"):
+            number = re.sub(r"\D", "", found.text[i])
+            assert luhn(number)
+            images.setdefault(re.sub(r"\D", "", text), set()).add(number)
+    assert all(len(x) == 1 for x in images.values()) and len(images) == len(groups)
+    phones = [found.text[i] for i, t in enumerate(kinds) if "7946" in t or "2079" in t]
+    assert len({re.sub(r"\D", "", p) for p in phones}) == 1 and all("+44" in p for p in phones)
+    assert found.text[len(kinds) - 2].endswith(" 123") and found.text[len(kinds) - 1].startswith("12 ")
+
+
 def test_feistel_is_a_permutation(spark):
     from pyspark.sql import functions as F
 
