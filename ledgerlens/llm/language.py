@@ -2,7 +2,8 @@
 
 The reference text of a language is a bounded sample of labelled documents. A text is parsed greedily
 into phrases, each the longest run of characters that occurs somewhere in the reference text; the
-language whose reference needs the fewest phrases a character wins. Where the next character continues
+language whose reference needs the fewest phrases a character wins. Phrases get longer with the logarithm
+of the reference's length, so their number is multiplied by it before languages are compared. Where the next character continues
 no run, a new phrase begins with it; a character that the reference lacks is a phrase by itself.
 
 Texts are lower-cased, and every run of characters that aren't letters becomes one space. They are
@@ -11,7 +12,8 @@ windows can be walked in step through the automaton's transition table with nump
 parsed to its end.
 
 Defined results: a null text and a text without a letter get ``und`` and score 0. Ties go to the first
-language in alphabetical order. Without labelled text every result is ``und``. Rows that repeat get equal
+language in alphabetical order. Languages with less than ``LEAST_CHARS`` of reference text aren't compared
+if another has as much; the length of the others' references doesn't depend on them. Without labelled text every result is ``und``. Rows that repeat get equal
 results. Other columns pass through, and those named as a result give way.
 """
 
@@ -31,6 +33,8 @@ from pyspark.sql import types as T
 SAMPLE_DOCS = 400
 #: Characters of reference text a language.
 REFERENCE_CHARS = 24_000
+#: A language with fewer characters of reference text is left out: that is less than two stretches.
+LEAST_CHARS = 1_000
 #: Characters of the longest stretch of one document in a reference text.
 STRETCH = 600
 WINDOW = 256
@@ -45,10 +49,11 @@ def normalised(text: str | None) -> str:
 
 
 def reference_texts(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, chars: int = REFERENCE_CHARS) -> dict[str, str]:
-    """A reference text for each value of ``lang``, all of about one length, from ``(text, lang)``.
+    """A reference text for each value of ``lang``, at most ``chars`` long, from ``(text, lang)``.
 
     The sample is the ``sample_docs`` distinct texts of a language with the smallest hashes, so it
-    doesn't depend on the order of rows, and copies count once.
+    doesn't depend on the order of rows, and copies count once. A hash also says where in its text a
+    stretch begins.
     """
     some = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     totals = some.groupBy("lang").count().collect()  # a row a language
@@ -59,7 +64,9 @@ def reference_texts(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, chars:
     parts = F.create_map(*(F.lit(x) for t in totals for x in (t["lang"], min(1.0, 8.0 * sample_docs / t["count"]) * 2.0**32)))
     hashed = some.select("lang", "text", F.xxhash64("text").alias("_h"))
     below = hashed.where(F.pmod("_h", F.lit(1 << 32)) <= F.element_at(parts, F.col("lang")))
-    drawn = below.groupBy("lang", "_h").agg(F.min(F.substring("text", 1, 4 * STRETCH)).alias("text"))
+    room = F.greatest(F.char_length("text") - 4 * STRETCH, F.lit(0)) + 1
+    begin = (F.pmod(F.shiftrightunsigned("_h", 32), room) + 1).cast("int")
+    drawn = below.groupBy("lang", "_h").agg(F.min(F.substr("text", begin, F.lit(4 * STRETCH))).alias("text"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("_h", F.lit(1 << 32)), "_h"))
     drawn = drawn.withColumn("_k", rank).where(F.col("_k") <= sample_docs)
     pieces: dict[str, list[str]] = {}
@@ -67,8 +74,8 @@ def reference_texts(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, chars:
         pieces.setdefault(row["lang"], []).append(normalised(row["text"])[:STRETCH])
     joined = {lang: " ".join(x for x in texts if x) for lang, texts in pieces.items()}
     joined = {lang: text for lang, text in joined.items() if text}
-    length = min([chars, *map(len, joined.values())])
-    return {lang: text[:length] for lang, text in sorted(joined.items())}
+    enough = {lang: text for lang, text in joined.items() if len(text) >= min(chars, LEAST_CHARS)}
+    return {lang: text[:chars] for lang, text in sorted((enough or joined).items())}
 
 
 def suffix_automaton(text: str) -> list[dict[str, int]]:
@@ -164,6 +171,7 @@ def identify(docs: DataFrame, references: dict[str, str], text: str = "text") ->
     rest = [c for c in docs.columns if c not in ("lang_pred", "score", "phrases")]
     names = [lang for lang, _ in sorted(references.items())]
     pairs = tuple(sorted(references.items()))
+    weights = np.log([max(2, len(reference)) for _, reference in pairs])
     result = T.StructType(
         [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("phrases", T.DoubleType())]
     )
@@ -177,13 +185,14 @@ def identify(docs: DataFrame, references: dict[str, str], text: str = "text") ->
             out = pd.DataFrame({"lang_pred": UNDETERMINED, "score": 0.0, "phrases": 0.0}, index=batch.index)
             if names and not none.all():
                 rate = phrase_counts(texts, pairs) / np.maximum(size, 1)[:, None]
-                best = rate.argmin(1)
-                ordered = np.sort(rate, 1)
+                weighed = rate * weights
+                best = weighed.argmin(1)
+                ordered = np.sort(weighed, 1)
                 second = ordered[:, 1] if len(names) > 1 else np.full(len(rate), np.inf)
                 out["lang_pred"] = np.where(none, UNDETERMINED, np.array(names, object)[best])
                 with np.errstate(invalid="ignore", divide="ignore"):
                     out["score"] = np.where(none, 0.0, np.where(np.isinf(second), 1.0, 1 - ordered[:, 0] / second))
-                out["phrases"] = np.where(none, 0.0, ordered[:, 0])
+                out["phrases"] = np.where(none, 0.0, rate[np.arange(len(rate)), best])
             yield out
 
     found = docs.select(*rest, predict(F.col(text)).alias("_r"))
