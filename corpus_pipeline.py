@@ -31,9 +31,11 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """N-gram Jaccard join: of the documents that links connect, the one with the smallest id stays."""
-    kept = jaccard.jaccard_components(docs).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    """N-gram Jaccard join: of the rows that links connect, one with the smallest id stays; null ids come last."""
+    rows = jaccard.numbered(docs)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
+    kept = jaccard.row_components(rows).groupBy("root").agg(first.alias("s")).select("s.row")
+    return rows.join(kept, "row", "left_semi").select(*docs.columns)
 
 
 def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

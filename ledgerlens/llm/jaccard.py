@@ -18,8 +18,8 @@ group meet in one task, or block by block in several if there are many, and a pa
 as it isn't connected by links that were found before. No pair that could link is left out.
 
 Defined results: texts without words, and null texts, have no shingles and link with nothing; a text of
-fewer words than a shingle is one shingle. Rows that repeat an id are one document and get equal results.
-An empty table gives an empty one. Other columns don't matter.
+fewer words than a shingle is one shingle. Every row is a document of its own, whether its id is null, repeated
+or neither; rows are told apart by a number that they get at the start. An empty table gives an empty one. Other columns don't matter.
 """
 
 from __future__ import annotations
@@ -116,28 +116,31 @@ def _in_order(members: np.ndarray, order: np.ndarray) -> np.ndarray:
     return members[np.lexsort((members, order[(members >> np.uint64(40)).astype(np.int64) % ORDER_BUCKETS]))]
 
 
-SET_ROW = "doc_id long, n_shingles long, class binary, counts binary, prefix array<long>"
+SET_ROW = "row long, said string, n_shingles long, class binary, counts binary, prefix array<long>"
 
 
 def _sets(docs: DataFrame, order, words: int, percent: int) -> DataFrame:
-    """A row a document: the size and class of its set, its counts by residue and its longer prefix."""
+    """A row a document: the size and class of its set, its counts by residue and its longer prefix.
+
+    Ids pass as text, as pandas would turn whole numbers beside a null into floating-point ones.
+    """
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = _WordHashes()
         for batch in batches:
             out = []
-            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
+            for row, said, text in zip(batch["row"], batch["said"], batch["text"], strict=True):
                 members = shingles(text, hashes, words)
                 n = len(members)
                 prefix = _in_order(members, order.value)[: n - needed(n, percent) + 2]
                 counts = np.bincount((members % np.uint64(RESIDUES)).astype(np.int64), minlength=RESIDUES)
                 key = hashlib.blake2b(members.tobytes(), digest_size=16).digest() if n else None
-                out.append((doc_id, n, key, counts.astype("<u4").tobytes(), prefix.view(np.int64)))
-            yield pd.DataFrame(out, columns=["doc_id", "n_shingles", "class", "counts", "prefix"]).astype(
-                {"doc_id": "Int64"}
-            )
+                out.append((row, said, n, key, counts.astype("<u4").tobytes(), prefix.view(np.int64)))
+            yield pd.DataFrame(out, columns=["row", "said", "n_shingles", "class", "counts", "prefix"])
 
-    return docs.select("doc_id", "text").mapInPandas(rows, SET_ROW)
+    said = F.col("doc_id").cast("string").alias("said")
+    found = docs.select("row", said, "text").mapInPandas(rows, SET_ROW)
+    return found.withColumn("doc_id", F.col("said").cast("long")).drop("said")
 
 
 def _prefix(n, percent: int, share: int):
@@ -305,7 +308,7 @@ def _verified(docs: DataFrame, groups: DataFrame, words: int, percent: int, fold
     )
     dealt = written(dealt, folder, "groups")
     few = dealt.count() <= BROADCAST_IDS
-    texts = docs.select(F.col("doc_id").alias("id"), "text").join(F.broadcast(dealt) if few else dealt, "id")
+    texts = docs.select(F.col("row").alias("id"), "text").join(F.broadcast(dealt) if few else dealt, "id")
 
     def members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = _WordHashes()
@@ -314,7 +317,6 @@ def _verified(docs: DataFrame, groups: DataFrame, words: int, percent: int, fold
             yield batch[["id", "root", "blocks", "block"]].assign(members=found)
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.drop_duplicates("id")  # rows that repeat an id
         links = exact_links(group["id"].to_numpy(), [np.asarray(m) for m in group["members"]], percent)
         return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
 
@@ -323,18 +325,28 @@ def _verified(docs: DataFrame, groups: DataFrame, words: int, percent: int, fold
     return met.groupBy("root", "x", "y").applyInPandas(compare, "a long, b long")
 
 
-def jaccard_components(docs: DataFrame, words: int = 3, percent: int = 90) -> DataFrame:
-    """``(doc_id, n_shingles, component_id)`` for every document with an id."""
+def numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``row``, a number of its own for each row; written, so that the numbers stay as they are."""
+    return written(docs.withColumn("row", F.monotonically_increasing_id()), shared_folder(docs.sparkSession), "numbered")
+
+
+def row_components(docs: DataFrame, words: int = 3, percent: int = 90) -> DataFrame:
+    """``(row, doc_id, n_shingles, root, component_id)`` for every row of ``numbered`` documents.
+
+    Rows that links connect have one ``root``, a row's number. ``component_id`` is their smallest id.
+    """
     spark: SparkSession = docs.sparkSession
     folder = shared_folder(spark)
-    docs = docs.select("doc_id", "text").where(F.col("doc_id").isNotNull())
     order = spark.sparkContext.broadcast(_ranks(written(bucket_counts(docs, words), folder, "order")))
     sets = written(_sets(docs, order, words, percent), folder, "sets")
     classes = (
         sets.where("class IS NOT NULL")
         .groupBy("class")
-        .agg(F.min(F.struct("doc_id", F.col("n_shingles").alias("n"), "counts", "prefix")).alias("s"))
-        .select("class", F.col("s.doc_id").alias("rep"), "s.n", "s.counts", "s.prefix")
+        .agg(
+            F.min(F.struct("row", F.col("n_shingles").alias("n"), "counts", "prefix")).alias("s"),
+            F.min("doc_id").alias("least"),
+        )
+        .select("class", F.col("s.row").alias("rep"), "s.n", "s.counts", "s.prefix", "least")
     )
     classes = written(classes, folder, "classes")
     boundary = boundary_by_cost(classes, percent)
@@ -343,8 +355,16 @@ def jaccard_components(docs: DataFrame, words: int = 3, percent: int = 90) -> Da
     groups = groups.join(classes.select(F.col("rep").alias("id"), "n"), "id")
     links = written(_verified(docs, groups, words, percent, folder), folder, "links")
     roots = connected(links, folder, "links-roots")
-    named = classes.select("class", "rep").join(roots.withColumnRenamed("id", "rep"), "rep", "left")
-    named = named.select("class", F.coalesce("root", "rep").alias("root"))
-    return sets.join(named, "class", "left").select(
-        "doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id")
-    )
+    named = classes.select("class", "rep", "least").join(roots.withColumnRenamed("id", "rep"), "rep", "left")
+    named = named.select("class", F.coalesce("root", "rep").alias("root"), "least")
+    ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = named.select("class", "root").join(ids, "root")
+    found = sets.select("row", "doc_id", "n_shingles", "class").join(named, "class", "left")
+    component = F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+    return found.select("row", "doc_id", "n_shingles", F.coalesce("root", "row").alias("root"), component.alias("component_id"))
+
+
+def jaccard_components(docs: DataFrame, words: int = 3, percent: int = 90) -> DataFrame:
+    """``(doc_id, n_shingles, component_id)`` for every row; the id of a group without any id is null."""
+    found = row_components(numbered(docs.select("doc_id", "text")), words, percent)
+    return found.select("doc_id", "n_shingles", "component_id")

@@ -42,3 +42,13 @@ def test_stages(spark):
         assert pieces.length.sum() == len(ids)
         assert all(p.ids_crc32 == zlib.crc32(ids[p.start : p.start + p.length].tobytes()) for p in pieces.itertuples())
     assert set(packed.doc_id) == set(after.index) and packed.groupby("sequence_id").length.sum().max() <= 2048
+
+
+def test_null_and_repeated_ids_keep_a_row_of_each_group(spark):
+    other, third = "one two three four five six", "seven eight nine ten eleven twelve"
+    rows = [(None, "a b c d e f g"), (None, "a b c d e f g"), (5, other), (5, other), (5, third), (None, other), (8, third), (None, None)]
+    docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, lang string").repartition(3)
+    kept = corpus_pipeline.keep_one_of_each_group(spark, docs, SF_SMALL)
+    assert kept.columns == docs.columns
+    wanted = [(None, "a b c d e f g", "x"), (5, other, "x"), (5, third, "x"), (None, None, "x")]
+    assert sorted(map(str, map(tuple, kept.collect()))) == sorted(map(str, wanted))

@@ -2,7 +2,7 @@
 
 import random
 
-from ledgerlens.llm import language
+from ledgerlens.llm import jaccard, language
 
 from .test_operators import by_id
 
@@ -14,6 +14,9 @@ def sentence(n: int) -> str:
     return " ".join(rng.choice(VOCABULARY) for _ in range(n))
 
 
+BASE = sentence(120)
+
+
 def test_language_references_are_independent(spark):
     own = {lang: ["".join(rng.choice(signs) for _ in range(rng.randint(2, 8))) for _ in range(300)] for lang, signs in (("a", "abcdeilnorst"), ("b", "aeghiknostuvz"))}
     rows = [(" ".join(rng.choice(words) for _ in range(200)), lang) for lang, words in own.items() for _ in range(60 if lang == "a" else 3)]
@@ -29,3 +32,13 @@ def test_language_references_are_independent(spark):
     assert found.lang_pred.tolist() == list("ab" * 20)
     ends = spark.createDataFrame([("x" * 5000 + " " + str(k) + "y" * 5000, "a") for k in range(40)], "text string, lang string")
     assert "y" in language.reference_texts(ends)["a"]
+
+
+def test_jaccard_of_null_and_repeated_ids(spark):
+    other = sentence(130)
+    near, tail = BASE + " tail", other + " tail"
+    rows = [(None, BASE), (4, near), (9, other), (9, sentence(90)), (9, BASE), (None, sentence(80)), (2, tail), (None, None), (7, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = [(r.doc_id, r.component_id) for r in jaccard.jaccard_components(df).collect()]
+    links = [(None, 4), (4, 4), (9, 4), (9, 2), (2, 2), (9, 9), (None, None), (None, None), (7, 7)]
+    assert sorted(map(str, found)) == sorted(map(str, links))
