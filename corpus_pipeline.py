@@ -39,8 +39,10 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """PII: numbers, dates and addresses become pseudonyms; ``n_chars`` stays what it was, as formats keep lengths."""
-    return pii.pseudonymise(docs, pii_key(spark)).select(*docs.columns)
+    """PII: numbers, dates and addresses become pseudonyms; ``n_chars`` is counted anew, as an address's length changes."""
+    hidden = pii.pseudonymise(docs, pii_key(spark))
+    size = F.coalesce(F.char_length("text").cast(docs.schema["n_chars"].dataType), F.col("n_chars"))
+    return hidden.withColumn("n_chars", size).select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -52,3 +52,10 @@ def test_null_and_repeated_ids_keep_a_row_of_each_group(spark):
     assert kept.columns == docs.columns
     wanted = [(None, "a b c d e f g", "x"), (5, other, "x"), (5, third, "x"), (None, None, "x")]
     assert sorted(map(str, map(tuple, kept.collect()))) == sorted(map(str, wanted))
+
+
+def test_lengths_are_those_of_the_pseudonyms(spark):
+    texts = [f"from 10.{k}.0.1 to 1.1.1.{k}" for k in range(9)] + ["plain", None]
+    docs = spark.createDataFrame([(k, t, len(t or "")) for k, t in enumerate(texts)], "doc_id long, text string, n_chars long")
+    hidden = corpus_pipeline.hide_personal_data(spark, docs, SF_SMALL).toPandas()
+    assert hidden.n_chars.tolist() == [len(t or "") for t in hidden.text] and (hidden.n_chars[:9] != docs.toPandas().n_chars[:9]).any()
