@@ -71,33 +71,10 @@ def vocabulary_path(name: str) -> str:
 
 
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per document: words, ids, a checksum of (place, ids) over its words, and how many words don't decode to themselves.
-
-    ``ids_sum`` adds up crc32 of ``place:ids`` over the words; it depends on every id and its place, and needs no
-    document's ids in one row.
-    """
+    """The ids of every document in blocks, and the text that is decoded from them."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     vocabulary = sentence_pieces.read_vocabulary(vocabulary_path("piece_bpe_32k.model"))
-    coded = sentence_pieces.code_words(docs, vocabulary)
-    back = sentence_pieces.decode_ids(coded, "word", vocabulary)
-    checked = coded.join(back, "word", "left").select(
-        "word",
-        "n",
-        F.size("ids").alias("n_ids"),
-        F.array_join(F.col("ids").cast("array<string>"), ",").alias("listed"),
-        F.coalesce(F.col("text") != F.col("word"), F.lit(True)).cast("long").alias("lossy"),
-    )
-    checked = written(checked, shared_folder(spark), "checked")
-    encoded = sentence_pieces.joined(sentence_pieces.occurrences(docs, vocabulary), checked, "word")
-    line = F.concat_ws(":", F.col("place").cast("string"), "listed")
-    sums = encoded.groupBy("doc_id").agg(
-        F.count("*").alias("n_words"),
-        F.sum("n_ids").alias("n_ids"),
-        F.sum(F.crc32(line.cast("binary"))).alias("ids_sum"),
-        F.sum("lossy").alias("n_lossy"),
-    )
-    columns = [F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("n_words", "n_ids", "ids_sum", "n_lossy")]
-    return docs.select("doc_id").distinct().join(sums, "doc_id", "left").select("doc_id", *columns)
+    return sentence_pieces.decode(sentence_pieces.encode(docs, vocabulary), vocabulary)
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,53 +1,79 @@
 """SentencePiece encoding and decoding as a relational lattice.
 
 A text with spaces written as U+2581 falls apart into units that no piece of the vocabulary crosses: a run of
-such signs with the word after it, a run of punctuation, a few characters that only stand alone (digits, line
-breaks). Which characters go together is read from the vocabulary. Texts are cut at spaces first and their
-distinct words are cut into units, so the finer cut is made once a word. For every distinct unit the substrings of two characters and more, up to
-the longest piece, are exploded and equi-joined to the piece table; the matches, grouped by unit, are the edges
-of its lattice. The lattice is folded
-
-* for a unigram model with Viterbi in higher-order functions: the path with the largest sum of scores;
-* for a BPE model by replaying the merges over the edges, best score first and leftmost among equals. A BPE
-  score is the rank of a merge, not a log-probability, so the path with the largest sum is not what such a
-  model defines. The public 32k model is of this kind.
-
-Characters without a piece become the pieces of their bytes, or the unknown piece where there are none.
-
-Words and units follow a long tail. The most frequent ones, a fixed number, are joined back by broadcast, so that no
-frequent one is a hot key; all others go through a shuffle.
-
-Defined results: null and empty texts have no words. U+2581 in a text counts as a space, as it does for the
-model. Rows that share an id are one document. Other columns aren't carried.
+such signs with the letters after it, a run of punctuation, a sign that no longer piece has. Which characters go
+together is read from the vocabulary. For every distinct unit the substrings of two characters and more, up to the
+longest piece, are exploded and equi-joined to the piece table; the matches, grouped by unit, are the edges of its
+lattice, and Viterbi runs over them in the order of their ends as one ``aggregate`` in the projection.
+
+What a path weighs depends on the model:
+
+* unigram: the sum of its pieces' negated scores, the least wins;
+* BPE: the merges that build its pieces, as a sorted list of (rank, place). Of two paths the one whose list comes
+  first wins, where a list that goes on beats one that ends. The encoding merges the least (rank, place) that can be
+  merged until nothing can; as no piece is built from parts that rank after it, that greedy choice is the first of
+  all sorted lists, so Viterbi gives the model's own ids. Pieces that their own merges never build aren't edges.
+
+Single characters are edges without a merge. Those without a piece become the pieces of their bytes, or the unknown
+piece where there are none. BPE units of more than ``LONG`` characters (a line of one sign, a sequence of letters
+without a break) have long lists; they are merged one by one in an Arrow function, with the same ids.
+
+Units follow a long tail. The most frequent ones, as a bounded sample of documents has them, are encoded first and
+sent to every task, which puts their ids in place; all other occurrences, far fewer, are encoded once a distinct unit
+and joined by a shuffle. The sample decides which way a unit goes and never what its ids are.
+
+The encoding of a document is a table of blocks. A block begins with unit ``part`` of word ``word``, where words lie
+between single spaces (a text with spaces side by side, or at an end, is one word), and the ids of a document's blocks
+in the order of ``word, part`` are the document's ids, so a very long text isn't one row. Decoding works on these ids.
+
+Defined results: a null or empty text is one block without ids, its text is empty. U+2581 in a text counts as a
+space, as it does for the model, and comes back as one. Rows that share an id are told apart by ``text_key``, a hash
+of the text; rows that are equal give equal blocks, each its own. An empty table gives no blocks. Other columns
+aren't carried.
 """
 
 from __future__ import annotations
 
 import heapq
+import re
+from collections import Counter
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from itertools import pairwise
+from functools import cached_property
+from itertools import chain, pairwise
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import shared_folder, written
+from ledgerlens.llm.common import let, shared_folder, written
 
 SPACE = "▁"
-#: Units that are joined back by broadcast: their ids are at most some megabytes.
-FREQUENT = 100_000
-#: Characters that stand alone are taken so many at a time.
-LONE = 4
-#: Units of up to so many characters are merged without a queue.
-SHORT = 64
-#: Bits of a piece's length and of its id in an edge that is one number.
-SIZE_BITS, ID_BITS = 8, 22
+#: Documents that the frequent units are taken from, about.
+SAMPLE_DOCS = 20_000
+#: Units that are sent to every task, at most.
+FREQUENT = 300_000
+#: Distinct words that a worker remembers.
+REMEMBERED = 300_000
+#: Distinct units that one task encodes, about.
+UNITS_A_TASK = 30_000
+#: Longer units aren't frequent ones.
+FREQUENT_CHARS = 64
+#: BPE units of more characters are merged in an Arrow function.
+LONG = 96
+#: Bits of a place in a unit and of a piece's id in an edge that is one number.
+PLACE_BITS, ID_BITS = 20, 22
+#: The id of a character's own edge.
+ALONE = (1 << ID_BITS) - 1
 UNIGRAM, BPE = 1, 2
 
 
 @dataclass(frozen=True)
 class Vocabulary:
-    """Pieces as rows ``(piece, id, score)`` and bytes as rows ``(hex, id)``."""
+    """Pieces as rows ``(piece, id, score)`` and the ids of bytes."""
 
     kind: int
     pieces: list[tuple[str, int, float]]
@@ -59,12 +85,32 @@ class Vocabulary:
     def longest(self) -> int:
         return max(len(p) for p, _, _ in self.pieces)
 
+    @cached_property
+    def ranks(self) -> dict[str, int]:
+        """The order of merges: pieces of equal scores share a rank."""
+        order = {score: rank for rank, score in enumerate(sorted({s for _, _, s in self.pieces}, reverse=True))}
+        return {piece: order[score] for piece, _, score in self.pieces}
+
     def check(self) -> None:
         crossing = [p for p, _, _ in self.pieces if SPACE in p.lstrip(SPACE)]
         if crossing:
             raise ValueError(f"pieces that go on after a space aren't supported: {crossing[:3]}")
-        if self.longest >> SIZE_BITS or max(i for _, i, _ in self.pieces) >> ID_BITS:
-            raise ValueError("pieces or ids are too long for an edge")
+        if max(i for _, i, _ in self.pieces) >= ALONE:
+            raise ValueError("ids are too large for an edge")
+
+    def merges(self, piece: str) -> list[tuple[int, int]] | None:
+        """(rank, place) of the merges that build a piece, in order; None if they end in something else."""
+        cuts, found = [*range(len(piece) + 1)], []
+        while len(cuts) > 2:
+            options = ((self.ranks.get(piece[a:b]), a, k) for k, (a, b) in enumerate(zip(cuts, cuts[2:], strict=False)))
+            least = min((o for o in options if o[0] is not None), default=None)
+            if least is None:
+                return None
+            found.append(least[:2])
+            del cuts[least[2] + 1]
+        if any(rank > found[-1][0] for rank, _ in found):
+            raise ValueError(f"a part of {piece!r} ranks after it")
+        return found
 
 
 def read_vocabulary(path: str) -> Vocabulary:
@@ -85,13 +131,11 @@ def read_vocabulary(path: str) -> Vocabulary:
 
 
 def unit_pattern(vocabulary: Vocabulary) -> str:
-    """A regular expression whose matches, one after another, are a word's units.
+    """A regular expression whose matches, one after another, are a text's units.
 
     Characters are linked where a piece has them side by side, and a piece never crosses from one linked group
-    into another but for the spaces that it starts with. Groups without a letter make up the class of marks;
-    characters below U+0100 that no longer piece has stand alone, at most ``LONE`` in a unit; all other
-    characters make up the class of words. The two small classes are listed character by character, which the
-    regular expressions of Java look up faster than ranges.
+    into another but for the spaces that it starts with. Groups with a letter make up one class, the others a
+    second one, and any other character stands alone.
     """
     group: dict[str, str] = {}
 
@@ -106,113 +150,185 @@ def unit_pattern(vocabulary: Vocabulary) -> str:
             for other in body:
                 group[root(other)] = root(body[0])
     with_letters = {root(sign) for sign in group if sign.isalpha()}
-    marks = {sign for sign in group if root(sign) not in with_letters}
-    lone = {chr(point) for point in range(256)} - group.keys()
-    marks, lone = ("".join(f"\\x{{{ord(sign):x}}}" for sign in sorted(found)) for found in (marks, lone))
-    choices = [f"{SPACE}*+[^{SPACE}{marks}{lone}]++", f"{SPACE}*+[{marks}]++" if marks else "", f"{SPACE}++"]
-    return "|".join([c for c in choices if c] + ([f"[{lone}]{{1,{LONE}}}"] if lone else []))
-
-
-def words_of(text: Column, vocabulary: Vocabulary) -> Column:
-    """A text's words with the spaces before them, in order."""
-    text = F.coalesce(text, F.lit(""))
-    signs = F.replace(text, F.lit(" "), F.lit(SPACE))
-    signs = F.concat(F.lit(SPACE), signs) if vocabulary.dummy_prefix else signs
-    return F.when(text == "", F.array().cast("array<string>")).otherwise(
-        F.regexp_extract_all(signs, F.lit(f"{SPACE}*+[^{SPACE}]++|{SPACE}++"), 0)
-    )
+    choices = []
+    for letters in (True, False):
+        signs = "".join(re.escape(sign) for sign in sorted(group) if (root(sign) in with_letters) == letters)
+        choices += [f"{SPACE}*+[{signs}]++"] if signs else []
+    return "(?s:" + "|".join([*choices, f"{SPACE}++", "."]) + ")"
+
+
+class _Cut(dict):
+    """Words, with the space before them, to what ``of`` makes of their units; filled on demand, emptied when full."""
+
+    def __init__(self, vocabulary: Vocabulary, of: Callable[[list[str]], object]) -> None:
+        super().__init__()
+        self.find, self.of, self.first = re.compile(unit_pattern(vocabulary)).findall, of, vocabulary.dummy_prefix
+
+    def __missing__(self, word: str) -> object:
+        if len(self) >= REMEMBERED:
+            self.clear()
+        found = self.of(self.find(SPACE + word))
+        if len(word) <= FREQUENT_CHARS:
+            self[word] = found
+        return found
+
+    def words(self, text: str | None) -> list:
+        """A text word by word; one with spaces side by side or at an end is a single word."""
+        if not text:
+            return []
+        if self.first and text[0] != " " and text[-1] != " " and "  " not in text and SPACE not in text:
+            return list(map(self.__getitem__, text.split(" ")))
+        return [self.of(self.find(SPACE * self.first + text.replace(" ", SPACE)))]
+
+
+def _by_id(spark: SparkSession, values: dict[int, object], kind: str) -> Column:
+    """``values`` as one array that is looked up by id; null where there is none.
+
+    Such a table is selected beside a row's columns and named once in the projection right above, which therefore
+    takes it in: no row ever holds a copy.
+    """
+    rows = spark.createDataFrame([(i, values.get(i)) for i in range(1 + max(values, default=0))], f"id int, v {kind}")
+    return rows.agg(F.transform(F.sort_array(F.collect_list(F.struct("id", "v"))), lambda x: x["v"]).alias("a")).scalar()
 
 
-def matches(units: DataFrame, vocabulary: Vocabulary, least: int) -> DataFrame:
-    """``(unit, start, size, id, score)``: pieces of at least ``least`` characters in each distinct unit.
+def lattice(units: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """``(unit, edges)`` for the distinct units in ``units``; an edge is ``end, start, id`` in one number.
 
-    A start's window of characters is cut out once, so that long units take linear time.
+    Every unit has the empty piece at its start, so that units without a match stay.
+    """
+    known = [("", ALONE), *((p, i) for p, i, _ in vocabulary.pieces if vocabulary.kind == UNIGRAM or len(p) > 1 and vocabulary.merges(p))]
+    pieces = units.sparkSession.createDataFrame(pd.DataFrame(known, columns=["piece", "id"]), "piece string, id int")
+    least = 1 if vocabulary.kind == UNIGRAM else 2
+    # Dealt by unit first: neither the explosion nor the broadcast join moves a row of a unit away. Units are short
+    # and their lattices are work, so partitions go by their number and not by their bytes.
+    parts = 1 + units.count() // UNITS_A_TASK
+    dealt = units.select("unit").repartition(parts, "unit").withColumn("n", F.char_length("unit"))
+    starts = dealt.select("unit", "n", F.explode(F.sequence(F.lit(0), F.greatest(F.col("n") - least, F.lit(0)))).alias("start"))
+    sizes = F.sequence(F.when(F.col("start") == 0, 0).otherwise(least), F.least(F.lit(vocabulary.longest), F.col("n") - F.col("start")))
+    spans = starts.select("unit", "start", F.explode(sizes).alias("size"))
+    piece = F.coalesce(F.substring("unit", F.col("start") + 1, F.col("size")), F.lit("")).alias("piece")
+    substrings = spans.select("unit", "start", "size", piece)
+    edge = _edge(F.col("start") + F.col("size"), F.col("start"), F.col("id"))
+    found = substrings.join(F.broadcast(pieces), "piece").select("unit", edge.alias("edge"))
+    return found.groupBy("unit").agg(F.collect_list("edge").alias("edges"))
+
+
+def _edge(end: Column, start: Column, piece: Column) -> Column:
+    ends = F.shiftleft(end.cast("long"), PLACE_BITS + ID_BITS)
+    return ends.bitwiseOR(F.shiftleft(start.cast("long"), ID_BITS)).bitwiseOR(piece.cast("long"))
+
+
+def _start(edge: Column) -> Column:
+    return F.shiftright(edge, ID_BITS).bitwiseAND(F.lit((1 << PLACE_BITS) - 1)).cast("int")
+
+
+def _piece(edge: Column) -> Column:
+    return edge.bitwiseAND(F.lit(ALONE)).cast("int")
+
+
+def viterbi(unit: Column, edges: Column, weights: Column, kind: int) -> Column:
+    """The best path's edges; ``ALONE`` is the piece of a character's own edge.
+
+    ``weights`` are looked up by id. The state has, for every place so far, the weight of the best path to it and
+    that path's last edge; the next place takes the least of what its edges offer.
     """
-    pieces = units.sparkSession.createDataFrame(
-        pd.DataFrame(vocabulary.pieces, columns=["piece", "id", "score"]), "piece string, id int, score double"
-    )
-    windows = F.regexp_extract_all("unit", F.lit(f"(?s)(?=(.{{1,{vocabulary.longest}}}))."), 1)
-    # dealt by unit first: neither the explosion nor the broadcast join moves a row of a unit away
-    spread = units.select("unit").where(F.char_length("unit") >= least).repartition("unit")
-    starts = spread.select("unit", F.posexplode(windows).alias("start", "window"))
-    starts = starts.where(F.char_length("window") >= least)
-    sizes = F.explode(F.sequence(F.lit(least), F.char_length("window")))
-    sized = starts.select("unit", "start", "window", sizes.alias("size"))
-    substrings = sized.select("unit", "start", "size", F.substr("window", F.lit(1), F.col("size")).alias("piece"))
-    return substrings.join(F.broadcast(pieces), "piece").select("unit", "start", "size", "id", "score")
-
-
-def _viterbi(unit: Column, edges: Column, vocabulary: Vocabulary) -> Column:
-    """Ends of the best path's pieces and their ids (null: unknown character), by Viterbi."""
-    unknown = min(s for _, _, s in vocabulary.pieces) - 10.0
     n = F.char_length(unit)
-    state = "struct<score:double,start:int,id:int>"
-    first = F.array(F.struct(F.lit(0.0).alias("score"), F.lit(-1).alias("start"), F.lit(None).cast("int").alias("id")).cast(state))
+    weight = "array<bigint>" if kind == BPE else "array<double>"
+    state = f"struct<weight:{weight},edge:bigint>"
+    # a BPE list ends with what follows every merge, so that a list that goes on comes before one that ends
+    first = F.array(F.lit((1 << 63) - 1) if kind == BPE else F.lit(0.0))
+
+    def offer(best: Column, edge: Column) -> Column:
+        start, piece = _start(edge), _piece(edge)
+        before = F.get(best, start)["weight"]
+        if kind == BPE:
+            total = F.sort_array(F.concat(before, F.transform(F.get(weights, piece), lambda m: m + start)))
+        else:
+            total = F.array(F.get(before, F.lit(0)) + F.get(F.get(weights, piece + 1), F.lit(0)))
+        return F.struct(total.alias("weight"), edge.alias("edge"))
+
+    def alone(best: Column, end: Column) -> Column:
+        before = F.get(best, end - 1)["weight"]
+        total = before if kind == BPE else F.array(F.get(before, F.lit(0)) + F.get(F.get(weights, F.lit(0)), F.lit(0)))
+        return F.struct(total.alias("weight"), _edge(end, end - 1, F.lit(ALONE)).alias("edge"))
 
     def forward(best: Column, end: Column) -> Column:
-        ending = F.transform(
-            F.filter(edges, lambda e: e["start"] + e["size"] == end),
-            lambda e: F.struct(
-                (F.get(best, e["start"])["score"] + e["score"]).alias("score"), e["start"].alias("start"), e["id"].alias("id")
-            ).cast(state),
-        )
-        lone = F.struct(
-            (F.get(best, end - 1)["score"] + unknown).alias("score"), (end - 1).alias("start"), F.lit(None).cast("int").alias("id")
-        ).cast(state)
-        return F.concat(best, F.array(F.array_max(F.concat(ending, F.array(lone)))))
-
-    best = F.aggregate(F.sequence(F.lit(1), n), first, forward)
-
-    def back(acc: Column, end: Column) -> Column:
-        return F.when(
-            acc["at"] == end,
-            F.struct(
-                F.get(acc["best"], end)["start"].alias("at"),
-                acc["best"].alias("best"),
-                F.concat(
-                    F.array(F.struct(F.get(acc["best"], end)["start"].alias("start"), F.get(acc["best"], end)["id"].alias("id"))),
-                    acc["path"],
-                ).alias("path"),
-            ),
-        ).otherwise(acc)
-
-    empty = F.array().cast("array<struct<start:int,id:int>>")
-    start = F.struct(n.alias("at"), best.alias("best"), empty.alias("path"))
-    return F.aggregate(F.reverse(F.sequence(F.lit(1), n)), start, back, lambda acc: acc["path"])
-
-
-def merge(n: int, costs: dict[int, float]) -> list[int]:
-    """Where the pieces that BPE leaves of ``n`` characters begin, and ``n``; ``costs`` by ``start << SIZE_BITS | size``.
-
-    The cheapest merge goes first, the leftmost among equals.
+        ending = F.filter(edges, lambda e: F.shiftright(e, PLACE_BITS + ID_BITS) == end)
+        offers = F.transform(ending, lambda e: offer(best, e))
+        return F.array_append(best, F.array_min(F.array_append(offers, alone(best, end))))
+
+    start = F.array(F.struct(first.alias("weight"), F.lit(0).cast("bigint").alias("edge"))).cast(f"array<{state}>")
+
+    # backwards from the last edge, over every place, to the edges that start where the path has come to
+    best = F.aggregate(F.sequence(F.lit(1), n), start, forward, lambda best: F.transform(best, lambda s: s["edge"]))
+
+    def path(lasts: Column) -> Column:
+        def back(path: Column, end: Column) -> Column:
+            reached = _start(F.get(path, F.lit(0))) == end
+            return F.when(reached & (end > 0), F.array_prepend(path, F.get(lasts, end))).otherwise(path)
+
+        return F.aggregate(F.sequence(n - 1, F.lit(0), F.lit(-1)), F.array(F.element_at(lasts, -1)), back)
+
+    return let(best, path)
+
+
+def _weights(spark: SparkSession, vocabulary: Vocabulary) -> Column:
+    """What each piece adds to a path's weight; for a unigram model one place on, after the unknown character's."""
+    if vocabulary.kind == BPE:
+        merges = {i: vocabulary.merges(p) for p, i, _ in vocabulary.pieces if len(p) > 1}
+        return _by_id(spark, {i: [rank << 32 | at for rank, at in sorted(m)] for i, m in merges.items() if m}, "array<bigint>")
+    unknown = 10.0 - min(s for _, _, s in vocabulary.pieces)
+    return _by_id(spark, {0: [unknown]} | {i + 1: [-s] for _, i, s in vocabulary.pieces}, "array<double>")
+
+
+def _spelt(unit: Column, path: Column, singles: Column, vocabulary: Vocabulary) -> Column:
+    """The ids of a path, with a character's own edge spelt as its piece, its bytes or the unknown piece.
+
+    ``singles`` are the ids of single characters by code point.
     """
-    if n > SHORT:
-        return _merge_long(n, costs)
-    cuts, none = [*range(n + 1)], float("inf")
-    open_ = [costs.get(i << SIZE_BITS | 2, none) for i in range(n - 1)]
-    while open_ and (least := min(open_)) < none:
-        k = open_.index(least)
-        del cuts[k + 1], open_[k]
-        if k:
-            start = cuts[k - 1]
-            open_[k - 1] = costs.get(start << SIZE_BITS | cuts[k + 1] - start, none)
-        if k < len(open_):
-            start = cuts[k]
-            open_[k] = costs.get(start << SIZE_BITS | cuts[k + 2] - start, none)
-    return cuts
-
-
-def _merge_long(n: int, costs: dict[int, float]) -> list[int]:
-    """``merge`` with a queue, for units of many characters."""
+    byte_ids = F.array(*(F.lit(vocabulary.byte_ids[b]) for b in range(256))) if vocabulary.byte_ids else None
+
+    def one(edge: Column) -> Column:
+        sign = F.substr(unit, _start(edge) + 1, F.lit(1))
+        if byte_ids is None:
+            other = F.array(F.lit(vocabulary.unknown))
+        else:
+            digits = F.hex(F.encode(sign, "UTF-8"))
+            pairs = F.sequence(F.lit(1), F.char_length(digits), F.lit(2))
+            other = F.transform(pairs, lambda k: F.get(byte_ids, F.conv(F.substr(digits, k, F.lit(2)), 16, 10).cast("int")))
+        spelt = let(F.get(singles, F.ascii(sign)), lambda own: F.when(own.isNotNull(), F.array(own)).otherwise(other))
+        return F.when(_piece(edge) == ALONE, spelt).otherwise(F.array(_piece(edge)))
+
+    return F.flatten(F.transform(path, one))
+
+
+def coded(units: DataFrame, vocabulary: Vocabulary, folder: str, name: str) -> DataFrame:
+    """``encode_units`` as a table.
+
+    A task's units are bounded, so that their edges are grouped in memory: the session's limit of 128 groups, beyond
+    which they would be sorted, is lifted meanwhile.
+    """
+    conf, key = units.sparkSession.conf, "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"
+    former = conf.get(key)
+    conf.set(key, str(4 * UNITS_A_TASK))
+    try:
+        return written(encode_units(units, vocabulary), folder, name)
+    finally:
+        conf.set(key, former)
+
+
+def merge(text: str, ranks: dict[str, int], longest: int) -> list[int]:
+    """Where the pieces that BPE leaves of a text begin, and its length: one merge at a time, by a queue."""
+    n = len(text)
     after, before, alive = [*range(1, n + 1)], [*range(-1, n - 1)], [True] * n
-    queue: list[tuple[float, int, int, int]] = []
+    queue: list[tuple[int, int, int, int]] = []
 
     def offer(i: int) -> None:
         j = after[i]
-        if j < n and (end := after[j]) - i >> SIZE_BITS == 0:
-            cost = costs.get(i << SIZE_BITS | end - i)
-            if cost is not None:
-                heapq.heappush(queue, (cost, i, j, end))
+        if j < n and (end := after[j]) - i <= longest:
+            rank = ranks.get(text[i:end])
+            if rank is not None:
+                heapq.heappush(queue, (rank, i, j, end))
 
     for i in range(n):
         offer(i)
@@ -229,120 +345,167 @@ def _merge_long(n: int, costs: dict[int, float]) -> list[int]:
     return [*(i for i in range(n) if alive[i]), n]
 
 
-def _unigram_units(units: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """``(unit, ids)`` by Viterbi; edges are structs with their scores."""
-    edges = F.collect_list(F.struct("start", "size", "id", "score")).alias("edges")
-    folded = units.select("unit").join(matches(units, vocabulary, 1).groupBy("unit").agg(edges), "unit", "left")
-    none = F.array().cast("array<struct<start:int,size:int,id:int,score:double>>")
-    folded = folded.withColumn("path", _viterbi(F.col("unit"), F.coalesce("edges", none), vocabulary))
-    if vocabulary.byte_ids:
-        table = F.array(*(F.lit(vocabulary.byte_ids[b]) for b in range(256)))
-        sign = lambda p: F.hex(F.encode(F.substr(F.col("unit"), p["start"] + 1, F.lit(1)), "UTF-8"))
-        spelt = lambda p: F.transform(
-            F.sequence(F.lit(1), F.char_length(sign(p)), F.lit(2)),
-            lambda k: F.get(table, F.conv(F.substr(sign(p), k, F.lit(2)), 16, 10).cast("int")),
-        )
-    else:
-        spelt = lambda p: F.array(F.lit(vocabulary.unknown))
-    ids = F.flatten(F.transform("path", lambda p: F.when(p["id"].isNull(), spelt(p)).otherwise(F.array(p["id"]))))
-    return folded.select("unit", ids.alias("ids"))
-
-
-def _bpe_units(units: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """``(unit, ids)`` by merges; an edge is one number (start, size, id), as scores follow from ids.
-
-    Single characters need no edge: merges begin with two.
-    """
-    place = F.shiftleft(F.col("start").cast("long"), SIZE_BITS + ID_BITS)
-    edge = place.bitwiseOR(F.shiftleft(F.col("size").cast("long"), ID_BITS)).bitwiseOR(F.col("id").cast("long"))
-    lattice = matches(units, vocabulary, 2).select("unit", edge.alias("edge")).groupBy("unit").agg(F.collect_list("edge").alias("edges"))
-    folded = units.select("unit").join(lattice, "unit", "left")
-    ranks = [0.0] * (1 + max(i for _, i, _ in vocabulary.pieces))
-    for _, i, score in vocabulary.pieces:
-        ranks[i] = -score
-    singles = {p: i for p, i, _ in vocabulary.pieces if len(p) == 1}
+def _merged(units: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """``(unit, ids)`` of long BPE units."""
+    ranks, longest = vocabulary.ranks, vocabulary.longest
+    ids_of = {p: i for p, i, _ in vocabulary.pieces}
     byte_ids, unknown = vocabulary.byte_ids, vocabulary.unknown
 
     @F.pandas_udf("array<int>")
-    def merged(unit: pd.Series, edges: pd.Series) -> pd.Series:
+    def ids(units: pd.Series) -> pd.Series:
         out = []
-        for text, found in zip(unit, edges, strict=True):
-            by_ends = {e >> ID_BITS: e & (1 << ID_BITS) - 1 for e in found.tolist()} if found is not None else {}
-            cuts = merge(len(text), {k: ranks[i] for k, i in by_ends.items()}) if by_ends else range(len(text) + 1)
-            ids: list[int] = []
-            for start, end in pairwise(cuts):
-                piece = singles.get(text[start]) if end == start + 1 else by_ends[start << SIZE_BITS | end - start]
+        for text in units:
+            found: list[int] = []
+            for start, end in pairwise(merge(text, ranks, longest)):
+                piece = ids_of.get(text[start:end])
                 if piece is not None:
-                    ids.append(piece)
-                elif byte_ids:
-                    ids.extend(byte_ids[b] for b in text[start:end].encode("utf-8", "surrogatepass"))
+                    found.append(piece)
                 else:
-                    ids.append(unknown)
-            out.append(ids)
+                    found.extend([byte_ids[b] for b in text[start:end].encode("utf-8", "surrogatepass")] if byte_ids else [unknown])
+            out.append(found)
         return pd.Series(out)
 
-    return folded.select("unit", merged("unit", "edges").alias("ids"))
+    return units.select("unit", ids("unit").alias("ids"))
 
 
 def encode_units(units: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """``(unit, ids)`` for the distinct units in ``units``."""
     vocabulary.check()
-    return (_unigram_units if vocabulary.kind == UNIGRAM else _bpe_units)(units, vocabulary)
-
-
-def decode_ids(encoded: DataFrame, key: str, vocabulary: Vocabulary) -> DataFrame:
-    """``(key, text)`` of ``(key, ids)``: ids joined to the pieces' bytes, put together in order."""
-    spark = encoded.sparkSession
-    rows = [(i, p.encode().hex()) for p, i, _ in vocabulary.pieces] + [(i, f"{b:02x}") for b, i in vocabulary.byte_ids.items()]
-    pieces = spark.createDataFrame(pd.DataFrame(rows, columns=["id", "spelling"]), "id int, spelling string")
-    dealt = encoded.select(key, "ids").repartition(key).select(key, F.posexplode("ids").alias("k", "id"))
-    spelt = dealt.join(F.broadcast(pieces), "id", "left")
-    joined = spelt.groupBy(key).agg(
-        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("k", "spelling"))), lambda s: s["spelling"]), "").alias("h")
-    )
-    return joined.select(key, F.decode(F.unhex("h"), "UTF-8").alias("text"))
-
-
-def occurrences(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """``(doc_id, place, word)`` for every word of every document."""
-    return docs.select("doc_id", F.posexplode(words_of(F.col("text"), vocabulary)).alias("place", "word"))
-
-
-def code_words(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """``(word, n, ids)`` for the distinct words of ``docs``, each with the number of its occurrences.
-
-    Words share units as documents share words, so both are put together in the same way.
-    """
-    folder = shared_folder(docs.sparkSession)
-    words = written(occurrences(docs, vocabulary).groupBy("word").agg(F.count("*").alias("n")), folder, "words")
-    parts = words.select("word", F.posexplode(F.regexp_extract_all("word", F.lit(unit_pattern(vocabulary)), 0)).alias("place", "unit"))
-    parts = written(parts, folder, "parts")
-    units = written(parts.groupBy("unit").agg(F.count("*").alias("n")), folder, "units")
-    coded = written(units.join(encode_units(units, vocabulary), "unit"), folder, "coded")
-    spelt = together(joined(parts, coded, "unit"), "word")
-    return written(words.join(spelt, "word"), folder, "spelt")
-
-
-def joined(occurring: DataFrame, coded: DataFrame, key: str, frequent: int = FREQUENT) -> DataFrame:
-    """``occurring`` with the columns of ``coded``, which has one row and a count ``n`` for each ``key``."""
-    columns = [c for c in coded.columns if c not in (key, "n")]
-    # how often a key must occur to be among the frequent ones: counts by powers of two are a few rows
-    bits = coded.groupBy(F.floor(F.log2("n")).cast("int").alias("bit")).count().orderBy(F.desc("bit")).collect()
-    total, least = 0, 1 << 62
-    for row in bits:
-        total += row["count"]
-        if total > frequent:
-            break
-        least = 1 << row["bit"]
-    is_top = (F.col("n") >= least) & (F.char_length(key) <= 64)
-    top = coded.where(is_top).select(key, *columns, F.lit(True).alias("_top"))
-    near = occurring.join(F.broadcast(top), key, "left")
-    far = near.where("_top IS NULL").select(*occurring.columns).join(coded.where(~is_top).drop("n"), key)
-    wanted = [*occurring.columns, *columns]
-    return near.where("_top").select(*wanted).unionByName(far.select(*wanted))
-
-
-def together(encoded: DataFrame, key: str) -> DataFrame:
-    """``(key, ids)``: the ids of each key's rows, in the order of ``place``."""
-    ordered = F.sort_array(F.collect_list(F.struct("place", "ids")))
-    return encoded.groupBy(key).agg(F.flatten(F.transform(ordered, lambda x: x["ids"])).alias("ids"))
+    spark = units.sparkSession
+    is_long = (F.char_length("unit") > LONG) if vocabulary.kind == BPE else F.lit(False)
+    found = lattice(units.where(~is_long), vocabulary)
+    singles = _by_id(spark, {ord(p): i for p, i, _ in vocabulary.pieces if len(p) == 1}, "int")
+    found = found.select("unit", "edges", _weights(spark, vocabulary).alias("weights"), singles.alias("singles"))
+    path = viterbi(F.col("unit"), F.col("edges"), F.col("weights"), vocabulary.kind)
+    encoded = found.select("unit", _spelt(F.col("unit"), path, F.col("singles"), vocabulary).alias("ids"))
+    return encoded.unionByName(_merged(units.where(is_long), vocabulary)) if vocabulary.kind == BPE else encoded
+
+
+def frequent_units(docs: DataFrame, vocabulary: Vocabulary, folder: str, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
+    """``(unit, ids)`` of the units that are most frequent in the sample, at most ``FREQUENT``."""
+    total = docs.count()
+    part = int((1 << 30) * min(1.0, sample_docs / max(1, total)))
+    some = docs.where(F.pmod(F.xxhash64(F.lit(4), "doc_id"), F.lit(1 << 30)) < part)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cut, found = _Cut(vocabulary, tuple), Counter()
+        for batch in batches:
+            for text in batch.column("text").to_pylist():
+                found.update(chain.from_iterable(cut.words(text)))
+        short = {unit: n for unit, n in found.items() if len(unit) <= FREQUENT_CHARS}
+        yield pa.RecordBatch.from_arrays([pa.array(short.keys(), pa.string()), pa.array(short.values(), pa.int64())], ["unit", "n"])
+
+    counts = some.select("text").mapInArrow(count, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
+    best = counts.where("n > 1").orderBy(F.desc("n"), "unit").limit(FREQUENT).select("unit")
+    return coded(written(best, folder, "frequent"), vocabulary, folder, "frequent-coded")
+
+
+def _passes(docs: DataFrame, known: Broadcast, vocabulary: Vocabulary) -> tuple[DataFrame, DataFrame]:
+    """The blocks of known units, ``(doc_id, text_key, word, part, ids)``, and the others, ``(..., part, unit)``."""
+
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        get = known.value.get
+
+        def of(units: list[str]) -> bytes | list[bytes | None]:
+            ids = list(map(get, units))
+            return ids if None in ids else b"".join(ids)
+
+        cut = _Cut(vocabulary, of)
+        for batch in batches:
+            rows, words, parts, ids = [], [], [], []
+            for row, text in enumerate(batch.column("text").to_pylist()):
+                said = cut.words(text)
+                held, word, part, done = [], 0, 0, 0
+                for mixed in [at for at, x in enumerate(said) if x.__class__ is list]:
+                    held += said[done:mixed]
+                    for k, x in enumerate(said[mixed]):
+                        if x is not None:
+                            held.append(x)
+                            continue
+                        if held:
+                            rows.append(row), words.append(word), parts.append(part), ids.append(b"".join(held))
+                        held, word, part = [], mixed, k + 1
+                    done = mixed + 1
+                held += said[done:]
+                if held or not said:
+                    rows.append(row), words.append(word), parts.append(part), ids.append(b"".join(held))
+            ends = np.cumsum([0, *map(len, ids)]) // 4
+            listed = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(ids), "<i4")))
+            yield _rows(batch, rows, words, parts, listed, "ids")
+
+    def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known_units = known.value
+
+        def of(units: list[str]) -> list[tuple[int, str]] | None:
+            return [(k, unit) for k, unit in enumerate(units) if unit not in known_units] or None
+
+        cut = _Cut(vocabulary, of)
+        for batch in batches:
+            rows, words, parts, units = [], [], [], []
+            for row, text in enumerate(batch.column("text").to_pylist()):
+                for word, found in enumerate(cut.words(text)):
+                    for part, unit in found or ():
+                        rows.append(row), words.append(word), parts.append(part), units.append(unit)
+            yield _rows(batch, rows, words, parts, pa.array(units, pa.string()), "unit")
+
+    keys = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text_key long, word int, part int"
+    return docs.mapInArrow(runs, f"{keys}, ids array<int>"), docs.mapInArrow(others, f"{keys}, unit string")
+
+
+def _rows(batch: pa.RecordBatch, rows: list[int], words: list[int], parts: list[int], last: pa.Array, name: str) -> pa.RecordBatch:
+    of = pa.array(rows, pa.int32())
+    keys = [batch.column("doc_id").take(of), batch.column("text_key").take(of), pa.array(words, pa.int32()), pa.array(parts, pa.int32())]
+    return pa.RecordBatch.from_arrays([*keys, last], ["doc_id", "text_key", "word", "part", name])
+
+
+BLOCK = ("doc_id", "text_key", "word", "part", "ids")
+
+
+def encode(docs: DataFrame, vocabulary: Vocabulary, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
+    """The blocks of every document: ``doc_id, text_key, word, part, ids``."""
+    spark, folder = docs.sparkSession, shared_folder(docs.sparkSession)
+    docs = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key"))
+    table = frequent_units(docs, vocabulary, folder, sample_docs).toArrow()
+    ids = table.column("ids").combine_chunks()
+    values, ends = ids.values.to_numpy().astype("<i4").tobytes(), ids.offsets.to_numpy().tolist()
+    known = {unit: values[4 * a : 4 * b] for unit, a, b in zip(table.column("unit").to_pylist(), ends, ends[1:], strict=False)}
+    blocks, others = _passes(docs, spark.sparkContext.broadcast(known), vocabulary)
+    others = written(others, folder, "others")
+    units = written(others.select("unit").distinct(), folder, "units")
+    others = others.join(coded(units, vocabulary, folder, "others-coded"), "unit")
+    return blocks.select(*BLOCK).unionByName(others.select(*BLOCK))
+
+
+def decode(blocks: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """``blocks`` with ``text``, decoded from their ids; a document's texts in the order of ``word, part`` make up its own."""
+    size = 1 + max([i for _, i, _ in vocabulary.pieces] + [*vocabulary.byte_ids.values(), vocabulary.unknown])
+    spelling = [b""] * size
+    for piece, i, _ in vocabulary.pieces:
+        spelling[i] = piece.replace(SPACE, " ").encode()
+    for byte, i in vocabulary.byte_ids.items():
+        spelling[i] = bytes([byte])
+    first_space = vocabulary.dummy_prefix
+    rest = [c for c in blocks.columns if c != "text"]
+
+    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column("ids")
+            ends = ids.offsets.to_numpy().astype(np.int64)
+            parts = [spelling[i] for i in ids.values.to_numpy()[ends[0] : ends[-1]].tolist()]
+            ends = ends - ends[0]
+            if first_space:
+                begins = (batch.column("word").to_numpy() + batch.column("part").to_numpy() == 0) & (ends[1:] > ends[:-1])
+                for at in ends[:-1][begins].tolist():
+                    parts[at] = parts[at][1:]
+            sizes = np.concatenate([[0], np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)))])
+            text = pa.LargeStringArray.from_buffers(len(ids), pa.py_buffer(sizes[ends].tobytes()), pa.py_buffer(b"".join(parts)))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), text.cast(pa.string())], [*rest, "text"])
+
+    given = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in blocks.select(*rest).schema.fields)
+    return blocks.select(*rest).mapInArrow(spell, f"{given}, text string")
+
+
+def together(blocks: DataFrame) -> DataFrame:
+    """``(doc_id, text_key, ids)``: whole documents, where one row holds a document's ids."""
+    ordered = F.sort_array(F.collect_set(F.struct("word", "part", "ids")))  # equal rows have equal blocks
+    return blocks.groupBy("doc_id", "text_key").agg(F.flatten(F.transform(ordered, lambda x: x["ids"])).alias("ids"))
