@@ -22,9 +22,9 @@ Units follow a long tail. The most frequent ones, as a bounded sample of documen
 sent to every task, which puts their ids in place; all other occurrences, far fewer, are encoded once a distinct unit
 and joined by a shuffle. The sample decides which way a unit goes and never what its ids are.
 
-The encoding of a document is a table of blocks. A block begins with unit ``part`` of word ``word``, where words lie
-between single spaces (a text with spaces side by side, or at an end, is one word), and the ids of a document's blocks
-in the order of ``word, part`` are the document's ids, so a very long text isn't one row. Decoding works on these ids.
+The encoding of a document is a table of blocks: ``place`` is the number of a block's first unit, and the ids of a
+document's blocks in the order of ``place`` are the document's ids, so a very long text isn't one row. Decoding works
+on these ids.
 
 Defined results: a null or empty text is one block without ids, its text is empty. U+2581 in a text counts as a
 space, as it does for the model, and comes back as one. Rows that share an id are told apart by ``text_key``, a hash
@@ -40,7 +40,7 @@ from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import cached_property
-from itertools import chain, pairwise
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
@@ -56,8 +56,6 @@ SPACE = "▁"
 SAMPLE_DOCS = 20_000
 #: Units that are sent to every task, at most.
 FREQUENT = 300_000
-#: Distinct words that a worker remembers.
-REMEMBERED = 300_000
 #: Distinct units that one task encodes, about.
 UNITS_A_TASK = 30_000
 #: Longer units aren't frequent ones.
@@ -157,28 +155,10 @@ def unit_pattern(vocabulary: Vocabulary) -> str:
     return "(?s:" + "|".join([*choices, f"{SPACE}++", "."]) + ")"
 
 
-class _Cut(dict):
-    """Words, with the space before them, to what ``of`` makes of their units; filled on demand, emptied when full."""
-
-    def __init__(self, vocabulary: Vocabulary, of: Callable[[list[str]], object]) -> None:
-        super().__init__()
-        self.find, self.of, self.first = re.compile(unit_pattern(vocabulary)).findall, of, vocabulary.dummy_prefix
-
-    def __missing__(self, word: str) -> object:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        found = self.of(self.find(SPACE + word))
-        if len(word) <= FREQUENT_CHARS:
-            self[word] = found
-        return found
-
-    def words(self, text: str | None) -> list:
-        """A text word by word; one with spaces side by side or at an end is a single word."""
-        if not text:
-            return []
-        if self.first and text[0] != " " and text[-1] != " " and "  " not in text and SPACE not in text:
-            return list(map(self.__getitem__, text.split(" ")))
-        return [self.of(self.find(SPACE * self.first + text.replace(" ", SPACE)))]
+def cutter(vocabulary: Vocabulary) -> Callable[[str | None], list[str]]:
+    """A function from a text to its units, in order; none for null and empty texts."""
+    find, first = re.compile(unit_pattern(vocabulary)).findall, SPACE * vocabulary.dummy_prefix
+    return lambda text: find(first + text.replace(" ", SPACE)) if text else []
 
 
 def _by_id(spark: SparkSession, values: dict[int, object], kind: str) -> Column:
@@ -388,10 +368,10 @@ def frequent_units(docs: DataFrame, vocabulary: Vocabulary, folder: str, sample_
     some = docs.where(F.pmod(F.xxhash64(F.lit(4), "doc_id"), F.lit(1 << 30)) < part)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cut, found = _Cut(vocabulary, tuple), Counter()
+        cut, found = cutter(vocabulary), Counter()
         for batch in batches:
             for text in batch.column("text").to_pylist():
-                found.update(chain.from_iterable(cut.words(text)))
+                found.update(cut(text))
         short = {unit: n for unit, n in found.items() if len(unit) <= FREQUENT_CHARS}
         yield pa.RecordBatch.from_arrays([pa.array(short.keys(), pa.string()), pa.array(short.values(), pa.int64())], ["unit", "n"])
 
@@ -401,68 +381,57 @@ def frequent_units(docs: DataFrame, vocabulary: Vocabulary, folder: str, sample_
 
 
 def _passes(docs: DataFrame, known: Broadcast, vocabulary: Vocabulary) -> tuple[DataFrame, DataFrame]:
-    """The blocks of known units, ``(doc_id, text_key, word, part, ids)``, and the others, ``(..., part, unit)``."""
-
-    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get = known.value.get
+    """The blocks of known units, ``(doc_id, text_key, place, ids)``, and the others, ``(doc_id, text_key, place, unit)``."""
 
-        def of(units: list[str]) -> bytes | list[bytes | None]:
-            ids = list(map(get, units))
-            return ids if None in ids else b"".join(ids)
+    def holes(ids: list[bytes | None]) -> list[int]:
+        found, at = [], -1
+        for _ in range(ids.count(None)):
+            at = ids.index(None, at + 1)
+            found.append(at)
+        return found
 
-        cut = _Cut(vocabulary, of)
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cut, get = cutter(vocabulary), known.value.get
         for batch in batches:
-            rows, words, parts, ids = [], [], [], []
+            rows, places, ids = [], [], []
             for row, text in enumerate(batch.column("text").to_pylist()):
-                said = cut.words(text)
-                held, word, part, done = [], 0, 0, 0
-                for mixed in [at for at, x in enumerate(said) if x.__class__ is list]:
-                    held += said[done:mixed]
-                    for k, x in enumerate(said[mixed]):
-                        if x is not None:
-                            held.append(x)
-                            continue
-                        if held:
-                            rows.append(row), words.append(word), parts.append(part), ids.append(b"".join(held))
-                        held, word, part = [], mixed, k + 1
-                    done = mixed + 1
-                held += said[done:]
-                if held or not said:
-                    rows.append(row), words.append(word), parts.append(part), ids.append(b"".join(held))
+                said, start = list(map(get, cut(text))), 0
+                for end in [*holes(said), len(said)]:
+                    if end > start or not said:
+                        rows.append(row)
+                        places.append(start)
+                        ids.append(b"".join(said[start:end]))
+                    start = end + 1
             ends = np.cumsum([0, *map(len, ids)]) // 4
-            listed = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(ids), "<i4")))
-            yield _rows(batch, rows, words, parts, listed, "ids")
+            yield _rows(batch, rows, places, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(ids), "<i4"))), "ids")
 
     def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known_units = known.value
-
-        def of(units: list[str]) -> list[tuple[int, str]] | None:
-            return [(k, unit) for k, unit in enumerate(units) if unit not in known_units] or None
-
-        cut = _Cut(vocabulary, of)
+        cut, get = cutter(vocabulary), known.value.get
         for batch in batches:
-            rows, words, parts, units = [], [], [], []
+            rows, places, units = [], [], []
             for row, text in enumerate(batch.column("text").to_pylist()):
-                for word, found in enumerate(cut.words(text)):
-                    for part, unit in found or ():
-                        rows.append(row), words.append(word), parts.append(part), units.append(unit)
-            yield _rows(batch, rows, words, parts, pa.array(units, pa.string()), "unit")
-
-    keys = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text_key long, word int, part int"
+                said = cut(text)
+                found = holes(list(map(get, said)))
+                rows += [row] * len(found)
+                places += found
+                units += [said[at] for at in found]
+            yield _rows(batch, rows, places, pa.array(units, pa.string()), "unit")
+
+    keys = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text_key long, place int"
     return docs.mapInArrow(runs, f"{keys}, ids array<int>"), docs.mapInArrow(others, f"{keys}, unit string")
 
 
-def _rows(batch: pa.RecordBatch, rows: list[int], words: list[int], parts: list[int], last: pa.Array, name: str) -> pa.RecordBatch:
+def _rows(batch: pa.RecordBatch, rows: list[int], places: list[int], last: pa.Array, name: str) -> pa.RecordBatch:
     of = pa.array(rows, pa.int32())
-    keys = [batch.column("doc_id").take(of), batch.column("text_key").take(of), pa.array(words, pa.int32()), pa.array(parts, pa.int32())]
-    return pa.RecordBatch.from_arrays([*keys, last], ["doc_id", "text_key", "word", "part", name])
+    keys = [batch.column("doc_id").take(of), batch.column("text_key").take(of), pa.array(places, pa.int32())]
+    return pa.RecordBatch.from_arrays([*keys, last], ["doc_id", "text_key", "place", name])
 
 
-BLOCK = ("doc_id", "text_key", "word", "part", "ids")
+BLOCK = ("doc_id", "text_key", "place", "ids")
 
 
 def encode(docs: DataFrame, vocabulary: Vocabulary, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
-    """The blocks of every document: ``doc_id, text_key, word, part, ids``."""
+    """The blocks of every document: ``doc_id, text_key, place, ids``."""
     spark, folder = docs.sparkSession, shared_folder(docs.sparkSession)
     docs = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key"))
     table = frequent_units(docs, vocabulary, folder, sample_docs).toArrow()
@@ -477,28 +446,32 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, sample_docs: int = SAMPLE_DO
 
 
 def decode(blocks: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """``blocks`` with ``text``, decoded from their ids; a document's texts in the order of ``word, part`` make up its own."""
+    """``blocks`` with ``text``, decoded from their ids; a document's texts in the order of ``place`` make up its own."""
     size = 1 + max([i for _, i, _ in vocabulary.pieces] + [*vocabulary.byte_ids.values(), vocabulary.unknown])
     spelling = [b""] * size
     for piece, i, _ in vocabulary.pieces:
         spelling[i] = piece.replace(SPACE, " ").encode()
     for byte, i in vocabulary.byte_ids.items():
         spelling[i] = bytes([byte])
-    first_space = vocabulary.dummy_prefix
+    # the same once more without a first character, for the pieces that a dummy space begins
+    if vocabulary.dummy_prefix:
+        spelling += [spelt[1:] for spelt in spelling]
     rest = [c for c in blocks.columns if c != "text"]
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.array(spelling, pa.large_binary())
         for batch in batches:
             ids = batch.column("ids")
             ends = ids.offsets.to_numpy().astype(np.int64)
-            parts = [spelling[i] for i in ids.values.to_numpy()[ends[0] : ends[-1]].tolist()]
+            pieces = ids.values.to_numpy()[ends[0] : ends[-1]].copy()
             ends = ends - ends[0]
-            if first_space:
-                begins = (batch.column("word").to_numpy() + batch.column("part").to_numpy() == 0) & (ends[1:] > ends[:-1])
-                for at in ends[:-1][begins].tolist():
-                    parts[at] = parts[at][1:]
-            sizes = np.concatenate([[0], np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)))])
-            text = pa.LargeStringArray.from_buffers(len(ids), pa.py_buffer(sizes[ends].tobytes()), pa.py_buffer(b"".join(parts)))
+            if vocabulary.dummy_prefix:
+                begins = (batch.column("place").to_numpy() == 0) & (ends[1:] > ends[:-1])
+                pieces[ends[:-1][begins]] += size
+            spelt = table.take(pa.array(pieces))
+            _, offsets, data = spelt.buffers()
+            places = np.frombuffer(offsets, np.int64, len(spelt) + 1)[ends]
+            text = pa.LargeStringArray.from_buffers(len(ids), pa.py_buffer(places.tobytes()), data)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), text.cast(pa.string())], [*rest, "text"])
 
     given = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in blocks.select(*rest).schema.fields)
@@ -507,5 +480,5 @@ def decode(blocks: DataFrame, vocabulary: Vocabulary) -> DataFrame:
 
 def together(blocks: DataFrame) -> DataFrame:
     """``(doc_id, text_key, ids)``: whole documents, where one row holds a document's ids."""
-    ordered = F.sort_array(F.collect_set(F.struct("word", "part", "ids")))  # equal rows have equal blocks
+    ordered = F.sort_array(F.collect_set(F.struct("place", "ids")))  # equal rows have equal blocks
     return blocks.groupBy("doc_id", "text_key").agg(F.flatten(F.transform(ordered, lambda x: x["ids"])).alias("ids"))
