@@ -7,13 +7,16 @@ separators it holds and the tokens after its last one, and running sums of these
 give each block the ordinal and the open length that it starts with.
 
 Defined results: null and empty texts are documents of no tokens. A file that doesn't end with a
-separator has a last document with ``closed`` false. An empty file has no documents, a missing folder
-raises. Files whose size isn't a multiple of the id's width raise.
+separator has a last document with ``closed`` false. An empty file has no documents, an empty table gives none,
+a missing file raises. Files whose size isn't a multiple of the id's width raise, and so do ids that don't fit into
+16 bits. Special tokens in a text are plain text here, so that no text forges a separator. Rows that repeat, null ids
+and other columns don't matter: every row is a document of its own.
 """
 
 from __future__ import annotations
 
 import base64
+import json
 import os
 import re
 from collections.abc import Iterator
@@ -55,10 +58,11 @@ class TokenCache:
     """The byte-level BPE of a rank file, a chunk at a time.
 
     The public pattern never lets a token cross from a non-space character over a single space into
-    the next word, so a text may be cut before each such space, and words repeat.
+    the next word, so a text may be cut before each such space, and words repeat. ``specials`` are strings that
+    are one token wherever a text has them; what lies between them is encoded by itself.
     """
 
-    def __init__(self, ranks_path: str) -> None:
+    def __init__(self, ranks_path: str, specials: dict[str, int] | None = None) -> None:
         import public_tokenizers
         import tiktoken
 
@@ -68,9 +72,18 @@ class TokenCache:
             "byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}
         )
         self.first, self.later = _Remembered(encoder.encode_ordinary, ""), _Remembered(encoder.encode_ordinary, " ")
+        self.specials = specials or {}
+        self.apart = re.compile("(" + "|".join(map(re.escape, sorted(self.specials, key=len, reverse=True))) + ")")
 
     def encode(self, text: str) -> bytes:
         """The ids of a text as little-endian unsigned 32-bit numbers."""
+        if any(special in text for special in self.specials):
+            parts = self.apart.split(text)  # texts and specials in turn
+            said = [np.array([self.specials[p]], "<u4").tobytes() if k % 2 else self._plain(p) for k, p in enumerate(parts)]
+            return b"".join(said)
+        return self._plain(text)
+
+    def _plain(self, text: str) -> bytes:
         if not text:
             return b""
         if text[0] == " " or text[-1] == " " or _AWKWARD.search(text):
@@ -80,6 +93,18 @@ class TokenCache:
         return self.first[chunks[0]] + b"".join(map(self.later.__getitem__, chunks[1:]))
 
 
+def special_tokens(json_path: str) -> dict[str, int]:
+    """The strings that the tokenizer of a JSON file takes as one token wherever a text has them, and their ids."""
+    with open(json_path, encoding="utf-8") as source:
+        return {token["content"]: token["id"] for token in json.load(source)["added_tokens"]}
+
+
+def _sixteen_bits(ids: np.ndarray) -> bytes:
+    if len(ids) and int(ids.max()) > 0xFFFF:
+        raise ValueError(f"the id {int(ids.max())} doesn't fit into 16 bits")
+    return ids.astype("<u2").tobytes()
+
+
 def write_token_files(docs: DataFrame, folder: str, ranks_path: str, end: int = END_OF_DOCUMENT) -> DataFrame:
     """Write ``docs`` as flat files of 16-bit ids in ``folder``; ``(path, ordinal, doc_id)`` of what they hold.
 
@@ -96,7 +121,7 @@ def write_token_files(docs: DataFrame, folder: str, ranks_path: str, end: int =
         with fs.open_output_stream(name) as out:
             for batch in batches:
                 for text in batch["text"]:
-                    out.write(np.frombuffer(cache.encode(text or ""), "<u4").astype("<u2").tobytes() + tail)
+                    out.write(_sixteen_bits(np.frombuffer(cache.encode(text or ""), "<u4")) + tail)
                 n = len(batch)
                 yield pd.DataFrame(
                     {"path": name, "ordinal": np.arange(ordinal, ordinal + n), "doc_id": batch["doc_id"].astype("Int64")}
@@ -168,13 +193,13 @@ def count_tokens(
         ).otherwise(F.array().cast("array<struct<at:bigint,closed:boolean>>")),
     )
     starts = F.concat(F.array("open_from"), F.transform("ends", lambda e: e + 1))
-    return (
-        scanned.select("path", "before", starts.alias("starts"), F.posexplode(closing).alias("k", "c"))
-        .select(
-            "path",
-            (F.col("before") + F.col("k")).alias("ordinal"),
-            F.get("starts", F.col("k")).alias("start"),
-            (F.col("c.at") - F.get("starts", F.col("k"))).alias("n_tokens"),
-            F.col("c.closed").alias("closed"),
-        )
+    # Start, end and whether it is closed lie in one struct, so that a document's row carries nothing of its block.
+    spans = F.zip_with(starts, closing, lambda start, c: F.struct(start.alias("start"), c["at"].alias("at"), c["closed"].alias("closed")))
+    each = scanned.select("path", "before", F.posexplode(spans).alias("k", "s")).where("s.at IS NOT NULL")
+    return each.select(
+        "path",
+        (F.col("before") + F.col("k")).alias("ordinal"),
+        "s.start",
+        (F.col("s.at") - F.col("s.start")).alias("n_tokens"),
+        "s.closed",
     )
