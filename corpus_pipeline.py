@@ -9,10 +9,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import jaccard, language, packing, pii
+from ledgerlens.llm import jaccard, language, pii
 from ledgerlens.llm.common import shared_folder, table
 from ledgerlens.llm.quality_rules import quality_rules
-from ledgerlens.llm.queries import language_references, pii_key, trusted_ids, vocabulary_path
+from ledgerlens.llm.queries import language_references, packed_sequences, pii_key, trusted_ids
 
 #: A document goes if the two best languages' phrase rates differ by less than this share.
 MIN_LANGUAGE_SCORE = 0.02
@@ -47,7 +47,7 @@ def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Best-fit packing of what is left into sequences of 2048 tokens."""
-    return packing.pack(docs, vocabulary_path("byte_bpe_50k.tiktoken"))
+    return packed_sequences(docs)
 
 
 STAGES = [

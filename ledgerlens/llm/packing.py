@@ -38,11 +38,13 @@ LOT_PIECES = 100_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-def cut(docs: DataFrame, ranks_path: str, sequence: int = SEQUENCE, end: int = END) -> DataFrame:
+def cut(
+    docs: DataFrame, ranks_path: str, sequence: int = SEQUENCE, end: int = END, specials: dict[str, int] | None = None
+) -> DataFrame:
     """The pieces of every document, with the checksum of their token ids."""
 
     def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cache = TokenCache(ranks_path)
+        cache = TokenCache(ranks_path, specials)
         tail = np.array([end], "<u4").tobytes()
         for batch in batches:
             out = []
@@ -108,32 +110,40 @@ def best_fit(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     return sequence, offset
 
 
-def pack_lengths(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sum of squares over all pieces in their order, then best fit over the pieces of sequences left open."""
+def pack_lengths(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sequence, place and whether the clean-up placed it, for each piece: sum of squares over all pieces in their
+    order, then best fit over the pieces of sequences left open.
+    """
     sequence, offset = sum_of_squares(lengths, size)
     filled = np.bincount(sequence, lengths, minlength=1).astype(np.int64)
-    again = np.flatnonzero(filled[sequence] < size)
+    former = sequence.copy()
+    again = np.flatnonzero(filled[former] < size)
     longest_first = again[np.argsort(-lengths[again], kind="stable")]
     number, place = best_fit(lengths[longest_first], size)
     sequence[longest_first], offset[longest_first] = len(filled) + number, place
-    return sequence, offset
+    return sequence, offset, filled[former] < size
+
 
+def pack(
+    docs: DataFrame, ranks_path: str, sequence: int = SEQUENCE, end: int = END, specials: dict[str, int] | None = None
+) -> DataFrame:
+    """A row a piece: ``doc_id, piece, start, length, ids_crc32, sequence_id, offset, cleaned_up``.
 
-def pack(docs: DataFrame, ranks_path: str, sequence: int = SEQUENCE, end: int = END) -> DataFrame:
-    """A row a piece: ``doc_id, piece, start, length, ids_crc32, sequence_id, offset``."""
-    pieces = written(cut(docs, ranks_path, sequence, end), shared_folder(docs.sparkSession), "pieces")
+    ``cleaned_up`` is true for pieces that the rule had left in an open sequence, which were placed again at the end.
+    """
+    pieces = written(cut(docs, ranks_path, sequence, end, specials), shared_folder(docs.sparkSession), "pieces")
     lots = max(1, round(pieces.count() / LOT_PIECES))
     columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
 
     def placed(lot: pd.DataFrame) -> pd.DataFrame:
         lot = lot.sort_values(["key", *columns], kind="stable")
-        number, place = pack_lengths(lot["length"].to_numpy(), sequence)
-        return lot[columns].assign(sequence_id=number + (int(lot["lot"].iloc[0]) << 40), offset=place)
+        number, place, again = pack_lengths(lot["length"].to_numpy(), sequence)
+        return lot[columns].assign(sequence_id=number + (int(lot["lot"].iloc[0]) << 40), offset=place, cleaned_up=again)
 
     key = F.xxhash64("doc_id", "piece", "start", "length", "ids_crc32")
     return (
         pieces.withColumn("key", key)
         .withColumn("lot", F.pmod("key", F.lit(lots)))
         .groupBy("lot")
-        .applyInPandas(placed, f"{PIECES}, sequence_id long, offset long")
+        .applyInPandas(placed, f"{PIECES}, sequence_id long, offset long, cleaned_up boolean")
     )

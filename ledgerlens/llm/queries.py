@@ -102,9 +102,14 @@ def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def packed_sequences(docs: DataFrame) -> DataFrame:
+    """The packing of the registered query and of the pipeline: ids of the JSON vocabulary, special tokens included."""
+    specials = tokens.special_tokens(vocabulary_path("byte_bpe_50k.json"))
+    return packing.pack(docs, vocabulary_path("byte_bpe_50k.tiktoken"), specials=specials)
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return packing.pack(docs, vocabulary_path("byte_bpe_50k.tiktoken"))
+    return packed_sequences(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def pii_key(spark: SparkSession) -> str:
