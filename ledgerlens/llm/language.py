@@ -6,12 +6,14 @@ language whose reference needs the fewest phrases a character wins. Phrases get
 of the reference's length, so their number is multiplied by it before languages are compared. Where the next character continues
 no run, a new phrase begins with it; a character that the reference lacks is a phrase by itself.
 
-Texts are lower-cased, and every run of characters that aren't letters becomes one space. They are
-parsed in windows of ``WINDOW`` characters, and a phrase ends where its window does, so that many
-windows can be walked in step through the automaton's transition table with numpy; each text is
-parsed to its end.
+Texts are lower-cased, and every run of characters that are neither letters nor marks on letters becomes one
+space. Each text is parsed to its end. Many windows of ``WINDOW`` characters are walked in step through the
+automaton's moves with numpy, each as if a phrase began with it; then the phrase that is open at a window's end is
+carried on into the next window, until it breaks where a phrase of that window begins as well: from there on the two
+parses are one. So the phrases are those of one pass over the whole text.
 
-Defined results: a null text and a text without a letter get ``und`` and score 0. Ties go to the first
+Defined results: a null text and a text without a letter (Unicode's L) get ``und`` and score 0. An empty table gives
+an empty one. Ties go to the first
 language in alphabetical order. Languages with less than ``LEAST_CHARS`` of reference text aren't compared
 if another has as much; the length of the others' references doesn't depend on them. Without labelled text every result is ``und``. Rows that repeat get equal
 results. Other columns pass through, and those named as a result give way.
@@ -20,7 +22,10 @@ results. Other columns pass through, and those named as a result give way.
 from __future__ import annotations
 
 import re
+import sys
+import unicodedata
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -40,12 +45,35 @@ STRETCH = 600
 WINDOW = 256
 UNDETERMINED = "und"
 
-_OTHER = re.compile(r"[\W\d_]+")
+#: States times signs up to which an automaton's moves are one dense table.
+DENSE = 1 << 23
+
+
+def _ranges(found: list[int]) -> str:
+    """Code points as the inside of a character class."""
+    at = np.array(found)
+    first = np.flatnonzero(np.diff(at, prepend=-2) > 1)
+    last = np.append(first[1:] - 1, len(at) - 1)
+    return "".join(f"\\U{at[a]:08x}-\\U{at[b]:08x}" for a, b in zip(first, last, strict=True))
+
+
+_MARKS = _ranges([c for c in range(sys.maxunicode + 1) if unicodedata.category(chr(c))[0] == "M"])
+_NUMBERS = _ranges([c for c in range(sys.maxunicode + 1) if chr(c).isalnum() and not chr(c).isalpha()])
+_OTHER = re.compile(rf"(?:[^\w{_MARKS}]|[_{_NUMBERS}])+")
+#: The same for texts below U+0100, which have no marks and few such numbers.
+_OTHER_LATIN = re.compile(r"[\W\d_²³¹¼½¾]+")
+_LETTER = re.compile(rf"[^\W_{_NUMBERS}{_MARKS}]")
 
 
 def normalised(text: str | None) -> str:
-    """Lower case, with one space for each run of characters that aren't letters."""
-    return _OTHER.sub(" ", (text or "").lower()).strip()
+    """Lower case, with one space for each run of characters that are neither letters nor marks; none without a letter."""
+    lower = (text or "").lower()
+    try:
+        lower.encode("latin-1")
+        said = _OTHER_LATIN.sub(" ", lower).strip()
+    except UnicodeEncodeError:
+        said = _OTHER.sub(" ", lower).strip()
+    return said if _LETTER.search(said) else ""
 
 
 def reference_texts(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, chars: int = REFERENCE_CHARS) -> dict[str, str]:
@@ -108,36 +136,55 @@ def suffix_automaton(text: str) -> list[dict[str, int]]:
     return moves
 
 
-@lru_cache(maxsize=1)
-def _tables(references: tuple[tuple[str, str], ...]) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Code points to columns, and for each language a flat table of next states.
+@dataclass(frozen=True)
+class _Moves:
+    """An automaton's moves by state and sign, dense or, for large alphabets, as sorted keys.
 
     State 0 stands for "no phrase is open": it moves nowhere, so the next character begins a phrase.
     The automaton's states follow from 1. A missing move is -1.
     """
-    alphabet = sorted({c for _, text in references for c in text})
-    column = np.zeros(0x110000, np.uint8 if len(alphabet) < 255 else np.uint16)
-    column[[ord(c) for c in alphabet]] = np.arange(1, len(alphabet) + 1)
-    width = len(alphabet) + 1  # column 0: a character of no reference
-    at = {c: k for k, c in enumerate(alphabet, 1)}
+
+    column: np.ndarray  # code points to signs; 0 is a character that the reference lacks
+    width: int
+    keys: np.ndarray | None
+    values: np.ndarray
+
+    def __call__(self, state: np.ndarray, sign: np.ndarray) -> np.ndarray:
+        at = state.astype(np.int64) * self.width + sign
+        if self.keys is None:
+            return self.values[at]
+        place = np.minimum(np.searchsorted(self.keys, at), len(self.keys) - 1)
+        return np.where(self.keys[place] == at, self.values[place], -1).astype(np.int32)
+
+
+@lru_cache(maxsize=1)
+def _tables(references: tuple[tuple[str, str], ...]) -> list[_Moves]:
+    """The moves of each language's automaton."""
     tables = []
     for _, text in references:
-        moves = suffix_automaton(text)
-        table = np.full((len(moves) + 1, width), -1, np.int32)
-        for state, out in enumerate(moves, 1):
-            for c, to in out.items():
-                table[state, at[c]] = to + 1
-        tables.append(table)
-    return column, tables
+        alphabet, moves = sorted(set(text)), suffix_automaton(text)
+        column = np.zeros(0x110000, np.uint16)
+        column[[ord(c) for c in alphabet]] = np.arange(1, len(alphabet) + 1)
+        at, width = {c: k for k, c in enumerate(alphabet, 1)}, len(alphabet) + 1
+        keys = np.array([state * width + at[c] for state, out in enumerate(moves, 1) for c in out], np.int64)
+        values = np.array([to + 1 for out in moves for to in out.values()], np.int32)
+        if (size := (len(moves) + 1) * width) <= DENSE:
+            dense = np.full(size, -1, np.int32)
+            dense[keys] = values
+            tables.append(_Moves(column, width, None, dense))
+        else:
+            order = np.argsort(keys)
+            tables.append(_Moves(column, width, keys[order], values[order]))
+    return tables
 
 
 def phrase_counts(texts: list[str], references: tuple[tuple[str, str], ...]) -> np.ndarray:
     """Phrases of each normalised text (rows) against each reference (columns)."""
-    column, tables = _tables(references)
+    tables = _tables(references)
     sizes = np.array([len(t) for t in texts], np.int64)
     counts = np.zeros((len(texts), len(tables)), np.int64)
-    flat = column[np.frombuffer("".join(texts).encode("utf-32-le"), "<u4")]
-    if not len(flat):
+    points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4")
+    if not len(points):
         return counts
     windows = -(-sizes // WINDOW)
     owner = np.repeat(np.arange(len(texts)), windows)
@@ -145,23 +192,69 @@ def phrase_counts(texts: list[str], references: tuple[tuple[str, str], ...]) ->
     begin = np.repeat(np.cumsum(sizes) - sizes, windows) + within * WINDOW
     length = np.minimum(WINDOW, np.repeat(sizes, windows) - within * WINDOW)
     order = np.argsort(-length, kind="stable")
-    owner, begin, length = owner[order], begin[order], length[order]
-    alive = np.searchsorted(-length, -np.arange(WINDOW), side="left")  # windows longer than each step
-    for k, table in enumerate(tables):
-        width = table.shape[1]
-        moves, fresh = table.reshape(-1), np.maximum(table[1], 0)  # table[1]: where a new phrase goes
-        state, phrases = np.zeros(len(owner), np.int32), np.zeros(len(owner), np.int32)
-        for step in range(int(length[0])):
+    alive = np.searchsorted(-length[order], -np.arange(WINDOW), side="left")  # windows longer than each step
+    ordered = begin[order]
+    for k, moves in enumerate(tables):
+        flat = moves.column[points]
+        fresh = np.maximum(moves(np.ones(moves.width, np.int64), np.arange(moves.width)), 0)  # where a new phrase goes
+        starts = np.zeros(len(flat), bool)  # where phrases begin, each window for itself
+        state, phrases = np.zeros(len(owner), np.int32), np.zeros(len(owner), np.int64)
+        for step in range(int(length[order[0]])):
             n = alive[step]
-            c = flat[begin[:n] + step]
-            to = moves[state[:n] * width + c]
+            at = ordered[:n] + step
+            sign = flat[at]
+            to = moves(state[:n], sign)
             broken = to < 0
+            starts[at] = broken
             phrases[:n] += broken
-            state[:n] = np.where(broken, fresh[c], to)
-        counts[:, k] = np.bincount(owner, phrases, len(texts))
+            state[:n] = np.where(broken, fresh[sign], to)
+        last, total = np.empty_like(state), np.empty_like(phrases)
+        last[order], total[order] = state, phrases
+        total += _carried(np.flatnonzero(within > 0), begin, length, flat, starts, last, moves, fresh)
+        counts[:, k] = np.bincount(owner, total, len(texts))
     return counts
 
 
+def _carried(
+    redo: np.ndarray, begin: np.ndarray, length: np.ndarray, flat: np.ndarray, starts: np.ndarray, last: np.ndarray, moves: _Moves, fresh: np.ndarray
+) -> np.ndarray:
+    """What the phrases of each window change by when the one before it stays open into it.
+
+    ``redo`` are windows with one before them. Where a window's last state changes, the window after it is done again.
+    """
+    change, follows, own_last = np.zeros(len(begin), np.int64), np.zeros(len(begin) + 1, bool), last.copy()
+    follows[redo] = True
+    while len(redo):
+        now, state, change[redo] = redo, last[redo - 1].copy(), 0
+        changed: list[np.ndarray] = []
+
+        def ends(windows: np.ndarray, states: np.ndarray, changed: list[np.ndarray] = changed) -> None:
+            differ = last[windows] != states
+            last[windows[differ]] = states[differ]
+            changed.append(windows[differ] + 1)
+
+        step = 0
+        while len(now):
+            ended = length[now] <= step
+            if ended.any():  # the two parses never met: what is open at the end is the carried phrase
+                ends(now[ended], state[ended])
+                now, state = now[~ended], state[~ended]
+                if not len(now):
+                    break
+            at = begin[now] + step
+            sign = flat[at]
+            to = moves(state, sign)
+            broken, own = to < 0, starts[at]
+            change[now] += broken.astype(np.int64) - own
+            going = ~(broken & own)
+            ends(now[~going], own_last[now[~going]])
+            now, state = now[going], np.where(broken, fresh[sign], to)[going]
+            step += 1
+        after = np.concatenate(changed) if changed else np.zeros(0, np.int64)
+        redo = np.sort(after[follows[after]])
+    return change
+
+
 def identify(docs: DataFrame, references: dict[str, str], text: str = "text") -> DataFrame:
     """``docs`` with ``lang_pred``, ``score`` and ``phrases`` (a character, of the winner).
 
