@@ -65,19 +65,19 @@ def frequent_terms(sample: DataFrame, least: int) -> np.ndarray:
     return np.sort(fetched(counts.select("t"))["t"].to_numpy(np.int64))
 
 
-def telling_terms(sample: DataFrame, least: int, evidence: float) -> np.ndarray:
-    """The frequent buckets whose presence goes with ``y`` (0 or 1), sorted.
+def evidence(sample: DataFrame, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets that at least ``least`` documents hold, sorted, and how clearly each goes with ``y`` (0 or 1) by itself.
 
-    ``evidence`` is the least likelihood-ratio statistic of a bucket's documents against the sample's rate.
+    The latter is the likelihood-ratio statistic of a bucket's documents against the sample's rate.
     """
     total = sample.agg(F.count("*").alias("n"), F.coalesce(F.sum("y"), F.lit(0.0)).alias("y")).first()
     rate = (total["y"] + 0.5) / (total["n"] + 1)
     counts = sample.select("y", F.explode("terms").alias("t")).groupBy("t").agg(F.count("*").alias("n"), F.sum("y").alias("y"))
-    found = fetched(counts.where(F.col("n") >= least))
+    found = fetched(counts.where(F.col("n") >= least)).sort_values("t")
     n, y = found["n"].to_numpy(float), found["y"].to_numpy(float)
     with np.errstate(divide="ignore", invalid="ignore"):
         parts = np.where(y > 0, y * np.log(y / n / rate), 0) + np.where(n > y, (n - y) * np.log((n - y) / n / (1 - rate)), 0)
-    return np.sort(found["t"].to_numpy(np.int64)[2 * parts >= evidence])
+    return found["t"].to_numpy(np.int64), 2 * parts
 
 
 def packed(terms: pd.Series, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -20,18 +20,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.llm.common import shared_folder, written
-from ledgerlens.llm.hashed import FIT_PARTITIONS, fit, letter_terms, packed, telling_terms
+from ledgerlens.llm.hashed import FIT_PARTITIONS, evidence, fit, letter_terms, packed
 
 #: Labelled documents that the model is fitted on, at most.
 SAMPLE_LIMIT = 12_000
 #: Documents of the sample that a bucket must be in.
 MIN_DOCS = 5
 #: The chi-squared value of one degree of freedom that chance exceeds once in a thousand buckets.
-MIN_EVIDENCE = 10.83
+CLEAR = 10.83
 FACTORS = 4
 STEPS = 25
 THRESHOLD = 0.7
-PENALTY, FACTOR_PENALTY = 2e-5, 1e-4
+#: A term's weight is held to 0 more firmly if the term doesn't go with the label by itself.
+PENALTY, FACTOR_PENALTY, UNCLEAR_PENALTY, UNCLEAR_FACTOR_PENALTY = 2e-5, 1e-4, 1e-2, 1e-2
 
 
 def _sums(params: np.ndarray, width: int, rows: np.ndarray, columns: np.ndarray, n: int):
@@ -66,11 +67,20 @@ def train(labelled: DataFrame) -> Model:
     """A model from ``text`` and ``y`` (0 or 1), at most ``SAMPLE_LIMIT`` rows that the caller has drawn."""
     terms = labelled.select(F.col("y").cast("double").alias("y"), letter_terms(F.col("text")).alias("terms"))
     sample = written(terms.repartition(FIT_PARTITIONS), shared_folder(labelled.sparkSession), "toxicity-sample")
-    known = telling_terms(sample, MIN_DOCS, MIN_EVIDENCE)
-    width = len(known)
+    known, told = evidence(sample, MIN_DOCS)
+    width, clear = len(known), told >= CLEAR
+
+    def fitted(start: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+        held = np.where(clear[chosen], PENALTY, UNCLEAR_PENALTY)
+        paired = np.where(clear[chosen], FACTOR_PENALTY, UNCLEAR_FACTOR_PENALTY)
+        penalty = np.concatenate([[0.0], held, np.tile(paired, FACTORS)])
+        return fit(sample, known[chosen], _loss, start, penalty, STEPS)
+
+    # The terms that tell by themselves first; all terms, with their pairs, explain what these leave open.
     start = np.concatenate([np.zeros(1 + width), np.random.default_rng(5).normal(0, 0.01, FACTORS * width)])
-    penalty = np.concatenate([[0.0], np.full(width, PENALTY), np.full(FACTORS * width, FACTOR_PENALTY)])
-    return Model(known, fit(sample, known, _loss, start, penalty, STEPS))
+    places = np.concatenate([[0], 1 + np.flatnonzero(clear), *(1 + (1 + f) * width + np.flatnonzero(clear) for f in range(FACTORS))])
+    start[places] = fitted(start[places], clear)
+    return Model(known, fitted(start, np.ones(width, bool)))
 
 
 def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
