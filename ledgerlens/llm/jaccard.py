@@ -13,9 +13,13 @@ that a pair across it meets in an inverted list.
 
 Signatures that few classes share give pairs, which must pass a bound on sizes and a bound on the overlap
 from counts of members by residue. Signatures that many classes share (families of near copies) give a star
-of their members instead of pairs. Connected candidates are then compared exactly: the sets of a candidate
-group meet in one task, or block by block in several if there are many, and a pair is looked at only as long
-as it isn't connected by links that were found before. No pair that could link is left out.
+of their members instead of pairs. Connected candidates are then compared exactly, and a pair is looked at only as
+long as it isn't connected by links that were found before. A group of few members is compared in one task. A larger
+one is dealt into blocks, each with the same few members as anchors, and compared in two rounds:
+
+* each block by itself: what is close to an anchor, or to what is, becomes one component across the blocks;
+* whatever isn't part of the group's largest component then meets every block. Two members of that component are
+  connected already, so no pair that could link is left out, and a family of near copies isn't paired block by block.
 
 Defined results: texts without words, and null texts, have no shingles and link with nothing; a text of
 fewer words than a shingle is one shingle. Every row is a document of its own, whether its id is null, repeated
@@ -31,7 +35,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlens.llm.common import fetched, shared_folder, written
@@ -42,12 +46,14 @@ ORDER_BUCKETS = 1 << 20
 LONG_LIST = 64
 #: Residues by which members are counted for the bound on an overlap.
 RESIDUES = 64
-#: Members that meet in one block of a candidate group, about.
-BLOCK_MEMBERS = 1_000_000
+#: Members of one block of a candidate group, about.
+BLOCK_MEMBERS = 40_000
+#: Sets that all blocks of a group share.
+ANCHORS = 16
 #: Ids up to this many are broadcast instead of shuffling the texts that they pick.
 BROADCAST_IDS = 2_000_000
-#: Sizes that are tried as the boundary between small and large sets.
-BOUNDARIES = (0, 20, 40, 60, 80, 120, 160, 240, 320)
+#: What a look at a candidate costs in signature rows: it goes through a distinct and two joins with wide rows.
+LOOK_COST = 8.0
 
 _EMPTY = np.zeros(0, np.uint64)
 
@@ -156,26 +162,32 @@ def _lists(classes: DataFrame, percent: int) -> DataFrame:
 def boundary_by_cost(classes: DataFrame, percent: int) -> int:
     """The size up to which pairs of members are cheaper than inverted lists.
 
-    A signature costs one row to shuffle. An inverted list costs, besides, a look at each candidate; how
-    many there are for a member of a list is measured on a 64th of all lists.
+    Each signature costs a row. An inverted list costs, besides, the looks at its candidates; how many these are
+    for sets of each size is measured on a 64th of all lists. A pair of members is taken to give no look: two sets
+    that share one nearly always link. Sets just under the boundary pay for both ways. Of equal costs the larger
+    boundary wins.
     """
-    lists = _lists(classes, percent).where(F.pmod("signature", F.lit(64)) == 0).groupBy("signature").count()
+    lists = _lists(classes, percent).where(F.pmod("signature", F.lit(64)) == 0)
     # long lists become stars, whose cost doesn't depend on their length
-    looks = lists.agg(F.sum(F.when(F.col("count") <= LONG_LIST, F.col("count") * (F.col("count") - 1))), F.sum("count")).first()
-    per_member = (looks[0] or 0) / max(1, looks[1] or 0)
-    sizes = fetched(classes.groupBy("n").count())  # a row a size of a set
-    n, c = sizes["n"].to_numpy(np.int64), sizes["count"].to_numpy(np.int64)
+    lengths = lists.groupBy("signature").agg(F.count("*").alias("size")).where(F.col("size").between(2, LONG_LIST))
+    looks = fetched(lists.join(lengths, "signature").groupBy("n").agg((64 * F.sum(F.col("size") - 1)).alias("looks")))
+    sizes = fetched(classes.groupBy("n").count()).merge(looks, "left", "n").fillna({"looks": 0}).sort_values("n")
+    n, c, seen = (sizes[x].to_numpy(np.int64) for x in ("n", "count", "looks"))  # a row a size of a set
+    if not len(n):
+        return 0
     single = n + (-percent * n // 100) + 1
-
-    def cost(x: int) -> float:
-        pairs = (c * single * (single + 1) / 2)[n <= x].sum()
-        return pairs + (c * single * (1 + per_member))[100 * n > percent * x].sum()
-
-    return min(BOUNDARIES, key=cost)
+    pairs, lists_cost = c * single * (single + 1) / 2, c * single + LOOK_COST * seen
+    first_large = np.searchsorted(100 * n, percent * n, side="right")  # sizes that go through lists at boundary n[k]
+    below, above = np.cumsum(pairs), np.append(np.cumsum(lists_cost[::-1])[::-1], 0.0)
+    cost = np.concatenate([[above[0]], below + above[first_large]])
+    return int(np.concatenate([[0], n])[len(cost) - 1 - int(np.argmin(cost[::-1]))])
 
 
 def _signatures(classes: DataFrame, percent: int, boundary: int) -> DataFrame:
-    """``(signature, rep, n)``: subsets of two for small sets, single members for large ones."""
+    """``(signature, rep, n)``: subsets of two for small sets, single members for large ones.
+
+    Two sets that need an overlap of one member have a single one each, so they are one class and need no pair.
+    """
     large = _lists(classes.where(100 * F.col("n") > percent * boundary), percent)
     small = classes.where(F.col("n") <= boundary)
     longer = F.slice("prefix", 1, _prefix(F.col("n"), percent, 2))
@@ -257,8 +269,11 @@ class _Forest:
         return x
 
 
-def exact_links(ids: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """Links between sets, enough to connect all that are connected, as pairs of ids."""
+def exact_links(ids: np.ndarray, sets: list[np.ndarray], percent: int, known: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Links between sets, enough to connect all that are connected, as pairs of ids.
+
+    Sets with equal values in ``known`` are connected already.
+    """
     sizes = np.array([len(s) for s in sets], np.int64)
     if len(sets) < 2 or not sizes.sum():
         return []
@@ -268,6 +283,9 @@ def exact_links(ids: np.ndarray, sets: list[np.ndarray], percent: int) -> list[t
     ranked = [np.sort(x) for x in np.split(rank[place], np.cumsum(sizes)[:-1])]
     lists: dict[int, list[int]] = defaultdict(list)
     forest, links, whole = _Forest(len(sets)), [], {}
+    if known is not None:
+        _, first, component = np.unique(known, return_index=True, return_inverse=True)
+        forest.up = first[component].tolist()
 
     def members(k: int) -> set[int]:
         if k not in whole:
@@ -296,33 +314,66 @@ def exact_links(ids: np.ndarray, sets: list[np.ndarray], percent: int) -> list[t
 
 def _verified(docs: DataFrame, groups: DataFrame, words: int, percent: int, folder: str) -> DataFrame:
     """Links ``(a, b)`` inside candidate groups ``(id, root, n)``, enough to connect what is connected."""
-    sizes = groups.groupBy("root").agg(F.sum("n").alias("members"))
+    sizes = groups.groupBy("root").agg(F.sum("n").alias("members"), F.count("*").alias("sets"))
     blocks = F.greatest(F.lit(1), F.ceil(F.col("members") / BLOCK_MEMBERS)).cast("int")
-    dealt = groups.join(sizes.select("root", blocks.alias("blocks")), "root").select(
-        "id", "root", "blocks", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block")
-    )
-    # every two blocks of a group meet: each document goes to the meetings of its block
-    meetings = F.transform(
-        F.sequence(F.lit(0), F.col("blocks") - 1),
-        lambda other: F.struct(F.least("block", other).alias("x"), F.greatest("block", other).alias("y")),
+    sizes = sizes.select("root", blocks.alias("blocks"), (ANCHORS / F.col("sets")).alias("part"))
+    dealt = groups.join(sizes, "root")
+    draw = F.xxhash64(F.lit(1), "id")
+    # anchors are drawn by a hash, about ANCHORS of a group
+    dealt = dealt.select(
+        "id",
+        "root",
+        "blocks",
+        F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"),
+        (F.pmod(draw, F.lit(1 << 30)) < F.col("part") * (1 << 30)).alias("anchor"),
     )
     dealt = written(dealt, folder, "groups")
-    few = dealt.count() <= BROADCAST_IDS
-    texts = docs.select(F.col("row").alias("id"), "text").join(F.broadcast(dealt) if few else dealt, "id")
-
-    def members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes = _WordHashes()
-        for batch in batches:
-            found = [shingles(text, hashes, words).view(np.int64) for text in batch["text"]]
-            yield batch[["id", "root", "blocks", "block"]].assign(members=found)
-
-    def compare(group: pd.DataFrame) -> pd.DataFrame:
-        links = exact_links(group["id"].to_numpy(), [np.asarray(m) for m in group["members"]], percent)
-        return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
 
-    sets = texts.mapInPandas(members, "id long, root long, blocks int, block int, members array<long>")
-    met = sets.withColumn("m", F.explode(meetings)).select("id", "root", "m.x", "m.y", "members")
-    return met.groupBy("root", "x", "y").applyInPandas(compare, "a long, b long")
+    def links(chosen: DataFrame, name: str) -> DataFrame:
+        """Links of sets ``(id, root, known, meetings)`` that meet; ``known`` sets with one value are connected."""
+        chosen = written(chosen, folder, f"{name}-chosen")
+        few = chosen.count() <= BROADCAST_IDS
+        texts = docs.select(F.col("row").alias("id"), "text").join(F.broadcast(chosen) if few else chosen, "id")
+
+        def members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            hashes = _WordHashes()
+            for batch in batches:
+                found = [shingles(text, hashes, words).view(np.int64) for text in batch["text"]]
+                yield batch[["id", "root", "known", "meetings"]].assign(members=found)
+
+        def compare(group: pd.DataFrame) -> pd.DataFrame:
+            sets = [np.asarray(m) for m in group["members"]]
+            found = exact_links(group["id"].to_numpy(), sets, percent, group["known"].to_numpy())
+            return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+
+        sets = texts.mapInPandas(members, "id long, root long, known long, meetings array<long>, members array<long>")
+        met = sets.select("id", "root", "known", F.explode("meetings").alias("meeting"), "members")
+        return written(met.groupBy("root", "meeting").applyInPandas(compare, "a long, b long"), folder, name)
+
+    def at(lot: Column, block: Column) -> Column:
+        return F.shiftleft(lot.cast("long"), 32) + block
+
+    every = F.sequence(F.lit(0), F.col("blocks") - 1)
+    none = F.lit(0)
+    own = F.when(F.col("anchor"), F.transform(every, lambda y: at(none, y))).otherwise(F.array(at(none, F.col("block"))))
+    first = links(dealt.select("id", "root", F.col("id").alias("known"), own.alias("meetings")), "links-1")
+    large = dealt.where("blocks > 1")
+    if large.isEmpty():
+        return first
+    found = connected(first, folder, "links-1-roots").withColumnRenamed("root", "known")
+    large = large.join(found, "id", "left").withColumn("known", F.coalesce("known", "id"))
+    counts = large.groupBy("root", "known").count()
+    most = counts.groupBy("root").agg(F.max(F.struct("count", "known"))["known"].alias("most"))
+    large = written(large.join(most, "root").withColumn("asks", F.col("known") != F.col("most")), folder, "asking")
+    # those that ask are dealt into lots as large as blocks; each lot meets each block
+    share = F.ceil(F.count_if("asks") * F.max("blocks") / F.count("*")).cast("int")
+    lots = large.groupBy("root").agg(share.alias("lots")).where("lots > 0")
+    large = large.join(lots, "root")
+    lot = F.pmod(F.xxhash64(F.lit(2), "id"), F.col("lots"))
+    there = F.transform(F.sequence(F.lit(0), F.col("lots") - 1), lambda x: at(x, F.col("block")))
+    asks = F.when(F.col("asks"), F.transform(every, lambda y: at(lot, y))).otherwise(F.array().cast("array<bigint>"))
+    second = links(large.select("id", "root", "known", F.array_union(there, asks).alias("meetings")), "links-2")
+    return first.unionByName(second)
 
 
 def numbered(docs: DataFrame) -> DataFrame:
@@ -353,7 +404,7 @@ def row_components(docs: DataFrame, words: int = 3, percent: int = 90) -> DataFr
     candidates = _candidates(classes, percent, boundary, folder)
     groups = connected(candidates, folder, "candidates")
     groups = groups.join(classes.select(F.col("rep").alias("id"), "n"), "id")
-    links = written(_verified(docs, groups, words, percent, folder), folder, "links")
+    links = _verified(docs, groups, words, percent, folder)
     roots = connected(links, folder, "links-roots")
     named = classes.select("class", "rep", "least").join(roots.withColumnRenamed("id", "rep"), "rep", "left")
     named = named.select("class", F.coalesce("root", "rep").alias("root"), "least")
