@@ -21,9 +21,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """A new folder that the driver and all executors see, under ``spark.checkpoint.dir``.
 
-    A temporary folder of this machine is used only where that setting is absent (tests, local runs).
+    Where that setting is absent, a local session gets a temporary folder; on a cluster executors wouldn't see one.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors see")
     if not base:
         base = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", base)

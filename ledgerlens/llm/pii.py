@@ -8,16 +8,19 @@ each part is added, digit by digit and modulo each digit's radix, to a keyed SHA
 
 What is found, and what is left as it is within it:
 
-* e-mail addresses: the local part is permuted, each letter within its alphabet; the domain stays;
+* e-mail addresses: the local part is permuted, each letter within its alphabet, or its row of code points in scripts
+  that have none here; the domain stays;
 * telephone numbers: after a ``+`` 8 to 15 digits in any grouping, else an area code in parentheses with 8 to 13
   digits in all, or 3-3-4 digits with a separator; the country code stays;
 * payment card numbers of 13 to 19 digits that pass the Luhn check, plain or in any grouping by single spaces or
   hyphens; where other numbers adjoin, groups as cards have them. The last digit is computed anew, so the
   pseudonym passes the check too;
 * social security numbers ``ddd-dd-dddd`` outside the ranges that are never issued;
+* IBANs that pass their check, plain or in groups of four: the country stays, the check digits are computed anew;
 * IPv4 addresses with octets up to 255;
 * days ``yyyy-mm-dd``, ``mm/dd/yyyy`` or else ``dd/mm/yyyy`` that exist, from 1900 to 2099: the pseudonym is
-  a day in that range, written alike;
+  a day in that range, written alike. A day that is written before its month, which only a day above the 12th shows,
+  becomes such a day, so different dates never have one pseudonym;
 * 32 to 64 hexadecimal digits in quotes that are assigned to a token, key, secret or password, in any case.
 
 Numbers that fail their check are text and stay. It is all column expressions: a text without a digit or
@@ -39,8 +42,18 @@ from ledgerlens.llm.common import let
 ROUNDS = 8
 #: Fixed: the days from 1900-01-01 to 2099-12-31 are 17 * 4297.
 FIRST_DAY, DAY_RADICES = "1900-01-01", (17, 4297)
-#: Fixed: first code point and size of each alphabet a character is permuted in.
-ALPHABETS = ((48, 10), (97, 26), (65, 26), (0xE0, 23), (0xF8, 8), (0xC0, 23), (0xD8, 7))
+#: Fixed: first code point and size of each alphabet a character is permuted in: digits, Latin letters small and large,
+#: Latin letters beyond these, Cyrillic ones, Chinese signs, Hangul.
+ALPHABETS = (
+    (48, 10), (97, 26), (65, 26), (0xE0, 23), (0xF8, 8), (0xC0, 23), (0xD8, 8), (0x100, 128), (0x180, 208),
+    (0x400, 16), (0x410, 32), (0x430, 32), (0x450, 16), (0x4E00, 0x5200), (0xAC00, 0x2BA0),
+)
+#: Characters from here on without an alphabet are permuted among the ``ROW`` code points of their row.
+ROWS_FROM, ROW = 0x250, 16
+#: Characters of a local part that are permuted together.
+CHUNK = 64
+#: Steps of the walk that looks for a day above the 12th; each fails with a probability of 0.4.
+WALK = 64
 
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _BEFORE, _AFTER = r"(?<![\p{L}\p{N}])", r"(?![\p{L}\p{N}])"
@@ -55,13 +68,15 @@ _CARD_GROUPS = [
 #: A whole run of digits and single separators: no digit goes on before or after it.
 _CARD_RUNS = [rf"(?<!\d[ .\-/])\d(?:{sign}?\d){{12,18}}(?![\p{{L}}\p{{N}}]|[ .\-/]\d)" for sign in " -"]
 PATTERNS = {
-    "email": r"[\p{L}\p{N}._%+\-]{1,64}@[A-Za-z0-9\-]{1,63}(?:\.[A-Za-z0-9\-]{1,63}){0,8}\.[A-Za-z]{2,24}",
+    # a local part begins where the run of its characters does, so that runs without an @ are looked at once
+    "email": r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}._%+\-]++@[\p{L}\p{N}\-]{1,63}(?:\.[\p{L}\p{N}\-]{1,63}){0,8}\.\p{L}{2,24}",
     "secret": r"(?<=(?i:token|key|secret|password) ?[=:] ?[\"'])[0-9a-fA-F]{32,64}(?=[\"'])",
     "phone": _BEFORE + r"(?:(?:\+\d{1,3}[ .\-]?)?(?:\(\d{3}\) ?|\d{3}[.\-])\d{3}[ .\-]\d{4}" + _AFTER
     + r"|\+[1-9](?=(?:[ .\-()]{0,2}\d){7,14}(?![\p{L}\p{N}]))\d{0,2}(?:[ .\-]?\(\d{1,5}\))?(?:[ .\-]?\d){4,14}" + _AFTER
     + r"|\((?=\d{2,5}\)(?:[ .\-]?\d){3,11}(?![\p{L}\p{N}]))\d{2,5}\)(?:[ .\-]?\d){6,8}" + _AFTER + ")",
     "ip": r"(?<![\p{L}\p{N}.])(?:" + _OCTET + r"\.){3}" + _OCTET + r"(?![\p{L}\p{N}]|\.\d)",
     "date": _BEFORE + r"(?:\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4})" + _AFTER,
+    "iban": _BEFORE + r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?" + _AFTER,
     "ssn": _BEFORE + r"\d{3}-\d{2}-\d{4}" + _AFTER,
     "card": _BEFORE + "(?:" + "|".join([*_CARD_RUNS, *(g + _AFTER for g in _CARD_GROUPS)]) + ")",
 }
@@ -96,17 +111,25 @@ def feistel(values: Column, radices: Column, key: str, kind: Column, rounds: int
 
 def _alphabet(code: Column, hexadecimal: Column) -> Column:
     """(first code point, size) of a character's alphabet; size 1 where it has none."""
+    row = F.when((code >= ROWS_FROM) & ~hexadecimal, ROW).otherwise(1)
+    other = F.struct((code - code % row).cast("int").alias("base"), F.lit(None).cast("int").alias("hex"), row.alias("size"))
     found = reduce(
         lambda rest, a: F.when(
             code.between(a[0], a[0] + a[1] - 1),
             F.struct(F.lit(a[0]).alias("base"), (F.when(hexadecimal, 6) if a[1] == 26 else F.lit(None).cast("int")).alias("hex"), F.lit(a[1]).alias("size")),
         ).otherwise(rest),
         reversed(ALPHABETS),
-        F.struct(code.alias("base"), F.lit(None).cast("int").alias("hex"), F.lit(1).alias("size")),
+        other,
     )
     return let(found, lambda a: F.struct(a["base"].alias("base"), F.coalesce(a["hex"], a["size"]).alias("size")))
 
 
+def _sign(code: Column) -> Column:
+    """The character of a code point."""
+    wide = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+    return F.when(code < 256, F.char(code)).otherwise(wide)  # `char` goes up to there
+
+
 def _permuted(text: Column, first: Column, last: Column, key: str, kind: Column) -> Column:
     """``text`` with its characters from ``first`` to before ``last`` (from 0) permuted in their alphabets."""
     codes = F.transform(F.sequence(F.lit(1), F.char_length(text)), lambda i: F.ascii(F.substr(text, i, F.lit(1))))
@@ -123,7 +146,7 @@ def _permuted(text: Column, first: Column, last: Column, key: str, kind: Column)
             values = F.zip_with(codes, signs, lambda c, a: (c - a["base"]).cast("long"))
             radices = F.transform(signs, lambda a: a["size"])
             moved = feistel(values, radices, key, kind)
-            letters = F.zip_with(moved, signs, lambda v, a: F.when(a["size"] > 1, F.char(v + a["base"])))
+            letters = F.zip_with(moved, signs, lambda v, a: F.when(a["size"] > 1, _sign(v + a["base"])))
             kept = F.transform(letters, lambda c, i: F.coalesce(c, F.substr(text, i + 1, F.lit(1))))
             return F.array_join(kept, "")
 
@@ -132,6 +155,13 @@ def _permuted(text: Column, first: Column, last: Column, key: str, kind: Column)
     return let(codes, image)
 
 
+def _mod_97(iban: Column) -> Column:
+    """An IBAN without spaces, its first four signs put last and letters as numbers from 10, modulo 97."""
+    turned = F.concat(F.substr(iban, F.lit(5), F.char_length(iban)), F.substr(iban, F.lit(1), F.lit(4)))
+    codes = F.transform(F.sequence(F.lit(1), F.char_length(turned)), lambda i: F.ascii(F.substr(turned, i, F.lit(1))))
+    return F.aggregate(codes, F.lit(0), lambda acc, c: F.when(c < 65, acc * 10 + c - 48).otherwise(acc * 100 + c - 55) % 97)
+
+
 def _luhn_sum(digits: Column, doubled: int) -> Column:
     """The Luhn sum of a string of digits; of each two, counted from the right, number ``doubled`` counts twice."""
     values = F.transform(
@@ -142,13 +172,13 @@ def _luhn_sum(digits: Column, doubled: int) -> Column:
     return F.aggregate(parts, F.lit(0), lambda acc, d: acc + d)
 
 
-def _refilled(match: Column, digits: Column) -> Column:
-    """``match`` with its digits replaced by ``digits``, in order."""
+def _refilled(match: Column, signs: Column, kept: str = "[^0-9]") -> Column:
+    """``match`` with what isn't ``kept`` of it replaced by ``signs``, in order."""
     sign = lambda i: F.substr(match, i, F.lit(1))
-    rank = lambda i: F.char_length(F.regexp_replace(F.substr(match, F.lit(1), i), r"[^0-9]", ""))
+    rank = lambda i: F.char_length(F.regexp_replace(F.substr(match, F.lit(1), i), kept, ""))
     signs = F.transform(
         F.sequence(F.lit(1), F.char_length(match)),
-        lambda i: F.when(sign(i).between("0", "9"), F.substr(digits, rank(i), F.lit(1))).otherwise(sign(i)),
+        lambda i: F.when(sign(i).rlike(kept), sign(i)).otherwise(F.substr(signs, rank(i), F.lit(1))),
     )
     return F.array_join(signs, "")
 
@@ -166,6 +196,7 @@ def _day(match: Column) -> Column:
 def _kind(match: Column) -> Column:
     return (
         F.when(match.contains("@"), "email")
+        .when(match.rlike(r"^[A-Z]{2}\d{2}[ A-Z0-9]+$"), "iban")
         .when(match.rlike(r"^[0-9a-fA-F]{32,}$"), "secret")
         .when(match.rlike(r"^\d+\.\d+\.\d+\.\d+$") & match.rlike(r"^" + PATTERNS["ip"] + "$"), "ip")
         .when(match.rlike(r"^(?:\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4})$"), "date")
@@ -186,17 +217,43 @@ def pseudonym(match: Column, key: str) -> Column:
         ip = F.array_join(feistel(octets, F.array_repeat(F.lit(256), 4), key, kind).cast("array<string>"), ".")
 
         def date(d: Column) -> Column:
-            number = F.datediff(d["day"], F.lit(FIRST_DAY).cast("date"))
-            parts = F.array(F.floor(number / DAY_RADICES[1]), (number % DAY_RADICES[1]).cast("long"))
-            moved = feistel(parts, F.array(*map(F.lit, DAY_RADICES)), key, kind)
-            day = let(moved, lambda v: F.date_add(F.lit(FIRST_DAY).cast("date"), (F.get(v, F.lit(0)) * DAY_RADICES[1] + F.get(v, F.lit(1))).cast("int")))
+            def moved(day: Column) -> Column:
+                number = F.datediff(day, F.lit(FIRST_DAY).cast("date"))
+                parts = F.array(F.floor(number / DAY_RADICES[1]), (number % DAY_RADICES[1]).cast("long"))
+                image = feistel(parts, F.array(*map(F.lit, DAY_RADICES)), key, kind)
+                to = let(image, lambda v: (F.get(v, F.lit(0)) * DAY_RADICES[1] + F.get(v, F.lit(1))).cast("int"))
+                return F.date_add(F.lit(FIRST_DAY).cast("date"), to)
+
+            # A day written first is above the 12th, or it would be a month; the walk ends on such a day, so that no
+            # two ways to write a day ever meet in one pseudonym.
+            started = F.struct(moved(d["day"]).alias("day"))
+            walked = F.aggregate(
+                F.sequence(F.lit(1), F.lit(WALK)),
+                started,
+                lambda at, _: F.when(F.dayofmonth(at["day"]) > 12, at).otherwise(F.struct(moved(at["day"]).alias("day"))),
+                lambda at: F.when(F.dayofmonth(at["day"]) > 12, F.date_format(at["day"], "dd/MM/yyyy")),
+            )
             text = (
-                F.when(d["form"] == "yyyy-MM-dd", F.date_format(day, "yyyy-MM-dd"))
-                .when(d["form"] == "MM/dd/yyyy", F.date_format(day, "MM/dd/yyyy"))
-                .otherwise(F.date_format(day, "dd/MM/yyyy"))
+                F.when(d["form"] == "yyyy-MM-dd", F.date_format(moved(d["day"]), "yyyy-MM-dd"))
+                .when(d["form"] == "MM/dd/yyyy", F.date_format(moved(d["day"]), "MM/dd/yyyy"))
+                .otherwise(walked)
             )
             return F.when(d["day"].isNotNull(), text)
 
+        def iban(plain: Column) -> Column:
+            def checked(body: Column) -> Column:
+                country = F.substr(plain, F.lit(1), F.lit(2))
+                check = F.lpad((98 - _mod_97(F.concat(country, F.lit("00"), body))).cast("string"), 2, "0")
+                return _refilled(m, F.concat(country, check, body), " ")
+
+            body = F.substr(plain, F.lit(5), F.char_length(plain))
+            return F.when(_mod_97(plain) == 1, let(_permuted(body, zero, F.char_length(body), key, kind), checked))
+
+        def email(local: Column) -> Column:
+            chunks = F.sequence(F.lit(1), F.char_length(local), F.lit(CHUNK))
+            each = F.transform(chunks, lambda i: let(F.substr(local, i, F.lit(CHUNK)), lambda c: _permuted(c, zero, size, key, kind)))
+            return F.concat(F.array_join(each, ""), F.substr(m, F.char_length(local) + 1, size))
+
         digits = F.regexp_replace(m, r"[^0-9]", "")
         zero, n = F.lit(0), F.char_length(digits)
 
@@ -225,7 +282,8 @@ def pseudonym(match: Column, key: str) -> Column:
         )
         issued = ~m.rlike(r"^(?:000|666|9)|-00-|-0000$")
         text = (
-            F.when(kind == "email", _permuted(m, zero, F.instr(m, "@") - 1, key, kind))
+            F.when(kind == "email", let(F.substring_index(m, "@", 1), email))
+            .when(kind == "iban", let(F.replace(m, F.lit(" ")), iban))
             .when(kind == "ip", ip)
             .when(kind == "date", let(_day(m), date))
             .when((kind == "ssn") & issued, let(_permuted(digits, zero, n, key, kind), lambda d: _refilled(m, d)))

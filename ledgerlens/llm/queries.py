@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -113,8 +114,14 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pii_key(spark: SparkSession) -> str:
-    """The secret of the permutations: the session's ``spark.ledgerlens.pii.key``; a fixed one for tests without it."""
-    return spark.conf.get("spark.ledgerlens.pii.key", "not a secret")
+    """The secret of the permutations: the session's ``spark.ledgerlens.pii.key``.
+
+    Where it is unset, a random one is drawn for the session: values are then linked within it and not beyond.
+    """
+    name = "spark.ledgerlens.pii.key"
+    if not spark.conf.get(name, None):
+        spark.conf.set(name, secrets.token_hex(32))
+    return spark.conf.get(name)
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
