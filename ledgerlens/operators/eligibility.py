@@ -15,6 +15,10 @@ FLAGS = {
     "fund": ("MUTUAL_FUND_SIP",),
     "deposit": ("FIXED_DEPOSIT",),
 }
+#: What each recommendation says after its product.
+LOAN, CARD = "PERSONAL_LOAN: Pre-approved up to ₹", ": Instant approval"
+FUND, DEPOSIT = "MUTUAL_FUND_SIP: Starting ₹500/month", "FIXED_DEPOSIT: 7.1% p.a. for 1 year"
+WEALTH = "WEALTH_MANAGEMENT: Dedicated RM assigned"
 #: Rule tables up to this many rows are broadcast.
 RULE_LIMIT = 10_000
 
@@ -30,13 +34,16 @@ def scored(profiles: DataFrame) -> DataFrame:
     )
 
 
-def eligible_products(profiles: DataFrame, rules: DataFrame) -> DataFrame:
-    """``(customer_key, rule_id, product)`` for every rule whose four bounds a profile meets, bounds included.
-
-    The rule table is small by nature; its size is checked before it is sent to every task.
-    """
+def _checked(rules: DataFrame) -> DataFrame:
+    """A rule table is small by nature; its size is checked before it is sent to every task."""
     if len(rules.head(RULE_LIMIT + 1)) > RULE_LIMIT:
         raise ValueError(f"more than {RULE_LIMIT} rules")
+    return rules
+
+
+def eligible_products(profiles: DataFrame, rules: DataFrame) -> DataFrame:
+    """``(customer_key, rule_id, product)`` for every rule whose four bounds a profile meets, bounds included."""
+    rules = _checked(rules)
     p = profiles.withColumn("_dti", scoring.dti(F.col("outstanding_debt"), F.col("annual_income")))
     meets = (
         (p["credit_score"] >= rules["min_credit"])
@@ -47,36 +54,46 @@ def eligible_products(profiles: DataFrame, rules: DataFrame) -> DataFrame:
     return p.join(F.broadcast(rules), meets).select("customer_key", "rule_id", "product")
 
 
-def _flag_table(profiles: DataFrame, rules: DataFrame) -> DataFrame:
-    matches = eligible_products(profiles, rules).groupBy("customer_key")
-    return matches.agg(*(F.bool_or(F.col("product").isin(*products)).alias(name) for name, products in FLAGS.items()))
+def flagged(profiles: DataFrame, rules: DataFrame) -> DataFrame:
+    """``profiles`` with one boolean a flag: a projection over the rules as one array, so no profile is moved."""
+    bounds = F.collect_list(F.struct("product", "min_credit", "min_income", "max_dti", "min_tenure"))
+    dti = scoring.dti(F.col("outstanding_debt"), F.col("annual_income"))
+    met = F.filter(
+        "_rules",
+        lambda r: (F.col("credit_score") >= r["min_credit"])
+        & (F.col("annual_income") >= r["min_income"])
+        & (dti <= r["max_dti"])
+        & (F.col("tenure_months") >= r["min_tenure"]),
+    )
+    held = profiles.withColumn("_rules", _checked(rules).agg(bounds).scalar())
+    held = held.withColumn("_products", F.transform(met, lambda r: r["product"])).drop("_rules")
+    flags = {name: F.arrays_overlap("_products", F.array(*map(F.lit, products))) for name, products in FLAGS.items()}
+    return held.withColumns(flags).drop("_products")
 
 
 def eligibility_flags(profiles: DataFrame, rules: DataFrame) -> DataFrame:
     """One boolean a flag for every profile; profiles without a rule have none set."""
-    found = profiles.select("customer_key").join(_flag_table(profiles, rules), "customer_key", "left")
-    return found.select("customer_key", *(F.coalesce(name, F.lit(False)).alias(name) for name in FLAGS))
+    return flagged(profiles, rules).select("customer_key", *FLAGS)
 
 
 def recommendation_list() -> Column:
     """The recommendations of a scored and flagged profile, in order."""
-    loan = F.concat(F.lit("PERSONAL_LOAN: Pre-approved up to ₹"), text.grouped(0.3 * F.col("annual_income")))
-    card = F.when(F.col("credit_score") >= 720, "CREDIT_CARD_PREMIUM").otherwise("CREDIT_CARD_BASIC")
+    loan = F.concat(F.lit(LOAN), text.grouped(0.3 * F.col("annual_income")))
+    card = F.when(F.col("credit_score") >= 720, "CREDIT_CARD_PREMIUM" + CARD).otherwise("CREDIT_CARD_BASIC" + CARD)
     return F.array_compact(
         F.array(
             F.when(F.col("loan") & (F.col("risk") < 0.6), loan),
             F.when(F.col("card"), card),
-            F.when(F.col("fund") & (F.col("propensity") > 0.5), "MUTUAL_FUND_SIP"),
-            F.when(F.col("deposit"), "FIXED_DEPOSIT"),
-            F.when(F.col("segment").isin("WEALTH", "PREMIER"), "WEALTH_MANAGEMENT"),
+            F.when(F.col("fund") & (F.col("propensity") > 0.5), FUND),
+            F.when(F.col("deposit"), DEPOSIT),
+            F.when(F.col("segment").isin("WEALTH", "PREMIER"), WEALTH),
         )
     )
 
 
 def recommendations(profiles: DataFrame, rules: DataFrame) -> DataFrame:
     """Scores and recommendations of every profile."""
-    flagged = scored(profiles).join(eligibility_flags(profiles, rules), "customer_key")
-    return flagged.select("customer_key", "risk", "propensity", recommendation_list().alias("products"))
+    return flagged(scored(profiles), rules).select("customer_key", "risk", "propensity", recommendation_list().alias("products"))
 
 
 def assign_round_robin(requests: DataFrame, dimension: DataFrame, key: str, seq: str = "seq") -> DataFrame:

@@ -89,6 +89,15 @@ def throughput(n: Column, elapsed_ms: Column) -> Column:
     return F.floor(n * 1000 / F.greatest(F.lit(1), elapsed_ms)).cast("bigint")
 
 
+def tracker_report(df: DataFrame, keys: list[str]) -> DataFrame:
+    """By key: rows, running mean, and whole rows a second over the time between the first and the last."""
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    elapsed = F.floor((F.max(micros) - F.min(micros)) / 1000)
+    return df.groupBy(*keys).agg(
+        F.count("*").alias("n"), running_mean("latency_ms").alias("mean_ms"), throughput(F.count("*"), elapsed).alias("per_second")
+    )
+
+
 def compare_variants(df: DataFrame, base: str, candidate: str) -> DataFrame:
     """The 99th percentiles of two variants, and how much lower the candidate's is, in whole ms and percent."""
     p = latency_percentiles(df, ["variant"])

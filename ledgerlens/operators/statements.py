@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.functions import scoring, text
@@ -17,8 +17,13 @@ def velocity(payments: DataFrame, seconds: int = 6 * 3600) -> DataFrame:
     return payments.withColumn("recent", F.count("*").over(near))
 
 
-def fraud_scores(payments: DataFrame, noise: str = "none", seed: int = 0, seconds: int = 6 * 3600) -> DataFrame:
-    """``score`` and ``status``; every random part is its middle, or with ``noise="hash"`` a hash of the payment."""
+def fraud_scores(
+    payments: DataFrame, noise: str = "none", seed: int = 0, seconds: int = 6 * 3600, geo: Column | None = None
+) -> DataFrame:
+    """``score`` and ``status``; every random part is its middle, or with ``noise="hash"`` a hash of the payment.
+
+    ``geo`` is the risk of the place, from 0 to 0.3, as the caller knows it.
+    """
 
     def u(feature: str):
         return scoring.uniform(noise, feature, F.col("seq"), seed)
@@ -27,7 +32,7 @@ def fraud_scores(payments: DataFrame, noise: str = "none", seed: int = 0, second
         scoring.velocity_feature(F.col("recent"), F.col("account_id"), u("velocity")),
         scoring.amount_feature(F.col("amount_cents"), u("amount")),
         scoring.time_feature(F.col("ts"), u("time")),
-        0.3 * u("geo"),
+        0.3 * u("geo") if geo is None else geo,
         0.1 * u("shift") - 0.05,
     )
     scored = velocity(payments, seconds).withColumn("score", F.round(score, 6))
@@ -53,31 +58,36 @@ def statement_totals(payments: DataFrame) -> DataFrame:
     return totals.withColumn("net_cents", F.col("credit_cents") - F.col("debit_cents"))
 
 
-def statement_lines(payments: DataFrame) -> DataFrame:
-    """The numbered lines of each account's month: ``(account_id, period, line_no, seq, type, amount_cents, text)``."""
-    by_month = payments.withColumn("period", text.period(F.col("ts")))
+#: The rules of a statement, its widths and its labels.
+DOUBLE, SINGLE = "═" * 50, "  " + "─" * 58
+TITLE = "Monthly Statement"
+COLUMNS = "  TX-ID    TYPE         STATUS     AMOUNT (₹) FRAUD SCORE "
+LINE = "  %-8s %-12s %-8s %,12.2f  %.3f"
+TOTALS = "  Total Credits:  ₹%,14.2f\n  Total Debits:   ₹%,14.2f\n  Net Balance:    ₹%,14.2f"
+
+
+def statement_lines(scored: DataFrame) -> DataFrame:
+    """The numbered lines of each account's month: ``scored`` payments with ``period``, ``line_no`` and ``text``."""
+    by_month = scored.withColumn("period", text.period(F.col("ts")))
     ordered = Window.partitionBy("account_id", "period").orderBy("ts", "seq")
-    line = F.format_string(
-        "%s %-12s %12s", F.date_format("ts", "yyyy-MM-dd HH:mm"), F.col("type"), text.grouped(F.col("amount_cents") / 100.0, 2)
-    )
+    thousandths = F.floor((F.round(F.col("score") * 1e6) + 500) / 1000) / 1000.0  # halves up, whatever the format does
+    line = F.format_string(LINE, F.col("seq").cast("string"), "type", "status", F.col("amount_cents") / 100.0, thousandths)
     return by_month.withColumn("line_no", F.row_number().over(ordered).cast("bigint")).withColumn("text", line)
 
 
-def statement_texts(payments: DataFrame) -> DataFrame:
+def statement_texts(scored: DataFrame) -> DataFrame:
     """``(account_id, period, text)``: header, lines in order, totals. A statement holds one account's month."""
-    lines = statement_lines(payments).groupBy("account_id", "period").agg(
+    lines = statement_lines(scored).groupBy("account_id", "period").agg(
         F.transform(F.sort_array(F.collect_list(F.struct("line_no", "text"))), lambda x: x["text"]).alias("lines")
     )
-    joined = lines.join(statement_totals(payments), ["account_id", "period"])
-    head = F.concat(F.lit("Statement "), F.col("account_id"), F.lit(" "), F.col("period"))
-    foot = F.format_string(
-        "Credits %s Debits %s Net %s",
-        *(text.grouped(F.col(c) / 100.0, 2) for c in ("credit_cents", "debit_cents", "net_cents")),
-    )
-    body = F.array_join(F.concat(F.array(head), "lines", F.array(foot)), "\n")
+    joined = lines.join(statement_totals(scored), ["account_id", "period"])
+    said = [F.lit(DOUBLE), F.lit("  " + TITLE), F.concat(F.lit("  Account: "), "account_id"), F.concat(F.lit("  Period: "), "period")]
+    head = F.array(*said, F.lit(DOUBLE), F.lit(""), F.lit(COLUMNS), F.lit(SINGLE))
+    totals = F.format_string(TOTALS, *(F.col(c) / 100.0 for c in ("credit_cents", "debit_cents", "net_cents")))
+    body = F.array_join(F.concat(head, "lines", F.array(F.lit(SINGLE), totals, F.lit(""), F.lit(DOUBLE), F.lit(""))), "\n")
     return joined.select("account_id", "period", body.alias("text"))
 
 
-def write_statements(payments: DataFrame, path: str, mode: str = "errorifexists") -> None:
+def write_statements(scored: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """Statements as Parquet, a folder a month, each account's in one file of it."""
-    statement_texts(payments).repartition("period", "account_id").write.mode(mode).partitionBy("period").parquet(path)
+    statement_texts(scored).repartition("period", "account_id").write.mode(mode).partitionBy("period").parquet(path)

@@ -21,7 +21,7 @@ from ledgerlens.operators import (
     transactions,
 )
 from ledgerlens.plans.views import oracle, view
-from ledgerlens.sources.rules import standard_rules
+from ledgerlens.sources.rules import rules_file, standard_rules
 from ledgerlens.streaming import queries as streams
 
 FLAGSHIP = "recommendations"
@@ -266,7 +266,24 @@ def breaker_trace(spark, sf_dir):
     return resilience.breaker_trace(view(spark, sf_dir, "v_breaker_calls"), 3, timedelta(hours=2))
 
 
-@query()
+# at a call: the state it meets (pre), then the outcomes that count (kept) and whether they trip the breaker
+_MET = "CASE WHEN st = 'OPEN' AND o.ts >= since + INTERVAL '2 hours' THEN 'HALF_OPEN' ELSE st END"
+_RATE_BREAKER_SQL = f"""WITH RECURSIVE o AS (SELECT *, row_number() OVER (PARTITION BY service ORDER BY ts, seq) AS rn FROM v_breaker_calls),
+f AS (SELECT service, cast(0 AS bigint) AS rn, 'CLOSED' AS st, cast(NULL AS timestamp) AS since, cast([] AS integer[]) AS recent, '' AS b4, '' AS dec, cast(-1 AS bigint) AS seq
+  FROM o GROUP BY 1
+  UNION ALL SELECT service, rn,
+    CASE WHEN pre = 'OPEN' THEN 'OPEN' WHEN trips THEN 'OPEN' WHEN pre = 'HALF_OPEN' AND len(kept) = size THEN 'CLOSED' ELSE pre END,
+    CASE WHEN pre <> 'OPEN' AND trips THEN ts ELSE since END,
+    CASE WHEN pre = 'OPEN' THEN recent WHEN pre = 'HALF_OPEN' AND len(kept) = size AND NOT trips THEN cast([] AS integer[]) ELSE kept END,
+    pre, CASE WHEN pre = 'OPEN' THEN 'REJECTED' ELSE 'CALLED' END, seq
+  FROM (SELECT *, len(kept) = size AND list_sum(kept) >= 0.5e0 * size AS trips
+    FROM (SELECT *, list_slice(said, greatest(1, len(said) - size + 1), len(said)) AS kept
+      FROM (SELECT *, list_append(CASE WHEN pre = st THEN recent ELSE cast([] AS integer[]) END, cast(failed AS integer)) AS said, CASE WHEN pre = 'HALF_OPEN' THEN 2 ELSE 5 END AS size
+        FROM (SELECT o.service, o.rn, o.seq, o.ts, o.failed, st, since, recent, {_MET} AS pre FROM f JOIN o ON o.service = f.service AND o.rn = f.rn + 1)))))
+SELECT seq, b4 AS state_before, dec AS decision, st AS state_after, cast(coalesce(list_sum(recent), 0) AS bigint) AS failures FROM f WHERE rn > 0"""
+
+
+@query(_RATE_BREAKER_SQL)
 def breaker_trace_by_rate(spark, sf_dir):
     return resilience.breaker_trace(view(spark, sf_dir, "v_breaker_calls"), open_for=timedelta(hours=2), mode="rate")
 
@@ -349,10 +366,40 @@ def statement_totals(spark, sf_dir):
 @query("""SELECT account_id, strftime(ts, '%Y-%m') AS period, seq, type, amount_cents,
 row_number() OVER (PARTITION BY account_id, strftime(ts, '%Y-%m') ORDER BY ts, seq) AS line_no FROM v_payments""")
 def statement_lines(spark, sf_dir):
-    lines = statements.statement_lines(view(spark, sf_dir, "v_payments"))
+    lines = statements.statement_lines(statements.fraud_scores(view(spark, sf_dir, "v_payments")))
     return lines.select("account_id", "period", "seq", "type", "amount_cents", "line_no")
 
 
+def _padded(text: str, width: int) -> str:
+    return f"concat(repeat(' ', greatest(0, {width} - length({text}))), {text})"
+
+
+_MONEY = "format('{{:,.2f}}', {} / 100.0)"
+_TOTALS_SQL = " ".join(
+    f"'  {label}₹', {_padded(_MONEY.format(cents), 14)}, chr(10),"
+    for label, cents in (("Total Credits:  ", "credit"), ("Total Debits:   ", "debit"), ("Net Balance:    ", "(credit - debit)"))
+)
+
+
+@query(f"""WITH s AS ({_SCORES}), t AS (SELECT p.*, score, {_TIER} AS status, strftime(ts, '%Y-%m') AS period FROM v_payments p JOIN s USING (seq)),
+l AS (SELECT account_id, period, string_agg(concat('  ', rpad(cast(seq AS varchar), cast(greatest(8, length(cast(seq AS varchar))) AS integer), ' '), ' ', rpad(type, 12, ' '), ' ',
+  rpad(status, cast(greatest(8, length(status)) AS integer), ' '), ' ', {_padded(_MONEY.format("amount_cents"), 12)}, '  ',
+  format('{{:.3f}}', (cast(round(score * 1e6) AS bigint) + 500) // 1000 / 1000e0), chr(10)), '' ORDER BY ts, seq) AS lines,
+  cast(coalesce(sum(amount_cents) FILTER (type = 'CREDIT'), 0) AS bigint) AS credit, cast(coalesce(sum(amount_cents) FILTER (type <> 'CREDIT'), 0) AS bigint) AS debit
+  FROM t GROUP BY ALL)
+SELECT account_id, period, concat(repeat('═', 50), chr(10), '  Monthly Statement', chr(10), '  Account: ', account_id, chr(10), '  Period: ', period, chr(10),
+repeat('═', 50), chr(10), chr(10), '  TX-ID    TYPE         STATUS     AMOUNT (₹) FRAUD SCORE ', chr(10), '  ', repeat('─', 58), chr(10), lines,
+'  ', repeat('─', 58), chr(10), {_TOTALS_SQL} chr(10), repeat('═', 50), chr(10)) AS text FROM l""")
+def statement_texts(spark, sf_dir):
+    return statements.statement_texts(statements.fraud_scores(view(spark, sf_dir, "v_payments")))
+
+
+@query(f"WITH s AS ({_SCORES.replace('0.15e0 * 0.15e0', '0.15e0 * ((seq % 100) / 100e0 * 0.3e0)')}) SELECT seq, score, {_TIER} AS status FROM s")
+def fraud_scores_geo(spark, sf_dir):
+    geo = F.pmod(F.col("seq"), F.lit(100)) / 100.0 * 0.3
+    return statements.fraud_scores(view(spark, sf_dir, "v_payments"), geo=geo).select("seq", "score", "status")
+
+
 # Recommendations
 
 _SCORED = """SELECT *, outstanding_debt / greatest(1e0, annual_income) AS dti FROM v_profiles"""
@@ -375,7 +422,7 @@ def risk_propensity(spark, sf_dir):
 
 @query(_ELIGIBLE)
 def eligible_products(spark, sf_dir):
-    return eligibility.eligible_products(view(spark, sf_dir, "v_profiles"), standard_rules(spark))
+    return eligibility.eligible_products(view(spark, sf_dir, "v_profiles"), rules_file(spark))
 
 
 @query(f"WITH e AS ({_ELIGIBLE}) {_FLAGS}")
@@ -387,9 +434,9 @@ def eligibility_flags(spark, sf_dir):
 s AS (SELECT *, {_RISK} AS risk, {_PROPENSITY} AS propensity FROM ({_SCORED}) JOIN f USING (customer_key))
 SELECT customer_key, round(risk, 6) AS risk, round(propensity, 6) AS propensity, concat_ws('|',
 CASE WHEN loan AND risk < 0.6e0 THEN concat('PERSONAL_LOAN: Pre-approved up to ₹', format('{{:,}}', cast(floor(0.3e0 * annual_income + 0.5e0) AS bigint))) END,
-CASE WHEN card THEN CASE WHEN credit_score >= 720 THEN 'CREDIT_CARD_PREMIUM' ELSE 'CREDIT_CARD_BASIC' END END,
-CASE WHEN fund AND propensity > 0.5e0 THEN 'MUTUAL_FUND_SIP' END, CASE WHEN deposit THEN 'FIXED_DEPOSIT' END,
-CASE WHEN segment IN ('WEALTH', 'PREMIER') THEN 'WEALTH_MANAGEMENT' END) AS products FROM s""")
+CASE WHEN card THEN CASE WHEN credit_score >= 720 THEN 'CREDIT_CARD_PREMIUM: Instant approval' ELSE 'CREDIT_CARD_BASIC: Instant approval' END END,
+CASE WHEN fund AND propensity > 0.5e0 THEN 'MUTUAL_FUND_SIP: Starting ₹500/month' END, CASE WHEN deposit THEN 'FIXED_DEPOSIT: 7.1% p.a. for 1 year' END,
+CASE WHEN segment IN ('WEALTH', 'PREMIER') THEN 'WEALTH_MANAGEMENT: Dedicated RM assigned' END) AS products FROM s""")
 def recommendations(spark, sf_dir):
     found = eligibility.recommendations(view(spark, sf_dir, "v_profiles"), standard_rules(spark))
     rounded = [F.round(c, 6).alias(c) for c in ("risk", "propensity")]
@@ -456,6 +503,20 @@ def sla_report(spark, sf_dir):
     return latency.sla_report(view(spark, sf_dir, "v_latency"), ["endpoint"])
 
 
+@query("""SELECT endpoint, count(*) AS n, round(sum(latency_ms) / cast(count(*) AS double), 6) AS mean_ms,
+cast(count(*) * 1000 // greatest(1, (max(epoch_us(ts)) - min(epoch_us(ts))) // 1000) AS bigint) AS per_second FROM v_latency GROUP BY endpoint""")
+def tracker_report(spark, sf_dir):
+    found = latency.tracker_report(view(spark, sf_dir, "v_latency"), ["endpoint"])
+    return found.withColumn("mean_ms", F.round("mean_ms", 6))
+
+
+@query("""SELECT seq, CASE WHEN seq % 7 = 0 THEN 0 ELSE cast((latency_ms * 1000000 + seq % 1000000) // 1000000 AS bigint) END AS latency_ms FROM v_latency""")
+def request_latencies(spark, sf_dir):
+    start = F.col("seq") * 1_000_003
+    end = F.when(F.col("seq") % 7 == 0, 0).otherwise(start + F.col("latency_ms") * 1_000_000 + F.col("seq") % 1_000_000)
+    return view(spark, sf_dir, "v_latency").select("seq", latency.latency_of(start, end).alias("latency_ms"))
+
+
 @query("SELECT endpoint, count(*) AS n, count_if(latency_ms > 200)::bigint AS breaches FROM v_latency GROUP BY endpoint")
 def breach_counts(spark, sf_dir):
     return latency.breach_counts(view(spark, sf_dir, "v_latency"), ["endpoint"], 200)
@@ -540,7 +601,8 @@ def stream_breaker(spark, sf_dir):
 
 
 @query("""SELECT epoch_us(time_bucket(INTERVAL '1 day', ts)) AS window_us, event_type AS endpoint, count(*) AS n,
-count_if(cast(floor(value) AS bigint) > 200)::bigint AS breaches FROM events GROUP BY 1, 2""")
+count_if(cast(floor(value) AS bigint) > 200)::bigint AS breaches, quantile_disc(cast(floor(value) AS bigint), 0.99) AS p99,
+quantile_disc(cast(floor(value) AS bigint), 0.99) > 200 AS breached FROM events GROUP BY 1, 2""")
 def stream_sla(spark, sf_dir):
     return streams.sla(spark, sf_dir)
 

@@ -2,9 +2,21 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 
+def shared_folder(spark: SparkSession, purpose: str = "tables") -> str:
+    """A new folder under ``spark.checkpoint.dir``; a temporary one only where that is unset in a local session."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors see")
+    base = base or "file://" + tempfile.mkdtemp(prefix="spark-")
+    return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+
+
 def session(app: str = "ledgerlens", master: str | None = None, **conf: str) -> SparkSession:
     """A UTC session with adaptive execution; ``conf`` keys use ``__`` for dots."""
     builder = SparkSession.builder.appName(app)

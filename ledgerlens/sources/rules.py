@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgerlens.schemas import RULE
+from ledgerlens.session import shared_folder
 
 #: Rule id, product, least credit score, least income, largest debt-to-income ratio, least tenure.
 RULE_ROWS = (
@@ -31,6 +32,13 @@ def read_rules(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def rules_file(spark: SparkSession) -> DataFrame:
+    """The eight rules by way of a CSV file in the session's shared folder."""
+    path = f"{shared_folder(spark)}/rules"
+    standard_rules(spark).coalesce(1).write.option("header", True).csv(path)
+    return read_rules(spark, path)
+
+
 def standard_rules(spark: SparkSession) -> DataFrame:
     """The eight rules above."""
     return spark.createDataFrame([(*r[:3], float(r[3]), *r[4:]) for r in RULE_ROWS], RULE)

@@ -12,9 +12,9 @@ from ledgerlens.functions import text
 #: Fixed values of the tables: names that rows draw from.
 TYPES = ("DEPOSIT", "WITHDRAWAL", "TRANSFER", "PURCHASE")
 CHANNELS = ("channel:MOBILE", "channel:WEB")
-TIERS = ("SILVER", "GOLD", "PREMIUM")
-CITIES = ("Mumbai", "Delhi", "Bengaluru", "Chennai", "Pune")
-CATEGORIES = ("GROCERY", "FUEL", "TRAVEL", "ELECTRONICS")
+TIERS = ("PREMIUM", "GOLD", "SILVER")
+CITIES = ("Bengaluru", "Mumbai", "Delhi", "Pune", "Hyderabad")
+CATEGORIES = ("GROCERY", "ELECTRONICS", "APPAREL", "BOOKS")
 PAYMENT_TYPES = ("CREDIT", "DEBIT", "TRANSFER", "FRAUD_CHECK")
 ACCOUNTS = ("MUM-SAV-001", "MUM-SAV-002", "MUM-CUR-003", "MUM-SAV-004", "DEL-SAV-005", "FRAUD-TRY-001")
 #: Segment, weight out of 14, and typical income.

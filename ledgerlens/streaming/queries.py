@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 from datetime import timedelta
 
@@ -13,6 +11,7 @@ from pyspark.sql import functions as F
 from ledgerlens.operators.ordering import positions
 from ledgerlens.plans.views import view, view_of
 from ledgerlens.schemas import EVENT
+from ledgerlens.session import shared_folder
 from ledgerlens.sources.rules import standard_rules
 from ledgerlens.streaming import streams
 
@@ -20,12 +19,6 @@ from ledgerlens.streaming import streams
 DELAY = "40 days"
 
 
-def _folder(spark: SparkSession) -> str:
-    """A new folder under ``spark.checkpoint.dir``; a temporary one only where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-")
-    return f"{base.rstrip('/')}/replay-{uuid.uuid4().hex}"
-
-
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     stream = streams.file_stream(spark, f"{sf_dir}/event[s].parquet", EVENT)
     return stream.withColumn("ts", F.col("ts").cast("timestamp"))
@@ -37,7 +30,7 @@ def replay(df: DataFrame, mode: str = "append", each: Callable[[DataFrame, int],
     A micro-batch overwrites its own folder, so one that is run again counts once.
     """
     spark = df.sparkSession
-    folder = _folder(spark)
+    folder = shared_folder(spark, "replay")
 
     def sink(rows: DataFrame, batch_id: int) -> None:
         rows = each(rows, batch_id) if each else rows
@@ -77,7 +70,7 @@ def breaker(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sla(spark: SparkSession, sf_dir: str) -> DataFrame:
     samples = view_of(spark, "v_latency", {"events": _events(spark, sf_dir)})
     counted = replay(streams.sla_monitor(samples, 200, DELAY, "1 day"), "update")
-    return latest(counted, "window_us", "endpoint").select("window_us", "endpoint", "n", "breaches")
+    return latest(counted, "window_us", "endpoint").select("window_us", "endpoint", "n", "breaches", "p99", "breached")
 
 
 def dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

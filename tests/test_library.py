@@ -105,7 +105,7 @@ def test_recommendation_on_the_bounds(spark):
                                "customer_key long, segment string, credit_score int, tenure_months int, annual_income double, current_balance double, outstanding_debt double")
     row = eligibility.recommendations(df, standard_rules(spark)).first()
     assert abs(row["risk"] - 0.47) < 1e-9 and abs(row["propensity"] - 0.44) < 1e-9
-    assert row["products"] == ["PERSONAL_LOAN: Pre-approved up to ₹180,000", "CREDIT_CARD_PREMIUM", "FIXED_DEPOSIT", "WEALTH_MANAGEMENT"]
+    assert row["products"] == ["PERSONAL_LOAN: Pre-approved up to ₹180,000", "CREDIT_CARD_PREMIUM: Instant approval", "FIXED_DEPOSIT: 7.1% p.a. for 1 year", "WEALTH_MANAGEMENT: Dedicated RM assigned"]
     found = {r["rule_id"] for r in eligibility.eligible_products(df, standard_rules(spark)).collect()}
     assert found == {"R01", "R02", "R03", "R04", "R05", "R07"}
 
@@ -169,10 +169,10 @@ def test_synthetic_tables_do_not_depend_on_partitioning(spark):
 
 def test_statements_are_written_by_month(spark, tmp_path):
     payments = view(spark, SF_SMALL, "v_payments")
-    statements.write_statements(payments, str(tmp_path / "s"))
+    statements.write_statements(statements.fraud_scores(payments), str(tmp_path / "s"))
     back = spark.read.parquet(str(tmp_path / "s"))
     assert back.count() == payments.select("account_id", F.date_format("ts", "yyyy-MM")).distinct().count()
-    assert back.first()["text"].startswith("Statement ")
+    assert back.first()["text"].splitlines()[1] == "  Monthly Statement"
 
 
 def test_rule_cache_and_audit(spark, tmp_path):
