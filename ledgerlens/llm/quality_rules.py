@@ -6,12 +6,13 @@ the whole corpus, and a text scores the mean over its n-grams of ``log(p_trusted
 Bucket weights are whole millionths of a nat, so a score doesn't depend on the order of summation
 and thresholding is deterministic.
 
-Everything is a DataFrame expression. The corpus is counted where it lies (a partial aggregation
-leaves one row a bucket and task), the weights are one array of ``buckets`` numbers, and scoring is
-a projection: documents are never shuffled.
+Everything is a DataFrame expression, and all documents count: every trusted one on one side, every one on the
+other. The corpus is counted where it lies (a partial aggregation leaves one row a bucket and task), the weights are
+one array of ``buckets`` numbers, and scoring is a projection. Texts are shuffled only to be joined to more trusted
+ids than Spark broadcasts.
 
 Defined results: null and empty texts have no words, all counts 0 and fail the base rules. A corpus
-without trusted documents gives every bucket the weight 0, so every score is 0. Repeated rows count
+without trusted documents gives every bucket the weight 0, so every score is 0. An empty table gives an empty one. Repeated rows count
 as often as they occur and get equal verdicts. Other columns pass through; a column named as one of
 the results gives way to the result.
 """
@@ -25,8 +26,8 @@ from ledgerlens.llm.common import let, shared_folder, words_of, written
 
 #: Buckets of hashed n-grams.
 BUCKETS = 1 << 16
-#: Pseudo-count of every bucket: a bucket that holds fewer n-grams says little either way.
-SMOOTHING = 32.0
+#: Pseudo-count of every bucket, in trusted n-grams: a bucket of which fewer are there, or would be, says little either way.
+SMOOTHING = 8.0
 #: Texts under this many words fail.
 MIN_WORDS = 50
 #: Texts with more than this percentage of their words in repeated windows of three fail.
@@ -88,9 +89,12 @@ def _dup_lines(text: Column) -> Column:
 
 
 def _flagged(docs: DataFrame, trusted_ids: DataFrame) -> DataFrame:
-    """``docs`` with ``_trusted``: 1 for those in the bounded sample of ids, which is broadcast, else 0."""
+    """``docs`` with ``_trusted``: 1 for those whose id is a trusted one, else 0.
+
+    Spark sends the ids to every task where they are few, by its own check of their size, and shuffles otherwise.
+    """
     ids = trusted_ids.select("doc_id").distinct().withColumn("_trusted", F.lit(1))
-    joined = docs.join(F.broadcast(ids), "doc_id", "left")
+    joined = docs.join(ids, "doc_id", "left")
     return joined.withColumn("_trusted", F.coalesce("_trusted", F.lit(0)))
 
 
@@ -100,8 +104,9 @@ def bucket_weights(
     """``(place, weight)``, ``weight`` in millionths of a nat: the buckets for other documents, then for trusted ones.
 
     An n-gram isn't evidence for itself: the occurrence that is weighed is taken out of the corpus, and for a
-    trusted document out of the trusted text too. The pseudo-counts of the two multinomials are as their
-    sizes, so an n-gram that occurs nowhere else weighs nothing, however large the corpus is.
+    trusted document out of the trusted text too. A bucket's trusted n-grams are held against those that it would
+    have if trusted text were like the corpus, both with one pseudo-count. So a weight depends on how much trusted
+    text there is to tell, not on the size of the corpus, and an n-gram that occurs nowhere else weighs nothing.
     """
     counts = (
         _flagged(docs.select("doc_id", "text"), trusted_ids)
@@ -119,7 +124,7 @@ def bucket_weights(
 
     def weight(own: int):
         t, r = (F.greatest(F.col(c) - k, F.lit(0)) for c, k in (("t", own), ("r", 1)))
-        ratio = F.log((t + smoothing * share) / (r + smoothing) / share)
+        ratio = F.log((t + smoothing) / (r * share + smoothing))
         return F.when(F.lit(nt == 0), 0).otherwise(F.round(ratio * 1e6)).cast("long")
 
     return full.select(F.col("bucket").alias("place"), weight(0).alias("weight")).unionByName(

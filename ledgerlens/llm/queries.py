@@ -12,14 +12,10 @@ from ledgerlens.llm import jaccard, language, media, packing, pii, quality_model
 from ledgerlens.llm.common import bounded_sample, residue, shared_folder, table, written
 from ledgerlens.llm.quality_rules import SIGNALS, quality_rules
 
-#: Trusted documents that the quality rules' target is estimated from, at most.
-TRUSTED_LIMIT = 20_000
-
 
 def trusted_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ids of at most ``TRUSTED_LIMIT`` documents that are labelled as good."""
-    good = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
-    return bounded_sample(good, "doc_id", TRUSTED_LIMIT, seed=1)
+    """The ids of all documents that are labelled as good."""
+    return table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ from ledgerlens.llm import (
     toxicity,
 )
 from ledgerlens.llm.common import shared_folder
-from ledgerlens.llm.queries import vocabulary_path
+from ledgerlens.llm.queries import packed_sequences, vocabulary_path
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 rng = random.Random(4)
@@ -90,7 +90,7 @@ def test_quality_rules_llr_against_brute_force(spark, docs):
     for i in count:
         own = i in (5, 12)
         prior = quality_rules.SMOOTHING
-        ratio = np.log((np.maximum(good - own, 0) + prior * share) / (np.maximum(raw - 1, 0) + prior) / share)
+        ratio = np.log((np.maximum(good - own, 0) + prior) / (np.maximum(raw - 1, 0) * share + prior))
         expected = (count[i] * ratio).sum() / max(1, count[i].sum())
         assert abs(found.llr[i] - expected) < 2e-6, i
 
@@ -103,14 +103,12 @@ def test_language(spark, docs):
     pairs = tuple(sorted(references.items()))
 
     def phrases(t, ref):
-        n = 0
-        for at in range(0, len(t), language.WINDOW):
-            x, i = t[at : at + language.WINDOW], 0
-            while i < len(x):
-                k = 1
-                while i + k <= len(x) and x[i : i + k] in ref:
-                    k += 1
-                i, n = i + max(1, k - 1), n + 1
+        n = i = 0
+        while i < len(t):
+            k = 1
+            while i + k <= len(t) and t[i : i + k] in ref:
+                k += 1
+            i, n = i + max(1, k - 1), n + 1
         return n
 
     assert (language.phrase_counts(texts, pairs) == [[phrases(t, r) for _, r in pairs] for t in texts]).all()
@@ -177,8 +175,8 @@ def test_packing(docs):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
-    found = packing.pack(docs, vocabulary_path("byte_bpe_50k.tiktoken")).toPandas()
+    found = packed_sequences(docs).toPandas()
+    assert 50256 in tokenizer.encode(TEXTS[14], add_special_tokens=False).ids
     for i, pieces in found.sort_values("piece").groupby("doc_id"):
         ids = [*tokenizer.encode(TEXTS[i] or "", add_special_tokens=False).ids, 0]
         assert pieces.start.tolist() == [0, *pieces.length.cumsum()[:-1]] and pieces.length.sum() == len(ids)
@@ -192,10 +190,40 @@ def test_packing(docs):
 
 def test_packing_is_close_to_the_bound():
     lengths = np.random.default_rng(1).lognormal(5.8, 0.9, 8000).astype(int).clip(1, 2048)
-    sequence, _ = packing.pack_lengths(lengths, 2048)
+    sequence, _, _ = packing.pack_lengths(lengths, 2048)
     assert len(set(sequence)) <= 1.005 * lengths.sum() / 2048 + 2
 
 
+def test_token_files_of_any_shape(spark):
+    import pyarrow.fs as pafs
+
+    folder = shared_folder(spark)
+    fs, root = pafs.FileSystem.from_uri(folder)
+    fs.create_dir(root)
+    files = {"open": [5, 6, 50256, 50256, 7], "closed": [1, 50256], "empty": [], "many": [3, 50256] * 5000}
+    for name, ids in files.items():
+        with fs.open_output_stream(f"{root}/{name}") as out:
+            out.write(np.array(ids, "<u2").tobytes())
+    paths = spark.createDataFrame([(f"{root}/{name}",) for name in files], "path string")
+    for block in (2, 6, 8 << 20):
+        rows = tokens.count_tokens(spark, folder, paths, block_bytes=block).toPandas().sort_values(["path", "ordinal"])
+        for name, ids in files.items():
+            found = rows[rows.path == f"{root}/{name}"][["ordinal", "start", "n_tokens", "closed"]].values.tolist()
+            expected, start = [], 0
+            for at, i in enumerate([*ids, None]):
+                if i == 50256 or (i is None and at > start):
+                    expected.append([len(expected), start, at - start, i == 50256])
+                    start = at + 1
+            assert found == expected, (name, block)
+    with fs.open_output_stream(f"{root}/odd") as out:
+        out.write(b"abc")
+    for bad in ("odd", "missing"):
+        with pytest.raises(Exception):
+            tokens.count_tokens(spark, folder, spark.createDataFrame([(f"{root}/{bad}",)], "path string")).count()
+    with pytest.raises(ValueError):
+        tokens._sixteen_bits(np.array([70_000], "<u4"))
+
+
 def test_token_files(spark, docs):
     folder = shared_folder(spark)
     held = tokens.write_token_files(docs, folder, vocabulary_path("byte_bpe_50k.tiktoken"))
@@ -240,7 +268,7 @@ def test_pii(spark):
     assert len(cards) == 3 and not any(c.startswith("4111111111111111") for c in cards)
     assert out[1].endswith("not 999.1.1.1 or 4.0") and out[1] != texts[1] and out[4].endswith("@mail7.example.com") and out[4] != texts[4]
     iso, eu = out[5].split()[:2]
-    assert pd.Timestamp(iso) == pd.to_datetime(eu, format="%d/%m/%Y" if eu[2] == "/" else None) or pd.Timestamp(iso) == pd.to_datetime(eu, format="%m/%d/%Y")
+    assert pd.Timestamp(iso) and int(eu[:2]) > 12 and pd.to_datetime(eu, format="%d/%m/%Y")
     assert re.fullmatch(r'token = "[0-9a-f]{40}"', out[9]) and out[9] != texts[9]
     assert by_id(pii.pseudonymise(df, "other")).text[2] != out[2]
 
@@ -285,46 +313,51 @@ def test_feistel_is_a_permutation(spark):
     assert len(rows) == 17 * 43 and all(0 <= a < 17 and 0 <= b < 43 for a, b in rows)
 
 
-def test_sentence_pieces_match_the_library(spark, docs):
+def library():
     import sentencepiece
 
     path = vocabulary_path("piece_bpe_32k.model")
-    library = sentencepiece.SentencePieceProcessor(model_file=path)
-    vocabulary = sentence_pieces.read_vocabulary(path)
-    small = docs.where("doc_id != 12")
-    coded = sentence_pieces.code_words(small, vocabulary)
-    for frequent in (5, 100_000):
-        found = by_id(sentence_pieces.together(sentence_pieces.joined(sentence_pieces.occurrences(small, vocabulary), coded, "word", frequent), "doc_id"))
-        for i, t in enumerate(TEXTS):
-            if i != 12 and t:
-                assert found.ids[i].tolist() == library.encode(t), i
-            else:
-                assert i not in found.index
-    back = sentence_pieces.decode_ids(coded, "word", vocabulary).where("word != text")
-    assert back.count() == 0
-
-
-def test_sentence_pieces_merges_with_and_without_a_queue():
-    for _ in range(200):
-        n = rng.randint(1, 40)
-        edges = {i << sentence_pieces.SIZE_BITS | k: rng.randint(0, 30) for i in range(n) for k in range(2, min(6, n - i) + 1) if rng.random() < 0.6}
-        assert sentence_pieces.merge(n, edges) == sentence_pieces._merge_long(n, edges)
-
-
-def test_sentence_pieces_of_mixed_scripts_and_long_runs(spark):
-    import sentencepiece
+    return sentencepiece.SentencePieceProcessor(model_file=path), sentence_pieces.read_vocabulary(path)
+
+
+ODD = [
+    "“Été” – 12345.67!!!\n\n\tnaïve façade’s…", "Привет, мир 中文字符 🙂🙂 a🙂b", "abcdefgh" * 40, "=" * 300 + "x", "   a    b\r\n  ",
+    "a▁b ▁", "x1y2z3", "½²³ ─══─ †", " ", " " * 100, "中文" * 2000, "￿ x", "- - -- --- ---- " * 9,
+    "".join(chr(rng.choice([rng.randint(1, 0x17F), rng.randint(0x370, 0x4FF), rng.randint(0x2000, 0x2600)])) for _ in range(3000)),
+    *(" ".join("".join(rng.choice("aabcdeeinorstt'-=_▁ ") for _ in range(rng.randint(1, 30))) for _ in range(60)) for _ in range(12)),
+]
+
+
+@pytest.mark.parametrize("sample_docs", [20_000, 1])
+def test_sentence_pieces_match_the_library(spark, docs, sample_docs):
+    sp, vocabulary = library()
+    texts = dict(enumerate(TEXTS)) | {100 + k: t for k, t in enumerate(ODD)}
+    df = spark.createDataFrame([(i, t, "x") for i, t in texts.items()], "doc_id long, text string, ids string").repartition(3)
+    blocks = sentence_pieces.decode(sentence_pieces.encode(df, vocabulary, sample_docs), vocabulary)
+    whole = by_id(sentence_pieces.together(blocks))
+    said = blocks.toPandas().sort_values(["doc_id", "place"]).groupby("doc_id").text.apply("".join)
+    for i, t in texts.items():
+        assert whole.ids[i].tolist() == sp.encode(t or ""), (i, t and t[:40])
+        assert said[i] == (t or "").replace("▁", " "), i
 
-    path = vocabulary_path("piece_bpe_32k.model")
-    library, vocabulary = sentencepiece.SentencePieceProcessor(model_file=path), sentence_pieces.read_vocabulary(path)
-    texts = [
-        "“Été” – 12345.67!!!\n\n\tnaïve façade’s…", "Привет, мир 中文字符 🙂🙂 a🙂b", "abcdefgh" * 40, "=" * 300 + "x", "   a    b\r\n  ",
-        "a▁b ▁", "x1y2z3", "½²³ ─══─ †", "".join(chr(rng.choice([rng.randint(1, 0x17F), rng.randint(0x370, 0x4FF), rng.randint(0x2000, 0x2600)])) for _ in range(3000)),
-    ]
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    coded = sentence_pieces.code_words(df, vocabulary)
-    found = by_id(sentence_pieces.together(sentence_pieces.joined(sentence_pieces.occurrences(df, vocabulary), coded, "word"), "doc_id"))
-    for i, text in enumerate(texts):
-        assert found.ids[i].tolist() == library.encode(text), i
+
+def test_sentence_pieces_of_copies_and_nothing(spark):
+    _, vocabulary = library()
+    rows = [(1, "one text"), (1, "one text"), (1, "another"), (None, "no id"), (2, None)]
+    found = sentence_pieces.encode(spark.createDataFrame(rows, "doc_id long, text string"), vocabulary)
+    assert sentence_pieces.together(found).count() == 4 and found.where("doc_id = 2").first()["ids"] == []
+    assert sentence_pieces.encode(spark.createDataFrame([], "doc_id long, text string"), vocabulary).count() == 0
+
+
+def test_sentence_pieces_viterbi_equals_merges(spark):
+    sp, vocabulary = library()
+    units = {"▁" * rng.randint(0, 3) + "".join(rng.choice("abcdeinrst") for _ in range(rng.randint(1, 40))) for _ in range(300)}
+    units |= {"▁" * n for n in range(1, 40)} | {"=" * n for n in range(1, 40)}
+    ids_of = {p: i for p, i, _ in vocabulary.pieces}
+    for row in sentence_pieces.encode_units(spark.createDataFrame([(u,) for u in units], "unit string"), vocabulary).collect():
+        u = row["unit"]
+        cuts = sentence_pieces.merge(u, vocabulary.ranks, vocabulary.longest)
+        assert row["ids"] == [ids_of[u[a:b]] for a, b in zip(cuts, cuts[1:])], u
 
 
 def test_sentence_pieces_viterbi_against_brute_force(spark):
@@ -373,3 +406,110 @@ def test_gradients():
             step = np.eye(size)[k] * 1e-6
             numeric = (loss(x + step, rows, columns, y)[0] - loss(x - step, rows, columns, y)[0]) / 2e-6
             assert abs(numeric - slope[k]) < 1e-4
+
+
+def test_toxicity_learns_what_only_a_pair_tells(spark):
+    def rows(n):
+        for i in range(n):
+            a, b = rng.random() < 0.5, rng.random() < 0.5
+            words = sentence(25).split() + ["zorbo"] * a + ["quixel"] * b
+            rng.shuffle(words)
+            yield i, " ".join(words), float(a != b)
+
+    train = spark.createDataFrame(list(rows(1500)), "doc_id long, text string, y double")
+    test = spark.createDataFrame(list(rows(300)), "doc_id long, text string, y double")
+    model = toxicity.train(train)
+    found = toxicity.score(test, model, 0.5).toPandas()
+    assert (found.predicted == found.y).mean() > 0.95
+    linear = toxicity.Model(model.known, np.where(np.arange(len(model.params)) > len(model.known), 0, model.params))
+    assert (toxicity.score(test, linear, 0.5).toPandas().predicted == found.y).mean() < 0.7
+    # the score again, by the formula
+    width = len(model.known)
+    v = model.params[1 + width :].reshape(toxicity.FACTORS, width)
+    from ledgerlens.llm.hashed import letter_terms
+
+    for row in test.select("doc_id", letter_terms(test["text"]).alias("t")).limit(20).collect():
+        at = [k for k, term in enumerate(model.known) if term in set(row["t"])]
+        z = model.params[0] + sum(model.params[1 + k] for k in at) + sum(v[:, i] @ v[:, j] for i in at for j in at if i < j)
+        assert abs(found.score[found.doc_id == row["doc_id"]].iloc[0] - 1 / (1 + np.exp(-z))) < 2e-6
+
+
+def test_quality_grades_by_the_formula(spark):
+    from ledgerlens.llm.hashed import word_terms
+
+    model = quality_model.Model(np.arange(1 << 10), np.array([-0.5, 0.7]), np.random.default_rng(3).normal(0, 1, 1 << 10))
+    df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(TEXTS)], "doc_id long, text string, kept string")
+    found = by_id(quality_model.grade(df, model, 1))
+    for row in df.select("doc_id", word_terms(df["text"]).alias("t")).collect():
+        known = [t for t in row["t"] if t < 1 << 10]
+        s = sum(model.weights[t] for t in known) / np.sqrt(max(1, len(known)))
+        tail = 1 - 1 / (1 + np.exp(-(model.cuts - s)))
+        assert abs(found.expected_grade[row["doc_id"]] - tail.sum()) < 2e-6 and found.kept[row["doc_id"]] == (round(tail[0], 6) >= 0.5)
+
+
+def test_jaccard_uses_both_sides_of_its_boundary(spark):
+    """Short texts out of few words have long inverted lists; a few long ones have short lists."""
+    few = [f"w{k}" for k in range(12)]
+    rows = {k: " ".join(rng.choice(few) for _ in range(rng.randint(12, 16))) for k in range(700)}
+    for k in range(700, 760):
+        words = BASE.split()
+        words[rng.randrange(len(words))] = f"x{k % 7}"
+        rows[k] = " ".join(words)
+    for k in range(760, 800):  # short ones with near copies: a word more at the end
+        rows[k] = rows[k - 760] + " " + rng.choice(few)
+    df = spark.createDataFrame(list(rows.items()), "doc_id long, text string").repartition(3)
+    seen = []
+    original = jaccard.boundary_by_cost
+    jaccard.boundary_by_cost = lambda *a: seen.append(original(*a)) or seen[-1]
+    try:
+        found = by_id(jaccard.jaccard_components(df))
+    finally:
+        jaccard.boundary_by_cost = original
+    truth = jaccard_truth(rows, 3, 90)
+    assert {i: (found.n_shingles[i], found.component_id[i]) for i in rows} == truth
+    assert 0 < seen[0] < 100
+    linked = {i for i in rows if truth[i][1] != i}
+    assert any(truth[i][0] <= seen[0] for i in linked) and any(truth[i][0] > seen[0] for i in linked)
+
+
+def test_pii_dates_stay_apart_and_letters_move(spark):
+    from pyspark.sql import functions as F
+
+    days = spark.range(0, 73049, 37).select(F.date_add(F.lit("1900-01-01").cast("date"), F.col("id").cast("int")).alias("d"))
+    said = days.select(F.date_format("d", "MM/dd/yyyy").alias("s")).union(days.where("dayofmonth(d) > 12").select(F.date_format("d", "dd/MM/yyyy")))
+    found = said.select("s", pii.pseudonym(F.col("s"), "k")["text"].alias("p")).toPandas()
+    assert found.p.nunique() == len(found) and found.p.str.fullmatch(r"\d\d/\d\d/\d{4}").all()
+    texts = {
+        "иван@example.com": "email", "łżź@example.com": "email", "山田@x.jp": "email", "a" * 80 + "@x.org": "email",
+        "DE89 3704 0044 0532 0130 00": "iban", "GB82WEST12345698765432": "iban", "GB83WEST12345698765432": None,
+    }
+    out = by_id(pii.pseudonymise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "k"))
+    for i, (text, kind) in enumerate(texts.items()):
+        assert out.pii[i].tolist() == ([kind] if kind else []) and len(out.text[i]) == len(text), text
+        if kind == "email":
+            assert sum(a == b for a, b in zip(text.split("@")[0], out.text[i].split("@")[0])) <= len(text.split("@")[0]) // 2
+        if kind == "iban":
+            plain = out.text[i].replace(" ", "")
+            assert int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 == 1 and plain[:2] == text[:2]
+
+
+def feistel_back(values, radices, key, kind, rounds=pii.ROUNDS):
+    half, v = len(values) // 2, list(values)
+    for r in reversed(range(rounds)):
+        left = r % 2 == 0
+        other = v[half:] if left else v[:half]
+        said = "|".join([key, kind, ",".join(map(str, radices)), str(r), ",".join(map(str, other))])
+        for i in range(0, half) if left else range(half, len(v)):
+            if radices[i] > 1:
+                drawn = int(hashlib.sha256(f"{said}|{i}".encode()).hexdigest()[:12], 16)
+                v[i] = (v[i] - drawn) % radices[i]
+    return v
+
+
+def test_pii_can_be_undone_with_the_key(spark):
+    from pyspark.sql import functions as F
+
+    rows = [([rng.randrange(m) for m in radices], radices) for radices in ([10] * 15, [26, 26, 10, 1, 26], [256] * 4, [17, 4297]) for _ in range(10)]
+    df = spark.createDataFrame(rows, "v array<bigint>, m array<bigint>")
+    for row in df.select("v", "m", pii.feistel(F.col("v"), F.col("m"), "k", F.lit("card")).alias("w")).collect():
+        assert feistel_back(row["w"], row["m"], "k", "card") == row["v"]
