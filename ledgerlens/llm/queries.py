@@ -71,7 +71,7 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ids of every document in blocks, and the text that is decoded from them."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     vocabulary = sentence_pieces.read_vocabulary(vocabulary_path("piece_bpe_32k.model"))
-    return sentence_pieces.decode(sentence_pieces.encode(docs, vocabulary), vocabulary)
+    return sentence_pieces.encode(docs, vocabulary, with_text=True)
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

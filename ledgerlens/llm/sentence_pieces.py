@@ -380,8 +380,9 @@ def frequent_units(docs: DataFrame, vocabulary: Vocabulary, folder: str, sample_
     return coded(written(best, folder, "frequent"), vocabulary, folder, "frequent-coded")
 
 
-def _passes(docs: DataFrame, known: Broadcast, vocabulary: Vocabulary) -> tuple[DataFrame, DataFrame]:
+def _passes(docs: DataFrame, known: Broadcast, vocabulary: Vocabulary, with_text: bool) -> tuple[DataFrame, DataFrame]:
     """The blocks of known units, ``(doc_id, text_key, place, ids)``, and the others, ``(doc_id, text_key, place, unit)``."""
+    spell = _speller(vocabulary)
 
     def holes(ids: list[bytes | None]) -> list[int]:
         found, at = [], -1
@@ -418,7 +419,9 @@ def _passes(docs: DataFrame, known: Broadcast, vocabulary: Vocabulary) -> tuple[
             yield _rows(batch, rows, places, pa.array(units, pa.string()), "unit")
 
     keys = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text_key long, place int"
-    return docs.mapInArrow(runs, f"{keys}, ids array<int>"), docs.mapInArrow(others, f"{keys}, unit string")
+    said = lambda batches: spell(runs(batches))
+    blocks = docs.mapInArrow(said, f"{keys}, ids array<int>, text string") if with_text else docs.mapInArrow(runs, f"{keys}, ids array<int>")
+    return blocks, docs.mapInArrow(others, f"{keys}, unit string")
 
 
 def _rows(batch: pa.RecordBatch, rows: list[int], places: list[int], last: pa.Array, name: str) -> pa.RecordBatch:
@@ -430,23 +433,23 @@ def _rows(batch: pa.RecordBatch, rows: list[int], places: list[int], last: pa.Ar
 BLOCK = ("doc_id", "text_key", "place", "ids")
 
 
-def encode(docs: DataFrame, vocabulary: Vocabulary, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
-    """The blocks of every document: ``doc_id, text_key, place, ids``."""
+def encode(docs: DataFrame, vocabulary: Vocabulary, sample_docs: int = SAMPLE_DOCS, with_text: bool = False) -> DataFrame:
+    """The blocks of every document: ``doc_id, text_key, place, ids``, and on request ``text``, see ``decode``."""
     spark, folder = docs.sparkSession, shared_folder(docs.sparkSession)
     docs = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key"))
     table = frequent_units(docs, vocabulary, folder, sample_docs).toArrow()
     ids = table.column("ids").combine_chunks()
     values, ends = ids.values.to_numpy().astype("<i4").tobytes(), ids.offsets.to_numpy().tolist()
     known = {unit: values[4 * a : 4 * b] for unit, a, b in zip(table.column("unit").to_pylist(), ends, ends[1:], strict=False)}
-    blocks, others = _passes(docs, spark.sparkContext.broadcast(known), vocabulary)
+    blocks, others = _passes(docs, spark.sparkContext.broadcast(known), vocabulary, with_text)
     others = written(others, folder, "others")
     units = written(others.select("unit").distinct(), folder, "units")
-    others = others.join(coded(units, vocabulary, folder, "others-coded"), "unit")
-    return blocks.select(*BLOCK).unionByName(others.select(*BLOCK))
+    others = others.join(coded(units, vocabulary, folder, "others-coded"), "unit").select(*BLOCK)
+    return blocks.unionByName(decode(others, vocabulary) if with_text else others)
 
 
-def decode(blocks: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """``blocks`` with ``text``, decoded from their ids; a document's texts in the order of ``place`` make up its own."""
+def _speller(vocabulary: Vocabulary) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function that adds ``text`` to batches of blocks: what their ids spell, one after another."""
     size = 1 + max([i for _, i, _ in vocabulary.pieces] + [*vocabulary.byte_ids.values(), vocabulary.unknown])
     spelling = [b""] * size
     for piece, i, _ in vocabulary.pieces:
@@ -456,7 +459,6 @@ def decode(blocks: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     # the same once more without a first character, for the pieces that a dummy space begins
     if vocabulary.dummy_prefix:
         spelling += [spelt[1:] for spelt in spelling]
-    rest = [c for c in blocks.columns if c != "text"]
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.array(spelling, pa.large_binary())
@@ -470,12 +472,18 @@ def decode(blocks: DataFrame, vocabulary: Vocabulary) -> DataFrame:
                 pieces[ends[:-1][begins]] += size
             spelt = table.take(pa.array(pieces))
             _, offsets, data = spelt.buffers()
-            places = np.frombuffer(offsets, np.int64, len(spelt) + 1)[ends]
-            text = pa.LargeStringArray.from_buffers(len(ids), pa.py_buffer(places.tobytes()), data)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), text.cast(pa.string())], [*rest, "text"])
+            places = np.frombuffer(offsets, np.int64, len(spelt) + 1)[ends] if len(spelt) else ends
+            text = pa.LargeStringArray.from_buffers(len(ids), pa.py_buffer(places.tobytes()), data or pa.py_buffer(b""))
+            yield pa.RecordBatch.from_arrays([*batch.columns, text.cast(pa.string())], [*batch.schema.names, "text"])
+
+    return spell
 
-    given = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in blocks.select(*rest).schema.fields)
-    return blocks.select(*rest).mapInArrow(spell, f"{given}, text string")
+
+def decode(blocks: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """``blocks`` with ``text``, decoded from their ids; a document's texts in the order of ``place`` make up its own."""
+    blocks = blocks.select(*(c for c in blocks.columns if c != "text"))
+    given = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in blocks.schema.fields)
+    return blocks.mapInArrow(_speller(vocabulary), f"{given}, text string")
 
 
 def together(blocks: DataFrame) -> DataFrame:

@@ -333,7 +333,9 @@ def test_sentence_pieces_match_the_library(spark, docs, sample_docs):
     sp, vocabulary = library()
     texts = dict(enumerate(TEXTS)) | {100 + k: t for k, t in enumerate(ODD)}
     df = spark.createDataFrame([(i, t, "x") for i, t in texts.items()], "doc_id long, text string, ids string").repartition(3)
-    blocks = sentence_pieces.decode(sentence_pieces.encode(df, vocabulary, sample_docs), vocabulary)
+    blocks = sentence_pieces.encode(df, vocabulary, sample_docs, with_text=True)
+    again = sentence_pieces.decode(blocks.drop("text"), vocabulary)
+    assert sorted(again.select("doc_id", "place", "text").collect()) == sorted(blocks.select("doc_id", "place", "text").collect())
     whole = by_id(sentence_pieces.together(blocks))
     said = blocks.toPandas().sort_values(["doc_id", "place"]).groupby("doc_id").text.apply("".join)
     for i, t in texts.items():
