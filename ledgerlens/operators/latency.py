@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -108,26 +110,42 @@ def compare_variants(df: DataFrame, base: str, candidate: str) -> DataFrame:
     )
 
 
+#: Blocks that one task goes through, as long as that makes at most ``MOST_GROUPS`` groups of blocks.
+BLOCKS_A_GROUP, MOST_GROUPS = 1_000, 50_000
+
+
 def sla_breaches(df: DataFrame, every: int = 100, target: int = TARGETS["p99"], order: str = "seq") -> DataFrame:
     """After every ``every`` rows, the 99th percentile of all rows so far, and whether it is over the target.
 
-    Rows are counted by block and value. Blocks don't share a running sort: a block's cumulative counts are
-    those of the values, summed over the blocks up to it.
+    Rows are cut into groups of blocks. A group starts from how often each value occurs in the groups before it, and
+    counts on block by block; values are whole and bounded, so a start is a small table.
     """
-    block = positions(df, order).withColumn("block", F.floor(F.col("position") / every).cast("bigint"))
-    cells = block.groupBy("block", "latency_ms").agg(F.count("*").alias("c"))
-    blocks = cells.groupBy("block").agg(F.sum("c").alias("rows"))
-    values = cells.select("latency_ms").distinct()
-    # a row a block and value, so that a value's count runs on through blocks without it; values are bounded
-    grid = blocks.withColumn("_v", values.agg(F.collect_set("latency_ms")).scalar())
-    grid = grid.select("block", F.explode("_v").alias("latency_ms")).join(cells, ["block", "latency_ms"], "left")
-    by_value = Window.partitionBy("latency_ms").orderBy("block").rowsBetween(Window.unboundedPreceding, 0)
-    so_far = grid.withColumn("freq", F.coalesce(F.sum("c").over(by_value), F.lit(0)))
-    ranked = _ranks(so_far.select("block", "latency_ms", "freq"), ["block"], "latency_ms")
-    full = blocks.where(F.col("rows") == every).select("block")
-    return ranked.join(full, "block").select(
-        ((F.col("block") + 1) * every).alias("rows_so_far"), "p99", (F.col("p99") > target).alias("breached")
-    )
+    rows = every * max(BLOCKS_A_GROUP, -(-df.count() // (every * MOST_GROUPS)))
+    placed = positions(df.select(order, "latency_ms"), order).select("position", "latency_ms")
+    placed = placed.withColumn("group", F.floor(F.col("position") / rows).cast("bigint"))
+    cells = placed.groupBy("group", "latency_ms").agg(F.count("*").alias("c"))
+    values = cells.agg(F.collect_set("latency_ms")).scalar()
+    # a row a group and value, so that a value's count runs on through groups without it
+    grid = cells.select("group").distinct().withColumn("_v", values).select("group", F.explode("_v").alias("latency_ms"))
+    front = Window.partitionBy("latency_ms").orderBy("group").rowsBetween(Window.unboundedPreceding, -1)
+    starts = grid.join(cells, ["group", "latency_ms"], "left").withColumn("before", F.coalesce(F.sum("c").over(front), F.lit(0)))
+    starts = starts.select("group", "latency_ms", "before")
+
+    def blocks(key: tuple, held: pd.DataFrame, start: pd.DataFrame) -> pd.DataFrame:
+        start = start.sort_values("latency_ms")
+        names, counts = start["latency_ms"].to_numpy(), start["before"].to_numpy(np.int64).copy()
+        held = held.sort_values("position")["latency_ms"]
+        out = []
+        for k in range(len(held) // every):
+            block = held.iloc[k * every : (k + 1) * every].dropna().to_numpy(names.dtype)
+            counts += np.bincount(np.searchsorted(names, block), minlength=len(names))
+            so_far = counts.cumsum()
+            p99 = int(names[np.searchsorted(so_far, -(-99 * so_far[-1] // 100))]) if so_far[-1] else None
+            out.append((key[0] * rows + (k + 1) * every, p99, p99 is not None and p99 > target))
+        return pd.DataFrame(out, columns=["rows_so_far", "p99", "breached"]).astype({"p99": "Int64"})
+
+    both = placed.groupBy("group").cogroup(starts.groupBy("group"))
+    return both.applyInPandas(blocks, "rows_so_far long, p99 long, breached boolean")
 
 
 def phase_report(df: DataFrame, phases: DataFrame, start) -> DataFrame:

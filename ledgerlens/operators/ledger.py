@@ -41,10 +41,10 @@ def misplaced_requests(requests: DataFrame) -> DataFrame:
     return accounts.where(F.col("accounts") > 1)
 
 
-def apply_debit(balance: int | None, done: bool, amount: int) -> tuple[str, int | None]:
-    """(status, balance) of one debit; an amount that equals the balance is allowed."""
-    if balance is None:
-        return UNKNOWN, None
+def apply_debit(balance: int | None, done: bool, amount: int | None) -> tuple[str, int | None]:
+    """(status, balance) of one debit; an amount that equals the balance is allowed, a null one changes nothing."""
+    if balance is None or amount is None:
+        return UNKNOWN, balance
     if done:
         return DUPLICATE, balance
     return (INSUFFICIENT, balance) if balance < amount else (APPLIED, balance - amount)
@@ -64,10 +64,10 @@ def debit_ledger(requests: DataFrame, opening: DataFrame | None = None) -> DataF
         return {"balance": None if missing else int(row.opening_cents), "done": set()}
 
     def step(state: dict, row) -> tuple:
-        status, state["balance"] = apply_debit(state["balance"], row.request_id in state["done"], int(row.amount_cents))
+        status, state["balance"] = apply_debit(state["balance"], row.request_id in state["done"], row.amount_cents)
         if status == APPLIED:
             state["done"].add(row.request_id)
-        return int(row.seq), status, state["balance"]
+        return row.seq, status, state["balance"]
 
     wanted = requests.select("seq", "ts", "account_id", "request_id", "amount_cents", "opening_cents")
     return sorted_fold(wanted, "account_id", ["ts", "seq"], start, step, LEDGER)

@@ -100,6 +100,6 @@ def breaker_trace(calls: DataFrame, threshold: int = 3, open_for: timedelta = ti
         return Breaker(threshold, open_for) if mode == "count" else RateBreaker(window, rate, open_for, trials)
 
     def step(state, row) -> tuple:
-        return (int(row.seq), *state.call(row.ts, bool(row.failed)))
+        return (row.seq, *state.call(row.ts, bool(row.failed)))
 
     return sorted_fold(calls.select("seq", "ts", "service", "failed"), "service", ["ts", "seq"], start, step, TRACE)

@@ -50,12 +50,15 @@ class _Ledger(StatefulProcessor):
     """Balance of an account, and its applied requests with their times.
 
     The state of an account is read and written once a micro-batch, not once a row. Requests that are
-    older than the time to live, by event time, are forgotten.
+    older than the time to live, by event time, are forgotten; without one they are kept.
     """
 
-    def __init__(self, ttl_us: int) -> None:
+    def __init__(self, ttl_us: int | None) -> None:
         self.ttl_us = ttl_us
 
+    def _live(self, age_us: int) -> bool:
+        return self.ttl_us is None or age_us <= self.ttl_us
+
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.account = handle.getValueState("account", "cents bigint, done string")
 
@@ -69,13 +72,13 @@ class _Ledger(StatefulProcessor):
         for row in found.itertuples(index=False):
             balance = int(row.opening_cents) if balance is None else balance
             now = pd.Timestamp(row.ts).value // 1000
-            known = row.request_id in done and now - done[row.request_id] <= self.ttl_us
+            known = row.request_id in done and self._live(now - done[row.request_id])
             status, balance = apply_debit(balance, known, int(row.amount_cents))
             if status == APPLIED:
                 done[row.request_id] = now
             out.append((int(row.seq), status, balance))
         if out:
-            kept = {request: at for request, at in done.items() if now - at <= self.ttl_us}
+            kept = {request: at for request, at in done.items() if self._live(now - at)}
             self.account.update((balance, json.dumps(kept)))
         yield pd.DataFrame(out, columns=["seq", "status", "balance_cents"])
 
@@ -83,11 +86,11 @@ class _Ledger(StatefulProcessor):
         pass
 
 
-def debit_ledger_stream(requests: DataFrame, ttl: timedelta = timedelta(days=60)) -> DataFrame:
+def debit_ledger_stream(requests: DataFrame, ttl: timedelta | None = None) -> DataFrame:
     """The debit ledger on a stream. A micro-batch is put in time order by account; across micro-batches the
-    order is that of arrival. An applied id is remembered for ``ttl`` of event time."""
+    order is that of arrival. An applied id is remembered for ``ttl`` of event time, or for good as in a batch."""
     return requests.groupBy("account_id").transformWithStateInPandas(
-        _Ledger(int(ttl.total_seconds() * 1_000_000)), LEDGER, "Append", "None"
+        _Ledger(None if ttl is None else int(ttl.total_seconds() * 1_000_000)), LEDGER, "Append", "None"
     )
 
 
