@@ -129,7 +129,7 @@ def sla_breaches(df: DataFrame, every: int = 100, target: int = TARGETS["p99"],
     grid = cells.select("group").distinct().withColumn("_v", values).select("group", F.explode("_v").alias("latency_ms"))
     front = Window.partitionBy("latency_ms").orderBy("group").rowsBetween(Window.unboundedPreceding, -1)
     starts = grid.join(cells, ["group", "latency_ms"], "left").withColumn("before", F.coalesce(F.sum("c").over(front), F.lit(0)))
-    starts = starts.select("group", "latency_ms", "before")
+    starts = starts.select(F.col("group").alias("of"), "latency_ms", "before")
 
     def blocks(key: tuple, held: pd.DataFrame, start: pd.DataFrame) -> pd.DataFrame:
         start = start.sort_values("latency_ms")
@@ -144,7 +144,7 @@ def sla_breaches(df: DataFrame, every: int = 100, target: int = TARGETS["p99"],
             out.append((key[0] * rows + (k + 1) * every, p99, p99 is not None and p99 > target))
         return pd.DataFrame(out, columns=["rows_so_far", "p99", "breached"]).astype({"p99": "Int64"})
 
-    both = placed.groupBy("group").cogroup(starts.groupBy("group"))
+    both = placed.groupBy("group").cogroup(starts.groupBy("of"))
     return both.applyInPandas(blocks, "rows_so_far long, p99 long, breached boolean")
 
 

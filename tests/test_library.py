@@ -54,7 +54,8 @@ def test_account_stats_of_nothing_and_of_negatives(spark):
 def test_batches_halves_first_and_rest(spark):
     df = amounts(spark, range(1000)).repartition(7)
     assert sorted(tuple(r) for r in transactions.assign_batches(df, 250).groupBy("batch").count().collect()) == [(k, 250) for k in range(4)]
-    assert [r["position"] for r in positions(df, "seq", ranges=5).orderBy("seq").collect()] == list(range(1000))
+    for rows in (1, 200, 5000):
+        assert [r["position"] for r in positions(df, "seq", rows_a_range=rows).orderBy("seq").collect()] == list(range(1000))
     eight = amounts(spark, [10000, 25000, 50000, 75000, 90000, 120000, 150000, 200000])
     halves = transactions.assign_halves(eight).where("half = 2").orderBy("seq").collect()
     assert [r["amount_cents"] // 100 for r in halves] == [90000, 120000, 150000, 200000]
