@@ -23,7 +23,8 @@ What is found, and what is left as it is within it:
   becomes such a day, so different dates never have one pseudonym;
 * 32 to 64 hexadecimal digits in quotes that are assigned to a token, key, secret or password, in any case.
 
-Numbers that fail their check are text and stay. It is all column expressions: a text without a digit or
+Null and empty texts stay as they are and hold nothing, an empty table gives an empty one, rows that repeat get equal
+results. Numbers that fail their check are text and stay. It is all column expressions: a text without a digit or
 an ``@`` is passed on after one scan, and no row is moved.
 
 Defined results: a null text stays null, an empty one empty, each with no finds. Rows that repeat get equal

@@ -1,13 +1,13 @@
 """Quality classifier: ordinal cumulative-link regression on graded ratings.
 
-A text's latent quality is the mean weight of its hashed terms, the same weights for every grade, and
-ordered thresholds cut the latent scale: ``P(grade <= k) = sigmoid(t_k - s)``. From these come the expected
+A text's latent quality is the sum of its hashed terms' weights over the square root of their number, the same weights
+for every grade, and ordered thresholds cut the latent scale: ``P(grade <= k) = sigmoid(t_k - s)``. From these come the expected
 grade and the tail probability of a grade or better, by which documents are selected.
 
 The thresholds are ``t_0`` and then sums of exponentials, so they keep their order through the fit.
 
 Defined results: null and empty texts have only the terms for an empty text. Without labelled rows, or with a
-single grade, every probability is the one for no terms under thresholds of 0, 1, .... Rows that repeat get equal results. Other
+single grade, every probability is the one for no terms under thresholds of 0, 1, .... An empty table gives an empty one. Rows that repeat get equal results. Other
 columns pass through, and those named as a result give way.
 """
 

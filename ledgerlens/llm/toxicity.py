@@ -3,10 +3,12 @@
 ``score = sigmoid(b + sum_i w_i x_i + sum_{i<j} <v_i, v_j> x_i x_j)`` with ``x_i`` 1 for a term that the text
 has. The vectors let two terms weigh together what neither weighs alone, such as an insult beside the
 mention of a group. Terms are runs of letters and their beginnings, in hash buckets; buckets that fewer than
-``MIN_DOCS`` documents of the sample hold, or that don't go with the label, aren't part of the model.
+``MIN_DOCS`` documents of the sample hold aren't part of the model. No other term is left out: terms that go with the
+label by themselves are fitted first, and then all terms with their pairs, held more firmly to 0, explain what these
+leave open.
 
 Defined results: null texts and texts without a letter have no terms, so their score is the model's for no
-terms. Without labelled rows every score is 0.5. Rows that repeat get equal scores. Other columns pass
+terms. Without labelled rows every score is 0.5. An empty table gives an empty one. Rows that repeat get equal scores. Other columns pass
 through, and those named as a result give way.
 """
 
@@ -26,7 +28,8 @@ from ledgerlens.llm.hashed import FIT_PARTITIONS, evidence, fit, letter_terms, p
 SAMPLE_LIMIT = 12_000
 #: Documents of the sample that a bucket must be in.
 MIN_DOCS = 5
-#: The chi-squared value of one degree of freedom that chance exceeds once in a thousand buckets.
+#: A bucket tells by itself from here on: what chance exceeds in a chi-squared value of one degree of freedom once in
+#: a thousand buckets.
 CLEAR = 10.83
 FACTORS = 4
 STEPS = 25
