@@ -54,6 +54,8 @@ ANCHORS = 16
 BROADCAST_IDS = 2_000_000
 #: What a look at a candidate costs in signature rows: it goes through a distinct and two joins with wide rows.
 LOOK_COST = 8.0
+#: Classes whose lists are all looked at to measure these costs.
+LOOKED_AT = 20_000
 
 _EMPTY = np.zeros(0, np.uint64)
 
@@ -163,24 +165,27 @@ def boundary_by_cost(classes: DataFrame, percent: int) -> int:
     """The size up to which pairs of members are cheaper than inverted lists.
 
     Each signature costs a row. An inverted list costs, besides, the looks at its candidates; how many these are
-    for sets of each size is measured on a 64th of all lists. A pair of members is taken to give no look: two sets
+    for sets of each size is measured on all lists of few classes, and on a 64th of the lists of many. A pair of members is taken to give no look: two sets
     that share one nearly always link. Sets just under the boundary pay for both ways. Of equal costs the larger
     boundary wins.
     """
-    lists = _lists(classes, percent).where(F.pmod("signature", F.lit(64)) == 0)
+    part = min(64, 1 + classes.count() // LOOKED_AT)
+    lists = _lists(classes, percent).where(F.pmod("signature", F.lit(part)) == 0)
     # long lists become stars, whose cost doesn't depend on their length
     lengths = lists.groupBy("signature").agg(F.count("*").alias("size")).where(F.col("size").between(2, LONG_LIST))
-    looks = fetched(lists.join(lengths, "signature").groupBy("n").agg((64 * F.sum(F.col("size") - 1)).alias("looks")))
+    looks = fetched(lists.join(lengths, "signature").groupBy("n").agg((part * F.sum(F.col("size") - 1)).alias("looks")))
     sizes = fetched(classes.groupBy("n").count()).merge(looks, "left", "n").fillna({"looks": 0}).sort_values("n")
     n, c, seen = (sizes[x].to_numpy(np.int64) for x in ("n", "count", "looks"))  # a row a size of a set
     if not len(n):
         return 0
     single = n + (-percent * n // 100) + 1
     pairs, lists_cost = c * single * (single + 1) / 2, c * single + LOOK_COST * seen
-    first_large = np.searchsorted(100 * n, percent * n, side="right")  # sizes that go through lists at boundary n[k]
+    # high enough over size n[k] that it needn't go both ways, if no other size lies between
+    bounds = np.minimum(np.append(n[1:] - 1, n[-1]), -(-100 * n // percent))
+    first_large = np.searchsorted(100 * n, percent * bounds, side="right")  # sizes that go through lists
     below, above = np.cumsum(pairs), np.append(np.cumsum(lists_cost[::-1])[::-1], 0.0)
     cost = np.concatenate([[above[0]], below + above[first_large]])
-    return int(np.concatenate([[0], n])[len(cost) - 1 - int(np.argmin(cost[::-1]))])
+    return int(np.concatenate([[0], bounds])[len(cost) - 1 - int(np.argmin(cost[::-1]))])
 
 
 def _signatures(classes: DataFrame, percent: int, boundary: int) -> DataFrame:

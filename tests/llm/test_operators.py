@@ -453,12 +453,10 @@ def test_jaccard_uses_both_sides_of_its_boundary(spark):
     """Short texts out of few words have long inverted lists; a few long ones have short lists."""
     few = [f"w{k}" for k in range(12)]
     rows = {k: " ".join(rng.choice(few) for _ in range(rng.randint(12, 16))) for k in range(700)}
-    for k in range(700, 760):
-        words = BASE.split()
-        words[rng.randrange(len(words))] = f"x{k % 7}"
-        rows[k] = " ".join(words)
-    for k in range(760, 800):  # short ones with near copies: a word more at the end
-        rows[k] = rows[k - 760] + " " + rng.choice(few)
+    for k in range(700, 740):  # short ones with near copies: a word more at the end
+        rows[k] = rows[k - 700] + " " + rng.choice(few)
+    rows |= {k: sentence(120) for k in range(740, 900)}
+    rows |= {k: rows[k - 160] + " tail" for k in range(900, 920)}
     df = spark.createDataFrame(list(rows.items()), "doc_id long, text string").repartition(3)
     seen = []
     original = jaccard.boundary_by_cost
