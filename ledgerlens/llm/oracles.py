@@ -54,3 +54,24 @@ proofs AS (SELECT doc_id, leaf, idx, sha256(string_agg(l || r, '' ORDER BY k)) A
 SELECT f.doc_id, f.leaf, t.h AS subroot, o.h AS root, coalesce(p.proof, sha256('')) AS proof_sha256, f.h AS folded_root, f.h = o.h AS verified
 FROM folded f JOIN roots t ON f.tree = t.tree JOIN tops o ON o.n = 1
 LEFT JOIN proofs p ON p.doc_id IS NOT DISTINCT FROM f.doc_id AND p.leaf = f.leaf AND p.idx = f.idx"""
+
+
+_TERMS = r"regexp_extract_all(translate(text, '%s', '%s'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')" % (_UPPER, _UPPER.lower())
+
+SEARCH = f"""
+WITH occurrences AS (
+  SELECT doc, doc_id, unnest({_TERMS}) AS term FROM (SELECT row_number() OVER () AS doc, doc_id, text FROM documents)),
+counted AS (SELECT doc, doc_id, term, count(*) AS tf FROM occurrences GROUP BY doc, doc_id, term),
+sizes AS (SELECT doc, sum(tf)::BIGINT AS n FROM counted GROUP BY doc),
+totals AS (SELECT count(*) AS docs, sum(n)::BIGINT AS occ FROM sizes),
+weights AS (
+  SELECT term, floor(1000 * ln((2 * any_value(docs) + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM counted, totals GROUP BY term),
+damped AS (SELECT doc, 100 - 50 + (50 * n * docs) // occ AS m FROM sizes, totals),
+asked AS (SELECT DISTINCT item, item_id, unnest({_TERMS}) AS term FROM (SELECT row_number() OVER () AS item, item_id, text FROM benchmark)),
+scores AS (
+  SELECT item, item_id, doc, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m)))::BIGINT AS score
+  FROM asked JOIN weights USING (term) JOIN counted USING (term) JOIN damped USING (doc) GROUP BY item, item_id, doc, doc_id),
+ranked AS (
+  SELECT item_id, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id NULLS FIRST)::INTEGER AS rank, doc_id, score
+  FROM scores WHERE score > 0)
+SELECT * FROM ranked WHERE rank <= 50"""

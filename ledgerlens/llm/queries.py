@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import jaccard, language, media, merkle, oracles, packing, pii, quality_model, sentence_pieces, tokens, toxicity
+from ledgerlens.llm import bit_slices, golay, jaccard, language, media, merkle, oracles, packing, pii, quality_model, sentence_pieces, tokens, toxicity
 from ledgerlens.llm.common import bounded_sample, residue, shared_folder, table, written
 from ledgerlens.llm.quality_rules import SIGNALS, quality_rules
 
@@ -129,11 +129,20 @@ def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op11_golay_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return golay.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(*merkle.FIELDS)
     return merkle.prove(merkle.manifest(docs, merkle.tampered(docs)))
 
 
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = (table(spark, sf_dir, name) for name in ("documents", "benchmark"))
+    return bit_slices.search(docs.select("doc_id", "text"), items.select("item_id", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_quality_classifier": op2_quality_classifier,
@@ -145,8 +154,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
     "op10_pii": op10_pii,
+    "op11_golay_simhash": op11_golay_simhash,
     "op12_merkle": op12_merkle,
+    "op13_lexical_search": op13_lexical_search,
 }
 
 #: Models, packings and xxhash64 have no equal in DuckDB; those queries are tested against brute force.
-ORACLES: dict[str, str] = {"op12_merkle": oracles.MERKLE}
+ORACLES: dict[str, str] = {"op12_merkle": oracles.MERKLE, "op13_lexical_search": oracles.SEARCH}
