@@ -39,6 +39,8 @@ SEGMENTS = ((0, 21), (21, 21), (42, 22))
 GENERATOR = 0b110001110101
 #: Members of a bucket that are compared in one task; in buckets up to the second size all pairs are written out.
 BUCKET, SMALL_BUCKET = 8192, 32
+#: Fingerprints whose keys one task makes, each some 120.
+KEYS_A_TASK = 100_000
 #: Pairs that one step compares at once.
 PAIRS_AT_ONCE = 1 << 21
 
@@ -251,7 +253,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
                 key, own, which = keys_of(fps)
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(own), pa.array(fps[which].view(np.int64))], ["key", "own", "fp"])
 
-    found = written(bucket_links(classes.select("fp").mapInArrow(all_keys, "key long, own boolean, fp long")), folder, "links")
+    spread = classes.select("fp").repartition(-(-classes.count() // KEYS_A_TASK) or 1)
+    found = written(bucket_links(spread.mapInArrow(all_keys, "key long, own boolean, fp long")), folder, "links")
     links, crowded = found.where("b IS NOT NULL"), found.where("b IS NULL").select(F.col("a").alias("fp")).distinct()
     if not crowded.isEmpty():
         links = links.unionByName(written(linked_by_points(crowded), folder, "point-links"))

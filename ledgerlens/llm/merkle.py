@@ -104,7 +104,6 @@ class Manifest:
     trees: Trees
     top: Trees
     root: bytes | None
-    folder: str
 
 
 def manifest(docs: DataFrame, changed: Column | None = None) -> Manifest:
@@ -117,7 +116,7 @@ def manifest(docs: DataFrame, changed: Column | None = None) -> Manifest:
     roots = trees.roots.select(F.lit(TOP).alias("tree"), F.col("tree").alias("of"), "hash")
     top = build(roots, ["of"], folder, "top")
     found = top.roots.first()  # the one digest of the whole table
-    return Manifest(trees, top, bytes(found["hash"]) if found else None, folder)
+    return Manifest(trees, top, bytes(found["hash"]) if found else None)
 
 
 def missing(known: Iterable[int], n: int) -> list[tuple[int, int]]:
@@ -175,9 +174,10 @@ def prove(manifest: Manifest, asked: DataFrame | None = None) -> DataFrame:
     none is given, and the true siblings. ``verified`` says that it equals the root.
     """
     asked = manifest.trees.rows if asked is None else asked
+    folder = shared_folder(asked.sparkSession)
     tops = manifest.top.rows.select(F.col("of").alias("tree"), F.col("idx").alias("place"), F.col("n").alias("trees"), "hash")
     of_part = asked.select("part", "tree").distinct().join(tops, "tree")
-    of_part = written(of_part, manifest.folder, "trees-of-partitions")
+    of_part = written(of_part, folder, "trees-of-partitions")
     given = asked.select("part", "tree", "idx", "n").unionByName(
         of_part.select("part", F.lit(TOP).alias("tree"), F.col("place").alias("idx"), F.col("trees").alias("n"))
     )
@@ -191,7 +191,7 @@ def prove(manifest: Manifest, asked: DataFrame | None = None) -> DataFrame:
     fetched = wanted.join(nodes, ["tree", "level", "idx"]).select("part", "tree", "level", "idx", F.lit(0).cast("bigint").alias("n"), "hash")
     # level -1: a tree's place among the trees, how many there are, and its root
     own = of_part.select("part", "tree", F.lit(-1).alias("level"), F.col("place").alias("idx"), F.col("trees").alias("n"), "hash")
-    held = written(fetched.unionByName(own), manifest.folder, "fetched")
+    held = written(fetched.unionByName(own), folder, "fetched")
     root = manifest.root.hex() if manifest.root else None
 
     def proofs(rows: pd.DataFrame, nodes: pd.DataFrame) -> pd.DataFrame:

@@ -20,6 +20,9 @@ CONTRACT = {
     "op8_best_fit_packing": "doc_id piece start length ids_crc32 sequence_id offset",
     "op9_ngram_jaccard_join": "doc_id n_shingles component_id",
     "op10_pii": "doc_id text",
+    "op11_golay_simhash": "doc_id fingerprint component_id",
+    "op12_merkle": "doc_id leaf subroot root proof_sha256 folded_root verified",
+    "op13_lexical_search": "item_id rank doc_id score",
 }
 
 
@@ -33,6 +36,7 @@ def folders(spark, tmp_path_factory):
     tables = {
         "documents": spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long"),
         "labels": spark.createDataFrame(labels, "doc_id long, quality int, toxic int"),
+        "benchmark": spark.createDataFrame([(0, texts[-1]), (1, None), (2, "not a term of any")], "item_id long, text string"),
     }
     for name, df in tables.items():
         df.repartition(3).write.parquet(f"file://{base}/full/{name}.parquet")
@@ -47,6 +51,10 @@ def test_query(spark, folders, name):
     assert set(CONTRACT[name].split()) <= set(found.columns)
     rows = found.toPandas()
     n = len(TEXTS) + 61
+    if name == "op13_lexical_search":
+        assert set(rows.item_id) <= {0, 2} and rows[rows.item_id == 0]["rank"].tolist() == list(range(1, 51))
+        assert queries.QUERIES[name](spark, empty).count() == 0
+        return
     if name not in ("op4_sentencepiece", "op8_best_fit_packing"):
         assert len(rows) == n
     assert rows.doc_id.nunique(dropna=False) == n
