@@ -42,17 +42,21 @@ def letter_terms(text: Column, buckets: int = TERM_BUCKETS) -> Column:
 
 
 def word_terms(text: Column, buckets: int = TERM_BUCKETS) -> Column:
-    """Distinct hashes of a text's words, lower-cased, and of their shapes: letters and digits as one sign each run."""
-    words = F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), WORD_GAP), "")
+    """Distinct hashes of a text's words, lower-cased, of the runs of letters and digits in them, and of their shapes:
+    letters and digits as one sign each run. By the runs a word is the same term whatever punctuation stands beside it.
+    """
+    lowered = F.lower(F.coalesce(text, F.lit("")))
+    words = F.array_remove(F.split(lowered, WORD_GAP), "")
     mask = F.lit(buckets - 1).cast("long")
     distinct = F.array_distinct(words)
+    named = F.array_union(distinct, F.array_remove(F.split(lowered, r"[^\p{L}\p{N}]+"), ""))
     shapes = F.array_distinct(F.transform(distinct, lambda w: F.regexp_replace(w, r"[\p{L}\p{N}]+", "a")))
     # how often words repeat: tenths of the share of distinct words, and the text's length by powers of two
     tenths = F.floor(10 * F.size(distinct) / F.greatest(F.size(words), F.lit(1))).cast("string")
     length = F.floor(F.log2(F.greatest(F.size(words), F.lit(1)))).cast("string")
     extra = F.array(F.concat(F.lit("share "), tenths), F.concat(F.lit("length "), length))
     hashed = F.concat(
-        F.transform(distinct, lambda w: F.xxhash64(w).bitwiseAND(mask)),
+        F.transform(named, lambda w: F.xxhash64(w).bitwiseAND(mask)),
         F.transform(shapes, lambda w: F.xxhash64(F.lit("shape"), w).bitwiseAND(mask)),
         F.transform(extra, lambda w: F.xxhash64(F.lit("extra"), w).bitwiseAND(mask)),
     )

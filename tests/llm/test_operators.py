@@ -390,7 +390,7 @@ def test_classifiers_learn_and_handle_odd_rows(spark):
     assert found.predicted.tolist() == [1, 0, 0, 0] and found.score[2] == found.score[3]
     rated = train.selectExpr("text", "CAST(2 - 2 * y AS INT) AS grade")
     graded = by_id(quality_model.grade(test, quality_model.train(rated, 3), 1))
-    assert graded.expected_grade[0] < graded.expected_grade[1] and graded.tail_probability.between(0, 1).all()
+    assert graded.expected_grade[0] < graded.expected_grade[1] - 0.5 and graded.tail_probability.between(0, 1).all()
     empty = toxicity.train(train.where("false"))
     assert by_id(toxicity.score(test, empty)).score.eq(0.5).all()
 
