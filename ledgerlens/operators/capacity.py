@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerlens.operators.ranges import ROWS_A_RANGE, in_ranges, range_fold
+from ledgerlens.session import shared_folder
+
 
 def capacity_report(activities: DataFrame, cores: int) -> DataFrame:
     """By request type: waiting and computing time, their ratio, threads for so many cores, blocking coefficient."""
@@ -51,3 +57,68 @@ def backlog(arrivals: DataFrame, completions: DataFrame, capacity: int) -> DataF
         "ts", "change", (F.col("_before") + F.col("_within")).alias("size"),
         (F.col("_before") + F.col("_within") > capacity).alias("above"),
     )
+
+
+@dataclass(frozen=True)
+class Clamp:
+    """``x -> min(high, max(low, x + shift))``. One after another they make another such function."""
+
+    low: int
+    high: int
+    shift: int
+
+    def __call__(self, x: int) -> int:
+        return min(self.high, max(self.low, x + self.shift))
+
+    def then(self, other: Clamp) -> Clamp:
+        return Clamp(other(self.low), other(self.high), self.shift + other.shift)
+
+
+def bounded_queue(events: DataFrame, capacity: int, rows_a_range: int = ROWS_A_RANGE) -> DataFrame:
+    """``(seq, size, refused, starved)`` of each put (``change`` 1) and take (-1) on queues ``queue``, in the order of ``ts, seq``.
+
+    A put on a full queue is refused, a take from an empty one gets nothing; neither comes back. The size after each
+    event is a running sum that is held between 0 and the capacity, by ranges of a queue's events.
+    """
+
+    def step(state: list, row) -> tuple:
+        before = state[0]
+        state[0] = min(capacity, max(0, before + row.change))
+        return row.seq, state[0], row.change > 0 and before == capacity, row.change < 0 and before == 0
+
+    def summary(_first, rows: list) -> _Filled:
+        return _Filled(reduce(Clamp.then, (Clamp(0, capacity, row.change) for row in rows)))
+
+    asked = events.select("seq", "ts", "queue", "change")
+    return range_fold(
+        asked, "queue", ["ts", "seq"], lambda _row: [0], step, summary, "seq long, size long, refused boolean, starved boolean", rows_a_range
+    )
+
+
+@dataclass(frozen=True)
+class _Filled:
+    clamp: Clamp
+
+    def __call__(self, state: list) -> list:
+        return [self.clamp(state[0])]
+
+
+def blocking_queue(events: DataFrame, capacity: int, rows_a_range: int = ROWS_A_RANGE) -> DataFrame:
+    """``(seq, size, waiting_puts, waiting_takes)``: as ``bounded_queue``, but who can't go on waits for a turn.
+
+    A put that waits goes in at the next take, so puts less takes, held between 0 and the capacity, is the size, and what is
+    over it or below 0 waits.
+    """
+    folder = shared_folder(events.sparkSession, "queue")
+    ranged = in_ranges(events.select("seq", "ts", "queue", "change"), "queue", ["ts", "seq"], folder, rows_a_range)
+    front = Window.partitionBy("queue").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
+    sums = ranged.groupBy("queue", "_part").agg(F.sum("change").alias("s"))
+    before = sums.select(F.col("queue").alias("_queue"), F.col("_part").alias("_of"), F.coalesce(F.sum("s").over(front), F.lit(0)).alias("before"))
+    within = Window.partitionBy("queue", "_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
+    summed = ranged.withColumn("within", F.sum("change").over(within))
+    summed = summed.join(before, (summed["_part"] == before["_of"]) & summed["queue"].eqNullSafe(before["_queue"]))
+    net = F.col("before") + F.col("within")
+    return summed.select(
+        "seq", F.greatest(F.lit(0), F.least(net, F.lit(capacity))).alias("size"),
+        F.greatest(F.lit(0), net - capacity).alias("waiting_puts"), F.greatest(F.lit(0), -net).alias("waiting_takes"),
+    )

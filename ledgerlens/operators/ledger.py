@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.operators.folds import sorted_fold
+from ledgerlens.operators.ranges import ROWS_A_RANGE, in_ranges, written
+from ledgerlens.session import shared_folder
 
 APPLIED, DUPLICATE, INSUFFICIENT, UNKNOWN = "APPLIED", "DUPLICATE", "INSUFFICIENT", "UNKNOWN_ACCOUNT"
 LEDGER = "seq long, status string, balance_cents long"
@@ -50,18 +55,100 @@ def apply_debit(balance: int | None, done: bool, amount: int | None) -> tuple[st
     return (INSUFFICIENT, balance) if balance < amount else (APPLIED, balance - amount)
 
 
-def debit_ledger(requests: DataFrame, opening: DataFrame | None = None) -> DataFrame:
+def _ids(name: str) -> list:
+    return [F.col("account_id").alias(f"{name}_account"), F.col("request_id").alias(f"{name}_request")]
+
+
+def _same(df: DataFrame, other: DataFrame, name: str):
+    return df["account_id"].eqNullSafe(other[f"{name}_account"]) & df["request_id"].eqNullSafe(other[f"{name}_request"])
+
+
+def _replay(table: pa.Table) -> pa.Table:
+    """The debits of one range of an account that are applied, one after another, and the balance after them."""
+    balance, done, applied = table["balance"][0].as_py(), set(), []
+    for at, request, amount in zip(*(table.sort_by("at")[c].to_pylist() for c in ("at", "request_id", "amount_cents")), strict=True):
+        status, balance = apply_debit(balance, request in done, amount)
+        if status == APPLIED:
+            done.add(request)
+            applied.append((at, request))
+    ats, requests = zip(*applied, strict=True) if applied else ((), ())
+    rest = [None] * (len(applied) + 1)  # the last row is the balance
+    return pa.table(
+        {
+            "account_id": pa.array([table["account_id"][0].as_py()] * len(rest), pa.string()),
+            "at": pa.array([*ats, None], pa.int64()),
+            "request_id": pa.array([*requests, None], table["request_id"].type),
+            "balance": pa.array([*rest[:-1], balance], pa.int64()),
+        }
+    )
+
+
+def _applied(open_rows: DataFrame, balances: DataFrame, folder: str, rows_a_range: int) -> DataFrame:
+    """``(account_id, request_id, at)`` of the debits that are applied, of ``(account_id, request_id, amount_cents, at)``.
+
+    A balance never rises. So as long as the first debits of all ids up to a range come to no more than the balance, all of
+    them are applied, whatever their order; the range in which they come to more is gone through row by row, one such
+    range an account. What is left after it are later debits that the balance still covers and whose id isn't applied
+    yet: usually few. They are put into ranges anew, until none is left.
+    """
+    spark, found, step = open_rows.sparkSession, [], 0
+    while True:
+        round_folder = f"{folder}/round-{step}"
+        ranged = in_ranges(open_rows, "account_id", ["at"], round_folder, rows_a_range).drop("_at")
+        firsts = ranged.groupBy("account_id", "request_id").agg(F.min(F.struct("at", F.col("_part").alias("part"), "amount_cents")).alias("f"))
+        firsts = written(firsts.select("account_id", "request_id", "f.at", F.col("f.part").alias("_part"), "f.amount_cents"), round_folder, "firsts")
+        sums = firsts.groupBy("account_id", "_part").agg(F.sum("amount_cents").alias("s"))
+        up_to = Window.partitionBy("account_id").orderBy("_part").rowsBetween(Window.unboundedPreceding, 0)  # a row a range
+        reached = sums.withColumn("cum", F.sum("s").over(up_to)).join(balances, "account_id")
+        over = reached.where("cum > balance").groupBy("account_id").agg(F.min(F.struct(F.col("_part").alias("part"), (F.col("balance") - F.col("cum") + F.col("s")).alias("b"))).alias("o"))
+        over = written(over.select("account_id", F.col("o.part").alias("contested"), F.col("o.b").alias("balance")), round_folder, "contested")
+        bulk = firsts.join(over, "account_id", "left").where("contested IS NULL OR _part < contested").select("account_id", "request_id", "at")
+        bulk = written(bulk, round_folder, "bulk")
+        found.append(bulk)
+        if over.isEmpty():
+            break
+        before = bulk.select(*_ids("b"))
+        later = ranged.join(over, "account_id").where("_part >= contested")
+        later = written(later.join(before, _same(later, before, "b"), "left_anti"), round_folder, "later")
+        kinds = dict(open_rows.dtypes)
+        schema = f"account_id string, at long, request_id {kinds['request_id']}, balance long"
+        replayed = written(later.where("_part = contested").groupBy("account_id").applyInArrow(_replay, schema), round_folder, "replayed")
+        applied = replayed.where("at IS NOT NULL").select("account_id", "request_id", "at")
+        found.append(applied)
+        balances = replayed.where("at IS NULL").select("account_id", "balance")
+        done = applied.select(*_ids("d"))
+        left = later.where("_part > contested").drop("balance").join(balances, "account_id").where("amount_cents <= balance")
+        left = left.join(done, _same(left, done, "d"), "left_anti")
+        open_rows = written(left.select("account_id", "request_id", "amount_cents", "at"), round_folder, "left")
+        step += 1
+        if open_rows.isEmpty():
+            break
+    return reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], "account_id string, request_id string, at long")
+
+
+def debit_ledger(requests: DataFrame, opening: DataFrame | None = None, rows_a_range: int = ROWS_A_RANGE) -> DataFrame:
     """``(seq, status, balance_cents)`` for debits ``(account_id, request_id, amount_cents, ts, seq)``.
 
     A refused debit isn't remembered, so its id may succeed later. Opening balances are a column
-    ``opening_cents`` of the requests, or a table ``(account_id, opening_cents)``.
+    ``opening_cents`` of the requests (an account's first row counts), or a table ``(account_id, opening_cents)``.
+
+    What is applied is found range by range for all accounts at once, and an account may go over any number of ranges;
+    results and balances follow from it. Accounts with an amount below 0, whose balance may rise, are folded row by row.
     """
     if opening is not None:
         requests = requests.drop("opening_cents").join(opening, "account_id", "left")
+    folder = shared_folder(requests.sparkSession, "ledger")
+    wanted = requests.select("seq", "ts", F.col("account_id").cast("string"), "request_id", "amount_cents", "opening_cents")
+    ranged = in_ranges(wanted, "account_id", ["ts", "seq"], f"{folder}/all", rows_a_range).withColumnRenamed("_at", "at")
+    accounts = ranged.groupBy("account_id").agg(
+        F.min_by("opening_cents", "at").alias("opened"), F.coalesce(F.min("amount_cents") < 0, F.lit(False)).alias("rises")
+    )
+    accounts = written(accounts.withColumn("opened", F.when(~F.isnan("opened"), F.col("opened")).cast("long")), folder, "accounts")
+    accounts = accounts.withColumnRenamed("account_id", "_account")
+    rows = ranged.join(accounts, ranged["account_id"].eqNullSafe(accounts["_account"])).drop("_account", "opening_cents")
 
     def start(row) -> dict:
-        missing = row.opening_cents is None or row.opening_cents != row.opening_cents
-        return {"balance": None if missing else int(row.opening_cents), "done": set()}
+        return {"balance": row.opened, "done": set()}
 
     def step(state: dict, row) -> tuple:
         status, state["balance"] = apply_debit(state["balance"], row.request_id in state["done"], row.amount_cents)
@@ -69,5 +156,25 @@ def debit_ledger(requests: DataFrame, opening: DataFrame | None = None) -> DataF
             state["done"].add(row.request_id)
         return row.seq, status, state["balance"]
 
-    wanted = requests.select("seq", "ts", "account_id", "request_id", "amount_cents", "opening_cents")
-    return sorted_fold(wanted, "account_id", ["ts", "seq"], start, step, LEDGER)
+    rising = rows.where("rises").select("account_id", "at", "seq", "request_id", "amount_cents", "opened")
+    folded = sorted_fold(rising, "account_id", ["at"], start, step, LEDGER)
+    steady = rows.where("NOT rises").withColumn("account_id", F.coalesce(F.concat(F.lit("="), "account_id"), F.lit("-")))
+    steady = written(steady, folder, "steady")  # from here on no account is null
+    balances = steady.where("opened IS NOT NULL").groupBy("account_id").agg(F.max("opened").alias("balance"))
+    open_rows = steady.where("opened IS NOT NULL AND amount_cents <= opened").select("account_id", "request_id", "amount_cents", "at")
+    applied = _applied(open_rows, balances, folder, rows_a_range).select(*_ids("a"), F.col("at").alias("applied_at"))
+    told = steady.join(applied, _same(steady, applied, "a"), "left").withColumn(
+        "status",
+        F.when(F.col("opened").isNull() | F.col("amount_cents").isNull(), UNKNOWN)
+        .when(F.col("applied_at") == F.col("at"), APPLIED)
+        .when(F.col("applied_at") < F.col("at"), DUPLICATE)
+        .otherwise(INSUFFICIENT),
+    )
+    told = written(told.withColumn("moved", F.when(F.col("status") == APPLIED, F.col("amount_cents")).otherwise(0)), folder, "told")
+    # running sums in two steps: within a range, and over the ranges of the account before it
+    front = Window.partitionBy("account_id").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    spent = told.groupBy("account_id", "_part").agg(F.sum("moved").alias("s"))
+    spent = spent.select("account_id", "_part", F.coalesce(F.sum("s").over(front), F.lit(0)).alias("before"))
+    within = Window.partitionBy("account_id", "_part").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    balanced = told.withColumn("within", F.sum("moved").over(within)).join(spent, ["account_id", "_part"])
+    return balanced.select("seq", "status", (F.col("opened") - F.col("before") - F.col("within")).alias("balance_cents")).unionByName(folded)

@@ -322,6 +322,21 @@ def backlog_over_time(spark, sf_dir):
     return sized.select(F.date_format("ts", "yyyy-MM-dd").alias("day"), "change", "size", "above")
 
 
+@query("""WITH RECURSIVE o AS (SELECT *, row_number() OVER (PARTITION BY queue ORDER BY ts, seq) AS rn FROM v_queue_events),
+f AS (SELECT queue, cast(0 AS bigint) AS rn, cast(-1 AS bigint) AS seq, cast(0 AS bigint) AS size, false AS refused, false AS starved FROM o GROUP BY 1
+  UNION ALL SELECT o.queue, o.rn, o.seq, least(10, greatest(0, size + change)), change > 0 AND size = 10, change < 0 AND size = 0
+  FROM f JOIN o ON o.queue = f.queue AND o.rn = f.rn + 1)
+SELECT seq, size, refused, starved FROM f WHERE rn > 0""")
+def bounded_queue(spark, sf_dir):
+    return capacity.bounded_queue(view(spark, sf_dir, "v_queue_events"), 10)
+
+
+@query("""WITH s AS (SELECT seq, cast(sum(change) OVER (PARTITION BY queue ORDER BY ts, seq ROWS UNBOUNDED PRECEDING) AS bigint) AS net FROM v_queue_events)
+SELECT seq, greatest(0, least(net, 10)) AS size, greatest(0, net - 10) AS waiting_puts, greatest(0, -net) AS waiting_takes FROM s""")
+def blocking_queue(spark, sf_dir):
+    return capacity.blocking_queue(view(spark, sf_dir, "v_queue_events"), 10)
+
+
 # Payments, scores and statements
 
 _RECENT = "count(*) OVER (PARTITION BY account_id ORDER BY ts RANGE BETWEEN INTERVAL '6 hours' PRECEDING AND CURRENT ROW)"

@@ -55,6 +55,10 @@ VIEWS: dict[str, str] = {
         SELECT event_id AS seq, ts, concat('svc-', cast(user_id % 10 AS varchar(20))) AS service,
                event_type IN ('error', 'click') AS failed
         FROM events""",
+    "v_queue_events": """
+        SELECT event_id AS seq, ts, concat('queue-', cast(user_id % 10 AS varchar(20))) AS queue,
+               cast(CASE WHEN event_id % 7 < 3 OR event_type = 'view' THEN 1 ELSE -1 END AS bigint) AS change
+        FROM events""",
     "v_latency": """
         SELECT event_id AS seq, ts, event_type AS endpoint, CASE WHEN event_id % 2 = 0 THEN 'before' ELSE 'after' END AS variant,
                cast(floor(value) AS bigint) AS latency_ms, cast(50 AS bigint) AS expected_interval_ms
