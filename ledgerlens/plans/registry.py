@@ -268,7 +268,7 @@ def breaker_trace(spark, sf_dir):
 
 # at a call: the state it meets (pre), then the outcomes that count (kept) and whether they trip the breaker
 _MET = "CASE WHEN st = 'OPEN' AND o.ts >= since + INTERVAL '2 hours' THEN 'HALF_OPEN' ELSE st END"
-_RATE_BREAKER_SQL = f"""WITH RECURSIVE o AS (SELECT *, row_number() OVER (PARTITION BY service ORDER BY ts, seq) AS rn FROM v_breaker_calls),
+_RATE_FOLD = f"""WITH RECURSIVE o AS (SELECT *, row_number() OVER (PARTITION BY service ORDER BY ts, seq) AS rn FROM v_breaker_calls),
 f AS (SELECT service, cast(0 AS bigint) AS rn, 'CLOSED' AS st, cast(NULL AS timestamp) AS since, cast([] AS integer[]) AS recent, '' AS b4, '' AS dec, cast(-1 AS bigint) AS seq
   FROM o GROUP BY 1
   UNION ALL SELECT service, rn,
@@ -279,7 +279,8 @@ f AS (SELECT service, cast(0 AS bigint) AS rn, 'CLOSED' AS st, cast(NULL AS time
   FROM (SELECT *, len(kept) = size AND list_sum(kept) >= 0.5e0 * size AS trips
     FROM (SELECT *, list_slice(said, greatest(1, len(said) - size + 1), len(said)) AS kept
       FROM (SELECT *, list_append(CASE WHEN pre = st THEN recent ELSE cast([] AS integer[]) END, cast(failed AS integer)) AS said, CASE WHEN pre = 'HALF_OPEN' THEN 2 ELSE 5 END AS size
-        FROM (SELECT o.service, o.rn, o.seq, o.ts, o.failed, st, since, recent, {_MET} AS pre FROM f JOIN o ON o.service = f.service AND o.rn = f.rn + 1)))))
+        FROM (SELECT o.service, o.rn, o.seq, o.ts, o.failed, st, since, recent, {_MET} AS pre FROM f JOIN o ON o.service = f.service AND o.rn = f.rn + 1)))))"""
+_RATE_BREAKER_SQL = f"""{_RATE_FOLD}
 SELECT seq, b4 AS state_before, dec AS decision, st AS state_after, cast(coalesce(list_sum(recent), 0) AS bigint) AS failures FROM f WHERE rn > 0"""
 
 
@@ -615,6 +616,18 @@ def stream_breaker(spark, sf_dir):
     return streams.breaker(spark, sf_dir)
 
 
+# a pause that a trip begins is over once a later call or the watermark, a day behind the last event, has passed its end
+@query(f"""{_RATE_FOLD},
+told AS (SELECT f.seq, f.service, o.ts, b4, dec, st, coalesce(list_sum(recent), 0) AS n FROM f JOIN o ON o.seq = f.seq WHERE f.rn > 0),
+pauses AS (SELECT service, ts + INTERVAL '2 hours' AS over FROM told WHERE st = 'OPEN' AND b4 <> 'OPEN'),
+ended AS (SELECT p.* FROM pauses p JOIN (SELECT service, max(ts) AS last FROM told GROUP BY 1) l USING (service)
+  WHERE over <= greatest(last, (SELECT max(ts) FROM told) - INTERVAL '1 day'))
+SELECT seq, service, epoch_us(ts) AS at_us, b4 AS state_before, dec AS decision, st AS state_after, cast(n AS bigint) AS failures FROM told
+UNION ALL SELECT -1, service, epoch_us(over), 'OPEN', 'PAUSE_OVER', 'HALF_OPEN', 0 FROM ended""")
+def stream_rate_breaker(spark, sf_dir):
+    return streams.rate_breaker(spark, sf_dir)
+
+
 @query("""SELECT epoch_us(time_bucket(INTERVAL '1 day', ts)) AS window_us, event_type AS endpoint, count(*) AS n,
 count_if(cast(floor(value) AS bigint) > 200)::bigint AS breaches, quantile_disc(cast(floor(value) AS bigint), 0.99) AS p99,
 quantile_disc(cast(floor(value) AS bigint), 0.99) > 200 AS breached FROM events GROUP BY 1, 2""")

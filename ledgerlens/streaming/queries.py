@@ -67,6 +67,12 @@ def breaker(spark: SparkSession, sf_dir: str) -> DataFrame:
     return replay(streams.breaker_stream(calls, 3, timedelta(hours=2))).drop("batch_id")
 
 
+def rate_breaker(spark: SparkSession, sf_dir: str) -> DataFrame:
+    calls = view_of(spark, "v_breaker_calls", {"events": _events(spark, sf_dir)})
+    told = replay(streams.rate_breaker_stream(calls, "1 day", timedelta(hours=2))).drop("batch_id")
+    return told.withColumn("seq", F.coalesce("seq", F.lit(-1)))
+
+
 def sla(spark: SparkSession, sf_dir: str) -> DataFrame:
     samples = view_of(spark, "v_latency", {"events": _events(spark, sf_dir)})
     counted = replay(streams.sla_monitor(samples, 200, DELAY, "1 day"), "update")

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import json
 import time
+from collections import deque
 from collections.abc import Callable, Iterator
 from datetime import timedelta
 
@@ -14,7 +14,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ledgerlens.operators.eligibility import eligible_products
 from ledgerlens.operators.ledger import APPLIED, LEDGER, apply_debit
-from ledgerlens.operators.resilience import CLOSED, TRACE, Breaker
+from ledgerlens.operators.resilience import CLOSED, HALF_OPEN, OPEN, TRACE, Breaker, RateBreaker
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -46,52 +46,63 @@ def _sorted(rows: Iterator[pd.DataFrame]) -> pd.DataFrame:
     return pd.concat(found).sort_values(["ts", "seq"], kind="stable") if found else pd.DataFrame()
 
 
+def _name(request) -> str:
+    """A request id as a key of a map; null is one too."""
+    return "-" if request is None or request != request else f"={request}"
+
+
 class _Ledger(StatefulProcessor):
-    """Balance of an account, and its applied requests with their times.
+    """Balance of an account, and a map from each applied request to its time.
 
-    The state of an account is read and written once a micro-batch, not once a row. Requests that are
-    older than the time to live, by event time, are forgotten; without one they are kept.
+    Of the map, a micro-batch reads the requests that it has and writes those that it applies, so it costs what its
+    own rows cost however many requests the account has made. Requests older than the time to live, by event time,
+    count as new. The store drops entries by Spark's own time to live, in processing time.
     """
 
-    def __init__(self, ttl_us: int | None) -> None:
-        self.ttl_us = ttl_us
-
-    def _live(self, age_us: int) -> bool:
-        return self.ttl_us is None or age_us <= self.ttl_us
+    def __init__(self, ttl_us: int | None, state_ttl_ms: int | None) -> None:
+        self.ttl_us, self.state_ttl_ms = ttl_us, state_ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.account = handle.getValueState("account", "cents bigint, done string")
+        self.balance = handle.getValueState("balance", "cents bigint")
+        self.done = handle.getMapState("done", "request string", "at_us bigint", self.state_ttl_ms)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         found = _sorted(rows)
-        balance, done = None, {}
-        if self.account.exists():
-            balance, text = self.account.get()
-            done = json.loads(text)
-        out, now = [], 0
-        for row in found.itertuples(index=False):
+        balance = self.balance.get()[0] if self.balance.exists() else None
+        names = [_name(r) for r in found["request_id"]] if len(found) else []
+        asked = dict.fromkeys(names) if balance is not None else ()  # an account without a balance has applied nothing
+        done = {name: at[0] for name in asked if (at := self.done.getValue((name,))) is not None}
+        out, fresh = [], {}
+        for name, row in zip(names, found.itertuples(index=False), strict=True):
             balance = int(row.opening_cents) if balance is None else balance
             now = pd.Timestamp(row.ts).value // 1000
-            known = row.request_id in done and self._live(now - done[row.request_id])
+            known = name in done and (self.ttl_us is None or now - done[name] <= self.ttl_us)
             status, balance = apply_debit(balance, known, int(row.amount_cents))
             if status == APPLIED:
-                done[row.request_id] = now
+                done[name] = fresh[name] = now
             out.append((int(row.seq), status, balance))
+        for name, at in fresh.items():
+            self.done.updateValue((name,), (at,))
         if out:
-            kept = {request: at for request, at in done.items() if self._live(now - at)}
-            self.account.update((balance, json.dumps(kept)))
+            self.balance.update((balance,))
         yield pd.DataFrame(out, columns=["seq", "status", "balance_cents"])
 
     def close(self) -> None:
         pass
 
 
-def debit_ledger_stream(requests: DataFrame, ttl: timedelta | None = None) -> DataFrame:
+def debit_ledger_stream(requests: DataFrame, ttl: timedelta | None = None, state_ttl: timedelta | None = None) -> DataFrame:
     """The debit ledger on a stream. A micro-batch is put in time order by account; across micro-batches the
-    order is that of arrival. An applied id is remembered for ``ttl`` of event time, or for good as in a batch."""
-    return requests.groupBy("account_id").transformWithStateInPandas(
-        _Ledger(None if ttl is None else int(ttl.total_seconds() * 1_000_000)), LEDGER, "Append", "None"
-    )
+    order is that of arrival. An applied id is remembered for ``ttl`` of event time, or for good as in a batch.
+
+    ``state_ttl`` bounds the store: an id that was applied so long ago, by the clock, is forgotten in any case. It should
+    be longer than ``ttl`` by as much as the stream may stand still. Spark then has a batch to run at any time, so such a
+    stream needs a trigger that goes on (not ``availableNow``).
+    """
+    ttl_us = None if ttl is None else int(ttl.total_seconds() * 1_000_000)
+    state_ttl_ms = None if state_ttl is None else int(state_ttl.total_seconds() * 1000)
+    mode = "None" if state_ttl is None else "ProcessingTime"
+    return requests.groupBy("account_id").transformWithStateInPandas(_Ledger(ttl_us, state_ttl_ms), LEDGER, "Append", mode)
 
 
 class _Breaker(StatefulProcessor):
@@ -120,6 +131,91 @@ def breaker_stream(calls: DataFrame, threshold: int, open_for: timedelta) -> Dat
     return calls.groupBy("service").transformWithStateInPandas(_Breaker(threshold, open_for), TRACE, "Append", "None")
 
 
+TRANSITIONS = "seq long, service string, at_us long, state_before string, decision string, state_after string, failures long"
+#: The decision of a row that no call has made: the pause is over.
+PAUSE_OVER = "PAUSE_OVER"
+
+
+class _RateBreaker(StatefulProcessor):
+    """The outcomes of the last calls are a list, state and time of opening a value, the end of a pause a timer.
+
+    A pause ends once: with the first call after it, or with the timer if the watermark passes it before.
+    """
+
+    def __init__(self, window: int, rate: float, pause: timedelta, trials: int) -> None:
+        self.settings = window, rate, pause, trials
+        self.pause_us = pause // timedelta(microseconds=1)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("state", "state string, since_us bigint")
+        self.recent = handle.getListState("recent", "failed boolean")
+
+    def _read(self) -> RateBreaker:
+        window, rate, pause, trials = self.settings
+        breaker = RateBreaker(window, rate, pause, trials)
+        if self.state.exists():
+            breaker.state, since = self.state.get()
+            breaker.since = None if since is None else pd.Timestamp(since, unit="us")
+            breaker.recent.extend(x[0] for x in self.recent.get())
+        return breaker
+
+    def _write(self, breaker: RateBreaker) -> None:
+        self.state.update((breaker.state, None if breaker.since is None else breaker.since.value // 1000))
+        if breaker.recent:
+            self.recent.put([(bool(x),) for x in breaker.recent])
+        else:
+            self.recent.clear()
+
+    def _ends(self, breaker: RateBreaker) -> int:
+        return breaker.since.value // 1000 + self.pause_us
+
+    def _over(self, breaker: RateBreaker, service) -> tuple:
+        ended = self._ends(breaker)
+        breaker.state, breaker.recent = HALF_OPEN, deque()
+        return None, service, ended, OPEN, PAUSE_OVER, HALF_OPEN, 0
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        breaker, out = self._read(), []
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        passed_us = timerValues.getCurrentWatermarkInMs() * 1000
+        for row in _sorted(rows).itertuples(index=False):
+            at = pd.Timestamp(row.ts)
+            at_us = at.value // 1000
+            if at_us < passed_us:  # late: what followed it has been told
+                continue
+            if breaker.state == OPEN and at_us >= self._ends(breaker):
+                out.append(self._over(breaker, key[0]))
+            out.append((int(row.seq), key[0], at_us, *breaker.call(at, bool(row.failed))))
+        if breaker.state == OPEN:
+            self.handle.registerTimer(-(-self._ends(breaker) // 1000))
+        self._write(breaker)
+        yield self._table(out)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        breaker = self._read()
+        out = [self._over(breaker, key[0])] if breaker.state == OPEN else []
+        self._write(breaker)
+        yield self._table(out)
+
+    @staticmethod
+    def _table(rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=[c.split()[0] for c in TRANSITIONS.split(", ")]).astype({"seq": "Int64"})
+
+    def close(self) -> None:
+        pass
+
+
+def rate_breaker_stream(calls: DataFrame, delay: str, open_for: timedelta, window: int = 5, rate: float = 0.5, trials: int = 2) -> DataFrame:
+    """The rate breaker on a stream, by service: a row a call, and a row when a pause is over.
+
+    The latter comes at the end of the pause whether or not a call follows. Calls later than ``delay`` are dropped.
+    """
+    timed = calls.withWatermark("ts", delay).groupBy("service")
+    return timed.transformWithStateInPandas(_RateBreaker(window, rate, open_for, trials), TRANSITIONS, "Append", "EventTime")
+
+
 def dedup_stream(requests: DataFrame, delay: str) -> DataFrame:
     """The first row of each request id among those that come within ``delay`` of event time."""
     return requests.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["request_id"])
