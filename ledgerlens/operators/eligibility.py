@@ -98,8 +98,6 @@ def recommendations(profiles: DataFrame, rules: DataFrame) -> DataFrame:
 
 def assign_round_robin(requests: DataFrame, dimension: DataFrame, key: str, seq: str = "seq") -> DataFrame:
     """Requests joined to dimension rows in turn: request n goes to row n modulo the dimension's size."""
-
-
     size = dimension.count()
     dense = positions(dimension.select(key), key).withColumnRenamed("position", "_slot")
     return requests.withColumn("_slot", F.pmod(F.col(seq), F.lit(max(1, size)))).join(dense, "_slot").drop("_slot")

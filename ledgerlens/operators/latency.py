@@ -9,12 +9,16 @@ from pyspark.sql import functions as F
 
 from ledgerlens.functions.scoring import expected_rate
 from ledgerlens.operators.ordering import positions
+from ledgerlens.operators.ranges import written
+from ledgerlens.session import shared_folder
 
 #: The targets in milliseconds, by percentile.
 TARGETS = {"p50": 50, "p95": 150, "p99": 200, "p99_9": 500}
 LEVELS = {"p50": 0.5, "p95": 0.95, "p99": 0.99, "p99_9": 0.999}
-#: The tracker's largest value; it also bounds what one value can expand to.
-LARGEST_MS = 10_000
+#: Phantom values that one row lists at a time.
+LISTED = 4096
+#: Load phases that are sent to every task, at most.
+PHASE_LIMIT = 10_000
 
 
 def latency_of(start_ns: Column, end_ns: Column) -> Column:
@@ -22,7 +26,7 @@ def latency_of(start_ns: Column, end_ns: Column) -> Column:
     return F.when(end_ns > 0, F.floor((end_ns - start_ns) / 1_000_000)).otherwise(0).cast("bigint")
 
 
-def _ranks(grouped_counts: DataFrame, keys: list[str], column: str) -> DataFrame:
+def ranks(grouped_counts: DataFrame, keys: list[str], column: str) -> DataFrame:
     """Nearest-rank percentiles from ``(keys, column, freq)``: exact, on one row a distinct value."""
     up_to = Window.partitionBy(*keys).orderBy(column).rowsBetween(Window.unboundedPreceding, 0)
     ranked = grouped_counts.withColumns(
@@ -44,7 +48,7 @@ def latency_percentiles(df: DataFrame, keys: list[str], column: str = "latency_m
 
     Values are whole milliseconds, so counting them first leaves few rows and no group is sorted whole.
     """
-    return _ranks(df.groupBy(*keys, column).agg(F.count("*").alias("freq")), keys, column)
+    return ranks(df.groupBy(*keys, column).agg(F.count("*").alias("freq")), keys, column)
 
 
 def latency_percentiles_approx(df: DataFrame, keys: list[str], column: str = "latency_ms", accuracy: int = 10_000) -> DataFrame:
@@ -60,18 +64,21 @@ def running_mean(column: str) -> Column:
 def expand_omitted(df: DataFrame, keys: list[str], interval_ms: int) -> DataFrame:
     """``(keys, latency_ms, freq)`` with what a blocked caller would have measured besides.
 
-    A value v over the interval stands also for v - i, v - 2 i, ... down to i. Equal values are counted first,
-    and none is expanded beyond the tracker's largest.
+    A value v over the interval i stands also for v - i, v - 2 i, ... down to i, however large it is. Equal values are
+    counted first, and a value's list is made in parts.
     """
     counted = df.groupBy(*keys, "latency_ms").agg(F.count("*").alias("freq"))
-    v, i = F.least("latency_ms", F.lit(LARGEST_MS)), F.lit(interval_ms)
-    more = F.when(v >= 2 * i, F.sequence(v - i, i, -i)).otherwise(F.array().cast("array<bigint>"))
-    all_values = counted.select(*keys, F.explode(F.concat(F.array("latency_ms"), more)).alias("latency_ms"), "freq")
-    return all_values.groupBy(*keys, "latency_ms").agg(F.sum("freq").alias("freq"))
+    v, i = F.col("latency_ms"), F.lit(interval_ms)
+    steps = F.greatest(F.floor(v / i) - 1, F.lit(0))  # v - steps * i is the last from i on
+    parts = counted.withColumn("_steps", steps).withColumn("_part", F.explode(F.sequence(F.lit(0), F.floor((F.col("_steps")) / LISTED))))
+    first = F.col("_part") * LISTED
+    last = F.least(F.col("_steps"), first + LISTED - 1)
+    listed = parts.select(*keys, F.explode(F.transform(F.sequence(first, last), lambda k: v - k * i)).alias("latency_ms"), "freq")
+    return listed.groupBy(*keys, "latency_ms").agg(F.sum("freq").alias("freq"))
 
 
 def corrected_percentiles(df: DataFrame, keys: list[str], interval_ms: int) -> DataFrame:
-    return _ranks(expand_omitted(df, keys, interval_ms), keys, "latency_ms")
+    return ranks(expand_omitted(df, keys, interval_ms), keys, "latency_ms")
 
 
 def sla_report(df: DataFrame, keys: list[str], targets: dict[str, int] | None = None) -> DataFrame:
@@ -110,49 +117,89 @@ def compare_variants(df: DataFrame, base: str, candidate: str) -> DataFrame:
     )
 
 
-#: Blocks that one task goes through, as long as that makes at most ``MOST_GROUPS`` groups of blocks.
-BLOCKS_A_GROUP, MOST_GROUPS = 1_000, 50_000
+#: Blocks that one task goes through, as long as that makes at most ``MOST_GROUPS`` groups of blocks, and groups of a level.
+BLOCKS_A_GROUP, MOST_GROUPS, GROUPS_A_LEVEL = 1_000, 50_000, 256
+_HISTOGRAM = "names binary, counts binary"
+
+
+class _Histogram:
+    """How often each whole value occurs, as sorted values and their counts."""
+
+    def __init__(self, names=None, counts=None) -> None:
+        self.names = np.zeros(0, np.int64) if names is None else np.asarray(names, np.int64)
+        self.counts = np.zeros(0, np.int64) if counts is None else np.asarray(counts, np.int64)
+
+    @classmethod
+    def read(cls, names: bytes, counts: bytes) -> _Histogram:
+        return cls(np.frombuffer(names, np.int64), np.frombuffer(counts, np.int64))
+
+    def plus(self, names, counts) -> _Histogram:
+        every, place = np.unique(np.concatenate([self.names, np.asarray(names, np.int64)]), return_inverse=True)
+        return _Histogram(every, np.bincount(place, np.concatenate([self.counts, counts]), len(every)).astype(np.int64))
+
+    def stored(self) -> tuple[bytes, bytes]:
+        return self.names.tobytes(), self.counts.tobytes()
+
+
+def _before_each(cells: pd.DataFrame, by: str, start: _Histogram) -> pd.DataFrame:
+    """``(by, names, counts)``: the histogram of all that comes before each value of ``by``, on top of ``start``."""
+    out = []
+    for name, held in cells.groupby(by, sort=True):
+        out.append((name, *start.stored()))
+        start = start.plus(held["latency_ms"].to_numpy(), held["c"].to_numpy())
+    return pd.DataFrame(out, columns=[by, "names", "counts"])
 
 
 def sla_breaches(df: DataFrame, every: int = 100, target: int = TARGETS["p99"], order: str = "seq") -> DataFrame:
     """After every ``every`` rows, the 99th percentile of all rows so far, and whether it is over the target.
 
-    Rows are cut into groups of blocks. A group starts from how often each value occurs in the groups before it, and
-    counts on block by block; values are whole and bounded, so a start is a small table.
+    Rows are cut into groups of blocks, and each group goes on from the histogram of all groups before it. These come from
+    two levels: histograms of many groups each are added up in order, and under each of them those of its own groups. So
+    there is a histogram a group, of the values that have come up by then, and no table of all groups by all values.
     """
+    folder = shared_folder(df.sparkSession, "percentiles")
     rows = every * max(BLOCKS_A_GROUP, -(-df.count() // (every * MOST_GROUPS)))
-    placed = positions(df.select(order, "latency_ms"), order).select("position", "latency_ms")
-    placed = placed.withColumn("group", F.floor(F.col("position") / rows).cast("bigint"))
+    placed = positions(df.select(order, F.col("latency_ms").cast("bigint").alias("latency_ms")), order).select("position", "latency_ms")
+    placed = written(placed.withColumn("group", F.floor(F.col("position") / rows).cast("bigint")), folder, "placed")
     cells = placed.groupBy("group", "latency_ms").agg(F.count("*").alias("c"))
-    values = cells.agg(F.collect_set("latency_ms")).scalar()
-    # a row a group and value, so that a value's count runs on through groups without it
-    grid = cells.select("group").distinct().withColumn("_v", values).select("group", F.explode("_v").alias("latency_ms"))
-    front = Window.partitionBy("latency_ms").orderBy("group").rowsBetween(Window.unboundedPreceding, -1)
-    starts = grid.join(cells, ["group", "latency_ms"], "left").withColumn("before", F.coalesce(F.sum("c").over(front), F.lit(0)))
-    starts = starts.select(F.col("group").alias("of"), "latency_ms", "before")
+    cells = written(cells.withColumn("upper", F.floor(F.col("group") / GROUPS_A_LEVEL).cast("bigint")), folder, "cells")
+    counted = cells.where("latency_ms IS NOT NULL")
+    uppers = counted.groupBy("upper", "latency_ms").agg(F.sum("c").alias("c"))
+    # at most MOST_GROUPS / GROUPS_A_LEVEL histograms in one task
+    of_upper = uppers.withColumn("all", F.lit(True)).groupBy("all").applyInPandas(lambda t: _before_each(t, "upper", _Histogram()), f"upper long, {_HISTOGRAM}")
+    of_upper = written(of_upper, folder, "upper-starts")
+
+    def of_groups(held: pd.DataFrame, start: pd.DataFrame) -> pd.DataFrame:
+        return _before_each(held, "group", _Histogram.read(*start[["names", "counts"]].iloc[0]) if len(start) else _Histogram())
+
+    starts = counted.groupBy("upper").cogroup(of_upper.groupBy("upper")).applyInPandas(of_groups, f"group long, {_HISTOGRAM}")
+    starts = written(starts, folder, "starts")
 
     def blocks(key: tuple, held: pd.DataFrame, start: pd.DataFrame) -> pd.DataFrame:
-        start = start.sort_values("latency_ms")
-        names, counts = start["latency_ms"].to_numpy(), start["before"].to_numpy(np.int64).copy()
+        before = _Histogram.read(*start[["names", "counts"]].iloc[0]) if len(start) else _Histogram()
         held = held.sort_values("position")["latency_ms"]
-        out = []
+        own = np.unique(held.dropna().to_numpy(np.int64))
+        before = before.plus(own, np.zeros(len(own), np.int64))
+        names, counts, out = before.names, before.counts.copy(), []
         for k in range(len(held) // every):
-            block = held.iloc[k * every : (k + 1) * every].dropna().to_numpy(names.dtype)
+            block = held.iloc[k * every : (k + 1) * every].dropna().to_numpy(np.int64)
             counts += np.bincount(np.searchsorted(names, block), minlength=len(names))
             so_far = counts.cumsum()
-            p99 = int(names[np.searchsorted(so_far, -(-99 * so_far[-1] // 100))]) if so_far[-1] else None
+            p99 = int(names[np.searchsorted(so_far, -(-99 * so_far[-1] // 100))]) if len(so_far) and so_far[-1] else None
             out.append((key[0] * rows + (k + 1) * every, p99, p99 is not None and p99 > target))
         return pd.DataFrame(out, columns=["rows_so_far", "p99", "breached"]).astype({"p99": "Int64"})
 
-    both = placed.groupBy("group").cogroup(starts.groupBy("of"))
+    both = placed.groupBy("group").cogroup(starts.groupBy("group"))
     return both.applyInPandas(blocks, "rows_so_far long, p99 long, breached boolean")
 
 
 def phase_report(df: DataFrame, phases: DataFrame, start) -> DataFrame:
     """Per phase ``(phase, profile, from_s, to_s)``: rows, rate achieved and expected, and percentiles.
 
-    A row is in the phase that its seconds since ``start`` fall in; the phase table is a handful of rows.
+    A row is in the phase that its seconds since ``start`` fall in. The phase table is small, which is checked.
     """
+    if len(phases.head(PHASE_LIMIT + 1)) > PHASE_LIMIT:
+        raise ValueError(f"more than {PHASE_LIMIT} phases")
     elapsed = F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.lit(start).cast("timestamp"))
     timed = df.withColumn("_s", F.floor(elapsed / 1_000_000))
     met = timed.join(F.broadcast(phases), (F.col("_s") >= F.col("from_s")) & (F.col("_s") < F.col("to_s")))

@@ -43,11 +43,16 @@ def authorize(df: DataFrame, id_column: str = "seq", limit_cents: int = 50_000_0
 
 
 def account_stats(df: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """Count, exact sum, mean half up (0 without rows) and largest amount, at least 0, in cents."""
+    """Count, exact sum, mean (0 without rows) and largest amount, at least 0, in cents.
+
+    The mean is rounded to whole cents, halves away from 0, in whole numbers throughout.
+    """
     n, total = F.count("amount_cents"), F.coalesce(F.sum("amount_cents"), F.lit(0))
     grouped = df.groupBy(*(keys or []))
     stats = grouped.agg(n.alias("n"), total.alias("sum_cents"), F.coalesce(F.max("amount_cents"), F.lit(0)).alias("_max"))
-    mean = F.when(F.col("n") == 0, 0).otherwise(F.floor((2 * F.col("sum_cents") + F.col("n")) / (2 * F.greatest("n", F.lit(1)))))
+    size, held = F.abs("sum_cents"), F.greatest("n", F.lit(1))
+    up = F.when(size % held >= held - size % held, 1).otherwise(0)
+    mean = F.signum("sum_cents").cast("bigint") * (F.call_function("div", size, held) + up)
     return stats.select(
         *(keys or []), "n", "sum_cents", mean.cast("bigint").alias("avg_cents"), F.greatest("_max", F.lit(0)).alias("max_cents")
     )

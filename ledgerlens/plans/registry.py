@@ -17,6 +17,7 @@ from ledgerlens.operators import (
     ledger,
     quality,
     resilience,
+    sketches,
     statements,
     transactions,
 )
@@ -133,6 +134,16 @@ def account_stats_global(spark, sf_dir):
     return transactions.account_stats(view(spark, sf_dir, "v_transactions"))
 
 
+@query("""WITH t AS (SELECT account_id, CASE WHEN type = 'DEPOSIT' THEN amount_cents ELSE -amount_cents END AS a FROM v_transactions),
+s AS (SELECT account_id, count(*) AS n, cast(sum(a) AS bigint) AS total, max(a) AS top FROM t GROUP BY 1)
+SELECT account_id, n, total AS sum_cents, CASE WHEN total < 0 THEN -((n - 2 * total) // (2 * n)) ELSE (2 * total + n) // (2 * n) END AS avg_cents,
+greatest(top, 0) AS max_cents FROM s""")
+def account_stats_signed(spark, sf_dir):
+    df = view(spark, sf_dir, "v_transactions")
+    signed = df.withColumn("amount_cents", F.when(rules.is_type("DEPOSIT"), F.col("amount_cents")).otherwise(-F.col("amount_cents")))
+    return transactions.account_stats(signed, ["account_id"])
+
+
 @query("""SELECT cast(coalesce(sum(amount_cents // 100), 0) AS bigint) AS total FROM v_transactions
 WHERE type = 'DEPOSIT' AND amount_cents // 100 > 50000""")
 def deposit_sum_truncated(spark, sf_dir):
@@ -559,6 +570,39 @@ def sla_breaches_every_100(spark, sf_dir):
     return latency.sla_breaches(view(spark, sf_dir, "v_latency"))
 
 
+def _bucketed(value: str) -> str:
+    """The largest value that agrees with ``value`` in its first eleven binary digits."""
+    return f"CASE WHEN {value} < 2048 THEN {value} ELSE (({value} >> (len(bin({value})) - 11)) + 1 << (len(bin({value})) - 11)) - 1 END"
+
+
+def _sketch_sql(rows: str) -> str:
+    """Percentiles of ``rows (endpoint, day, v)`` by rank, each as the cell of the true one gives it."""
+    levels = ", ".join(f"min(CASE WHEN k >= ceil(round(n * {q}, 6)) THEN v END) AS {name}" for name, q in latency.LEVELS.items())
+    read = ", ".join(f"least({_bucketed(name)}, top) AS {name}" for name in latency.LEVELS)
+    return f"""WITH s AS (SELECT event_type AS endpoint, date_trunc('day', ts) AS d, cast(floor(value * 1000) AS bigint) * 40 AS v FROM events),
+r AS ({rows}), k AS (SELECT *, row_number() OVER (PARTITION BY endpoint, d ORDER BY v) AS k, count(*) OVER (PARTITION BY endpoint, d) AS n FROM r),
+p AS (SELECT endpoint, d, any_value(n) AS n, {levels}, max(v) AS top FROM k GROUP BY 1, 2)
+SELECT endpoint, strftime(d, '%Y-%m-%d') AS day, n, {read}, top AS max FROM p"""
+
+
+def _daily_sketches(spark, sf_dir, interval: int | None = None):
+    """Sketches of microseconds by hour, merged to days."""
+    micros = (F.floor(F.col("value") * 1000).cast("bigint") * 40).alias("micros")
+    samples = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_type").alias("endpoint"), F.date_trunc("hour", "ts").alias("hour"), micros)
+    hours = sketches.sketch(samples, ["endpoint", "hour"], "micros", interval).withColumn("day", F.date_format("hour", "yyyy-MM-dd"))
+    return sketches.sketch_percentiles(sketches.merged(hours, ["endpoint", "day"]), ["endpoint", "day"])
+
+
+@query(_sketch_sql("SELECT * FROM s"))
+def latency_sketches(spark, sf_dir):
+    return _daily_sketches(spark, sf_dir)
+
+
+@query(_sketch_sql("SELECT endpoint, d, v FROM s UNION ALL SELECT endpoint, d, unnest(generate_series(v - 7000, 7000, -7000)) FROM s WHERE v >= 14000"))
+def latency_sketches_corrected(spark, sf_dir):
+    return _daily_sketches(spark, sf_dir, 7_000)
+
+
 _PHASES = [("steady", "STEADY", 0, 864000), ("ramp", "RAMP", 864000, 1728000), ("spike", "SPIKE", 1728000, 2592000)]
 _PHASES_SQL = "(VALUES ('steady', 'STEADY', 0, 864000), ('ramp', 'RAMP', 864000, 1728000), ('spike', 'SPIKE', 1728000, 2592000)) AS t(phase, profile, from_s, to_s)"
 _RATE = """CASE profile WHEN 'RAMP' THEN 100 + 4900 * least(1e0, {ms} / 60000e0)
