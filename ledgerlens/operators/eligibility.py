@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.functions import scoring, text
@@ -54,6 +54,32 @@ def eligible_products(profiles: DataFrame, rules: DataFrame) -> DataFrame:
     return p.join(F.broadcast(rules), meets).select("customer_key", "rule_id", "product")
 
 
+def rules_over_time(versions: DataFrame) -> DataFrame:
+    """Versions with ``valid_to``, when the rule's next version begins; retired ones end the one before and go."""
+    repeated = versions.groupBy("rule_id", "valid_from").count().where("count > 1").head()
+    if repeated:
+        raise ValueError(f"rule {repeated['rule_id']} has more than one version from {repeated['valid_from']} on")
+    following = F.lead("valid_from").over(Window.partitionBy("rule_id").orderBy("valid_from"))
+    return versions.withColumn("valid_to", following).where(~F.coalesce("retired", F.lit(False)))
+
+
+def eligible_as_of(requests: DataFrame, versions: DataFrame, key: str = "seq") -> DataFrame:
+    """``(key, rule_id, product)`` for every rule that a request's profile met as the rule was at the request's ``ts``.
+
+    So a replayed request gives the same rows whatever versions have been added since for later times.
+    """
+    rules = rules_over_time(_checked(versions))
+    p = requests.withColumn("_dti", scoring.dti(F.col("outstanding_debt"), F.col("annual_income")))
+    then = (p["ts"] >= rules["valid_from"]) & (rules["valid_to"].isNull() | (p["ts"] < rules["valid_to"]))
+    meets = (
+        (p["credit_score"] >= rules["min_credit"])
+        & (p["annual_income"] >= rules["min_income"])
+        & (p["_dti"] <= rules["max_dti"])
+        & (p["tenure_months"] >= rules["min_tenure"])
+    )
+    return p.join(F.broadcast(rules), then & meets).select(key, "rule_id", "product")
+
+
 def flagged(profiles: DataFrame, rules: DataFrame) -> DataFrame:
     """``profiles`` with one boolean a flag: a projection over the rules as one array, so no profile is moved."""
     bounds = F.collect_list(F.struct("product", "min_credit", "min_income", "max_dti", "min_tenure"))

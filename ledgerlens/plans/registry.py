@@ -688,3 +688,15 @@ def stream_dedup(spark, sf_dir):
 SELECT event_id AS seq, rule_id FROM events JOIN d ON slot = event_id % (SELECT count(*) FROM d) JOIN e ON e.customer_key = d.customer_key""")
 def stream_rules(spark, sf_dir):
     return streams.rules(spark, sf_dir)
+
+
+_AS_OF = """WITH r AS (SELECT *, lead(valid_from) OVER (PARTITION BY rule_id ORDER BY valid_from) AS valid_to FROM v_rule_versions),
+d AS (SELECT *, row_number() OVER (ORDER BY customer_key) - 1 AS slot FROM v_profiles)
+SELECT event_id AS seq, rule_id FROM events JOIN d ON slot = event_id % (SELECT count(*) FROM d)
+JOIN r ON ts >= valid_from AND (valid_to IS NULL OR ts < valid_to) AND NOT retired AND credit_score >= min_credit AND annual_income >= min_income
+AND outstanding_debt / greatest(1e0, annual_income) <= max_dti AND tenure_months >= min_tenure"""
+
+
+@query(_AS_OF)
+def stream_rules_as_of(spark, sf_dir):
+    return streams.rules_as_of(spark, sf_dir)

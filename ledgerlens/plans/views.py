@@ -9,10 +9,18 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerlens.sources.rules import RULE_ROWS
+from ledgerlens.sources.rules import RULE_ROWS, version_rows
 
 _RULES = ", ".join(f"('{r[0]}', '{r[1]}', {r[2]}, {r[3]}e0, {r[4]}e0, {r[5]})" for r in RULE_ROWS)
 
+
+
+def _sql(value) -> str:
+    return "NULL" if value is None else f"'{value}'" if isinstance(value, str) else str(value).lower()
+
+
+_VERSIONS = ", ".join(f"({', '.join(map(_sql, r))})" for r in version_rows())
+
 VIEWS: dict[str, str] = {
     "v_transactions": """
         SELECT o_orderkey AS seq, concat('TXN', cast(o_orderkey AS varchar(20))) AS txn_id,
@@ -67,6 +75,10 @@ VIEWS: dict[str, str] = {
         SELECT event_id AS seq, event_type AS request_type, CASE WHEN event_id % 3 = 0 THEN 'COMPUTE' ELSE 'WAIT' END AS kind, value AS ms
         FROM events""",
     "v_rules": f"SELECT * FROM (VALUES {_RULES}) AS r(rule_id, product, min_credit, min_income, max_dti, min_tenure)",
+    "v_rule_versions": f"""
+        SELECT rule_id, product, min_credit, cast(min_income AS double) AS min_income, cast(max_dti AS double) AS max_dti, min_tenure,
+               cast(valid_from AS timestamp) AS valid_from, retired
+        FROM (VALUES {_VERSIONS}) AS r(rule_id, product, min_credit, min_income, max_dti, min_tenure, valid_from, retired)""",
 }
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")

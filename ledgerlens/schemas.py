@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 RULE = "rule_id string, product string, min_credit int, min_income double, max_dti double, min_tenure int"
+RULE_VERSION = f"{RULE}, valid_from timestamp, retired boolean"
 TRANSACTION = "txn_id string, account_id string, amount decimal(18,2), ts timestamp_ntz, type string, tags array<string>"
 CUSTOMER = "customer_id string, name string, tier string, lifetime_value decimal(18,2), city string"
 PURCHASE = "order_id string, customer_id string, category string, amount decimal(18,2), store_city string"

@@ -8,11 +8,12 @@ from datetime import timedelta
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ledgerlens.operators.eligibility import eligible_as_of
 from ledgerlens.operators.ordering import positions
 from ledgerlens.plans.views import view, view_of
 from ledgerlens.schemas import EVENT
 from ledgerlens.session import shared_folder
-from ledgerlens.sources.rules import standard_rules
+from ledgerlens.sources.rules import read_versions, standard_rules, versions_file
 from ledgerlens.streaming import streams
 
 #: The file covers a month; nothing in it is late.
@@ -84,14 +85,34 @@ def dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return replay(streams.dedup_stream(requests, DELAY).select("request_id")).select("request_id")
 
 
-def rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _asked(spark: SparkSession, sf_dir: str) -> Callable[[DataFrame], DataFrame]:
+    """Events as requests ``(seq, ts, profile ...)`` of the customers in turn."""
     profiles = view(spark, sf_dir, "v_profiles")
     size, slots = profiles.count(), positions(profiles, "customer_key")
-    cache = streams.RuleCache(lambda: standard_rules(spark))
+
+    def of(events: DataFrame) -> DataFrame:
+        asked = events.select(F.col("event_id").alias("seq"), "ts", F.pmod("event_id", F.lit(max(1, size))).alias("position"))
+        return asked.join(slots, "position")
+
+    return of
+
+
+def rules_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each micro-batch reads the versions from their CSV file again, and each request meets the rules of its own time."""
+    path, asked = versions_file(spark), _asked(spark, sf_dir)
+    cache = streams.RuleCache(lambda: read_versions(spark, path), max_age=0)
+
+    def scored(events: DataFrame, _batch_id: int) -> DataFrame:
+        return eligible_as_of(asked(events), cache.get()).select("seq", "rule_id")
+
+    return replay(_events(spark, sf_dir), each=scored).drop("batch_id")
+
+
+def rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked, cache = _asked(spark, sf_dir), streams.RuleCache(lambda: standard_rules(spark))
 
     def scored(events: DataFrame, _batch_id: int) -> DataFrame:
-        asked = events.select(F.col("event_id").alias("seq"), F.pmod("event_id", F.lit(max(1, size))).alias("position"))
-        mine = asked.join(slots, "position").withColumn("customer_key", F.col("seq"))
+        mine = asked(events).withColumn("customer_key", F.col("seq"))
         return streams.eligible_products(mine, cache.get()).select(F.col("customer_key").alias("seq"), "rule_id")
 
     return replay(_events(spark, sf_dir), each=scored).drop("batch_id")
