@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import uuid
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.functions import scoring, text
@@ -91,3 +94,55 @@ def statement_texts(scored: DataFrame) -> DataFrame:
 def write_statements(scored: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """Statements as Parquet, a folder a month, each account's in one file of it."""
     statement_texts(scored).repartition("period", "account_id").write.mode(mode).partitionBy("period").parquet(path)
+
+
+DELIVERY = "batch_id long, run string, committed_at timestamp, n long"
+
+
+def _stored(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A table that may not be there yet."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
+def delivered(spark: SparkSession, path: str) -> DataFrame:
+    """``(account_id, period, text)`` of all statements that have been delivered, each once.
+
+    What a run has staged counts when the run is in the manifest. Of several runs that have a statement the one that
+    was there first counts.
+    """
+    manifest = _stored(spark, f"{path}/manifest", DELIVERY).withColumnRenamed("batch_id", "_batch")
+    staged = _stored(spark, f"{path}/staged", "account_id string, period string, text string, batch_id long, run string")
+    valid = staged.join(manifest.select("_batch", "run", "committed_at"), "run").where(F.col("batch_id") == F.col("_batch"))
+    first = F.min_by("text", F.struct("committed_at", "run")).alias("text")
+    return valid.groupBy("account_id", "period").agg(first)
+
+
+def deliver(texts: DataFrame, path: str, batch_id: int) -> bool:
+    """Deliver ``(account_id, period, text)`` as a batch: False if that batch has been delivered before.
+
+    A run first stages its files in a folder of its own and then adds itself to the manifest, in one small file. One
+    that is killed before leaves files that nothing refers to; a retry stages anew. Two runs of one batch at a time may
+    both be in the manifest, and readers take the first. Statements that earlier batches have delivered are left out.
+    """
+    spark = texts.sparkSession
+    done = _stored(spark, f"{path}/manifest", DELIVERY)
+    if not done.where(F.col("batch_id") == batch_id).isEmpty():
+        return False
+    run = uuid.uuid4().hex
+    known = delivered(spark, path).select("account_id", "period")
+    fresh = texts.select("account_id", "period", "text").join(known, ["account_id", "period"], "left_anti")
+    staged = f"{path}/staged/batch_id={batch_id}/run={run}"
+    fresh.repartition("period", "account_id").write.parquet(staged)
+    n = spark.read.parquet(staged).count()
+    _commit(spark, path, batch_id, run, n)
+    return True
+
+
+def _commit(spark: SparkSession, path: str, batch_id: int, run: str, n: int) -> None:
+    entry = spark.createDataFrame([(batch_id, run, n)], "batch_id long, run string, n long")
+    entry.select("batch_id", "run", F.current_timestamp().alias("committed_at"), "n").coalesce(1).write.mode("append").parquet(f"{path}/manifest")

@@ -22,6 +22,7 @@ from ledgerlens.operators import (
     transactions,
 )
 from ledgerlens.plans.views import oracle, view
+from ledgerlens.session import shared_folder
 from ledgerlens.sources.rules import rules_file, standard_rules
 from ledgerlens.streaming import queries as streams
 
@@ -408,7 +409,7 @@ _TOTALS_SQL = " ".join(
 )
 
 
-@query(f"""WITH s AS ({_SCORES}), t AS (SELECT p.*, score, {_TIER} AS status, strftime(ts, '%Y-%m') AS period FROM v_payments p JOIN s USING (seq)),
+_STATEMENTS_SQL = f"""WITH s AS ({_SCORES}), t AS (SELECT p.*, score, {_TIER} AS status, strftime(ts, '%Y-%m') AS period FROM v_payments p JOIN s USING (seq)),
 l AS (SELECT account_id, period, string_agg(concat('  ', rpad(cast(seq AS varchar), cast(greatest(8, length(cast(seq AS varchar))) AS integer), ' '), ' ', rpad(type, 12, ' '), ' ',
   rpad(status, cast(greatest(8, length(status)) AS integer), ' '), ' ', {_padded(_MONEY.format("amount_cents"), 12)}, '  ',
   format('{{:.3f}}', (cast(round(score * 1e6) AS bigint) + 500) // 1000 / 1000e0), chr(10)), '' ORDER BY ts, seq) AS lines,
@@ -416,11 +417,25 @@ l AS (SELECT account_id, period, string_agg(concat('  ', rpad(cast(seq AS varcha
   FROM t GROUP BY ALL)
 SELECT account_id, period, concat(repeat('═', 50), chr(10), '  Monthly Statement', chr(10), '  Account: ', account_id, chr(10), '  Period: ', period, chr(10),
 repeat('═', 50), chr(10), chr(10), '  TX-ID    TYPE         STATUS     AMOUNT (₹) FRAUD SCORE ', chr(10), '  ', repeat('─', 58), chr(10), lines,
-'  ', repeat('─', 58), chr(10), {_TOTALS_SQL} chr(10), repeat('═', 50), chr(10)) AS text FROM l""")
+'  ', repeat('─', 58), chr(10), {_TOTALS_SQL} chr(10), repeat('═', 50), chr(10)) AS text FROM l"""
+
+
+@query(_STATEMENTS_SQL)
 def statement_texts(spark, sf_dir):
     return statements.statement_texts(statements.fraud_scores(view(spark, sf_dir, "v_payments")))
 
 
+@query(_STATEMENTS_SQL)
+def statements_delivered(spark, sf_dir):
+    """In two batches, the second of which has all statements of the first again, and is retried."""
+    texts = statements.statement_texts(statements.fraud_scores(view(spark, sf_dir, "v_payments")))
+    path = shared_folder(spark, "delivered")
+    statements.deliver(texts.where(F.crc32("account_id") % 3 == 0), path, 0)
+    statements.deliver(texts, path, 1)
+    statements.deliver(texts, path, 1)
+    return statements.delivered(spark, path)
+
+
 @query(f"WITH s AS ({_SCORES.replace('0.15e0 * 0.15e0', '0.15e0 * ((seq % 100) / 100e0 * 0.3e0)')}) SELECT seq, score, {_TIER} AS status FROM s")
 def fraud_scores_geo(spark, sf_dir):
     geo = F.pmod(F.col("seq"), F.lit(100)) / 100.0 * 0.3
