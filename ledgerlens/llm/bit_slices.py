@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from ledgerlens.llm.common import shared_folder
 
 #: Slices that an entry sets, slices of a block for each entry of its largest documents, bytes of a block.
-HASHES, SLICES_AN_ENTRY, BLOCK_BYTES = 4, 8, 1 << 19
+HASHES, SLICES_AN_ENTRY, BLOCK_BYTES = 6, 12, 1 << 19
 #: A term has an entry for each of these numbers that its occurrences in a document reach.
 LEVELS = (1, 2, 3, 4, 6, 8, 12, 16, 24, 32, 48, 64)
 #: Distinct terms that a task counts before it hands the counts on.
