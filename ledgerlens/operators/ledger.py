@@ -84,17 +84,19 @@ def _replay(table: pa.Table) -> pa.Table:
 
 
 def _applied(open_rows: DataFrame, balances: DataFrame, folder: str, rows_a_range: int) -> DataFrame:
-    """``(account_id, request_id, at)`` of the debits that are applied, of ``(account_id, request_id, amount_cents, at)``.
+    """``(account_id, request_id, at)`` of the debits that are applied, of ``(account_id, request_id, amount_cents, at, _part)``.
 
     A balance never rises. So as long as the first debits of all ids up to a range come to no more than the balance, all of
     them are applied, whatever their order; the range in which they come to more is gone through row by row, one such
-    range an account. What is left after it are later debits that the balance still covers and whose id isn't applied
-    yet: usually few. They are put into ranges anew, until none is left.
+such
+    range an account, or all that the account has left where that is no more than a range. What is left after it are later
+    debits that the balance still covers and whose id isn't applied yet: usually few. They are put into ranges anew, until
+    none is left.
     """
     spark, found, step = open_rows.sparkSession, [], 0
     while True:
         round_folder = f"{folder}/round-{step}"
-        ranged = in_ranges(open_rows, "account_id", ["at"], round_folder, rows_a_range).drop("_at")
+        ranged = in_ranges(open_rows, "account_id", ["at"], round_folder, rows_a_range).drop("_at") if step else open_rows
         firsts = ranged.groupBy("account_id", "request_id").agg(F.min(F.struct("at", F.col("_part").alias("part"), "amount_cents")).alias("f"))
         firsts = written(firsts.select("account_id", "request_id", "f.at", F.col("f.part").alias("_part"), "f.amount_cents"), round_folder, "firsts")
         sums = firsts.groupBy("account_id", "_part").agg(F.sum("amount_cents").alias("s"))
@@ -110,14 +112,16 @@ def _applied(open_rows: DataFrame, balances: DataFrame, folder: str, rows_a_rang
         before = bulk.select(*_ids("b"))
         later = ranged.join(over, "account_id").where("_part >= contested")
         later = written(later.join(before, _same(later, before, "b"), "left_anti"), round_folder, "later")
+        sizes = later.groupBy("account_id").agg(F.count("*").alias("rest"))
+        later = later.join(sizes, "account_id").withColumn("now", (F.col("_part") == F.col("contested")) | (F.col("rest") <= rows_a_range))
         kinds = dict(open_rows.dtypes)
         schema = f"account_id string, at long, request_id {kinds['request_id']}, balance long"
-        replayed = written(later.where("_part = contested").groupBy("account_id").applyInArrow(_replay, schema), round_folder, "replayed")
+        replayed = written(later.where("now").groupBy("account_id").applyInArrow(_replay, schema), round_folder, "replayed")
         applied = replayed.where("at IS NOT NULL").select("account_id", "request_id", "at")
         found.append(applied)
         balances = replayed.where("at IS NULL").select("account_id", "balance")
         done = applied.select(*_ids("d"))
-        left = later.where("_part > contested").drop("balance").join(balances, "account_id").where("amount_cents <= balance")
+        left = later.where("NOT now").drop("balance").join(balances, "account_id").where("amount_cents <= balance")
         left = left.join(done, _same(left, done, "d"), "left_anti")
         open_rows = written(left.select("account_id", "request_id", "amount_cents", "at"), round_folder, "left")
         step += 1
@@ -161,7 +165,7 @@ def debit_ledger(requests: DataFrame, opening: DataFrame | None = None, rows_a_r
     steady = rows.where("NOT rises").withColumn("account_id", F.coalesce(F.concat(F.lit("="), "account_id"), F.lit("-")))
     steady = written(steady, folder, "steady")  # from here on no account is null
     balances = steady.where("opened IS NOT NULL").groupBy("account_id").agg(F.max("opened").alias("balance"))
-    open_rows = steady.where("opened IS NOT NULL AND amount_cents <= opened").select("account_id", "request_id", "amount_cents", "at")
+    open_rows = steady.where("opened IS NOT NULL AND amount_cents <= opened").select("account_id", "request_id", "amount_cents", "at", "_part")
     applied = _applied(open_rows, balances, folder, rows_a_range).select(*_ids("a"), F.col("at").alias("applied_at"))
     told = steady.join(applied, _same(steady, applied, "a"), "left").withColumn(
         "status",
