@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from functools import reduce
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -63,26 +62,6 @@ def _same(df: DataFrame, other: DataFrame, name: str):
     return df["account_id"].eqNullSafe(other[f"{name}_account"]) & df["request_id"].eqNullSafe(other[f"{name}_request"])
 
 
-def _replay(table: pa.Table) -> pa.Table:
-    """The debits of one range of an account that are applied, one after another, and the balance after them."""
-    balance, done, applied = table["balance"][0].as_py(), set(), []
-    for at, request, amount in zip(*(table.sort_by("at")[c].to_pylist() for c in ("at", "request_id", "amount_cents")), strict=True):
-        status, balance = apply_debit(balance, request in done, amount)
-        if status == APPLIED:
-            done.add(request)
-            applied.append((at, request))
-    ats, requests = zip(*applied, strict=True) if applied else ((), ())
-    rest = [None] * (len(applied) + 1)  # the last row is the balance
-    return pa.table(
-        {
-            "account_id": pa.array([table["account_id"][0].as_py()] * len(rest), pa.string()),
-            "at": pa.array([*ats, None], pa.int64()),
-            "request_id": pa.array([*requests, None], table["request_id"].type),
-            "balance": pa.array([*rest[:-1], balance], pa.int64()),
-        }
-    )
-
-
 def _applied(open_rows: DataFrame, balances: DataFrame, folder: str, rows_a_range: int) -> DataFrame:
     """``(account_id, request_id, at)`` of the debits that are applied, of ``(account_id, request_id, amount_cents, at, _part)``.
 
@@ -115,11 +94,22 @@ such
         sizes = later.groupBy("account_id").agg(F.count("*").alias("rest"))
         later = later.join(sizes, "account_id").withColumn("now", (F.col("_part") == F.col("contested")) | (F.col("rest") <= rows_a_range))
         kinds = dict(open_rows.dtypes)
-        schema = f"account_id string, at long, request_id {kinds['request_id']}, balance long"
-        replayed = written(later.where("now").groupBy("account_id").applyInArrow(_replay, schema), round_folder, "replayed")
-        applied = replayed.where("at IS NOT NULL").select("account_id", "request_id", "at")
+        schema = f"account_id string, at long, request_id {kinds['request_id']}, status string, balance long"
+
+        def begin(row) -> dict:
+            return {"balance": row.balance, "done": set()}
+
+        def debit(state: dict, row) -> tuple:
+            status, state["balance"] = apply_debit(state["balance"], row.request_id in state["done"], row.amount_cents)
+            if status == APPLIED:
+                state["done"].add(row.request_id)
+            return row.account_id, row.at, row.request_id, status, state["balance"]
+
+        replayed = later.where("now").select("account_id", "at", "request_id", "amount_cents", "balance")
+        replayed = written(sorted_fold(replayed, "account_id", ["at"], begin, debit, schema), round_folder, "replayed")
+        applied = replayed.where(F.col("status") == APPLIED).select("account_id", "request_id", "at")
         found.append(applied)
-        balances = replayed.where("at IS NULL").select("account_id", "balance")
+        balances = replayed.groupBy("account_id").agg(F.min("balance").alias("balance"))  # it never rises
         done = applied.select(*_ids("d"))
         left = later.where("NOT now").drop("balance").join(balances, "account_id").where("amount_cents <= balance")
         left = left.join(done, _same(left, done, "d"), "left_anti")
