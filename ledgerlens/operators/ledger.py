@@ -67,7 +67,6 @@ def _applied(open_rows: DataFrame, balances: DataFrame, folder: str, rows_a_rang
 
     A balance never rises. So as long as the first debits of all ids up to a range come to no more than the balance, all of
     them are applied, whatever their order; the range in which they come to more is gone through row by row, one such
-such
     range an account, or all that the account has left where that is no more than a range. What is left after it are later
     debits that the balance still covers and whose id isn't applied yet: usually few. They are put into ranges anew, until
     none is left.
@@ -126,20 +125,19 @@ def debit_ledger(requests: DataFrame, opening: DataFrame | None = None, rows_a_r
     A refused debit isn't remembered, so its id may succeed later. Opening balances are a column
     ``opening_cents`` of the requests (an account's first row counts), or a table ``(account_id, opening_cents)``.
 
-    What is applied is found range by range for all accounts at once, and an account may go over any number of ranges;
-    results and balances follow from it. Accounts with an amount below 0, whose balance may rise, are folded row by row.
+    An account with no more rows than a range is folded in one pass, and so are accounts with an amount below 0, whose
+    balance may rise. For all other accounts at once, what is applied is found range by range, and an account may go over
+    any number of ranges; results and balances follow from it.
     """
     if opening is not None:
         requests = requests.drop("opening_cents").join(opening, "account_id", "left")
     folder = shared_folder(requests.sparkSession, "ledger")
-    wanted = requests.select("seq", "ts", F.col("account_id").cast("string"), "request_id", "amount_cents", "opening_cents")
-    ranged = in_ranges(wanted, "account_id", ["ts", "seq"], f"{folder}/all", rows_a_range).withColumnRenamed("_at", "at")
-    accounts = ranged.groupBy("account_id").agg(
-        F.min_by("opening_cents", "at").alias("opened"), F.coalesce(F.min("amount_cents") < 0, F.lit(False)).alias("rises")
-    )
-    accounts = written(accounts.withColumn("opened", F.when(~F.isnan("opened"), F.col("opened")).cast("long")), folder, "accounts")
-    accounts = accounts.withColumnRenamed("account_id", "_account")
-    rows = ranged.join(accounts, ranged["account_id"].eqNullSafe(accounts["_account"])).drop("_account", "opening_cents")
+    opened = F.when(~F.isnan("opening_cents"), F.col("opening_cents")).cast("long")
+    wanted = requests.select("seq", "ts", F.col("account_id").cast("string"), "request_id", "amount_cents", opened.alias("opened"))
+    sizes = wanted.groupBy("account_id").agg(F.count("*").alias("n"), F.coalesce(F.min("amount_cents") < 0, F.lit(False)).alias("rises"))
+    large = sizes.where((F.col("n") > rows_a_range) & ~F.col("rises")).select(F.col("account_id").alias("_account"))
+    large = written(large, folder, "large")  # fewer accounts than there are ranges
+    is_large = wanted["account_id"].eqNullSafe(large["_account"])
 
     def start(row) -> dict:
         return {"balance": row.opened, "done": set()}
@@ -150,10 +148,14 @@ def debit_ledger(requests: DataFrame, opening: DataFrame | None = None, rows_a_r
             state["done"].add(row.request_id)
         return row.seq, status, state["balance"]
 
-    rising = rows.where("rises").select("account_id", "at", "seq", "request_id", "amount_cents", "opened")
-    folded = sorted_fold(rising, "account_id", ["at"], start, step, LEDGER)
-    steady = rows.where("NOT rises").withColumn("account_id", F.coalesce(F.concat(F.lit("="), "account_id"), F.lit("-")))
-    steady = written(steady, folder, "steady")  # from here on no account is null
+    folded = sorted_fold(wanted.join(large, is_large, "left_anti"), "account_id", ["ts", "seq"], start, step, LEDGER)
+    if large.isEmpty():
+        return folded
+    ranged = in_ranges(wanted.join(large, is_large, "left_semi"), "account_id", ["ts", "seq"], f"{folder}/all", rows_a_range)
+    # from here on no account is null
+    named = ranged.withColumnRenamed("_at", "at").withColumn("account_id", F.coalesce(F.concat(F.lit("="), "account_id"), F.lit("-")))
+    accounts = named.groupBy("account_id").agg(F.min_by("opened", "at").alias("opened"))
+    steady = written(named.drop("opened").join(accounts, "account_id"), folder, "steady")
     balances = steady.where("opened IS NOT NULL").groupBy("account_id").agg(F.max("opened").alias("balance"))
     open_rows = steady.where("opened IS NOT NULL AND amount_cents <= opened").select("account_id", "request_id", "amount_cents", "at", "_part")
     applied = _applied(open_rows, balances, folder, rows_a_range).select(*_ids("a"), F.col("at").alias("applied_at"))
