@@ -15,20 +15,22 @@ What is found, and what is left as it is within it:
 * payment card numbers of 13 to 19 digits that pass the Luhn check, plain or in any grouping by single spaces or
   hyphens; where other numbers adjoin, groups as cards have them. The last digit is computed anew, so the
   pseudonym passes the check too;
-* social security numbers ``ddd-dd-dddd`` outside the ranges that are never issued;
+* social security numbers ``ddd-dd-dddd`` outside the ranges that are never issued: the permutation is applied until it
+  gives such a number again;
 * IBANs that pass their check, plain or in groups of four: the country stays, the check digits are computed anew;
 * IPv4 addresses with octets up to 255;
+* IPv6 addresses of eight groups, or of two or more around one ``::``, with a digit: digits and letters a to f are permuted
+  each among their like, so two ways to write an address have two pseudonyms;
 * days ``yyyy-mm-dd``, ``mm/dd/yyyy`` or else ``dd/mm/yyyy`` that exist, from 1900 to 2099: the pseudonym is
   a day in that range, written alike. A day that is written before its month, which only a day above the 12th shows,
   becomes such a day, so different dates never have one pseudonym;
-* 32 to 64 hexadecimal digits in quotes that are assigned to a token, key, secret or password, in any case.
+* 32 to 64 hexadecimal digits that are assigned to a token, key, secret or password, in any case, with or without quotes.
 
-Null and empty texts stay as they are and hold nothing, an empty table gives an empty one, rows that repeat get equal
-results. Numbers that fail their check are text and stay. It is all column expressions: a text without a digit or
-an ``@`` is passed on after one scan, and no row is moved.
+Numbers that fail their check are text and stay. It is all column expressions: a text without a digit or an ``@`` is
+passed on after one scan, and no row is moved. The key is a column of one row that the plan reads, so no plan shows it.
 
-Defined results: a null text stays null, an empty one empty, each with no finds. Rows that repeat get equal
-results. Other columns pass through; a column that is named as a result gives way.
+Defined results: a null text stays null, an empty one empty, each with no finds; an empty table gives an empty one. Rows
+that repeat get equal results. Other columns pass through; a column that is named as a result gives way.
 """
 
 from __future__ import annotations
@@ -53,7 +55,8 @@ ALPHABETS = (
 ROWS_FROM, ROW = 0x250, 16
 #: Characters of a local part that are permuted together.
 CHUNK = 64
-#: Steps of the walk that looks for a day above the 12th; each fails with a probability of 0.4.
+#: Steps of the walk that looks for a day above the 12th, or a number that is issued; each fails with a probability of 0.4
+#: or 0.11.
 WALK = 64
 
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
@@ -71,20 +74,24 @@ _CARD_RUNS = [rf"(?<!\d[ .\-/])\d(?:{sign}?\d){{12,18}}(?![\p{{L}}\p{{N}}]|[ .\-
 PATTERNS = {
     # a local part begins where the run of its characters does, so that runs without an @ are looked at once
     "email": r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}._%+\-]++@[\p{L}\p{N}\-]{1,63}(?:\.[\p{L}\p{N}\-]{1,63}){0,8}\.\p{L}{2,24}",
-    "secret": r"(?<=(?i:token|key|secret|password) ?[=:] ?[\"'])[0-9a-fA-F]{32,64}(?=[\"'])",
+    "secret": r"(?<=(?i:token|key|secret|password)[\"']? ?[=:] ?[\"']?)[0-9a-fA-F]{32,64}(?![\p{L}\p{N}])",
     "phone": _BEFORE + r"(?:(?:\+\d{1,3}[ .\-]?)?(?:\(\d{3}\) ?|\d{3}[.\-])\d{3}[ .\-]\d{4}" + _AFTER
     + r"|\+[1-9](?=(?:[ .\-()]{0,2}\d){7,14}(?![\p{L}\p{N}]))\d{0,2}(?:[ .\-]?\(\d{1,5}\))?(?:[ .\-]?\d){4,14}" + _AFTER
     + r"|\((?=\d{2,5}\)(?:[ .\-]?\d){3,11}(?![\p{L}\p{N}]))\d{2,5}\)(?:[ .\-]?\d){6,8}" + _AFTER + ")",
     "ip": r"(?<![\p{L}\p{N}.])(?:" + _OCTET + r"\.){3}" + _OCTET + r"(?![\p{L}\p{N}]|\.\d)",
+    "ipv6": r"(?<![\p{L}\p{N}:.])(?=[0-9a-fA-F:]{0,39}\d)(?:(?:[0-9a-fA-F]{1,4}:){7}[0-9a-fA-F]{1,4}"
+    + r"|(?:[0-9a-fA-F]{1,4}:){1,6}(?::[0-9a-fA-F]{1,4}){1,6})(?![\p{L}\p{N}:])",
     "date": _BEFORE + r"(?:\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4})" + _AFTER,
-    "iban": _BEFORE + r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?" + _AFTER,
+    "iban": _BEFORE + r"(?![0-9A-F]{32})[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?" + _AFTER,
     "ssn": _BEFORE + r"\d{3}-\d{2}-\d{4}" + _AFTER,
     "card": _BEFORE + "(?:" + "|".join([*_CARD_RUNS, *(g + _AFTER for g in _CARD_GROUPS)]) + ")",
 }
+#: Fixed: social security numbers of these areas, groups and serials are never issued.
+_NOT_ISSUED = r"^(?:000|666|9)|^\d{3}-?00|0000$"
 _ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 
 
-def feistel(values: Column, radices: Column, key: str, kind: Column, rounds: int = ROUNDS) -> Column:
+def feistel(values: Column, radices: Column, key: Column | str, kind: Column, rounds: int = ROUNDS) -> Column:
     """The image of ``values`` (``array<bigint>``) under the keyed permutation for ``radices`` and ``kind``."""
 
     def network(s: Column) -> Column:
@@ -131,14 +138,14 @@ def _sign(code: Column) -> Column:
     return F.when(code < 256, F.char(code)).otherwise(wide)  # `char` goes up to there
 
 
-def _permuted(text: Column, first: Column, last: Column, key: str, kind: Column) -> Column:
+def _permuted(text: Column, first: Column, last: Column, key: Column, kind: Column) -> Column:
     """``text`` with its characters from ``first`` to before ``last`` (from 0) permuted in their alphabets."""
     codes = F.transform(F.sequence(F.lit(1), F.char_length(text)), lambda i: F.ascii(F.substr(text, i, F.lit(1))))
 
     def image(codes: Column) -> Column:
         signs = F.transform(
             codes,
-            lambda c, i: F.when((i >= first) & (i < last), _alphabet(c, kind == "secret")).otherwise(
+            lambda c, i: F.when((i >= first) & (i < last), _alphabet(c, kind.isin("secret", "ipv6"))).otherwise(
                 F.struct(c.alias("base"), F.lit(1).alias("size"))
             ),
         )
@@ -197,8 +204,9 @@ def _day(match: Column) -> Column:
 def _kind(match: Column) -> Column:
     return (
         F.when(match.contains("@"), "email")
-        .when(match.rlike(r"^[A-Z]{2}\d{2}[ A-Z0-9]+$"), "iban")
         .when(match.rlike(r"^[0-9a-fA-F]{32,}$"), "secret")
+        .when(match.rlike(r"^[A-Z]{2}\d{2}[ A-Z0-9]+$"), "iban")
+        .when(match.rlike(r"^[0-9a-fA-F]+:[0-9a-fA-F:]+$"), "ipv6")
         .when(match.rlike(r"^\d+\.\d+\.\d+\.\d+$") & match.rlike(r"^" + PATTERNS["ip"] + "$"), "ip")
         .when(match.rlike(r"^(?:\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4})$"), "date")
         .when(match.rlike(r"^\d{3}-\d{2}-\d{4}$"), "ssn")
@@ -207,7 +215,7 @@ def _kind(match: Column) -> Column:
     )
 
 
-def pseudonym(match: Column, key: str) -> Column:
+def pseudonym(match: Column, key: Column | str) -> Column:
     """(kind, text) for a match: what takes its place, and a null kind where it isn't valid."""
 
     def of(s: Column) -> Column:
@@ -281,16 +289,23 @@ def pseudonym(match: Column, key: str) -> Column:
             national,
             lambda x: F.concat(F.substr(m, F.lit(1), code), _refilled(x["m"], _permuted(x["d"], zero, size, key, kind))),
         )
-        issued = ~m.rlike(r"^(?:000|666|9)|-00-|-0000$")
+        issued = ~m.rlike(_NOT_ISSUED)
+
+        def ssn(digits: Column) -> Column:
+            moved = lambda d: F.struct(_permuted(d, zero, F.lit(9), key, kind).alias("d"))
+            out = lambda at: at["d"].rlike(_NOT_ISSUED)
+            walk = F.sequence(F.lit(1), F.lit(WALK))
+            return F.aggregate(walk, moved(digits), lambda at, _: F.when(out(at), moved(at["d"])).otherwise(at), lambda at: F.when(~out(at), _refilled(m, at["d"])))
+
         text = (
             F.when(kind == "email", let(F.substring_index(m, "@", 1), email))
             .when(kind == "iban", let(F.replace(m, F.lit(" ")), iban))
             .when(kind == "ip", ip)
             .when(kind == "date", let(_day(m), date))
-            .when((kind == "ssn") & issued, let(_permuted(digits, zero, n, key, kind), lambda d: _refilled(m, d)))
+            .when((kind == "ssn") & issued, let(digits, ssn))
             .when(kind == "card", let(number, card))
             .when(kind == "phone", phone)
-            .when(kind == "secret", _permuted(m, zero, size, key, kind))
+            .when((kind == "secret") | ((kind == "ipv6") & (F.regexp_count(m, F.lit(":")) <= 7)), _permuted(m, zero, size, key, kind))
         )
         return let(text, lambda t: F.struct(F.when(t.isNotNull(), kind).alias("kind"), F.coalesce(t, m).alias("text")))
 
@@ -301,14 +316,16 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """``docs`` with ``text`` pseudonymised and ``pii``, the kinds of what was replaced, in order."""
     rest = [c for c in docs.columns if c not in (text, "pii")]
     order = [c for c in docs.columns if c != "pii"]
+    secret = docs.sparkSession.createDataFrame([(key,)], "key string").scalar()
     found = docs.select(
         *rest,
         text,
+        secret.alias("_key"),
         F.when(F.col(text).rlike("[0-9@]"), F.regexp_extract_all(text, F.lit(_ANY), 0)).alias("_found"),
     )
     # Only texts with a match are taken apart; `_said` is named twice so that it is computed once.
     said = found.withColumn(
-        "_said", F.when(F.size("_found") > 0, F.transform("_found", lambda m: pseudonym(m, key)))
+        "_said", F.when(F.size("_found") > 0, F.transform("_found", lambda m: pseudonym(m, F.col("_key"))))
     )
     gaps = F.split(text, _ANY, -1)
     joined = F.concat(

@@ -513,3 +513,86 @@ def test_pii_can_be_undone_with_the_key(spark):
     df = spark.createDataFrame(rows, "v array<bigint>, m array<bigint>")
     for row in df.select("v", "m", pii.feistel(F.col("v"), F.col("m"), "k", F.lit("card")).alias("w")).collect():
         assert feistel_back(row["w"], row["m"], "k", "card") == row["v"]
+
+
+def undone(found: str, kind: str, key: str) -> str:
+    """What a pseudonym stands for, by the key, written apart from the operator."""
+
+    def back(text: str, hexadecimal: bool = False) -> str:
+        # first code point and size of a sign's alphabet; these texts have digits and Latin letters only
+        of = [(48, 10) if c.isdigit() else (97, 6 if hexadecimal else 26) if c.islower() else (65, 6 if hexadecimal else 26) if c.isupper() else (ord(c), 1) for c in text]
+        values = feistel_back([ord(c) - a for c, (a, _) in zip(text, of)], [m for _, m in of], key, kind)
+        return "".join(chr(v + a) for v, (a, _) in zip(values, of))
+
+    def refilled(signs: str) -> str:
+        signs = iter(signs)
+        return "".join(next(signs) if c.isdigit() else c for c in found)
+
+    digits = re.sub(r"\D", "", found)
+    if kind == "email":
+        local, domain = found.split("@")
+        return "".join(back(local[i : i + pii.CHUNK]) for i in range(0, len(local), pii.CHUNK)) + "@" + domain
+    if kind == "ssn":
+        digits = back(digits)
+        while digits[:3] in ("000", "666") or digits[0] == "9" or digits[3:5] == "00" or digits[5:] == "0000":
+            digits = back(digits)
+        return refilled(digits)
+    if kind == "card":
+        n = len(digits) - 1  # the check digit stands still
+        body = "".join(map(str, feistel_back([*map(int, digits[:-1]), 0], [10] * n + [1], key, kind)[:-1]))
+        return refilled(body + next(c for c in "0123456789" if luhn(body + c)))
+    if kind == "ip":
+        return ".".join(map(str, feistel_back(list(map(int, found.split("."))), [256] * 4, key, kind)))
+    if kind == "date":
+        k = (pd.Timestamp(found) - pd.Timestamp(pii.FIRST_DAY)).days
+        a, b = feistel_back([k // 4297, k % 4297], [17, 4297], key, kind)
+        return str((pd.Timestamp(pii.FIRST_DAY) + pd.Timedelta(days=a * 4297 + b)).date())
+    return refilled(back(digits)) if kind == "phone" else back(found, hexadecimal=True)
+
+
+def test_pii_of_whole_texts_can_be_undone(spark):
+    """Every pseudonym in a text leads back to its value, and a second pass finds as many values of the same kinds."""
+    from pyspark.sql import functions as F
+
+    made = {
+        "ssn": lambda: f"{rng.choice([*range(1, 666), *range(667, 900)]):03}-{rng.randint(1, 99):02}-{rng.randint(1, 9999):04}",
+        "card": lambda: (d := str(rng.randrange(4 * 10**14, 5 * 10**14))) + next(c for c in "0123456789" if luhn(d + c)),
+        "email": lambda: "".join(rng.choice("abcXYZ019._") for _ in range(rng.choice([3, 20, 90]))).strip("._") + "q@mail.example.org",
+        "ip": lambda: ".".join(str(rng.randrange(256)) for _ in range(4)),
+        "date": lambda: f"{rng.randint(1900, 2099)}-{rng.randint(1, 12):02}-{rng.randint(1, 28):02}",
+        "secret": lambda: "".join(rng.choice("0123456789abcdefABCDEF") for _ in range(rng.choice([32, 40, 64]))),
+        "phone": lambda: f"({rng.randint(200, 999)}) {rng.randint(200, 999)}-{rng.randint(0, 9999):04}",
+        "ipv6": lambda: rng.choice(["2001:db8::{:x}1", "fe80:0:0:0:12:{:x}:9:1", "FE80::12:{:x}9"]).format(rng.randrange(0xFFF)),
+    }
+    before = {"secret": ['api_key=', '"api_key": "', "Password: '", "token="]}
+    values, texts = [], []
+    for i in range(150):
+        kinds = [rng.choice(list(made)) for _ in range(rng.randint(1, 9))]
+        values.append([(k, made[k]()) for k in kinds])
+        texts.append((i, "Of " + ", and ".join(rng.choice(before.get(k, ["it is "])) + v for k, v in values[-1]) + " ."))
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    once = pii.pseudonymise(docs, "k").withColumnRenamed("pii", "kinds")
+    twice = by_id(pii.pseudonymise(once, "k"))
+    once = by_id(once)
+    for (i, text), said in zip(texts, values):
+        assert once.kinds[i].tolist() == twice.pii[i].tolist() == [k for k, _ in said], text
+        gaps = re.split("|".join(re.escape(v) for _, v in said), text)
+        rest = once.text[i]
+        for gap, (kind, value) in zip(gaps, said):
+            assert rest.startswith(gap), (text, once.text[i])
+            rest = rest[len(gap) :]
+            size = len(value) if kind != "ip" else len(re.match(r"[\d.]+", rest)[0].rstrip("."))
+            assert undone(rest[:size], kind, "k") == value
+            rest = rest[size:]
+        assert rest == gaps[-1]
+    ssn = [("%03d-%02d-%04d" % (a, b, c),) for a in (1, 665, 899) for b in range(1, 100, 7) for c in (1, 50, 9999)]
+    image = spark.createDataFrame(ssn, "s string").select(pii.pseudonym(F.col("s"), "k")["text"].alias("p")).toPandas().p
+    assert image.nunique() == len(ssn) and not image.str.contains(r"^(?:000|666|9)|-00-|-0000$").any()
+
+
+def test_pii_key_is_in_no_plan_and_clear_text_stays(spark):
+    texts = ["10:20:30 and std::a1", "a::b", "1:2:3:4:5:6::7:8:9:1", "00:1b:44:11:3a:b7", "AB12" + "C3D4" * 7, "key=" + "0" * 70, "=" * 40]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    hidden = pii.pseudonymise(docs, "sesame")
+    assert by_id(hidden).text.tolist() == texts
+    assert "sesame" not in hidden._jdf.queryExecution().toString()
