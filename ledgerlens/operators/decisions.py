@@ -4,17 +4,21 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def assemble_decision(requests: DataFrame, checks: dict[str, DataFrame], key: str, how: str = "inner") -> DataFrame:
+def assemble_decision(requests: DataFrame, checks: dict[str, DataFrame | Column], key: str, how: str = "inner") -> DataFrame:
     """``decision``: the results of all checks in order, with ``missing`` ones listed for a left join.
 
-    Each check is ``(key, result)`` with a row a request.
+    A check is a column of the requests, or a table ``(key, result)`` with a row a request.
     """
+    columns = {name: check for name, check in checks.items() if isinstance(check, Column)}
+    tables = {name: check for name, check in checks.items() if name not in columns}
     joined = reduce(
-        lambda df, item: df.join(item[1].select(key, F.col("result").alias(item[0])), key, how), checks.items(), requests
+        lambda df, item: df.join(item[1].select(key, F.col("result").alias(item[0])), key, how),
+        tables.items(),
+        requests.withColumns(columns),
     )
     missing = F.array_compact(F.array(*(F.when(F.col(name).isNull(), F.lit(name)) for name in checks)))
     return joined.select(

@@ -1,6 +1,6 @@
 """Order-dependent folds over ranges of a key's rows, so that a key of any size is spread over many tasks.
 
-Rows are put in order of key and time and cut into ranges of about equal size. Each range of a key that goes over several
+A key of no more rows than a range is folded in one pass. The rows of all others are put in order of key and time and cut into ranges of about equal size. Each range of a key that goes over several
 is summed up as a function from the state before it to the state after it. These functions are applied one after
 another, a row a range, which gives the state that each range begins with; then all ranges are gone through at once.
 """
@@ -16,10 +16,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerlens.operators.folds import sorted_fold
 from ledgerlens.session import shared_folder
 
 #: Rows of a range, about, as long as that makes at most ``MOST_RANGES``.
-ROWS_A_RANGE, MOST_RANGES = 4096, 1 << 15
+ROWS_A_RANGE, MOST_RANGES = 1 << 14, 1 << 15
 
 
 def written(df: DataFrame, folder: str, name: str) -> DataFrame:
@@ -37,6 +38,12 @@ def in_ranges(df: DataFrame, key: str, order: list[str], folder: str, rows_a_ran
     return written(ordered, folder, "ranges")
 
 
+def large_keys(df: DataFrame, key: str, rows_a_range: int, folder: str) -> DataFrame:
+    """The keys of more rows than a range, as a table: fewer than the rows have ranges."""
+    large = df.groupBy(key).count().where(F.col("count") > rows_a_range).select(F.col(key).alias("_large"))
+    return written(large, folder, "large")
+
+
 def spread_keys(ranged: DataFrame, key: str) -> DataFrame:
     """The keys that go over several ranges: fewer than there are ranges."""
     parts = ranged.select(key, "_part").distinct()
@@ -66,7 +73,12 @@ def range_fold(
     result = df.sparkSession.createDataFrame([], schema).toArrow().schema
     names = df.columns
     row_of = namedtuple("Row", names)
-    ranged = in_ranges(df, key, order, folder, rows_a_range)
+    large = large_keys(df, key, rows_a_range, folder)
+    is_large = df[key].eqNullSafe(large["_large"])
+    folded = sorted_fold(df.join(large, is_large, "left_anti"), key, order, start, step, schema)
+    if large.isEmpty():
+        return folded
+    ranged = in_ranges(df.join(large, is_large, "left_semi"), key, order, folder, rows_a_range)
     spread = written(spread_keys(ranged, key), folder, "spread")
     kind = df.schema[key].dataType.simpleString()
 
@@ -103,4 +115,5 @@ def range_fold(
         columns = zip(*out, strict=True) if out else [[] for _ in result]
         return pa.table([pa.array(c, f.type) for c, f in zip(columns, result, strict=True)], schema=result)
 
-    return ranged.groupBy("_part").cogroup(states.groupBy("_part")).applyInArrow(replay, schema)
+    replayed = ranged.groupBy("_part").cogroup(states.groupBy("_part")).applyInArrow(replay, schema)
+    return replayed.unionByName(folded)

@@ -504,11 +504,11 @@ def decision_assembly(spark, sf_dir):
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet").withColumn("request_id", F.col("o_orderkey"))
     owned = orders.join(spark.read.parquet(f"{sf_dir}/customer.parquet"), F.col("o_custkey") == F.col("c_custkey"))
     checks = {
-        "kyc": owned.select("request_id", F.when(F.col("c_acctbal") >= 0, "KYC OK").otherwise("KYC REVIEW").alias("result")),
+        "kyc": F.when(F.col("c_acctbal") >= 0, "KYC OK").otherwise("KYC REVIEW"),
         "fraud": orders.select("request_id", F.when(F.col("o_totalprice") > 400000, "FRAUD SUSPECTED").otherwise("FRAUD CLEAR").alias("result")),
-        "balance": owned.select("request_id", F.when(F.col("c_acctbal") * 100 >= F.col("o_totalprice"), "BALANCE OK").otherwise("BALANCE LOW").alias("result")),
+        "balance": F.when(F.col("c_acctbal") * 100 >= F.col("o_totalprice"), "BALANCE OK").otherwise("BALANCE LOW"),
     }
-    return decisions.assemble_decision(orders.select("request_id"), checks, "request_id").select("request_id", "decision")
+    return decisions.assemble_decision(owned.select("request_id", "c_acctbal", "o_totalprice"), checks, "request_id").select("request_id", "decision")
 
 
 @query("""WITH t AS (SELECT account_id, count(*) AS n, cast(sum(amount_cents) AS bigint) AS spent FROM v_transactions GROUP BY 1),
