@@ -8,8 +8,9 @@ and thresholding is deterministic.
 
 Everything is a DataFrame expression, and all documents count: every trusted one on one side, every one on the
 other. The corpus is counted where it lies (a partial aggregation leaves one row a bucket and task), the weights are
-one array of ``buckets`` numbers, and scoring is a projection. Texts are shuffled only to be joined to more trusted
-ids than Spark broadcasts.
+one array of ``buckets`` numbers, and scoring is a projection. No text moves while a million trusted ids or fewer are
+broadcast; beyond that, only the texts that a filter over the ids lets pass are shuffled, which are the trusted ones and
+few others.
 
 Defined results: null and empty texts have no words, all counts 0 and fail the base rules. A corpus
 without trusted documents gives every bucket the weight 0, so every score is 0. An empty table gives an empty one. Repeated rows count
@@ -34,6 +35,10 @@ MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 #: A text fails if its mean n-gram is less than 0.9 times as likely in trusted text as in the corpus (ln 0.9).
 MIN_LLR = -0.105361
+#: Up to so many trusted ids are broadcast, some 32 MB of them.
+BROADCAST_IDS = 1_000_000
+#: Numbers of 64 bits in the filter for more ids, at most: 8 MB.
+FILTER_WORDS = 1 << 20
 
 SIGNALS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
@@ -88,19 +93,44 @@ def _dup_lines(text: Column) -> Column:
     return let(lines, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long"))
 
 
-def _flagged(docs: DataFrame, trusted_ids: DataFrame) -> DataFrame:
-    """``docs`` with ``_trusted``: 1 for those whose id is a trusted one, else 0.
+def _word_and_mask(key: Column, words: int) -> tuple[Column, Column]:
+    """The place among ``words`` numbers, a power of two, and the three bits in it that stand for a key."""
+    h = F.xxhash64(key.cast("string"))
+    bits = (F.shiftrightunsigned(h, at).bitwiseAND(F.lit(63)).cast("int") for at in (46, 52, 58))
+    first, second, third = (F.call_function("shiftleft", F.lit(1).cast("long"), bit) for bit in bits)
+    return h.bitwiseAND(F.lit(words - 1)).cast("int"), first.bitwiseOR(second).bitwiseOR(third)
 
-    Spark sends the ids to every task where they are few, by its own check of their size, and shuffles otherwise.
+
+def _may_be_among(ids: DataFrame, n_ids: int) -> Column:
+    """Whether a row's ``doc_id`` may be one of ``ids``: true for all that are, false for nearly all others.
+
+    Sixteen bits an id, up to a filter of ``FILTER_WORDS`` numbers; more ids than that fill it up and let more others pass.
     """
-    ids = trusted_ids.select("doc_id").distinct().withColumn("_trusted", F.lit(1))
-    joined = docs.join(ids, "doc_id", "left")
-    return joined.withColumn("_trusted", F.coalesce("_trusted", F.lit(0)))
+    words = min(FILTER_WORDS, 1 << max(0, n_ids // 4).bit_length())
+    place, mask = _word_and_mask(F.col("doc_id"), words)
+    set_bits = ids.select(place.alias("place"), mask.alias("mask")).groupBy("place").agg(F.bit_or("mask").alias("mask"))
+    full = ids.sparkSession.range(words).select(F.col("id").cast("int").alias("place")).join(set_bits, "place", "left")
+    rows = F.array_sort(F.collect_list(F.struct("place", F.coalesce("mask", F.lit(0).cast("long")).alias("mask"))))
+    bits = full.agg(F.transform(rows, lambda x: x["mask"]).alias("bits")).scalar()
+    return F.coalesce(F.get(bits, place).bitwiseAND(mask) == mask, F.lit(False))
 
 
-def bucket_weights(
-    docs: DataFrame, trusted_ids: DataFrame, buckets: int = BUCKETS, smoothing: float = SMOOTHING
-) -> DataFrame:
+def _flagged(docs: DataFrame, ids: DataFrame, n_ids: int, broadcast_ids: int) -> DataFrame:
+    """``docs`` with ``_trusted``: 1 for those whose id is among ``ids``, else 0.
+
+    Up to ``broadcast_ids`` ids are sent to every task. Of more, a filter of bounded size tells the documents that may
+    be trusted, and only these are shuffled to meet their ids; all other texts stay where they lie.
+    """
+    flags = ids.withColumn("_trusted", F.lit(1))
+    flag = F.coalesce("_trusted", F.lit(0)).alias("_trusted")
+    if n_ids <= broadcast_ids:
+        return docs.join(F.broadcast(flags), "doc_id", "left").select(*docs.columns, flag)
+    likely = _may_be_among(ids, n_ids)
+    met = docs.where(likely).join(flags.hint("shuffle_hash"), "doc_id", "left").select(*docs.columns, flag)
+    return met.unionByName(docs.where(~likely).withColumn("_trusted", F.lit(0)))
+
+
+def _bucket_weights(flagged: DataFrame, buckets: int, smoothing: float) -> DataFrame:
     """``(place, weight)``, ``weight`` in millionths of a nat: the buckets for other documents, then for trusted ones.
 
     An n-gram isn't evidence for itself: the occurrence that is weighed is taken out of the corpus, and for a
@@ -109,13 +139,12 @@ def bucket_weights(
     text there is to tell, not on the size of the corpus, and an n-gram that occurs nowhere else weighs nothing.
     """
     counts = (
-        _flagged(docs.select("doc_id", "text"), trusted_ids)
-        .select("_trusted", _hashes(words_of(F.col("text"))).alias("_hashes"))
+        flagged.select("_trusted", _hashes(words_of(F.col("text"))).alias("_hashes"))
         .select("_trusted", F.explode(_buckets(F.col("_hashes"), buckets)).alias("bucket"))
         .groupBy("bucket")
         .agg(F.sum("_trusted").alias("t"), F.count("*").alias("r"))
     )
-    spark = docs.sparkSession
+    spark = flagged.sparkSession
     counts = written(counts, shared_folder(spark), "ngram_counts")  # a row a bucket; the corpus is counted once
     nt, nr = counts.agg(F.coalesce(F.sum("t"), F.lit(0)), F.coalesce(F.sum("r"), F.lit(0))).first()
     share = nt / max(1, nr) or 1.0
@@ -138,16 +167,20 @@ def quality_rules(
     buckets: int = BUCKETS,
     smoothing: float = SMOOTHING,
     min_llr: float = MIN_LLR,
+    broadcast_ids: int = BROADCAST_IDS,
 ) -> DataFrame:
     """``docs`` with the base counts, ``base_failed``, ``llr`` and ``kept``."""
-    weights = bucket_weights(docs, trusted_ids, buckets, smoothing)
+    ids = trusted_ids.where("doc_id IS NOT NULL").select("doc_id").distinct()
+    ids = written(ids, shared_folder(docs.sparkSession), "trusted_ids")  # made once, read for the counts and for the scores
+    n_ids = ids.count()
+    weights = _bucket_weights(_flagged(docs.select("doc_id", "text"), ids, n_ids, broadcast_ids), buckets, smoothing)
     array = weights.agg(
         F.transform(F.array_sort(F.collect_list(F.struct("place", "weight"))), lambda x: x["weight"]).alias("w")
     ).scalar()
     results = [*SIGNALS, "base_failed", "llr", "kept"]
     rest = [c for c in docs.columns if c not in results]
     counted = (
-        _flagged(docs.select(*rest), trusted_ids)
+        _flagged(docs.select(*rest), ids, n_ids, broadcast_ids)
         .withColumn("_words", words_of(F.col("text")))
         .withColumn("_hashes", _hashes(F.col("_words")))
         .withColumn("_windows", _runs(F.col("_hashes"), 3))

@@ -95,6 +95,25 @@ def test_quality_rules_llr_against_brute_force(spark, docs):
         assert abs(found.llr[i] - expected) < 2e-6, i
 
 
+def test_quality_rules_with_more_trusted_ids_than_are_broadcast(spark, docs):
+    ids = [r.doc_id for r in docs.select("doc_id").collect()]
+    trusted = spark.createDataFrame([(i,) for i in [*ids[::3], *ids[:4], None, 10**9]], "doc_id long")
+    rows = docs.unionByName(spark.createDataFrame([(None, sentence(60)), (ids[0], sentence(60))], "doc_id long, text string"), allowMissingColumns=True)
+    order = ["doc_id", "n_words", "word_chars"]
+    few = quality_rules.quality_rules(rows, trusted).toPandas().sort_values(order, ignore_index=True)
+    many = quality_rules.quality_rules(rows, trusted, broadcast_ids=0)
+    assert many.toPandas().sort_values(order, ignore_index=True).equals(few)
+    plan = many._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Cartesian" not in plan and "BroadcastNestedLoop" not in plan
+
+
+def test_quality_rules_filter_passes_all_trusted_ids_and_few_others(spark):
+    ids = spark.range(0, 60_000, 3).withColumnRenamed("id", "doc_id")
+    passed = spark.range(60_000).withColumnRenamed("id", "doc_id").where(quality_rules._may_be_among(ids, 20_000))
+    found = {r.doc_id for r in passed.collect()}
+    assert found >= set(range(0, 60_000, 3)) and len(found) < 22_000
+
+
 def test_language(spark, docs):
     references = {"a": language.normalised(TEXTS[12])[:2000], "b": "the quick brown fox jumps over the lazy dog " * 20}
     found = by_id(language.identify(docs, references))
