@@ -48,16 +48,21 @@ def _hashes(words: Column) -> Column:
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
-def _runs(hashes: Column, length: int) -> Column:
-    """A hash for each run of ``length`` neighbouring words, of the words' hashes; none for fewer words."""
-    n = F.size(hashes)
-    return F.when(
-        n >= length,
-        F.transform(
-            F.sequence(F.lit(0), F.greatest(n - length, F.lit(0))),
-            lambda i: F.xxhash64(*(F.get(hashes, i + k if k else i) for k in range(length))),
-        ),
-    ).otherwise(F.array().cast("array<bigint>"))
+def _and_next(hashes: Column, following: Column) -> Column:
+    """A hash for each place of both: of what stands there in the one and in the other."""
+    return F.zip_with(hashes, following, lambda x, y: F.xxhash64(x, y))
+
+
+def _pairs(hashes: Column) -> Column:
+    """A hash for each word but the last, with the next one, of the words' hashes."""
+    rest = F.greatest(F.size(hashes) - 1, F.lit(0))
+    return _and_next(F.slice(hashes, 1, rest), F.slice(hashes, 2, rest))
+
+
+def _windows(hashes: Column, pairs: Column) -> Column:
+    """A hash for each run of three words, of the words' hashes and those of their pairs."""
+    rest = F.greatest(F.size(hashes) - 2, F.lit(0))
+    return _and_next(F.slice(pairs, 1, rest), F.slice(hashes, 3, rest))
 
 
 def _in_order(windows: Column) -> Column:
@@ -81,10 +86,9 @@ def _repeat_words(ordered: Column) -> Column:
     return F.when(ordered.isNull(), 0).otherwise(F.size(F.array_distinct(words))).cast("long")
 
 
-def _buckets(hashes: Column, buckets: int) -> Column:
-    """The buckets of the words and of the pairs of neighbouring words, an ``array<bigint>``."""
-    mask = F.lit(buckets - 1).cast("long")
-    return F.transform(F.concat(hashes, _runs(hashes, 2)), lambda h: h.bitwiseAND(mask))
+def _bucket(gram: Column, buckets: int) -> Column:
+    """The bucket of an n-gram's hash."""
+    return gram.bitwiseAND(F.lit(buckets - 1).cast("long"))
 
 
 def _dup_lines(text: Column) -> Column:
@@ -140,8 +144,11 @@ def _bucket_weights(flagged: DataFrame, buckets: int, smoothing: float) -> DataF
     """
     counts = (
         flagged.select("_trusted", _hashes(words_of(F.col("text"))).alias("_hashes"))
-        .select("_trusted", F.explode(_buckets(F.col("_hashes"), buckets)).alias("bucket"))
-        .groupBy("bucket")
+        # Generated code pairs the words up and hashes the pairs; a function over an array would be interpreted.
+        .select("_trusted", F.inline(F.arrays_zip(F.col("_hashes").alias("a"), F.slice("_hashes", 2, F.greatest(F.size("_hashes"), F.lit(1))).alias("b"))).alias("a", "b"))
+        .select("_trusted", F.explode(F.array("a", F.when(F.col("b").isNotNull(), F.xxhash64("a", "b")))).alias("gram"))
+        .where("gram IS NOT NULL")
+        .groupBy(_bucket(F.col("gram"), buckets).alias("bucket"))
         .agg(F.sum("_trusted").alias("t"), F.count("*").alias("r"))
     )
     spark = flagged.sparkSession
@@ -183,9 +190,9 @@ def quality_rules(
         _flagged(docs.select(*rest), ids, n_ids, broadcast_ids)
         .withColumn("_words", words_of(F.col("text")))
         .withColumn("_hashes", _hashes(F.col("_words")))
-        .withColumn("_windows", _runs(F.col("_hashes"), 3))
-        .withColumn("_ordered", _in_order(F.col("_windows")))
-        .withColumn("_buckets", _buckets(F.col("_hashes"), buckets))
+        .withColumn("_pairs", _pairs(F.col("_hashes")))
+        .withColumn("_ordered", let(_windows(F.col("_hashes"), F.col("_pairs")), _in_order))
+        .withColumn("_grams", F.concat("_hashes", "_pairs"))
         .select(
             *rest,
             F.size("_words").cast("long").alias("n_words"),
@@ -193,8 +200,8 @@ def quality_rules(
             F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
             _dup_lines(F.coalesce("text", F.lit(""))).alias("n_dup_lines"),
             _repeat_words(F.col("_ordered")).alias("n_repeat_words"),
-            F.size("_buckets").alias("_n"),
-            "_buckets",
+            F.size("_grams").alias("_n"),
+            "_grams",
             (F.col("_trusted") * buckets).alias("_offset"),
         )
         # The weights are named once, in the projection right below, so that they are never copied into rows.
@@ -204,7 +211,9 @@ def quality_rules(
             *SIGNALS,
             "_n",
             F.aggregate(
-                "_buckets", F.lit(0).cast("long"), lambda acc, b: acc + F.get(F.col("_weights"), b.cast("int") + F.col("_offset"))
+                "_grams",
+                F.lit(0).cast("long"),
+                lambda acc, g: acc + F.get(F.col("_weights"), _bucket(g, buckets).cast("int") + F.col("_offset")),
             ).alias("_sum"),
             # Not deterministic, so that a filter on the results stays above the projections: pushed below, it
             # would repeat each of them for every element that the next one looks at.
