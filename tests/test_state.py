@@ -5,6 +5,7 @@ import time
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
 from ledgerlens.streaming import streams
 
@@ -99,3 +100,12 @@ def test_a_call_after_the_pause_ends_it(run):
     order = sorted(found, key=lambda r: (r[2], r[0] is not None))
     assert [r[4] for r in order] == ["CALLED", "CALLED", "REJECTED", streams.PAUSE_OVER, "CALLED", streams.PAUSE_OVER, "CALLED"]
     assert [r[5] for r in order] == ["CLOSED", "OPEN", "OPEN", "HALF_OPEN", "OPEN", "HALF_OPEN", "CLOSED"]
+
+
+def test_the_percentile_of_a_window_is_exact(spark):
+    """Far more rows a window than an approximate percentile is exact for; a count whose hundredth is a whole number."""
+    values = [int(k * k % 100_003 * 1.7) for k in range(60_000)]
+    late = spark.createDataFrame([(DAY, v) for v in values], "ts timestamp, latency_ms long").withColumn("endpoint", F.lit("a"))
+    found = streams.sla_monitor(late, 200, "40 days", "1 day").first()
+    p99 = sorted(values)[60_000 * 99 // 100 - 1]
+    assert (found["n"], found["p99"], found["breached"]) == (60_000, p99, True)
