@@ -114,3 +114,24 @@ def test_hashed_noise_by_hand(spark):
             hour = 0.4 + 0.3 * u("time", r.seq) if 1 <= r.ts.hour <= 4 else 0.15 * u("time", r.seq)
             score = 0.30 * velocity + 0.35 * amount + 0.20 * hour + 0.15 * 0.3 * u("geo", r.seq) + 0.1 * u("shift", r.seq) - 0.05
             assert abs(min(1.0, max(0.0, score)) - found[r.seq]) < 2e-6
+
+
+def test_omitted_values_never_become_rows(spark, monkeypatch):
+    """They are added up in the task that has the value; keys that go over tasks, null keys and long values by hand."""
+    monkeypatch.setattr(sketches, "LISTED", 200, raising=False)
+    monkeypatch.setattr(sketches, "AT_ONCE", 5_000, raising=False)
+    rng = random.Random(3)
+    rows = [(k, rng.randrange(1 << rng.randrange(4, 22))) for k in ("a", None, "c") for _ in range(400)]
+    df = spark.createDataFrame(rows, "k string, v long").repartition(5)
+    hours = sketches.sketch(df.withColumn("h", F.col("v") % 3), ["k", "h"], "v", 70)
+    merged = sketches.merged(hours, ["k"])
+    for made in (hours, merged):
+        assert "Generate" not in made._jdf.queryExecution().toString()
+    found = {r.k: (r.n, r.largest, {c.cell: c.freq for c in r["cells"]}) for r in merged.collect()}
+    for key in ("a", None, "c"):
+        held = [p for k, v in rows if k == key for p in [v, *range(v - 70, 69, -70)]]
+        cells: dict = {}
+        for p in held:
+            e = max(0, p.bit_length() - 11)
+            cells[e * 1024 + (p >> e)] = cells.get(e * 1024 + (p >> e), 0) + 1
+        assert found[key] == (len(held), max(held), cells)
