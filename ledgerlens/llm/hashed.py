@@ -1,9 +1,9 @@
 """Hashed terms of texts, and models over them that are fitted by gradients from all partitions.
 
 A fit reads a bounded sample of labelled documents. Its terms are kept as a table in the shared folder;
-each evaluation of the objective is one job, in which every partition returns the loss and the gradient of
-its rows, and the driver adds them up and takes a quasi-Newton step. What comes back is one vector of the
-model's length a partition.
+each evaluation of the objective is one job, in which every partition has the loss and the gradient of its rows,
+in blocks that are added up by a shuffle, and the driver takes a quasi-Newton step. What comes back is one vector of
+the model's length, however many partitions there are, and its parameters are sent anew and dropped for each evaluation.
 """
 
 from __future__ import annotations
@@ -21,6 +21,8 @@ from ledgerlens.llm.common import WORD_GAP, fetched
 TERM_BUCKETS = 1 << 18
 #: Partitions of a sample; fixed, so that a fit doesn't depend on the cluster.
 FIT_PARTITIONS = 6
+#: Numbers of a gradient in one row.
+BLOCK = 1 << 15
 
 
 def letter_terms(text: Column, buckets: int = TERM_BUCKETS) -> Column:
@@ -108,27 +110,36 @@ def fit(
     some rows; ``penalty`` is the weight of each parameter's square. All is divided by the number of rows.
     """
     context = sample.sparkSession.sparkContext
-    rows = sample.count()
+    rows, names = sample.count(), context.broadcast(known)
 
     def evaluate(params: np.ndarray) -> tuple[float, np.ndarray]:
-        shared = context.broadcast((known, params))
+        shared = context.broadcast(params)
 
         def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            names, values = shared.value
-            loss, gradient = 0.0, np.zeros(len(values))
+            values = shared.value
+            sums = np.zeros(1 + len(values))  # the loss, then the gradient
             for batch in batches:
-                r, c = packed(batch["terms"], names)
+                r, c = packed(batch["terms"], names.value)
                 some, slope = objective(values, r, c, batch["y"].to_numpy(float))
-                loss, gradient = loss + some, gradient + slope
-            yield pd.DataFrame({"loss": [loss], "gradient": [gradient.tobytes()]})
-
-        parts = sample.select("y", "terms").mapInPandas(partial, "loss double, gradient binary").collect()
-        shared.unpersist()
-        total = sum(p["loss"] for p in parts) / max(1, rows) + float((penalty * params**2).sum())
-        slope = sum((np.frombuffer(p["gradient"]) for p in parts), np.zeros(len(params))) / max(1, rows)
-        return total, slope + 2 * penalty * params
-
-    return _minimised(evaluate, start, steps) if rows else start
+                sums[0] += some
+                sums[1:] += slope
+            for at in range(0, len(sums), BLOCK):
+                yield pd.DataFrame({"at": [at], "sums": [sums[at : at + BLOCK].tobytes()]})
+
+        def added(held: pd.DataFrame) -> pd.DataFrame:
+            total = sum(np.frombuffer(x) for x in held.sort_values("part")["sums"])
+            return pd.DataFrame({"at": held["at"].iloc[:1], "sums": [total.tobytes()]})
+
+        parts = sample.select("y", "terms").mapInPandas(partial, "at long, sums binary").withColumn("part", F.spark_partition_id())
+        found = fetched(parts.groupBy("at").applyInPandas(added, "at long, sums binary")).sort_values("at")
+        shared.destroy()
+        total = np.concatenate([np.frombuffer(x) for x in found["sums"]]) / rows
+        return total[0] + float((penalty * params**2).sum()), total[1:] + 2 * penalty * params
+
+    try:
+        return _minimised(evaluate, start, steps) if rows else start
+    finally:
+        names.destroy()
 
 
 def _minimised(evaluate, x: np.ndarray, steps: int, memory: int = 8) -> np.ndarray:

@@ -429,6 +429,34 @@ def test_gradients():
             assert abs(numeric - slope[k]) < 1e-4
 
 
+def test_a_fit_sends_the_driver_one_vector_in_blocks(spark, monkeypatch):
+    """The sums over partitions are made by a shuffle: whatever the partitions, one vector a step comes back."""
+    from ledgerlens.llm import hashed
+
+    monkeypatch.setattr(hashed, "BLOCK", 7, raising=False)
+    sizes, fetched = [], hashed.fetched
+
+    def seen(df):
+        found = fetched(df)
+        sizes.append((len(found), found["sums"].map(len).sum()))
+        return found
+
+    monkeypatch.setattr(hashed, "fetched", seen)
+    known, width = np.arange(0, 60, 2), 30
+    data = [([k % 60, (7 * k) % 60, 1], float(k % 60 < 20)) for k in range(200)]
+    sample = spark.createDataFrame(data, "terms array<long>, y double").repartition(4)
+    start, penalty = np.random.default_rng(1).normal(0, 0.1, 1 + width * (1 + toxicity.FACTORS)), np.full(1 + width * (1 + toxicity.FACTORS), 1e-3)
+    found = hashed.fit(sample, known, toxicity._loss, start, penalty, 3)
+    assert sizes and set(sizes) == {(-(-(len(start) + 1) // 7), 8 * (len(start) + 1))}
+
+    def whole(params):
+        r, c = hashed.packed(pd.Series([t for t, _ in data]), known)
+        loss, slope = toxicity._loss(params, r, c, np.array([y for _, y in data]))
+        return loss / 200 + (penalty * params**2).sum(), slope / 200 + 2 * penalty * params
+
+    assert np.allclose(found, hashed._minimised(whole, start, 3))
+
+
 def test_toxicity_learns_what_only_a_pair_tells(spark):
     def rows(n):
         for i in range(n):
