@@ -7,6 +7,7 @@ from collections import deque
 from collections.abc import Callable, Iterator
 from datetime import timedelta
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -41,9 +42,19 @@ def lag(query) -> list[dict]:
     ]
 
 
-def _sorted(rows: Iterator[pd.DataFrame]) -> pd.DataFrame:
-    found = list(rows)
-    return pd.concat(found).sort_values(["ts", "seq"], kind="stable") if found else pd.DataFrame()
+#: Rows of a key that are handled, and told, at a time.
+ROWS_AT_ONCE = 10_000
+
+
+def _in_order(rows: Iterator[pd.DataFrame], *columns: str) -> Iterator[pd.DataFrame]:
+    """A key's rows of a micro-batch by ``ts`` and ``seq``, in parts; of all rows only ``columns`` are held."""
+    found = [frame[["ts", "seq", *columns]] for frame in rows if len(frame)]
+    if found:
+        held = pd.concat(found, ignore_index=True)
+        found.clear()
+        order = np.lexsort((held["seq"].to_numpy(), held["ts"].to_numpy()))
+        for at in range(0, len(order), ROWS_AT_ONCE):
+            yield held.iloc[order[at : at + ROWS_AT_ONCE]]
 
 
 def _name(request) -> str:
@@ -67,25 +78,24 @@ class _Ledger(StatefulProcessor):
         self.done = handle.getMapState("done", "request string", "at_us bigint", self.state_ttl_ms)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        found = _sorted(rows)
         balance = self.balance.get()[0] if self.balance.exists() else None
-        names = [_name(r) for r in found["request_id"]] if len(found) else []
-        asked = dict.fromkeys(names) if balance is not None else ()  # an account without a balance has applied nothing
-        done = {name: at[0] for name in asked if (at := self.done.getValue((name,))) is not None}
-        out, fresh = [], {}
-        for name, row in zip(names, found.itertuples(index=False), strict=True):
-            balance = int(row.opening_cents) if balance is None else balance
-            now = pd.Timestamp(row.ts).value // 1000
-            known = name in done and (self.ttl_us is None or now - done[name] <= self.ttl_us)
-            status, balance = apply_debit(balance, known, int(row.amount_cents))
-            if status == APPLIED:
-                done[name] = fresh[name] = now
-            out.append((int(row.seq), status, balance))
-        for name, at in fresh.items():
-            self.done.updateValue((name,), (at,))
-        if out:
+        for part in _in_order(rows, "request_id", "amount_cents", "opening_cents"):
+            names = [_name(r) for r in part["request_id"]]
+            asked = dict.fromkeys(names) if balance is not None else ()  # an account without a balance has applied nothing
+            done = {name: at[0] for name in asked if (at := self.done.getValue((name,))) is not None}
+            out, fresh = [], {}
+            for name, row in zip(names, part.itertuples(index=False), strict=True):
+                balance = int(row.opening_cents) if balance is None else balance
+                now = pd.Timestamp(row.ts).value // 1000
+                known = name in done and (self.ttl_us is None or now - done[name] <= self.ttl_us)
+                status, balance = apply_debit(balance, known, int(row.amount_cents))
+                if status == APPLIED:
+                    done[name] = fresh[name] = now
+                out.append((int(row.seq), status, balance))
+            for name, at in fresh.items():
+                self.done.updateValue((name,), (at,))
             self.balance.update((balance,))
-        yield pd.DataFrame(out, columns=["seq", "status", "balance_cents"])
+            yield pd.DataFrame(out, columns=["seq", "status", "balance_cents"])
 
     def close(self) -> None:
         pass
@@ -117,10 +127,11 @@ class _Breaker(StatefulProcessor):
         if self.state.exists():
             breaker.state, breaker.failures, last = self.state.get()
             breaker.last = None if last is None else pd.Timestamp(last, unit="us")
-        out = [(int(r.seq), *breaker.call(pd.Timestamp(r.ts), bool(r.failed))) for r in _sorted(rows).itertuples(index=False)]
+        for part in _in_order(rows, "failed"):
+            out = [(int(r.seq), *breaker.call(pd.Timestamp(r.ts), bool(r.failed))) for r in part.itertuples(index=False)]
+            yield pd.DataFrame(out, columns=["seq", "state_before", "decision", "state_after", "failures"])
         last = None if breaker.last is None else int(breaker.last.value // 1000)
         self.state.update((breaker.state or CLOSED, breaker.failures, last))
-        yield pd.DataFrame(out, columns=["seq", "state_before", "decision", "state_after", "failures"])
 
     def close(self) -> None:
         pass
@@ -176,22 +187,24 @@ class _RateBreaker(StatefulProcessor):
         return None, service, ended, OPEN, PAUSE_OVER, HALF_OPEN, 0
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        breaker, out = self._read(), []
+        breaker = self._read()
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
         passed_us = timerValues.getCurrentWatermarkInMs() * 1000
-        for row in _sorted(rows).itertuples(index=False):
-            at = pd.Timestamp(row.ts)
-            at_us = at.value // 1000
-            if at_us < passed_us:  # late: what followed it has been told
-                continue
-            if breaker.state == OPEN and at_us >= self._ends(breaker):
-                out.append(self._over(breaker, key[0]))
-            out.append((int(row.seq), key[0], at_us, *breaker.call(at, bool(row.failed))))
+        for part in _in_order(rows, "failed"):
+            out = []
+            for row in part.itertuples(index=False):
+                at = pd.Timestamp(row.ts)
+                at_us = at.value // 1000
+                if at_us < passed_us:  # late: what followed it has been told
+                    continue
+                if breaker.state == OPEN and at_us >= self._ends(breaker):
+                    out.append(self._over(breaker, key[0]))
+                out.append((int(row.seq), key[0], at_us, *breaker.call(at, bool(row.failed))))
+            yield self._table(out)
         if breaker.state == OPEN:
             self.handle.registerTimer(-(-self._ends(breaker) // 1000))
         self._write(breaker)
-        yield self._table(out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         breaker = self._read()

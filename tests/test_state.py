@@ -2,11 +2,15 @@
 
 import tempfile
 import time
+import tracemalloc
 from datetime import datetime, timedelta
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from ledgerlens.operators.resilience import Breaker
 from ledgerlens.streaming import streams
 
 DAY = datetime(2024, 1, 1)
@@ -109,3 +113,34 @@ def test_the_percentile_of_a_window_is_exact(spark):
     found = streams.sla_monitor(late, 200, "40 days", "1 day").first()
     p99 = sorted(values)[60_000 * 99 // 100 - 1]
     assert (found["n"], found["p99"], found["breached"]) == (60_000, p99, True)
+
+
+def test_a_large_key_is_told_in_parts():
+    """What a task holds of a key's micro-batch are its times, numbers and outcomes; calls and answers are never all there."""
+
+    class State:
+        def exists(self):
+            return False
+
+        def update(self, value):
+            self.value = value
+
+    rows, at_once = 100_000, 10_000
+    order = np.random.default_rng(2).permutation(rows)
+
+    def frames():
+        for at in range(0, rows, at_once):
+            k = order[at : at + at_once]
+            yield pd.DataFrame({"seq": k, "ts": pd.Timestamp(DAY) + pd.to_timedelta(k // 2, "s"), "service": "s" * 50, "failed": k % 5 < 3})
+
+    processor = streams._Breaker(3, timedelta(seconds=30))
+    processor.state = State()
+    tracemalloc.start()
+    found = [len(part) for part in processor.handleInputRows(("s",), frames(), None) if part.seq.is_monotonic_increasing]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found == [at_once] * (rows // at_once) and peak < 120 * rows
+    breaker = Breaker(3, timedelta(seconds=30))
+    for k in range(rows):
+        breaker.call(pd.Timestamp(DAY) + timedelta(seconds=k // 2), k % 5 < 3)
+    assert processor.state.value[:2] == (breaker.state, breaker.failures)
