@@ -23,6 +23,8 @@ TERM_BUCKETS = 1 << 18
 FIT_PARTITIONS = 6
 #: Numbers of a gradient in one row.
 BLOCK = 1 << 15
+#: Rows whose terms are laid out side by side at a time.
+ROWS_AT_ONCE = 1_000
 
 
 def letter_terms(text: Column, buckets: int = TERM_BUCKETS) -> Column:
@@ -119,10 +121,12 @@ def fit(
             values = shared.value
             sums = np.zeros(1 + len(values))  # the loss, then the gradient
             for batch in batches:
-                r, c = packed(batch["terms"], names.value)
-                some, slope = objective(values, r, c, batch["y"].to_numpy(float))
-                sums[0] += some
-                sums[1:] += slope
+                for at in range(0, len(batch), ROWS_AT_ONCE):
+                    held = batch.iloc[at : at + ROWS_AT_ONCE]
+                    r, c = packed(held["terms"], names.value)
+                    some, slope = objective(values, r, c, held["y"].to_numpy(float))
+                    sums[0] += some
+                    sums[1:] += slope
             for at in range(0, len(sums), BLOCK):
                 yield pd.DataFrame({"at": [at], "sums": [sums[at : at + BLOCK].tobytes()]})
 

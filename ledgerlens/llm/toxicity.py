@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.llm.common import shared_folder, written
-from ledgerlens.llm.hashed import FIT_PARTITIONS, evidence, fit, letter_terms, packed
+from ledgerlens.llm.hashed import FIT_PARTITIONS, ROWS_AT_ONCE, evidence, fit, letter_terms, packed
 
 #: Labelled documents that the model is fitted on, at most.
 SAMPLE_LIMIT = 12_000
@@ -92,9 +92,11 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
 
     @F.pandas_udf("double")
     def probability(terms: pd.Series) -> pd.Series:
-        model = shared.value
-        rows, columns = packed(terms, model.known)
-        z, _, _ = _sums(model.params, len(model.known), rows, columns, len(terms))
+        model, z = shared.value, np.zeros(len(terms))
+        for at in range(0, len(terms), ROWS_AT_ONCE):
+            some = terms.iloc[at : at + ROWS_AT_ONCE]
+            rows, columns = packed(some, model.known)
+            z[at : at + ROWS_AT_ONCE], _, _ = _sums(model.params, len(model.known), rows, columns, len(some))
         return pd.Series(np.round(1 / (1 + np.exp(-np.clip(z, -40, 40))), 6))
 
     rest = [c for c in docs.columns if c not in ("score", "predicted")]
