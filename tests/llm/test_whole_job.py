@@ -3,6 +3,7 @@
 import random
 
 from ledgerlens.llm import jaccard, language
+from ledgerlens.llm.common import shared_folder, written
 
 from .test_operators import by_id
 
@@ -42,3 +43,20 @@ def test_jaccard_of_null_and_repeated_ids(spark):
     found = [(r.doc_id, r.component_id) for r in jaccard.jaccard_components(df).collect()]
     links = [(None, 4), (4, 4), (9, 4), (9, 2), (2, 2), (9, 9), (None, None), (None, None), (7, 7)]
     assert sorted(map(str, found)) == sorted(map(str, links))
+
+
+def test_connecting_reads_edges_a_bounded_number_of_times(spark, monkeypatch):
+    """One long chain among many pairs takes rounds of its own: the pairs' edges aren't read again in each."""
+    draw = random.Random(9)
+    chain = draw.sample(range(10**6, 2 * 10**6), 3000)
+    edges = [(2 * k, 2 * k + 1) for k in range(3000)] + list(zip(chain, chain[1:]))
+    edges += [(5 * 10**6 + k, 5 * 10**6 + j) for k in range(30) for j in range(k)] + [(7, 7)]
+    held = []
+    monkeypatch.setattr(jaccard, "written", lambda df, folder, name: held.append(written(df, folder, name)) or held[-1])
+    folder = shared_folder(spark)
+    found = {r["id"]: r["root"] for r in jaccard.connected(spark.createDataFrame(edges, "a long, b long"), folder, "x").collect()}
+    truth = {x: min(e) for e in edges[:3000] for x in e} | {x: min(chain) for x in chain}
+    assert found == truth | {5 * 10**6 + k: 5 * 10**6 for k in range(30)}
+    assert sum(df.count() for df in held) < 8 * len(edges)
+    none = spark.createDataFrame([(1, 1)], "a long, b long")
+    assert jaccard.connected(none, folder, "none").count() == 0
