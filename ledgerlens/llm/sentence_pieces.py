@@ -35,8 +35,6 @@ aren't carried.
 from __future__ import annotations
 
 import heapq
-import re
-from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import cached_property
@@ -45,6 +43,7 @@ from itertools import pairwise
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -67,6 +66,10 @@ PLACE_BITS, ID_BITS = 20, 22
 #: The id of a character's own edge.
 ALONE = (1 << ID_BITS) - 1
 UNIGRAM, BPE = 1, 2
+#: Bytes of text that are cut at a time, about.
+TEXT_AT_ONCE = 4 << 20
+#: What a character is: a unit of its own, a space, part of a run of letters or of other signs.
+SINGLE, SPACES, LETTERS, SIGNS = range(4)
 
 
 @dataclass(frozen=True)
@@ -128,8 +131,8 @@ def read_vocabulary(path: str) -> Vocabulary:
     )
 
 
-def unit_pattern(vocabulary: Vocabulary) -> str:
-    """A regular expression whose matches, one after another, are a text's units.
+def kinds_of_signs(vocabulary: Vocabulary) -> np.ndarray:
+    """What each code point is to ``Cutter``.
 
     Characters are linked where a piece has them side by side, and a piece never crosses from one linked group
     into another but for the spaces that it starts with. Groups with a letter make up one class, the others a
@@ -148,17 +151,58 @@ def unit_pattern(vocabulary: Vocabulary) -> str:
             for other in body:
                 group[root(other)] = root(body[0])
     with_letters = {root(sign) for sign in group if sign.isalpha()}
-    choices = []
-    for letters in (True, False):
-        signs = "".join(re.escape(sign) for sign in sorted(group) if (root(sign) in with_letters) == letters)
-        choices += [f"{SPACE}*+[{signs}]++"] if signs else []
-    return "(?s:" + "|".join([*choices, f"{SPACE}++", "."]) + ")"
+    kinds = np.full(0x110000, SINGLE, np.uint8)
+    for sign in group:
+        kinds[ord(sign)] = LETTERS if root(sign) in with_letters else SIGNS
+    kinds[ord(" ")] = SPACES
+    return kinds
 
 
-def cutter(vocabulary: Vocabulary) -> Callable[[str | None], list[str]]:
-    """A function from a text to its units, in order; none for null and empty texts."""
-    find, first = re.compile(unit_pattern(vocabulary)).findall, SPACE * vocabulary.dummy_prefix
-    return lambda text: find(first + text.replace(" ", SPACE)) if text else []
+class Cutter:
+    """Texts' units, in order; none for null and empty texts.
+
+    A unit is a run of letters, or of other linked signs, with the spaces before it; spaces that neither follows; or any
+    other character. Units of many texts are cut at once. They have a space where the model has U+2581, see ``_marked``.
+    """
+
+    def __init__(self, vocabulary: Vocabulary) -> None:
+        self.kinds, self.first = kinds_of_signs(vocabulary), " " * vocabulary.dummy_prefix
+
+    def __call__(self, texts: list[str | None]) -> tuple[pa.LargeStringArray, np.ndarray]:
+        """The units of all texts, one after another, and how many each text has."""
+        texts = [self.first + text if text else "" for text in texts]
+        ends = np.cumsum([len(text) for text in texts], dtype=np.int64)
+        text = "".join(texts).replace(SPACE, " ")
+        if not text:
+            return pa.array([], pa.large_string()), np.zeros(len(texts), np.int64)
+        points = np.frombuffer(text.encode("utf-32-le"), "<u4")
+        kinds = self.kinds[points]
+        before, here = kinds[:-1], kinds[1:]
+        begins = np.ones(1 + len(points), bool)
+        begins[1:-1] = (before != here) & ((before != SPACES) | (here < LETTERS)) | (here == SINGLE)
+        begins[ends] = True
+        starts = np.flatnonzero(begins[:-1])
+        data = text.encode()
+        if len(data) == len(points):
+            places = np.append(starts, len(points))
+        else:
+            widths = 1 + (points >= 0x80).view(np.uint8) + (points >= 0x800).view(np.uint8) + (points >= 0x10000).view(np.uint8)
+            places = np.concatenate([[0], np.cumsum(np.add.reduceat(widths, starts, dtype=np.int64))])
+        units = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(places.astype(np.int64)), pa.py_buffer(data))
+        return units, np.diff(np.searchsorted(starts, ends), prepend=0)
+
+
+def _marked(units: pa.Array) -> pa.Array:
+    return pc.replace_substring(units, " ", SPACE).cast(pa.string())
+
+
+def _lots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of about ``TEXT_AT_ONCE`` bytes of text at a time."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False)
+        lots = np.cumsum(sizes, dtype=np.int64) // TEXT_AT_ONCE
+        for start, end in pairwise([0, *(1 + np.flatnonzero(np.diff(lots))).tolist(), len(lots)]):
+            yield batch.slice(start, end - start)
 
 
 def _by_id(spark: SparkSession, values: dict[int, object], kind: str) -> Column:
@@ -368,12 +412,11 @@ def frequent_units(docs: DataFrame, vocabulary: Vocabulary, folder: str, sample_
     some = docs.where(F.pmod(F.xxhash64(F.lit(4), "doc_id"), F.lit(1 << 30)) < part)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cut, found = cutter(vocabulary), Counter()
-        for batch in batches:
-            for text in batch.column("text").to_pylist():
-                found.update(cut(text))
-        short = {unit: n for unit, n in found.items() if len(unit) <= FREQUENT_CHARS}
-        yield pa.RecordBatch.from_arrays([pa.array(short.keys(), pa.string()), pa.array(short.values(), pa.int64())], ["unit", "n"])
+        cut = Cutter(vocabulary)
+        for batch in _lots(batches):
+            units, _ = cut(batch.column("text").to_pylist())
+            found = pc.value_counts(units.filter(pc.less_equal(pc.utf8_length(units), FREQUENT_CHARS)))
+            yield pa.RecordBatch.from_arrays([_marked(found.field("values")), found.field("counts")], ["unit", "n"])
 
     counts = some.select("text").mapInArrow(count, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
     best = counts.where("n > 1").orderBy(F.desc("n"), "unit").limit(FREQUENT).select("unit")
@@ -381,42 +424,40 @@ def frequent_units(docs: DataFrame, vocabulary: Vocabulary, folder: str, sample_
 
 
 def _passes(docs: DataFrame, known: Broadcast, vocabulary: Vocabulary, with_text: bool) -> tuple[DataFrame, DataFrame]:
-    """The blocks of known units, ``(doc_id, text_key, place, ids)``, and the others, ``(doc_id, text_key, place, unit)``."""
+    """The blocks of known units, ``(doc_id, text_key, place, ids)``, and the others, ``(doc_id, text_key, place, unit)``.
+
+    ``known`` has the units, as ``Cutter`` has them, and lists of their ids.
+    """
     spell = _speller(vocabulary)
 
-    def holes(ids: list[bytes | None]) -> list[int]:
-        found, at = [], -1
-        for _ in range(ids.count(None)):
-            at = ids.index(None, at + 1)
-            found.append(at)
-        return found
+    def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        """Rows, their units, the numbers of these among the known ones (or null), where a row's begin, how many it has."""
+        cut, units_known = Cutter(vocabulary), known.value[0]
+        for batch in _lots(batches):
+            units, counts = cut(batch.column("text").to_pylist())
+            yield batch, units, pc.index_in(units, units_known), np.cumsum(counts) - counts, counts
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cut, get = cutter(vocabulary), known.value.get
-        for batch in batches:
-            rows, places, ids = [], [], []
-            for row, text in enumerate(batch.column("text").to_pylist()):
-                said, start = list(map(get, cut(text))), 0
-                for end in [*holes(said), len(said)]:
-                    if end > start or not said:
-                        rows.append(row)
-                        places.append(start)
-                        ids.append(b"".join(said[start:end]))
-                    start = end + 1
-            ends = np.cumsum([0, *map(len, ids)]) // 4
-            yield _rows(batch, rows, places, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(ids), "<i4"))), "ids")
+        ids_known = known.value[1]
+        for batch, units, found, firsts, counts in cut_up(batches):
+            is_known = found.is_valid().to_numpy(zero_copy_only=False)
+            new = np.ones(1 + len(units), bool)  # a row's first unit, or one after another that isn't known
+            new[1:] = ~is_known
+            new[firsts] = True
+            begins = np.flatnonzero(is_known & new[:-1])
+            ids = ids_known.take(found.drop_null())
+            # where the ids of each known unit begin; a block's first one is so many known units on
+            places = ids.offsets.to_numpy()[np.append(np.cumsum(is_known)[begins] - 1, len(ids))]
+            rows, none = np.searchsorted(firsts + counts, begins, side="right"), np.flatnonzero(counts == 0)
+            blocks = pa.ListArray.from_arrays(pa.array(np.append(places, np.full(len(none), places[-1])), pa.int32()), ids.values)
+            at = np.append(begins - firsts[rows], np.zeros(len(none), np.int64))
+            yield _rows(batch, np.append(rows, none), at, blocks, "ids")
 
     def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cut, get = cutter(vocabulary), known.value.get
-        for batch in batches:
-            rows, places, units = [], [], []
-            for row, text in enumerate(batch.column("text").to_pylist()):
-                said = cut(text)
-                found = holes(list(map(get, said)))
-                rows += [row] * len(found)
-                places += found
-                units += [said[at] for at in found]
-            yield _rows(batch, rows, places, pa.array(units, pa.string()), "unit")
+        for batch, units, found, firsts, counts in cut_up(batches):
+            holes = np.flatnonzero(found.is_null().to_numpy(zero_copy_only=False))
+            rows = np.searchsorted(firsts + counts, holes, side="right")
+            yield _rows(batch, rows, holes - firsts[rows], _marked(units.take(pa.array(holes))), "unit")
 
     keys = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text_key long, place int"
     said = lambda batches: spell(runs(batches))
@@ -424,7 +465,7 @@ def _passes(docs: DataFrame, known: Broadcast, vocabulary: Vocabulary, with_text
     return blocks, docs.mapInArrow(others, f"{keys}, unit string")
 
 
-def _rows(batch: pa.RecordBatch, rows: list[int], places: list[int], last: pa.Array, name: str) -> pa.RecordBatch:
+def _rows(batch: pa.RecordBatch, rows: np.ndarray, places: np.ndarray, last: pa.Array, name: str) -> pa.RecordBatch:
     of = pa.array(rows, pa.int32())
     keys = [batch.column("doc_id").take(of), batch.column("text_key").take(of), pa.array(places, pa.int32())]
     return pa.RecordBatch.from_arrays([*keys, last], ["doc_id", "text_key", "place", name])
@@ -438,9 +479,8 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, sample_docs: int = SAMPLE_DO
     spark, folder = docs.sparkSession, shared_folder(docs.sparkSession)
     docs = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key"))
     table = frequent_units(docs, vocabulary, folder, sample_docs).toArrow()
-    ids = table.column("ids").combine_chunks()
-    values, ends = ids.values.to_numpy().astype("<i4").tobytes(), ids.offsets.to_numpy().tolist()
-    known = {unit: values[4 * a : 4 * b] for unit, a, b in zip(table.column("unit").to_pylist(), ends, ends[1:], strict=False)}
+    units = pc.replace_substring(table.column("unit").combine_chunks().cast(pa.large_string()), SPACE, " ")
+    known = (units, table.column("ids").combine_chunks().cast(pa.list_(pa.int32())))
     blocks, others = _passes(docs, spark.sparkContext.broadcast(known), vocabulary, with_text)
     others = written(others, folder, "others")
     units = written(others.select("unit").distinct(), folder, "units")

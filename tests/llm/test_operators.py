@@ -643,3 +643,20 @@ def test_pii_key_is_in_no_plan_and_clear_text_stays(spark):
     hidden = pii.pseudonymise(docs, "sesame")
     assert by_id(hidden).text.tolist() == texts
     assert "sesame" not in hidden._jdf.queryExecution().toString()
+
+
+def test_sentence_pieces_are_cut_as_the_vocabulary_says(spark, monkeypatch):
+    """Many texts are cut at once, into what a pattern over each text finds; lots of text don't show in the blocks."""
+    _, vocabulary = library()
+    kinds = sentence_pieces.kinds_of_signs(vocabulary)
+    letters, signs = ("".join(re.escape(chr(k)) for k in np.flatnonzero(kinds == kind)) for kind in (sentence_pieces.LETTERS, sentence_pieces.SIGNS))
+    pattern = re.compile(f"(?s: *+[{letters}]++| *+[{signs}]++| ++|.)")
+    texts = [*TEXTS, None, "", *ODD, "", " ", None]
+    units, counts = sentence_pieces.Cutter(vocabulary)(texts)
+    wanted = [pattern.findall(" " + t.replace("▁", " ")) if t else [] for t in texts]
+    assert counts.tolist() == [len(w) for w in wanted] and units.to_pylist() == sum(wanted, [])
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string").coalesce(1)
+    whole = sentence_pieces.encode(rows, vocabulary, with_text=True).collect()
+    monkeypatch.setattr(sentence_pieces, "TEXT_AT_ONCE", 300)
+    assert sorted(sentence_pieces.encode(rows, vocabulary, with_text=True).collect()) == sorted(whole)
+    assert {r["doc_id"] for r in whole} == set(range(len(texts)))
