@@ -11,9 +11,11 @@ long as a pair with the wanted overlap needs in order to share two members, or o
 small and large is where the two ways cost least on the corpus at hand; sets just under it go both ways, so
 that a pair across it meets in an inverted list.
 
-Signatures that few classes share give pairs, which must pass a bound on sizes and a bound on the overlap
-from counts of members by residue. Signatures that many classes share (families of near copies) give a star
-of their members instead of pairs. Connected candidates are then compared exactly, and a pair is looked at only as
+Signatures that few classes share give pairs, which must pass a bound on sizes and two on the overlap: for large
+sets one from the number of members that their prefixes share, which needs no look at a set and leaves out nearly
+all pairs that met by chance; then one from counts of members by residue, of which a set has as many as fit its size. Of the members of
+signatures that many classes share (families of near copies) only those that pass this bound are connected, by as few
+edges as do; the longest lists of all give a star of their members. Connected candidates are then compared exactly, and a pair is looked at only as
 long as it isn't connected by links that were found before. A group of few members is compared in one task. A larger
 one is dealt into blocks, each with the same few members as anchors, and compared in two rounds:
 
@@ -23,18 +25,20 @@ one is dealt into blocks, each with the same few members as anchors, and compare
 
 Defined results: texts without words, and null texts, have no shingles and link with nothing; a text of
 fewer words than a shingle is one shingle. Every row is a document of its own, whether its id is null, repeated
-or neither; rows are told apart by a number that they get at the start. An empty table gives an empty one. Other columns don't matter.
+or neither; rows are told apart by their place in a file, or by a number that they get at the start. An empty table gives an empty one. Other columns don't matter.
 """
 
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import xxhash
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,10 +46,18 @@ from ledgerlens.llm.common import fetched, shared_folder, written
 
 #: Buckets in which members are counted for their order.
 ORDER_BUCKETS = 1 << 20
-#: A signature that more classes share gives a star of candidates instead of pairs.
+#: A signature that more classes share gives no pairs: its members are compared by their counts in one task.
 LONG_LIST = 64
-#: Residues by which members are counted for the bound on an overlap.
+#: A signature that more classes share gives a star of candidates.
+STAR_LIST = 4096
+#: Residues by which members are counted for the bound on an overlap, at least; larger sets have more.
 RESIDUES = 64
+#: Members that a residue has in a set of more, at least.
+RESIDUE_MEMBERS = 8
+#: Buckets whose counts are one row.
+COUNT_BLOCK = 1 << 14
+#: Counts of so many lots of tasks are added up for themselves first.
+COUNT_LOTS = 64
 #: Members of one block of a candidate group, about.
 BLOCK_MEMBERS = 1_000_000
 #: Sets that all blocks of a group share.
@@ -95,29 +107,87 @@ def needed(size: int, percent: int) -> int:
     return -(-percent * size // 100)
 
 
+def residues(size: int) -> int:
+    """How many residues the members of a set of this size are counted by: a power of two, more for larger sets.
+
+    With a fixed number, two large sets of like size have like counts, so chance would pass the bound.
+    """
+    return max(RESIDUES, (1 << (size.bit_length() - 1)) // RESIDUE_MEMBERS) if size else RESIDUES
+
+
+def residue_counts(members: np.ndarray) -> bytes:
+    """A set's members counted by residue, in as few bytes a count as hold the largest."""
+    counts = np.bincount((members % np.uint64(residues(len(members)))).astype(np.int64), minlength=residues(len(members)))
+    return counts.astype("<u1" if counts.max() < 256 else "<u4").tobytes()
+
+
+def most_shared(n: int, x: bytes, m: int, y: bytes) -> int:
+    """A bound on the overlap of sets of ``n`` and ``m`` members with these counts by residue."""
+    left, right = (np.frombuffer(c, f"<u{len(c) // residues(size)}") for size, c in ((n, x), (m, y)))
+    few = min(len(left), len(right))
+    return int(np.minimum(*(c.reshape(-1, few).sum(0, dtype=np.int64) for c in (left, right))).sum())
+
+
+def alike_by_counts(ids: np.ndarray, sizes: np.ndarray, counts: list[bytes], percent: int) -> list[tuple[int, int]]:
+    """Pairs of ids that connect all sets whose counts by residue let them link, and no others."""
+    order = np.lexsort((ids, sizes))
+    n = sizes[order].astype(np.int64)
+    width = np.array([residues(int(x)) for x in n], np.int64)
+    label, found = np.arange(len(n)), []
+    held: dict[int, np.ndarray] = {}  # counts of the sets with so many residues, in order; a larger set has no fewer
+    for w in np.unique(width).tolist():
+        some = [counts[k] for k in order[width == w].tolist()]
+        held[w] = np.stack([np.frombuffer(c, f"<u{len(c) // w}").astype(np.uint32) for c in some])
+    starts = {w: int(np.searchsorted(width, w)) for w in held}
+    for k in range(1, len(n)):
+        own, first = held[int(width[k])][k - starts[int(width[k])]], int(np.searchsorted(100 * n, percent * n[k]))
+        for w in np.unique(width[first:k]).tolist():
+            low, high = max(first, starts[w]), min(k, starts[w] + len(held[w]))
+            other = low + np.flatnonzero(label[low:high] != label[k])  # the others are connected with it already
+            both = np.minimum(held[w][other - starts[w]], own.reshape(-1, w).sum(0)).sum(1, dtype=np.int64)
+            for j in other[(100 + percent) * both >= percent * (n[other] + n[k])].tolist():
+                if label[j] != label[k]:
+                    label[label == label[j]] = label[k]
+                    found.append((int(ids[order[j]]), int(ids[order[k]])))
+    return found
+
+
 def bucket_counts(docs: DataFrame, words: int) -> DataFrame:
-    """``(bucket, n)``: documents' shingles by hash bucket; a task adds up its own before the shuffle."""
+    """``(block, counts)``: documents' shingles by hash bucket, packed; a task adds up its own before the shuffle."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total, hashes = np.zeros(ORDER_BUCKETS, np.int64), _WordHashes()
         for batch in batches:
             for text in batch["text"]:
                 total[(shingles(text, hashes, words) >> np.uint64(40)).astype(np.int64) % ORDER_BUCKETS] += 1
-        held = np.flatnonzero(total)
-        for part in range(0, len(held), 100_000):
-            some = held[part : part + 100_000]
-            yield pd.DataFrame({"bucket": some.astype(np.int32), "n": total[some].astype(np.int32)})
+        for block, at in enumerate(range(0, ORDER_BUCKETS, COUNT_BLOCK)):
+            some = total[at : at + COUNT_BLOCK]
+            if some.any():
+                yield pd.DataFrame({"block": [block], "counts": [_packed(some)]})
+
+    def add(group: pd.DataFrame) -> pd.DataFrame:
+        total = sum(map(_unpacked, group["counts"]))
+        return pd.DataFrame({"block": group["block"].iloc[:1], "counts": [_packed(total)]})
+
+    counted = docs.select("text").mapInPandas(count, "block int, counts binary")
+    counted = counted.withColumn("lot", F.pmod(F.spark_partition_id(), F.lit(COUNT_LOTS)))
+    return counted.groupBy("block", "lot").applyInPandas(add, "block int, counts binary").groupBy("block").applyInPandas(add, "block int, counts binary")
 
-    counted = docs.select("text").mapInPandas(count, "bucket int, n int")
-    return counted.groupBy("bucket").agg(F.sum("n").alias("n"))
+
+def _packed(counts: np.ndarray) -> bytes:
+    return zlib.compress(counts.astype("<i8").tobytes(), 1)
+
+
+def _unpacked(counts: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(counts), "<i8")
 
 
 def _ranks(counts: DataFrame) -> np.ndarray:
     """Counts by bucket: ``ORDER_BUCKETS`` numbers, whatever the corpus."""
-    order = np.zeros(ORDER_BUCKETS, np.int64)
-    found = fetched(counts)
-    order[found["bucket"].to_numpy(np.int64)] = found["n"].to_numpy(np.int64)
-    return np.minimum(order, np.iinfo(np.int32).max).astype(np.int32)
+    order = np.zeros(ORDER_BUCKETS, np.int32)
+    for block, some in fetched(counts).itertuples(index=False):
+        order[block * COUNT_BLOCK : (block + 1) * COUNT_BLOCK] = np.minimum(_unpacked(some), np.iinfo(np.int32).max)
+    return order
 
 
 def _in_order(members: np.ndarray, order: np.ndarray) -> np.ndarray:
@@ -141,9 +211,8 @@ def _sets(docs: DataFrame, order, words: int, percent: int) -> DataFrame:
                 members = shingles(text, hashes, words)
                 n = len(members)
                 prefix = _in_order(members, order.value)[: n - needed(n, percent) + 2]
-                counts = np.bincount((members % np.uint64(RESIDUES)).astype(np.int64), minlength=RESIDUES)
                 key = hashlib.blake2b(members.tobytes(), digest_size=16).digest() if n else None
-                out.append((row, said, n, key, counts.astype("<u4").tobytes(), prefix.view(np.int64)))
+                out.append((row, said, n, key, residue_counts(members), prefix.view(np.int64)))
             yield pd.DataFrame(out, columns=["row", "said", "n_shingles", "class", "counts", "prefix"])
 
     said = F.col("doc_id").cast("string").alias("said")
@@ -244,7 +313,15 @@ def _candidates(classes: DataFrame, percent: int, boundary: int, folder: str) ->
     postings = written(_signatures(classes, percent, boundary), folder, "postings")
     shared = postings.groupBy("signature").agg(F.count("*").alias("size"), F.min("rep").alias("least")).where("size > 1")
     held = written(postings.join(shared, "signature"), folder, "shared")
-    star = held.where(F.col("size") > LONG_LIST).select(F.col("least").alias("a"), F.col("rep").alias("b"))
+    known = classes.select("rep", "n", "counts")
+    star = held.where(F.col("size") > STAR_LIST).select(F.col("least").alias("a"), F.col("rep").alias("b"))
+    long = held.where((F.col("size") > LONG_LIST) & (F.col("size") <= STAR_LIST)).select("signature", "rep")
+
+    def alike(group: pd.DataFrame) -> pd.DataFrame:
+        found = alike_by_counts(group["rep"].to_numpy(), group["n"].to_numpy(), list(group["counts"]), percent)
+        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+
+    families = long.join(known, "rep").groupBy("signature").applyInPandas(alike, "a long, b long").distinct()
     lists = held.where(F.col("size") <= LONG_LIST).groupBy("signature").agg(
         F.sort_array(F.collect_list(F.struct("n", "rep"))).alias("l")
     )
@@ -253,28 +330,41 @@ def _candidates(classes: DataFrame, percent: int, boundary: int, folder: str) ->
             "l",
             lambda x, i: F.transform(
                 F.filter(F.slice("l", i + 2, LONG_LIST), lambda y: 100 * x["n"] >= percent * y["n"]),
-                lambda y: F.struct(F.least(x["rep"], y["rep"]).alias("a"), F.greatest(x["rep"], y["rep"]).alias("b")),
+                lambda y: F.struct(
+                    F.least(x["rep"], y["rep"]).alias("a"),
+                    F.greatest(x["rep"], y["rep"]).alias("b"),
+                    x["n"].alias("least"),
+                    y["n"].alias("most"),
+                ),
             ),
         )
     )
-    pairs = lists.select(F.explode(near).alias("p")).select("p.a", "p.b").where("a != b").distinct()
+    met = lists.select(F.explode(near).alias("p")).select("p.*").where("a != b")
+    pairs = met.groupBy("a", "b", "least", "most").agg(F.count("*").alias("met")).where(_met_enough(percent, boundary)).select("a", "b")
 
     @F.pandas_udf("boolean")
     def may_link(n: pd.Series, m: pd.Series, x: pd.Series, y: pd.Series) -> pd.Series:
-        if not len(n):
-            return pd.Series([], dtype=bool)
-        left = np.frombuffer(b"".join(x), "<u4").reshape(len(n), RESIDUES)
-        right = np.frombuffer(b"".join(y), "<u4").reshape(len(n), RESIDUES)
-        overlap = np.minimum(left, right).sum(1, dtype=np.int64)
-        return pd.Series((100 + percent) * overlap >= percent * (n.to_numpy() + m.to_numpy()))
+        found = [(100 + percent) * most_shared(i, p, j, q) >= percent * (i + j) for i, j, p, q in zip(n, m, x, y, strict=True)]
+        return pd.Series(found, dtype=bool)
 
-    known = classes.select("rep", "n", "counts")
     pairs = (
         pairs.join(known.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("counts").alias("ca")), "a")
         .join(known.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("counts").alias("cb")), "b")
         .where(may_link("na", "nb", "ca", "cb"))
     )
-    return star.unionByName(pairs.select("a", "b")).where("a != b")
+    return star.unionByName(families).unionByName(pairs.select("a", "b")).where("a != b")
+
+
+def _met_enough(percent: int, boundary: int) -> Column:
+    """Whether two sets of ``least`` and ``most`` members that met in ``met`` lists of single members may link.
+
+    Of two prefixes one ends first in the order. All that the sets share up to its end is in both prefixes, and has met
+    unless one of it has a long list, by which the two are connected if they link. Beyond its end its set has as many members as aren't
+    in the prefix. Sets up to the boundary meet by pairs of members, which say nothing about that.
+    """
+    beyond = F.col("most") - _prefix(F.col("most"), percent, 1)
+    enough = (100 + percent) * (F.col("met") + beyond) >= percent * (F.col("least") + F.col("most"))
+    return (F.col("least") <= boundary) | enough
 
 
 class _Forest:
@@ -395,9 +485,31 @@ def _verified(docs: DataFrame, groups: DataFrame, words: int, percent: int, fold
     return first.unionByName(second)
 
 
+def _is_scan(docs: DataFrame) -> bool:
+    """Whether ``docs`` is columns of files as they are read, so that a row is one of a file and stays there."""
+    plan = docs._jdf.queryExecution().analyzed()
+    while plan.nodeName() in ("Project", "SubqueryAlias"):
+        plan = plan.children().head()
+    if plan.nodeName() != "LogicalRelation" or "_metadata" in docs.columns:
+        return False
+    try:  # only Parquet has rows' numbers
+        return bool(docs.select("_metadata.file_path", "_metadata.row_index").columns)
+    except AnalysisException:
+        return False
+
+
 def numbered(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``row``, a number of its own for each row; written, so that the numbers stay as they are."""
-    return written(docs.withColumn("row", F.monotonically_increasing_id()), shared_folder(docs.sparkSession), "numbered")
+    """``docs`` with ``row``, a number of its own for each row that stays as it is however often it is read.
+
+    Rows of files are numbered by their place there, so nothing is written anew; others are written with their numbers.
+    """
+    if not _is_scan(docs):
+        return written(docs.withColumn("row", F.monotonically_increasing_id()), shared_folder(docs.sparkSession), "numbered")
+    paths = sorted(fetched(docs.select(F.col("_metadata.file_path").alias("_path")).distinct())["_path"])
+    files = docs.sparkSession.createDataFrame(list(enumerate(paths)), "_file long, _path string")
+    placed = docs.select("*", F.col("_metadata.file_path").alias("_path"), F.col("_metadata.row_index").alias("_place"))
+    row = F.shiftleft("_file", 36) + F.col("_place")
+    return placed.join(F.broadcast(files), "_path").select(*docs.columns, row.alias("row"))
 
 
 def row_components(docs: DataFrame, words: int = 3, percent: int = 90) -> DataFrame:
