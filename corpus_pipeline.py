@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlens.llm import jaccard, language, pii
-from ledgerlens.llm.common import shared_folder, table
+from ledgerlens.llm.common import shared_folder, table, written
 from ledgerlens.llm.quality_rules import quality_rules
 from ledgerlens.llm.queries import language_references, packed_sequences, pii_key, trusted_ids
 
@@ -32,10 +32,14 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """N-gram Jaccard join: of the rows that links connect, one with the smallest id stays; null ids come last."""
-    rows = jaccard.numbered(docs)
+    rows, folder = jaccard.numbered(docs), shared_folder(spark)
+    found = written(jaccard.row_components(rows).select("row", "root", "doc_id"), folder, "found")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
-    kept = jaccard.row_components(rows).groupBy("root").agg(first.alias("s")).select("s.row")
-    return rows.join(kept, "row", "left_semi").select(*docs.columns)
+    groups = found.groupBy("root").agg(first.alias("s"), F.count("*").alias("size")).where("size > 1")
+    gone = found.join(groups.select("root", "s.row").withColumnRenamed("row", "stays"), "root").where("row != stays")
+    gone = written(gone.select("row"), folder, "gone")
+    few = gone.count() <= jaccard.BROADCAST_IDS  # then the texts stay where they lie
+    return rows.join(F.broadcast(gone) if few else gone, "row", "left_anti").select(*docs.columns)
 
 
 def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
