@@ -35,9 +35,8 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     rows, folder = jaccard.numbered(docs), shared_folder(spark)
     found = written(jaccard.row_components(rows).select("row", "root", "doc_id"), folder, "found")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
-    groups = found.groupBy("root").agg(first.alias("s"), F.count("*").alias("size")).where("size > 1")
-    gone = found.join(groups.select("root", "s.row").withColumnRenamed("row", "stays"), "root").where("row != stays")
-    gone = written(gone.select("row"), folder, "gone")
+    kept = found.groupBy("root").agg(first.alias("s")).select("s.row")
+    gone = written(found.select("row").join(kept, "row", "left_anti"), folder, "gone")
     few = gone.count() <= jaccard.BROADCAST_IDS  # then the texts stay where they lie
     return rows.join(F.broadcast(gone) if few else gone, "row", "left_anti").select(*docs.columns)
 
